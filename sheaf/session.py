@@ -19,8 +19,6 @@ _CONF = {
     # hash partitioning instead of shuffling twice
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # a broadcast side must be small; bigger sides fall back to shuffle joins
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
 
@@ -30,6 +28,9 @@ def get_spark(app: str = "sheaf", master: str | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory", "12g")
     for k, v in _CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
@@ -60,6 +61,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df, eager: bool = True):
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it
+    back (survives executor loss without recomputing the lineage)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for a written table."""
     return os.path.join(checkpoint_dir(spark), name)

@@ -69,3 +69,137 @@ def title_blocks(part: DataFrame) -> DataFrame:
 
 def title_blocks_sql() -> str:
     return f"SELECT p_partkey AS doc_id, {title_block_text('duck')} AS text FROM part"
+
+
+# ---------------------------------------------------------------------------
+# D3: one block graph per order (doc_id = o_orderkey)
+# ---------------------------------------------------------------------------
+
+# block_ord = page * PAGE_SPAN + section * SECTION_SPAN + n * 100 + sub
+PAGE_SPAN = 1_000_000
+SECTION_SPAN = 100_000
+LINES_PER_PAGE = 4
+LINE_SORT = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def order_lines(lineitem: DataFrame) -> DataFrame:
+    """Line items numbered per order (``n``, a total order) with the page
+    (4 line numbers per page) and the table row they land on."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("l_orderkey").orderBy(*LINE_SORT)
+    page = (F.floor((F.col("l_linenumber") - 1) / LINES_PER_PAGE) + 1).cast("int")
+    return (lineitem
+            .select(*LINE_SORT, "l_orderkey")
+            .withColumn("n", F.row_number().over(w).cast("long"))
+            .select(F.col("l_orderkey").alias("doc_id"), "n", page.alias("page"),
+                    (F.col("l_linenumber") - LINES_PER_PAGE * (page - 1)).cast("int").alias("row"),
+                    "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"))
+
+
+def _blk(block_ord, block_type, id_, page, text=None, confidence=None, row=None, col=None,
+         entity=None, rels=None):
+    return F.struct(
+        block_ord.cast("long").alias("block_ord"),
+        F.lit(block_type).alias("block_type"),
+        id_.alias("id"),
+        (text if text is not None else F.lit(None)).cast("string").alias("text"),
+        (confidence if confidence is not None else F.lit(None)).cast("double").alias("confidence"),
+        page.cast("int").alias("page"),
+        (row if row is not None else F.lit(None)).cast("int").alias("row_index"),
+        (col if col is not None else F.lit(None)).cast("int").alias("column_index"),
+        (F.array(F.lit(entity)) if entity else F.lit(None)).cast("array<string>").alias("entity_types"),
+        (rels if rels is not None else F.lit(None)).cast(
+            "array<struct<type:string,ids:array<string>>>").alias("relationships"),
+    )
+
+
+def _rel(kind, *ids):
+    return F.struct(F.lit(kind).alias("type"), F.array(*ids).alias("ids"))
+
+
+def _ord(page, section, n=0, sub=0):
+    return (page.cast("long") * PAGE_SPAN + section * SECTION_SPAN
+            + (n if not isinstance(n, int) else F.lit(n)) * 100 + sub)
+
+
+def order_blocks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """D3 block table: PAGE, LINE, TABLE/CELL/WORD and KEY/VALUE blocks.
+
+    Everything is narrow (explode of per-row block arrays) except the line
+    numbering window and the per-page table child list, both keyed by the
+    order.
+    """
+    lines = order_lines(lineitem)
+    s = lambda c: F.col(c).cast("string")
+    nid = s("n")
+    page = F.col("page")
+    words = [s("l_partkey"), F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag")]
+    # LINE + three CELLs + three WORDs per line item
+    per_line = [
+        _blk(_ord(page, 1, F.col("n")), "LINE", F.concat(F.lit("L"), nid), page,
+             text=F.concat(F.lit("P"), s("l_partkey"), F.lit(" "), F.col("l_returnflag"),
+                           F.col("l_linestatus")),
+             confidence=F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity") + 50)),
+    ]
+    for c in (1, 2, 3):
+        cid = F.concat(F.lit("C"), nid, F.lit(f"_{c}"))
+        wid = F.concat(F.lit("W"), nid, F.lit(f"_{c}"))
+        per_line.append(_blk(_ord(page, 2, F.col("n"), c), "WORD", wid, page, text=words[c - 1],
+                             confidence=F.round(F.col("l_discount") * 1000 + c - 1, 3)))
+        per_line.append(_blk(_ord(page, 4, F.col("n"), c), "CELL", cid, page,
+                             row=F.col("row"), col=F.lit(c), rels=F.array(_rel("CHILD", wid))))
+    line_blocks = lines.select("doc_id", F.explode(F.array(*per_line)).alias("b"))
+
+    # one TABLE per page with lines; CHILD ids in line order
+    tables = (lines
+              .groupBy("doc_id", "page")
+              .agg(F.sort_array(F.collect_list(F.struct("n", s("n").alias("ns")))).alias("ns"))
+              .select("doc_id", F.col("page"),
+                      F.flatten(F.transform("ns", lambda x: F.array(
+                          *[F.concat(F.lit("C"), x["ns"], F.lit(f"_{c}")) for c in (1, 2, 3)]
+                      ))).alias("cells")))
+    table_blocks = tables.select(
+        "doc_id", _blk(_ord(page, 3), "TABLE", F.concat(F.lit("T"), s("page")), page,
+                       rels=F.array(F.struct(F.lit("CHILD").alias("type"),
+                                             F.col("cells").alias("ids")))).alias("b"))
+
+    npages = (lines.groupBy("doc_id").agg(F.max("page").alias("npages")))
+    docs = (orders.select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_orderpriority")
+            .join(npages, "doc_id", "left")
+            .withColumn("npages", F.coalesce("npages", F.lit(1)).cast("int")))
+    p1, last = F.lit(1), F.col("npages")
+    kv = [
+        _blk(_ord(p1, 5, 0), "KEY_VALUE_SET", F.lit("K1"), p1, entity="KEY",
+             rels=F.array(_rel("VALUE", F.lit("V1")),
+                          _rel("CHILD", F.lit("KW1a"), F.lit("KW1b")))),
+        _blk(_ord(p1, 5, 1), "WORD", F.lit("KW1a"), p1, text=F.lit("Order"), confidence=F.lit(99.0)),
+        _blk(_ord(p1, 5, 2), "WORD", F.lit("KW1b"), p1, text=F.lit("status"), confidence=F.lit(98.0)),
+        _blk(_ord(p1, 5, 3), "KEY_VALUE_SET", F.lit("V1"), p1, entity="VALUE",
+             rels=F.array(_rel("CHILD", F.lit("VW1")))),
+        _blk(_ord(p1, 5, 4), "WORD", F.lit("VW1"), p1, text=F.col("o_orderstatus"),
+             confidence=F.lit(97.0)),
+        _blk(_ord(p1, 5, 5), "KEY_VALUE_SET", F.lit("K2"), p1, entity="KEY",
+             rels=F.array(_rel("CHILD", F.lit("KW2a"), F.lit("KW2b")), _rel("VALUE", F.lit("V2")))),
+        _blk(_ord(p1, 5, 6), "WORD", F.lit("KW2a"), p1, text=F.lit("Order"), confidence=F.lit(0.0)),
+        _blk(_ord(p1, 5, 7), "WORD", F.lit("KW2b"), p1, text=F.lit("priority"),
+             confidence=F.lit(96.0)),
+        _blk(_ord(p1, 5, 8), "KEY_VALUE_SET", F.lit("K3"), p1, entity="KEY",
+             rels=F.array(_rel("CHILD", F.lit("KW3")))),
+        _blk(_ord(p1, 5, 9), "WORD", F.lit("KW3"), p1, text=F.lit("Clerk"), confidence=F.lit(95.0)),
+        _blk(_ord(p1, 5, 10), "KEY_VALUE_SET", F.lit("K4"), p1, entity="KEY",
+             rels=F.array(_rel("CHILD", F.lit("missing-1"), F.lit("missing-2")))),
+        _blk(_ord(p1, 5, 11), "KEY_VALUE_SET", F.lit("K5"), p1, entity="KEY"),
+        # the value of K2 sits on the last page
+        _blk(_ord(last, 6, 0), "KEY_VALUE_SET", F.lit("V2"), last, entity="VALUE",
+             rels=F.array(_rel("CHILD", F.lit("VW2")))),
+        _blk(_ord(last, 6, 1), "WORD", F.lit("VW2"), last, text=F.col("o_orderpriority"),
+             confidence=F.lit(94.0)),
+    ]
+    kv_blocks = docs.select("doc_id", F.explode(F.array(*kv)).alias("b"))
+    page_blocks = (docs
+                   .select("doc_id", F.explode(F.sequence(F.lit(1), F.col("npages"))).alias("page"))
+                   .select("doc_id", _blk(_ord(page, 0), "PAGE", F.concat(F.lit("P"), s("page")),
+                                          page).alias("b")))
+    return (page_blocks.unionByName(line_blocks).unionByName(table_blocks).unionByName(kv_blocks)
+            .select("doc_id", "b.*"))

@@ -61,7 +61,8 @@ def main():
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     qs, sqls = entry.queries(), entry.oracle_sql()
-    spark = get_spark("oracle-check", master="local[8]", shuffle_partitions=8)
+    spark = get_spark("oracle-check", master="local[8]", shuffle_partitions=8,
+                      extra={"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
