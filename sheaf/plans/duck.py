@@ -135,3 +135,72 @@ SELECT doc_id, category, value,
        min(struct_pack(l := line_no, h := hit_no)).h AS first_hit,
        count(*) AS n_hits
 FROM ({classified}) GROUP BY doc_id, category, value"""
+
+
+# ---------------------------------------------------------------------------
+# context-aware drawing numbers (TXT-17..24)
+# ---------------------------------------------------------------------------
+
+EMPTY = "[]::VARCHAR[]"
+
+
+def concat(*arrs: str) -> str:
+    out = f"coalesce({arrs[0]}, {EMPTY})"
+    for a in arrs[1:]:
+        out = f"list_concat({out}, coalesce({a}, {EMPTY}))"
+    return out
+
+
+def same_line_numbers(line: str) -> str:
+    after = lfilter(ltransform(extract(line, R.keyword_number_pattern()),
+                               trim(f"regexp_replace(m, {q(R.keyword_prefix_pattern())}, '', 'g')"), "m"),
+                    "length(v) >= 3")
+    dashed = lfilter(extract(line, R.DASHED_CODE), f"{between_len('v', 5, 25)} AND {has_digit('v')}")
+    return concat(after, dashed)
+
+
+def potential_numbers(s: str) -> str:
+    per = [lfilter(ltransform(extract(s, p),
+                              f"regexp_replace(regexp_replace(m, {q(R.WS + '+')}, '-', 'g'), '_', '-', 'g')",
+                              "m"),
+                   f"{between_len('v', 5, 25)} AND {has_digit('v')}")
+           for p in R.candidate_patterns()]
+    tokens = lfilter(extract(s, R.CANDIDATE_TOKEN),
+                     f"{rlike('t', '[A-Z]')} AND {has_digit('t')} AND length(t) >= 5", "t")
+    variants = ", ".join(f"regexp_replace(t, {q(R.first_match_rewrite(p))}, '\\1\\2-\\3')"
+                         for p in R.DASH_REWRITES)
+    rewrites = (f"flatten(list_transform({tokens}, lambda t: "
+                f"list_filter([{variants}], lambda w: instr(w, '-') > 0 AND length(w) <= 25)))")
+    return concat(*per, rewrites)
+
+
+def right_side(line: str) -> str:
+    pos = f"strpos(lower({line}), 'drawing')"
+    return f"substr({line}, CASE WHEN {pos} = 0 THEN 7 ELSE {pos} + 7 END)"
+
+
+def drawing_numbers_sql(table: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    ls = f"list_filter(list_transform(string_split({text_col}, chr(10)), lambda x: {trim('x')}), lambda x: length(x) > 0)"
+    cand = concat(
+        same_line_numbers("line"),
+        f"CASE WHEN below IS NOT NULL THEN {potential_numbers('below')} END",
+        f"CASE WHEN below2 IS NOT NULL THEN {potential_numbers('below2')} END",
+        f"CASE WHEN length({right_side('line')}) > 2 THEN {potential_numbers(right_side('line'))} END")
+    ctx = "\n  UNION ALL ".join(
+        f"""SELECT doc_id, {2 + k} AS method, 0 AS line_no, unnest(range(0, len(c))) AS pos, unnest(c) AS value
+  FROM (SELECT {id_col} AS doc_id,
+               {lfilter(extract(text_col, p, 1), f"{has_digit('v')} AND instr(v, '-') > 0")} AS c
+        FROM {table})"""
+        for k, p in enumerate(R.context_patterns()))
+    return f"""
+WITH d AS (SELECT {id_col} AS doc_id, {ls} AS ls FROM {table}),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS line_no, ls FROM d),
+n AS (SELECT doc_id, line_no, line, ls[line_no + 2] AS below, ls[line_no + 3] AS below2
+      FROM l WHERE {rlike('line', R.drawing_detector_pattern())}),
+c AS (SELECT doc_id, line_no, {cand} AS c FROM n),
+allc AS (
+  SELECT doc_id, 1 AS method, line_no, unnest(range(0, len(c))) AS pos, unnest(c) AS value FROM c
+  UNION ALL {ctx}),
+f AS (SELECT doc_id, value, min(struct_pack(m := method, l := line_no, p := pos)) AS o
+      FROM allc WHERE length(value) >= 3 GROUP BY doc_id, value)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) AS BIGINT) AS seq, value FROM f"""

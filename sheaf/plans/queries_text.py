@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheaf.operators import drawing as DR
 from sheaf.operators import lines as L
 from sheaf.plans import duck as D
 from sheaf.plans.registry import register
@@ -52,3 +53,15 @@ SELECT doc_id, line_no, CAST(hit_no AS BIGINT) AS hit_no, rule, category, value
       FROM ({D.lines_sql(f'({title_blocks_sql()})')}))))""")
 def title_block_all_matches(spark, sf_dir):
     return L.all_matches(title_blocks(table(spark, sf_dir, "part")))
+
+
+@register("drawing_numbers", "TXT-17..24, WIN-2 on documents",
+          lambda: D.drawing_numbers_sql("documents"))
+def drawing_numbers(spark, sf_dir):
+    return DR.drawing_numbers(table(spark, sf_dir, "documents"))
+
+
+@register("title_block_drawing_numbers", "TXT-17..24 on title blocks derived from part",
+          lambda: D.drawing_numbers_sql(f"({title_blocks_sql()})"))
+def title_block_drawing_numbers(spark, sf_dir):
+    return DR.drawing_numbers(title_blocks(table(spark, sf_dir, "part")))
