@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import drawing as DR
 from sheaf.operators import lines as L
+from sheaf.operators import report as RP
 from sheaf.plans import duck as D
 from sheaf.plans.registry import register
 from sheaf.sources.derived import title_blocks, title_blocks_sql
@@ -65,3 +66,15 @@ def drawing_numbers(spark, sf_dir):
           lambda: D.drawing_numbers_sql(f"({title_blocks_sql()})"))
 def title_block_drawing_numbers(spark, sf_dir):
     return DR.drawing_numbers(title_blocks(table(spark, sf_dir, "part")))
+
+
+@register("title_block_report", "AGG-17 wide lists + TXT-25 report on title blocks",
+          lambda: D.report_sql(f"({title_blocks_sql()})"))
+def title_block_report(spark, sf_dir):
+    return RP.report(RP.filtered_text(title_blocks(table(spark, sf_dir, "part"))))
+
+
+@register("document_report", "AGG-17 + TXT-25 on documents",
+          lambda: D.report_sql("documents"))
+def document_report(spark, sf_dir):
+    return RP.report(RP.filtered_text(table(spark, sf_dir, "documents")))
