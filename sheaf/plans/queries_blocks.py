@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheaf.functions.numbers import round6
 from sheaf.operators import assemble as A
 from sheaf.plans.registry import register
 from sheaf.session import materialize
@@ -63,13 +64,54 @@ page_text AS (
   SELECT p.doc_id, CAST(p.page AS BIGINT) AS page_number,
          coalesce(string_agg('P' || CAST(li.l_partkey AS VARCHAR) || ' ' || li.l_returnflag
                              || li.l_linestatus, chr(10) ORDER BY li.n), '') AS text,
-         round(coalesce(avg(CASE WHEN li.l_partkey % 7 <> 0 THEN li.l_quantity + 50 END), 0), 6)
-           AS confidence,
+         floor(coalesce(avg(CASE WHEN li.l_partkey % 7 <> 0 THEN li.l_quantity + 50 END), 0)
+               * 1000000 + 0.5 + 1e-06) / 1000000 AS confidence,
          count(li.n) AS block_count,
          CAST(CASE WHEN p.page = 1 THEN 4 ELSE 0 END AS BIGINT) AS n_forms,
          CAST(CASE WHEN count(li.n) > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_tables
   FROM pg p LEFT JOIN li ON li.doc_id = p.doc_id AND li.page = p.page
-  GROUP BY p.doc_id, p.page)
+  GROUP BY p.doc_id, p.page),
+dims AS (SELECT doc_id, table_no, max(row_index) AS max_row FROM cells GROUP BY ALL),
+slots AS (SELECT doc_id, table_no, unnest(range(1, max_row + 1)) AS row_no FROM dims),
+last AS (SELECT doc_id, table_no, row_index, column_index, arg_max(text, n) AS text
+         FROM cells GROUP BY ALL),
+grid AS (
+  SELECT s.doc_id, CAST(s.table_no AS BIGINT) AS table_no, CAST(s.row_no AS BIGINT) AS row_no,
+         CAST(c.col AS BIGINT) AS col_no, coalesce(l.text, '') AS text
+  FROM slots s CROSS JOIN (SELECT unnest([1, 2, 3]) AS col) c
+  LEFT JOIN last l ON l.doc_id = s.doc_id AND l.table_no = s.table_no AND l.row_index = s.row_no
+    AND l.column_index = c.col),
+words AS (
+  SELECT doc_id, page, page * 1000000 + 200000 + n * 100 + col AS ord,
+         CASE col WHEN 1 THEN CAST(l_partkey AS VARCHAR)
+                  WHEN 2 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)
+                  ELSE l_returnflag END AS text,
+         round(l_discount * 1000 + col - 1, 3) AS conf
+  FROM li CROSS JOIN (SELECT unnest([1, 2, 3]) AS col) c
+  UNION ALL
+  SELECT d.doc_id, 1, 1500000 + k * 100, CASE WHEN k = 4 THEN d.o_orderstatus ELSE w END, cf
+  FROM docs d CROSS JOIN (SELECT unnest([1, 2, 4, 6, 7, 9]) AS k,
+                                 unnest(['Order', 'status', '', 'Order', 'priority', 'Clerk']) AS w,
+                                 unnest([99.0, 98.0, 97.0, 0.0, 96.0, 95.0]) AS cf) kw
+  UNION ALL
+  SELECT doc_id, npages, npages * 1000000 + 600100, o_orderpriority, 94.0 FROM docs),
+ocr AS (
+  SELECT doc_id, CAST(page AS BIGINT) AS page_number,
+         trim(string_agg(text, ' ' ORDER BY ord)) AS text,
+         coalesce(avg(conf) FILTER (WHERE conf <> 0), 0) / 100 AS confidence,
+         count(*) FILTER (WHERE conf <> 0) AS word_count
+  FROM words WHERE length(text) > 0 GROUP BY doc_id, page),
+ocr_kept AS (SELECT * FROM ocr WHERE (doc_id + page_number) % 5 <> 0),
+shapes AS (
+  SELECT doc_id, CAST(page AS BIGINT) AS page_number, (doc_id + page) % 3 <> 0 AS enabled,
+         CAST((doc_id * 7 + page) % 5 AS INTEGER) AS shape_count,
+         CASE (doc_id + page) % 4 WHEN 0 THEN 'circle' WHEN 1 THEN 'rectangle'
+              WHEN 2 THEN 'unknown' END AS dominant_shape
+  FROM pg),
+totals AS (
+  SELECT doc_id, count(*) AS pages, sum(length(text)) AS text_chars, sum(n_tables) AS tables,
+         sum(n_forms) AS forms
+  FROM page_text GROUP BY ROLLUP (doc_id))
 """
 
 
@@ -77,7 +119,7 @@ page_text AS (
           BASE + "SELECT * FROM page_text")
 def page_text(spark, sf_dir):
     return (A.pages(blocks_of(spark, sf_dir))
-            .select("doc_id", "page_number", "text", F.round("confidence", 6).alias("confidence"),
+            .select("doc_id", "page_number", "text", round6("confidence").alias("confidence"),
                     "block_count", "n_forms", "n_tables"))
 
 
@@ -106,16 +148,7 @@ def doc_table_cells(spark, sf_dir):
 
 
 @register("doc_table_grid", "AGG-7, WIN-3 (dense grid, later cell wins)",
-          BASE + """,
-dims AS (SELECT doc_id, table_no, max(row_index) AS max_row FROM cells GROUP BY ALL),
-slots AS (SELECT doc_id, table_no, unnest(range(1, max_row + 1)) AS row_no FROM dims),
-last AS (SELECT doc_id, table_no, row_index, column_index, arg_max(text, n) AS text
-         FROM cells GROUP BY ALL)
-SELECT s.doc_id, CAST(s.table_no AS BIGINT) AS table_no, CAST(s.row_no AS BIGINT) AS row_no,
-       CAST(c.col AS BIGINT) AS col_no, coalesce(l.text, '') AS text
-FROM slots s CROSS JOIN (SELECT unnest([1, 2, 3]) AS col) c
-LEFT JOIN last l ON l.doc_id = s.doc_id AND l.table_no = s.table_no AND l.row_index = s.row_no
-  AND l.column_index = c.col""")
+          BASE + "SELECT * FROM grid")
 def doc_table_grid(spark, sf_dir):
     return A.table_grid(A.table_cells(blocks_of(spark, sf_dir), "document"), "document")
 

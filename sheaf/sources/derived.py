@@ -203,3 +203,23 @@ def order_blocks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
                                           page).alias("b")))
     return (page_blocks.unionByName(line_blocks).unionByName(table_blocks).unionByName(kv_blocks)
             .select("doc_id", "b.*"))
+
+
+# ---------------------------------------------------------------------------
+# D8: shape-detection rows per page; OCR rows of some pages left out
+# ---------------------------------------------------------------------------
+
+def page_shapes(page_numbers: DataFrame) -> DataFrame:
+    """``(doc_id, page_number, enabled, shape_count, dominant_shape)``."""
+    k = F.col("doc_id") + F.col("page_number")
+    return page_numbers.select(
+        "doc_id", "page_number",
+        (k % 3 != 0).alias("enabled"),
+        ((F.col("doc_id") * 7 + F.col("page_number")) % 5).cast("int").alias("shape_count"),
+        F.when(k % 4 == 0, "circle").when(k % 4 == 1, "rectangle").when(k % 4 == 2, "unknown")
+        .alias("dominant_shape"))
+
+
+def ocr_kept(ocr: DataFrame) -> DataFrame:
+    """OCR results with some pages left out, so that placeholders appear."""
+    return ocr.filter((F.col("doc_id") + F.col("page_number")) % 5 != 0)
