@@ -34,7 +34,7 @@ def register(name: str, covers: str, sql: str | Callable[[], str] | None = None)
 
 def _load_all() -> None:
     # importing the modules fills REGISTRY
-    from sheaf.plans import queries_blocks, queries_stats, queries_text  # noqa: F401
+    from sheaf.plans import queries_blocks, queries_ops, queries_stats, queries_text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -223,3 +223,47 @@ def page_shapes(page_numbers: DataFrame) -> DataFrame:
 def ocr_kept(ocr: DataFrame) -> DataFrame:
     """OCR results with some pages left out, so that placeholders appear."""
     return ocr.filter((F.col("doc_id") + F.col("page_number")) % 5 != 0)
+
+
+# ---------------------------------------------------------------------------
+# D6: usage rows (file = order, pages = its line count)
+# D7: run log from events: errors, processing times, job status log
+# ---------------------------------------------------------------------------
+
+def order_usage(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    counts = lineitem.groupBy(F.col("l_orderkey").alias("file_id")).agg(
+        F.count(F.lit(1)).alias("pages"))
+    return (orders.select(F.col("o_orderkey").alias("file_id"), F.col("o_orderdate").alias("ts"))
+            .join(counts, "file_id", "left")
+            .select("file_id", "ts", F.coalesce("pages", F.lit(0)).cast("long").alias("pages")))
+
+
+ERROR_TYPE_SQL = """CASE user_id % 5 WHEN 0 THEN 'FILE_ERROR' WHEN 1 THEN 'SIZE_LIMIT_ERROR'
+  WHEN 2 THEN 'OCR_ENGINE_ERROR' WHEN 3 THEN 'TIMEOUT_ERROR' END"""
+ERROR_NAME_SQL = """CASE event_id % 6 WHEN 0 THEN 'ThrottlingException'
+  WHEN 1 THEN 'ServiceUnavailableException' WHEN 2 THEN 'InternalServerError'
+  WHEN 3 THEN 'OcrError' WHEN 4 THEN 'ValidationException' ELSE 'Error' END"""
+RETRY_FLAG_SQL = "CASE WHEN event_id % 6 = 3 THEN event_id % 4 = 0 END"
+ENGINE_SQL = "CASE WHEN user_id % 2 = 0 THEN 'textract' ELSE 'textract-analyze' END"
+STATUS_SQL = """CASE event_type WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED'
+  ELSE 'IN_PROGRESS' END"""
+
+
+def run_errors(events: DataFrame) -> DataFrame:
+    return (events.filter(F.col("event_type") == "error")
+            .select("event_id", "ts", F.expr(ERROR_TYPE_SQL).alias("error_type"),
+                    F.expr(ERROR_NAME_SQL).alias("error_name"),
+                    F.expr(RETRY_FLAG_SQL).alias("retryable_flag")))
+
+
+def run_times(events: DataFrame) -> DataFrame:
+    return (events.filter(F.col("event_type") != "error")
+            .select("event_id", "ts", F.expr(ENGINE_SQL).alias("engine"),
+                    (F.col("user_id") % 10 + 1).cast("int").alias("page_count"),
+                    F.col("value").alias("duration_ms")))
+
+
+def job_status_log(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"),
+                         F.expr(STATUS_SQL).alias("status"),
+                         F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"))
