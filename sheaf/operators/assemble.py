@@ -55,7 +55,7 @@ def _legacy_text(targets: DataFrame, blocks: DataFrame, scope: str) -> DataFrame
            .select(*cols, "block_ord", "text", first_rel_ids("CHILD").alias("ids")))
     kids = (tgt.filter(F.col("text").isNull() | (F.col("text") == ""))
             .select(*cols, "block_ord", F.posexplode("ids").alias("id_ord", "dst_id"))
-            .join(first, [*cols, "dst_id"], "inner")
+            .join(first.hint("merge"), [*cols, "dst_id"], "inner")
             .filter(F.col("child").isNotNull() & (F.col("child") != ""))
             .groupBy("doc_id", "block_ord")
             .agg(F.array_join(F.transform(
@@ -67,23 +67,15 @@ def _legacy_text(targets: DataFrame, blocks: DataFrame, scope: str) -> DataFrame
                     .otherwise(F.coalesce("kid_text", F.lit(""))).alias("child_text")))
 
 
-def block_texts(targets: DataFrame, blocks: DataFrame, scope: str,
-                profile: str = "current") -> DataFrame:
-    """``(doc_id, block_ord, child_text)`` for every target block."""
-    if profile == "legacy":
-        return _legacy_text(targets, blocks, scope)
-    return child_text(targets, blocks, scope)
-
-
 def scope_texts(blocks: DataFrame, scope: str, profile: str = "current") -> DataFrame:
     """Text of every block that forms or tables may read in a scope (KEY /
     VALUE / CELL blocks; every block for legacy, whose cells may be of any
     type).  Forms and tables call this with the same arguments, so one
     query plan computes it once (Spark reuses the identical exchanges)."""
-    targets = blocks
-    if profile != "legacy":
-        targets = blocks.filter(F.col("block_type").isin("KEY_VALUE_SET", "CELL"))
-    return block_texts(targets.select("doc_id", "block_ord"), blocks, scope, profile)
+    if profile == "legacy":
+        return _legacy_text(blocks.select("doc_id", "block_ord"), blocks, scope)
+    sources = blocks.filter(F.col("block_type").isin("KEY_VALUE_SET", "CELL"))
+    return child_text(sources, blocks, scope)
 
 
 # ---------------------------------------------------------------------------
@@ -181,11 +173,11 @@ def table_cells(blocks: DataFrame, scope: str = "document", profile: str = "curr
         idx = (src.groupBy(*cols, F.col("id").alias("cell_id"))
                .agg(F.min(F.struct("block_ord", "block_type", "row_index", "column_index"))
                     .alias("last")))
-        cells = refs.join(idx, [*cols, "cell_id"], "inner")
+        cells = refs.join(idx.hint("merge"), [*cols, "cell_id"], "inner")
     else:
         idx = (last_by_id(src, cols, "block_type", "row_index", "column_index")
                .select(*cols, F.col("id").alias("cell_id"), "last"))
-        cells = (refs.join(idx, [*cols, "cell_id"], "inner")
+        cells = (refs.join(idx.hint("merge"), [*cols, "cell_id"], "inner")
                  .filter(F.col("last.block_type") == "CELL"))
     cells = cells.select(*cols, "table_no", "cell_pos",
                          F.col("last.block_ord").alias("cell_ord"),
@@ -261,6 +253,8 @@ def page_lines(blocks: DataFrame, profile: str = "current") -> DataFrame:
     block count (LINEs, or all blocks of the page for sync/legacy)."""
     b = blocks.filter(F.col("page").isNotNull())
     is_line = F.col("block_type") == "LINE"
+    if profile == "current":
+        b = b.filter(is_line)
     agg = (b.groupBy("doc_id", "page")
            .agg(F.array_sort(F.collect_list(F.when(is_line, F.struct(
                 "block_ord", F.coalesce("text", F.lit("")).alias("t"))))).alias("ls"),

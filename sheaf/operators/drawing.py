@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import rules as R
+from sheaf.session import spread
 from sheaf.functions.text import extract_all, has, has_digit, js_trim, trimmed_lines
 
 def _empty() -> Column:
@@ -84,7 +85,7 @@ def context_candidates(docs: DataFrame, id_col: str = "doc_id",
     detected line among non-empty lines), 2/3 = whole-text context pattern
     after/before the keyword.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     lines = d.select("doc_id", trimmed_lines(F.col("text")).alias("ls"))
     near = (lines
             .select("doc_id", F.posexplode(F.transform(

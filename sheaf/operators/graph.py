@@ -55,27 +55,35 @@ def first_rel_ids(kind: str) -> Column:
     return F.get(F.filter("relationships", lambda r: r["type"] == kind), 0)["ids"]
 
 
-def child_text(targets: DataFrame, blocks: DataFrame, scope: str, sep: str = " ") -> DataFrame:
-    """JN-3/JN-4: text of each target block made of the texts of its CHILD
-    blocks (all CHILD relationships, in order; a missing child is ``''``).
-
-    ``targets``: ``(doc_id, block_ord)`` of blocks that need text.
-    Returns ``(doc_id, block_ord, child_text)``; a target without CHILD
-    relationships gets no row (the caller treats that as ``''``).
+def child_text(sources: DataFrame, blocks: DataFrame, scope: str, sep: str = " ") -> DataFrame:
+    """JN-3/JN-4: text of each source block made of the texts of its CHILD
+    blocks (all CHILD relationships, in order; a missing child is ``''``;
+    when an id occurs twice in scope the later block wins).
+
+    ``sources``: block rows that need text (``doc_id, block_ord, page,
+    relationships``).  Returns ``(doc_id, block_ord, child_text)``; a source
+    without CHILD relationships gets no row (the caller reads ``''``).
+
+    Child edges join the blocks of the scope on ``(scope, id)``; duplicate
+    ids are resolved inside each source's (small) child list, so no
+    aggregate over all blocks is needed.
     """
     cols = scope_cols(scope)
-    src = in_scope(blocks, scope)
-    child_edges = (edges(src.join(targets.select("doc_id", "block_ord"),
-                                  ["doc_id", "block_ord"], "left_semi"))
-                   .filter(F.col("rel_type") == "CHILD"))
-    index = (last_by_id(src, cols, "text")
-             .select(*cols, F.col("id").alias("dst_id"), F.col("last.text").alias("child")))
+    e = edges(in_scope(sources, scope)).filter(F.col("rel_type") == "CHILD")
     if scope == "page":
-        child_edges = child_edges.withColumnRenamed("src_page", "page")
-    joined = child_edges.join(index, [*cols, "dst_id"], "left")
-    return (joined
-            .groupBy("doc_id", F.col("src_ord").alias("block_ord"))
-            .agg(F.array_sort(F.collect_list(F.struct(
-                "rel_ord", "id_ord", F.coalesce("child", F.lit("")).alias("t")))).alias("parts"))
-            .select("doc_id", "block_ord",
-                    F.array_join(F.transform("parts", lambda p: p["t"]), sep).alias("child_text")))
+        e = e.withColumnRenamed("src_page", "page")
+    tgt = (in_scope(blocks, scope)
+           .select(*cols, F.col("id").alias("dst_id"), F.col("block_ord").alias("dst_ord"),
+                   F.col("text").alias("child")))
+    # the block side grows with the data: never broadcast it
+    parts = (e.join(tgt.hint("merge"), [*cols, "dst_id"], "left")
+             .groupBy("doc_id", F.col("src_ord").alias("block_ord"))
+             .agg(F.array_sort(F.collect_list(F.struct(
+                 "rel_ord", "id_ord", "dst_ord",
+                 F.coalesce("child", F.lit("")).alias("t")))).alias("parts")))
+    # sorted by (slot, block order): the last element of each slot wins
+    nxt = lambda i: F.get(F.col("parts"), i + 1)
+    last = F.filter("parts", lambda x, i: nxt(i).isNull()
+                    | (nxt(i)["rel_ord"] != x["rel_ord"]) | (nxt(i)["id_ord"] != x["id_ord"]))
+    return parts.select("doc_id", "block_ord",
+                        F.array_join(F.transform(last, lambda x: x["t"]), sep).alias("child_text"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.functions import rules as R
+from sheaf.session import spread
 from sheaf.functions.text import extract_all, has, has_digit, js_trim, not_empty, split_lines
 
 ROUTE_TYPE = T.StructType([
@@ -28,9 +29,9 @@ def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ``line_no`` is the 1-based position in ``text.split('\\n')``.
     """
-    return (docs
-            .select(F.col(id_col).alias("doc_id"),
-                    F.posexplode(split_lines(F.col(text_col))).alias("pos", "raw"))
+    d = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return (d
+            .select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "raw"))
             .select("doc_id",
                     (F.col("pos") + 1).cast("long").alias("line_no"),
                     js_trim(F.col("raw")).alias("line"))

@@ -19,6 +19,11 @@ _CONF = {
     # hash partitioning instead of shuffling twice
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no broadcast from plan-time estimates (compressed Parquet sizes
+    # understate rows many times); AQE broadcasts only sides whose
+    # measured shuffle output is below the adaptive threshold
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(16 * 1024 * 1024),
 }
 
 
@@ -61,11 +66,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df, eager: bool = True):
-    """Cut lineage: write ``df`` to the shared checkpoint folder and read it
-    back (survives executor loss without recomputing the lineage)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def materialize(df, name: str = "table"):
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint
+    folder and read it back.  Later stages scan the written table (column
+    pruning and filter pushdown apply) and survive executor loss without
+    recomputing the lineage."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df, key: str = "doc_id"):
+    """Hash-spread a CPU-heavy input over at least the default parallelism
+    when its scan yields fewer partitions (e.g. one large row group).  A
+    no-op for inputs that already have many splits, as at cluster scale."""
+    sc = df.sparkSession.sparkContext
+    n = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
