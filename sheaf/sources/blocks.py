@@ -104,18 +104,34 @@ def to_responses(blocks: DataFrame, chunk_span: int = 2_000_000,
         F.transform("relationships",
                     lambda r: F.struct(r["type"].alias("Type"), r["ids"].alias("Ids"))
                     ).alias("Relationships"))
-    return (blocks
-            .withColumn("chunk_no", F.floor(F.col("block_ord") / chunk_span).cast("int"))
-            .groupBy("doc_id", "chunk_no")
-            # ordered by block_ord; a chunk is one document's share, bounded
-            .agg(F.sort_array(F.collect_list(F.struct("block_ord", blk.alias("b")))).alias("bs"))
+    chunks = (blocks
+              .withColumn("chunk_no", F.floor(F.col("block_ord") / chunk_span).cast("int"))
+              .groupBy("doc_id", "chunk_no")
+              # ordered by block_ord; a chunk is one document's share, bounded
+              .agg(F.sort_array(F.collect_list(F.struct("block_ord", blk.alias("b")))).alias("bs")))
+    last = chunks.groupBy("doc_id").agg(F.max("chunk_no").alias("last_chunk"))
+    return (chunks.join(last, "doc_id")
             .select("doc_id", "chunk_no",
                     F.lit(status).alias("JobStatus"),
                     F.lit(None).cast("string").alias("StatusMessage"),
-                    F.lit(None).cast("string").alias("NextToken"),
+                    # a continuation token on every chunk but the last
+                    F.when(F.col("chunk_no") < F.col("last_chunk"),
+                           F.concat(F.lit("page-"), (F.col("chunk_no") + 1).cast("string")))
+                    .alias("NextToken"),
                     F.transform("bs", lambda x: x["b"]).alias("Blocks")))
 
 
+def complete_documents(responses: DataFrame) -> DataFrame:
+    """Documents whose response chunks are all present: one chunk without
+    a continuation token, chunks 0..n without gaps, and no failed status."""
+    return (responses.groupBy("doc_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("chunk_no").alias("m"),
+                 F.count_if(F.col("NextToken").isNull()).alias("ends"),
+                 F.count_if(F.col("JobStatus") != "SUCCEEDED").alias("bad"))
+            .filter((F.col("ends") == 1) & (F.col("n") == F.col("m") + 1) & (F.col("bad") == 0))
+            .select("doc_id"))
+
+
 def write_responses(responses: DataFrame, path: str) -> None:
     (responses.write.mode("overwrite")
      .partitionBy("doc_id", "chunk_no")
