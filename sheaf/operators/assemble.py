@@ -360,6 +360,9 @@ def assemble(blocks: DataFrame, files: DataFrame | None = None, profile: str = "
                      F.when(F.size("tables") > 0, F.col("tables")).alias("tables")).alias("p")))
     doc_pages = (page_rows.groupBy("doc_id")
                  .agg(_ordered("pages", "page_number", F.col("p")).alias("pages")))
+    # every document gets a result, also one without PAGE blocks
+    doc_pages = (blocks.select("doc_id").distinct().join(doc_pages, "doc_id", "left")
+                 .withColumn("pages", F.coalesce("pages", F.array())))
     if profile == "current":
         dforms = (forms(blocks, "document", profile).groupBy("doc_id")
                   .agg(_ordered("forms", "form_no", F.struct("key", "value")).alias("forms")))

@@ -63,3 +63,83 @@ def quota_flags(usage: DataFrame, limit: int = MAX_PAGES_PER_MONTH,
     return p.select("file_id", "month", "pages", "prior_pages",
                     F.when(after > limit, "QUOTA_EXCEEDED")
                     .when(after > limit * warn_share, "WARNING").otherwise("OK").alias("status"))
+
+
+# ---------------------------------------------------------------------------
+# WIN-5: greedy admission (a rejected file does not use quota)
+# ---------------------------------------------------------------------------
+
+ADMIT_OUT = "file_id long, month string, pages long, used_before long, status string"
+
+
+def admit(usage: DataFrame, limit: int = MAX_PAGES_PER_MONTH, warn_share: float = WARN_SHARE,
+          chunks: int | None = None) -> DataFrame:
+    """Files in month order (ts, file id) are admitted while they fit the
+    month's remaining quota; a rejected file (``QUOTA_EXCEEDED``) leaves the
+    quota unchanged.  ``WARNING``: admitted beyond ``warn_share`` x limit.
+
+    The fold is sequential, so it runs in three bounded steps instead of
+    one group per month:
+
+    1. range-partition the files on the unique key (month, ts, file_id):
+       contiguous, balanced chunks even when one month holds most files;
+    2. per (month, chunk) compute the chunk's transfer function
+       used-before -> used-after as a vector over 0..limit (quota use never
+       exceeds the limit), then compose the chunk functions of a month in
+       chunk order (months x chunks small vectors) to get each chunk's start;
+    3. replay every chunk from its start.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from sheaf.session import materialize
+
+    spark = usage.sparkSession
+    n = chunks or max(spark.sparkContext.defaultParallelism * 2, 2)
+    u = usage.select("file_id", "ts", F.col("pages").cast("long").alias("pages"),
+                     month_key("ts").alias("month"))
+    ranged = materialize(u.repartitionByRange(n, "month", "ts", "file_id")
+                         .withColumn("chunk", F.spark_partition_id()), "admission-ranges")
+
+    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "file_id"])
+        used = np.arange(limit + 1, dtype=np.int64)
+        for p in pdf["pages"].to_numpy():
+            nxt = used + p
+            used = np.where(nxt <= limit, nxt, used)
+        return pd.DataFrame({"month": [pdf["month"].iloc[0]], "chunk": [int(pdf["chunk"].iloc[0])],
+                             "f": [used.tolist()]})
+
+    funcs = ranged.groupBy("month", "chunk").applyInPandas(
+        transfer, "month string, chunk int, f array<long>")
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        cur, starts = 0, []
+        for f in pdf["f"]:
+            starts.append(cur)
+            cur = int(f[cur])
+        return pd.DataFrame({"month": pdf["month"].to_numpy(), "chunk": pdf["chunk"].to_numpy(),
+                             "start": starts})
+
+    starts = funcs.groupBy("month").applyInPandas(compose, "month string, chunk int, start long")
+    warn = limit * warn_share
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "file_id"])
+        used = int(pdf["start"].iloc[0])
+        before, status = [], []
+        for p in pdf["pages"].to_numpy():
+            before.append(used)
+            if used + p > limit:
+                status.append("QUOTA_EXCEEDED")
+            else:
+                status.append("WARNING" if used + p > warn else "OK")
+                used += int(p)
+        return pd.DataFrame({"file_id": pdf["file_id"].to_numpy(), "month": pdf["month"].to_numpy(),
+                             "pages": pdf["pages"].to_numpy(), "used_before": before,
+                             "status": status})
+
+    # the start table has one row per (month, chunk): bounded, broadcast
+    return (ranged.join(F.broadcast(starts), ["month", "chunk"])
+            .groupBy("month", "chunk").applyInPandas(replay, ADMIT_OUT))

@@ -160,3 +160,24 @@ SELECT job_id, n_events,
 FROM g""")
 def job_outcomes(spark, sf_dir):
     return M.job_outcomes(DV.job_status_log(table(spark, sf_dir, "events")), JOB_TIMEOUT)
+
+
+@register("quota_admission", "WIN-5 greedy admission: rejected files use no quota", USAGE_SQL.replace(
+    "WITH cnt", "WITH RECURSIVE cnt") + f""",
+o AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY ts, file_id) AS rn FROM u),
+r AS (
+  SELECT month, rn, file_id, pages, CAST(0 AS BIGINT) AS used_before,
+         CASE WHEN pages > {MONTH_LIMIT} THEN 'QUOTA_EXCEEDED'
+              WHEN pages > {MONTH_LIMIT} * {U.WARN_SHARE} THEN 'WARNING' ELSE 'OK' END AS status,
+         CAST(CASE WHEN pages > {MONTH_LIMIT} THEN 0 ELSE pages END AS BIGINT) AS used_after
+  FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.month, o.rn, o.file_id, o.pages, r.used_after,
+         CASE WHEN r.used_after + o.pages > {MONTH_LIMIT} THEN 'QUOTA_EXCEEDED'
+              WHEN r.used_after + o.pages > {MONTH_LIMIT} * {U.WARN_SHARE} THEN 'WARNING' ELSE 'OK' END,
+         CASE WHEN r.used_after + o.pages > {MONTH_LIMIT} THEN r.used_after ELSE r.used_after + o.pages END
+  FROM r JOIN o ON o.month = r.month AND o.rn = r.rn + 1)
+SELECT file_id, month, pages, used_before, status FROM r""")
+def quota_admission(spark, sf_dir):
+    return U.admit(DV.order_usage(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")),
+                   limit=MONTH_LIMIT)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators.assemble import assemble
+from sheaf.sinks.results import write_results
 from sheaf.sources.blocks import blocks_from_responses, complete_documents, responses_schema
 
 
@@ -24,12 +25,7 @@ def assemble_batch(spark: SparkSession, touched: DataFrame, responses_path: str,
               .join(ids, "doc_id", "left_semi"))
     ready = complete_documents(chunks)
     blocks = blocks_from_responses(chunks.join(ready, "doc_id", "left_semi"))
-    docs = assemble(blocks, profile=profile, run_ts=run_ts)
-    (docs.write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .option("ignoreNullFields", "true")
-     .partitionBy("doc_id")
-     .json(out_path))
+    write_results(assemble(blocks, profile=profile, run_ts=run_ts), out_path)
 
 
 def start_assembly_stream(spark: SparkSession, responses_path: str, out_path: str,
