@@ -194,3 +194,35 @@ def doc_assembly(spark, sf_dir):
                     lambda acc, p: acc + F.coalesce(F.size(p["forms"]), F.lit(0))).alias("page_forms"),
         F.aggregate("pages", F.lit(0).cast("long"),
                     lambda acc, p: acc + F.coalesce(F.size(p["tables"]), F.lit(0))).alias("page_tables"))
+
+
+@register("page_text_sync", "sync profile: one response per page, block_count = all blocks",
+          BASE + """SELECT p.doc_id, p.page_number, p.text, p.confidence,
+       CAST(1 + 7 * p.block_count + CASE WHEN p.block_count > 0 THEN 1 ELSE 0 END
+            + CASE WHEN p.page_number = 1 THEN 12 ELSE 0 END
+            + CASE WHEN p.page_number = d.npages THEN 2 ELSE 0 END AS BIGINT) AS block_count,
+       p.n_forms, p.n_tables
+FROM page_text p JOIN docs d ON d.doc_id = p.doc_id""")
+def page_text_sync(spark, sf_dir):
+    return (A.pages(blocks_of(spark, sf_dir), "sync")
+            .select("doc_id", "page_number", "text", round6("confidence").alias("confidence"),
+                    "block_count", "n_forms", "n_tables"))
+
+
+@register("doc_forms_legacy", "JN-9 legacy pairing and text rule (own text, else children joined by '')",
+          BASE + """SELECT doc_id, CAST(1 AS BIGINT) AS form_no, 'Orderstatus' AS key, o_orderstatus AS value
+FROM docs UNION ALL
+SELECT doc_id, CAST(2 AS BIGINT), 'Orderpriority', o_orderpriority FROM docs""")
+def doc_forms_legacy(spark, sf_dir):
+    return A.forms(blocks_of(spark, sf_dir), "document", "legacy")
+
+
+@register("page_forms_legacy", "JN-9 legacy, page scope: a value on another page drops the pair",
+          BASE + """SELECT doc_id, CAST(1 AS BIGINT) AS page_number, CAST(1 AS BIGINT) AS form_no,
+       'Orderstatus' AS key, o_orderstatus AS value FROM docs UNION ALL
+SELECT doc_id, CAST(1 AS BIGINT), CAST(2 AS BIGINT), 'Orderpriority', o_orderpriority FROM docs
+WHERE npages = 1""")
+def page_forms_legacy(spark, sf_dir):
+    b = blocks_of(spark, sf_dir)
+    return (A.forms(b, "page", "legacy").join(A.page_list(b, "legacy"), ["doc_id", "page"])
+            .select("doc_id", "page_number", "form_no", "key", "value"))
