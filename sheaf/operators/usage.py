@@ -3,11 +3,11 @@
 Usage rows: ``(file_id, ts, pages)``.  Month keys are ``USAGE#yyyy#MM``
 (session time zone UTC).
 
-The quota check (WIN-4) is a running sum inside a month.  A month can hold
-a large share of all files, so the running sum is computed in two levels:
-per-(month, hour) sums first (tiny), their prefix over the month, and then
-the running sum inside each hour; no task sees more than one hour of one
-month.
+The quota check (WIN-4) is a running sum inside a month and admission
+(WIN-5) a fold inside a month.  A month (or an hour of it) can hold a large
+share of all files, so both run over balanced chunks of a range partitioning
+on the unique key (month, ts, file_id), combined per month through a small
+months x chunks table.
 """
 
 from __future__ import annotations
@@ -32,23 +32,35 @@ def usage_monthly(usage: DataFrame) -> DataFrame:
                  F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("last_updated")))
 
 
-def _bucketed(usage: DataFrame) -> DataFrame:
-    return usage.select("*", month_key("ts").alias("month"),
-                        F.date_trunc("hour", "ts").alias("bucket"))
+def ranged_usage(usage: DataFrame, chunks: int | None = None) -> DataFrame:
+    """Usage rows range-partitioned on the unique key (month, ts, file_id)
+    with the chunk (partition) number as a column, written once so both
+    passes of a two-level scan see the same chunks.  Chunks are contiguous in
+    month order and balanced however many files one month or hour holds."""
+    from sheaf.session import materialize
+    spark = usage.sparkSession
+    n = chunks or max(spark.sparkContext.defaultParallelism * 2, 2)
+    u = usage.select("file_id", "ts", F.col("pages").cast("long").alias("pages"),
+                     month_key("ts").alias("month"))
+    return materialize(u.repartitionByRange(n, "month", "ts", "file_id")
+                       .withColumn("chunk", F.spark_partition_id()), "usage-ranges")
 
 
-def prior_usage(usage: DataFrame) -> DataFrame:
+def prior_usage(usage: DataFrame, chunks: int | None = None) -> DataFrame:
     """Pages used in the same month by files before each file (order: ts,
-    then file id), without funnelling a month through one task."""
-    u = _bucketed(usage)
-    per_bucket = u.groupBy("month", "bucket").agg(F.sum("pages").alias("bucket_pages"))
-    wb = Window.partitionBy("month").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("month", "bucket",
-                                F.coalesce(F.sum("bucket_pages").over(wb), F.lit(0)).alias("offset"))
-    wi = (Window.partitionBy("month", "bucket").orderBy("ts", "file_id")
+    then file id), in two levels: per-(month, chunk) sums and their prefix
+    over the month (a months x chunks table), then the running sum inside
+    each chunk.  No task sees more than one chunk."""
+    r = ranged_usage(usage, chunks)
+    sums = r.groupBy("month", "chunk").agg(F.sum("pages").alias("chunk_pages"))
+    wb = Window.partitionBy("month").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("month", "chunk",
+                          F.coalesce(F.sum("chunk_pages").over(wb), F.lit(0)).alias("offset"))
+    wi = (Window.partitionBy("month", "chunk").orderBy("ts", "file_id")
           .rowsBetween(Window.unboundedPreceding, -1))
-    inner = u.select("*", F.coalesce(F.sum("pages").over(wi), F.lit(0)).alias("inner"))
-    return (inner.join(offsets, ["month", "bucket"])
+    inner = r.select("*", F.coalesce(F.sum("pages").over(wi), F.lit(0)).alias("inner"))
+    # offsets: one row per (month, chunk), bounded
+    return (inner.join(F.broadcast(offsets), ["month", "chunk"])
             .select("file_id", "ts", "pages", "month",
                     (F.col("offset") + F.col("inner")).cast("long").alias("prior_pages")))
 
@@ -92,14 +104,7 @@ def admit(usage: DataFrame, limit: int = MAX_PAGES_PER_MONTH, warn_share: float
     import numpy as np
     import pandas as pd
 
-    from sheaf.session import materialize
-
-    spark = usage.sparkSession
-    n = chunks or max(spark.sparkContext.defaultParallelism * 2, 2)
-    u = usage.select("file_id", "ts", F.col("pages").cast("long").alias("pages"),
-                     month_key("ts").alias("month"))
-    ranged = materialize(u.repartitionByRange(n, "month", "ts", "file_id")
-                         .withColumn("chunk", F.spark_partition_id()), "admission-ranges")
+    ranged = ranged_usage(usage, chunks)
 
     def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "file_id"])

@@ -6,11 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.operators import assemble as A
+from sheaf.functions import rules as R
 from sheaf.functions.numbers import round6, round6_sql
 from sheaf.operators import stats as S
+from sheaf.plans import duck as D
 from sheaf.plans.queries_blocks import BASE, blocks_of
 from sheaf.plans.registry import register
+from sheaf.sinks.results import kb_text
 from sheaf.sources.derived import ocr_kept, page_shapes
+from sheaf.sources.files import file_text, part_files
+from sheaf.sources.tables import table
 
 
 def _ocr(b):
@@ -105,3 +110,23 @@ def first_table_page(spark, sf_dir):
 FROM page_text WHERE page_number <= 3""")
 def page_samples(spark, sf_dir):
     return S.page_samples(A.pages(blocks_of(spark, sf_dir)))
+
+
+@register("ocr_samples", "LIM-3 variant: first 80 chars of word text, whitespace runs collapsed",
+          BASE + f"""SELECT doc_id, page_number,
+       regexp_replace(substr(text, 1, 80), {D.q(R.WS + '+')}, ' ', 'g')
+         || CASE WHEN length(text) > 80 THEN '...' ELSE '' END AS sample
+FROM ocr WHERE page_number <= 3 AND length(text) > 0""")
+def ocr_samples(spark, sf_dir):
+    o = _ocr(blocks_of(spark, sf_dir)).filter(F.length("text") > 0)
+    return S.page_samples(o, n_pages=3, chars=80, collapse="space")
+
+
+@register("file_sizes", "TXT-26 sizes as fixed-decimal KB text", """
+SELECT p_partkey AS doc_id,
+       CAST(CAST(round(CAST(length(t) AS DECIMAL(20,0)) * 0.0009765625, 1) AS DECIMAL(30,1)) AS VARCHAR)
+         || 'KB' AS size_kb
+FROM (SELECT p_partkey, """ + file_text("duck") + """ AS t FROM part)""")
+def file_sizes(spark, sf_dir):
+    f = part_files(table(spark, sf_dir, "part"))
+    return f.select("doc_id", kb_text(F.col("length")).alias("size_kb"))

@@ -30,10 +30,12 @@ def fixed(c, places: int = 1):
     return F.format_string(f"%.{places}f", c)
 
 
-def size_text(bytes_col, unit: str = "KB", places: int = 1):
-    """TXT-26: byte counts as KB / MB text."""
-    div = {"KB": 1024, "MB": 1024 * 1024}[unit]
-    return F.concat(fixed(bytes_col / div, places), F.lit(unit))
+def kb_text(bytes_col, places: int = 1):
+    """TXT-26: byte count as ``<n>KB`` with ``places`` decimals, rounded half
+    up on the exact value (bytes x 0.0009765625 is exact in decimal)."""
+    from decimal import Decimal
+    kb = bytes_col.cast("decimal(20,0)") * F.lit(Decimal("0.0009765625"))
+    return F.concat(F.round(kb, places).cast(f"decimal(30,{places})").cast("string"), F.lit("KB"))
 
 
 def stats_report(totals: DataFrame, ocr: DataFrame, shapes: DataFrame, pages: DataFrame,
