@@ -12,6 +12,7 @@ from sheaf.operators import stats as S
 from sheaf.plans import duck as D
 from sheaf.plans.queries_blocks import BASE, blocks_of
 from sheaf.plans.registry import register
+from sheaf.sinks import results as SR
 from sheaf.sinks.results import kb_text
 from sheaf.sources.derived import ocr_kept, page_shapes
 from sheaf.sources.files import file_text, part_files
@@ -130,3 +131,16 @@ FROM (SELECT p_partkey, """ + file_text("duck") + """ AS t FROM part)""")
 def file_sizes(spark, sf_dir):
     f = part_files(table(spark, sf_dir, "part"))
     return f.select("doc_id", kb_text(F.col("length")).alias("size_kb"))
+
+
+@register("stats_report", "SNK-3 nested statistics report per document, rendered as JSON (TXT-27)")
+def stats_report(spark, sf_dir):
+    b = blocks_of(spark, sf_dir)
+    pl = A.page_list(b)
+    pg = A.pages(b)
+    totals = S.doc_totals(pg)
+    ocr = ocr_kept(_ocr(b))
+    shapes = page_shapes(pl)
+    report = SR.stats_report(totals, S.ocr_totals(ocr), S.shape_totals(shapes),
+                             S.page_report(pl, ocr, shapes), S.cost_estimate(totals))
+    return SR.render_json(report, pretty=False)

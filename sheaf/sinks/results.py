@@ -48,7 +48,7 @@ def stats_report(totals: DataFrame, ocr: DataFrame, shapes: DataFrame, pages: Da
                      "page_number",
                      F.struct("text", "word_count", "confidence").alias("ocr_results"),
                      F.struct("enabled", "shape_count", "dominant_shape").alias("shapes"))))
-                      .alias("pages")))
+                      .alias("page_rows")))
     return (totals.filter(F.col("doc_id").isNotNull())
             .join(ocr, "doc_id", "left").join(shapes, "doc_id", "left")
             .join(cost, "doc_id", "left").join(page_list, "doc_id", "left")
@@ -62,4 +62,4 @@ def stats_report(totals: DataFrame, ocr: DataFrame, shapes: DataFrame, pages: Da
                         F.struct("enabled_pages", "total_shapes_found", "dominant_shapes")
                         .alias("shapes")).alias("statistics"),
                     F.struct("text_usd", "image_usd", "total_usd", "total_jpy").alias("estimated_cost"),
-                    F.col("pages").alias("page_list")))
+                    F.col("page_rows").alias("pages")))
