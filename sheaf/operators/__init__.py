@@ -1,17 +1,2 @@
-"""Public DataFrame -> DataFrame operators."""
-
-from sheaf.operators.assemble import (assemble, forms, page_lines, page_list, pages, table_cells,
-                                      table_grid, table_list, table_rows)
-from sheaf.operators.drawing import context_candidates, drawing_numbers
-from sheaf.operators.graph import child_text, edges
-from sheaf.operators.lines import classify_lines, line_facts, line_routes, text_lines
-from sheaf.operators.metrics import (error_counts, job_outcomes, latency_metrics, retryable,
-                                     throughput)
-from sheaf.operators.report import filtered_text, report
-from sheaf.operators.stats import (cost_estimate, doc_totals, first_table_page, ocr_totals,
-                                   page_report, page_samples, shape_totals, table_preview,
-                                   word_stats)
-from sheaf.operators.triage import Limits, pass_quarantine, triage
-from sheaf.operators.usage import admit, prior_usage, quota_flags, usage_monthly
-
-__all__ = [n for n in dir() if not n.startswith("_")]
+"""DataFrame -> DataFrame operators, one module per area: graph, assemble,
+lines, drawing, report, triage, stats, usage, metrics."""
