@@ -77,3 +77,43 @@ def test_render_json_drops_empty_lists(spark):
     b = _test_response(spark)
     j = json.loads(render_json(A.assemble(b, profile="sync")).first().json)
     assert "forms" not in j["pages"][0] and j["pages"][0]["tables"][0]["rows"] == [[""]]
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_page_number_falls_back_to_position(spark):
+    # PAGE blocks: Page missing, Page 0, Page 7 -> numbers 1, 2, 3 select pages 1, 2, 7
+    rows = [
+        (5, 0, "PAGE", "p1", None, None, None, None, None, None, None),
+        (5, 1, "PAGE", "p2", None, None, 0, None, None, None, None),
+        (5, 2, "PAGE", "p3", None, None, 7, None, None, None, None),
+        (5, 3, "LINE", "l1", "one", 80.0, 1, None, None, None, None),
+        (5, 4, "LINE", "l2", "two", None, 2, None, None, None, None),
+        (5, 5, "LINE", "l7", None, 60.0, 7, None, None, None, None),
+        (5, 6, "LINE", "lx", "lost", 10.0, None, None, None, None, None),
+    ]
+    got = {r.page_number: (r.page, r.text, r.confidence, r.block_count)
+           for r in A.pages(_rows(spark, rows)).collect()}
+    assert got == {1: (1, "one", 80.0, 1), 2: (2, "two", 0.0, 1), 3: (7, "", 60.0, 1)}
+
+
+def test_sync_document_lists_concatenate_pages(spark):
+    def kv(doc, o, page, kid, vid, key, value):
+        return [
+            (doc, o, "KEY_VALUE_SET", kid, None, None, page, None, None, ["KEY"],
+             [("CHILD", [kid + "w"]), ("VALUE", [vid])]),
+            (doc, o + 1, "WORD", kid + "w", key, 90.0, page, None, None, None, None),
+            (doc, o + 2, "KEY_VALUE_SET", vid, None, None, page, None, None, ["VALUE"],
+             [("CHILD", [vid + "w"])]),
+            (doc, o + 3, "WORD", vid + "w", value, 90.0, page, None, None, None, None),
+        ]
+    # the same ids on both pages: page lists differ from a document-wide map
+    rows = kv(9, 10, 2, "k", "v", "B", "b2") + kv(9, 0, 1, "k", "v", "A", "a1")
+    b = _rows(spark, rows)
+    sync = A.assemble(b, profile="sync").first()
+    assert [(f.key, f.value) for f in sync.forms] == [("A", "a1"), ("B", "b2")]
+    cur = A.forms(b, "document").collect()
+    # document scope: the later KEY block with id k wins, at the first position
+    assert [(f.key, f.value) for f in cur] == [("B", "b2")]
