@@ -117,3 +117,31 @@ def test_sync_document_lists_concatenate_pages(spark):
     cur = A.forms(b, "document").collect()
     # document scope: the later KEY block with id k wins, at the first position
     assert [(f.key, f.value) for f in cur] == [("B", "b2")]
+
+
+def test_run_batch_event_to_results(spark):
+    from sheaf.plans.batch import document_id, run_batch
+    from sheaf.sources.events import EVENT
+    orders = table(spark, SF, "orders").filter("o_orderkey < 12")
+    b = DV.order_blocks(orders, table(spark, SF, "lineitem").filter("l_orderkey < 12"))
+    keys = [f"in/{i}.pdf" for i in range(12)] + ["in/missing.pdf", "bad%zz.pdf"]
+    ids = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "o long, key string")
+    ids = ids.withColumn("new_id", document_id(F.lit("bkt"), F.col("key")))
+    # stored responses keyed by the object's id
+    remap = b.join(ids.withColumnRenamed("o", "doc_id"), "doc_id").drop("doc_id", "key") \
+             .withColumnRenamed("new_id", "doc_id")
+    root = tempfile.mkdtemp(prefix="sheaf-e1-")
+    write_responses(to_responses(remap), os.path.join(root, "resp"))
+    recs = [{"eventName": "ObjectCreated:Put",
+             "s3": {"bucket": {"name": "bkt"}, "object": {"key": k, "size": 100 + i}}}
+            for i, k in enumerate(keys)]
+    ev = spark.read.schema(EVENT).json(spark.sparkContext.parallelize([json.dumps({"Records": recs})]))
+    manifest = {r.raw_key: (r.status, r.output_key) for r in
+                run_batch(spark, ev, os.path.join(root, "resp"), os.path.join(root, "out")).collect()}
+    assert manifest["in/3.pdf"] == ("PROCESSED", "processed/in/3-result.json")
+    assert manifest["in/missing.pdf"][0] == "NO_RESPONSE"
+    assert manifest["bad%zz.pdf"] == ("KEY_ERROR", None)
+    out = spark.read.json(os.path.join(root, "out"))
+    row = out.filter(F.col("inputFile") == "in/3.pdf").first()
+    assert row.fileSize == 103 and row.metadata.version == "1.0.0"
+    assert out.count() == 12
