@@ -16,6 +16,9 @@ from __future__ import annotations
 # Spark's trim() miss most of these, Japanese OCR text is full of U+3000.
 WS = (r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
       r"\x{202F}\x{205F}\x{3000}\x{FEFF}]")
+# the same set as literal characters (for Spark's trim(BOTH chars FROM s))
+WS_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 # JavaScript's "." (any char except line terminators)
 DOT = r"[^\n\r\x{2028}\x{2029}]"
 

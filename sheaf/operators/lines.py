@@ -35,7 +35,9 @@ def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .select("doc_id",
                     (F.col("pos") + 1).cast("long").alias("line_no"),
                     js_trim(F.col("raw")).alias("line"))
-            .filter(F.length("line") > 0))
+            .filter(F.length("line") > 0)
+            .withColumn("has_digit", has_digit(F.col("line")))
+            .withColumn("has_keyword", has_keyword(F.col("line"))))
 
 
 def is_header(line: Column) -> Column:
@@ -49,9 +51,30 @@ def _len_between(v: Column, lo: int, hi: int) -> Column:
     return (F.length(v) >= lo) & (F.length(v) <= hi)
 
 
-def rule_hits(line: Column) -> list[tuple[str, str, Column]]:
+def has_keyword(line: Column) -> Column:
+    """Cheap superset test for the label rules: they need 'drawing', '図面'
+    or 'dwg' (Unicode lower-casing covers Java's ASCII-only (?i))."""
+    low = F.lower(line)
+    return (F.instr(low, "drawing") > 0) | (F.instr(line, "図面") > 0) | (F.instr(low, "dwg") > 0)
+
+
+def _any_literal(line: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | (F.instr(line, w) > 0)
+    return out
+
+
+def rule_hits(line: Column, digit: Column | None = None,
+              keyword_hit: Column | None = None) -> list[tuple[str, str, Column]]:
     """Ordered ``(rule, category, hits)``; ``hits`` is the array of values a
-    rule yields for the line (empty or NULL when it does not fire)."""
+    rule yields for the line (empty or NULL when it does not fire).
+
+    ``digit`` (optional): a precomputed "line has a digit" column.  Seven
+    rules cannot match without a digit; gating them skips seven regex scans
+    on the (typical) digit-free line without changing any result."""
+    need_digit = (lambda h: F.when(digit, h)) if digit is not None else (lambda h: h)
+    need_kw = (lambda h: F.when(keyword_hit, h)) if keyword_hit is not None else (lambda h: h)
     labeled = F.filter(
         F.transform(extract_all(line, R.labeled_pattern()),
                     lambda m: js_trim(F.regexp_replace(m, R.label_only_pattern(), ""))),
@@ -68,26 +91,26 @@ def rule_hits(line: Column) -> list[tuple[str, str, Column]]:
     dims = F.filter(extract_all(line, R.DIMENSION), lambda v: F.length(v) >= 2)
     whole = F.array(line)
     return [
-        ("TXT-3", "drawing", labeled),
-        ("TXT-4", "drawing", keyword),
-        ("TXT-5", "drawing", extract_all(line, R.STANDARD_DRAWING)),
-        ("TXT-6", "drawing", extract_all(line, R.EXTENDED_DRAWING)),
-        ("TXT-7", "drawing", extract_all(line, R.SHORT_PART)),
-        ("TXT-8", "drawing", extract_all(line, R.LONG_PART)),
-        ("TXT-9", "drawing", general),
-        ("TXT-10", "date", extract_all(line, R.DATE)),
-        ("TXT-11", "dimension", dims),
-        ("TXT-12", "technical", extract_all(line, R.THREAD_SPEC)),
-        ("TXT-13", "material", F.when(line.rlike(R.any_of(R.MATERIAL_WORDS)), whole)),
-        ("TXT-14", "company", F.when(line.rlike(R.any_of(R.COMPANY_WORDS)), whole)),
+        ("TXT-3", "drawing", need_kw(labeled)),
+        ("TXT-4", "drawing", need_kw(keyword)),
+        ("TXT-5", "drawing", need_digit(extract_all(line, R.STANDARD_DRAWING))),
+        ("TXT-6", "drawing", need_digit(extract_all(line, R.EXTENDED_DRAWING))),
+        ("TXT-7", "drawing", need_digit(extract_all(line, R.SHORT_PART))),
+        ("TXT-8", "drawing", need_digit(extract_all(line, R.LONG_PART))),
+        ("TXT-9", "drawing", F.when(F.instr(line, "-") > 0, general)),
+        ("TXT-10", "date", need_digit(extract_all(line, R.DATE))),
+        ("TXT-11", "dimension", need_digit(dims)),
+        ("TXT-12", "technical", need_digit(extract_all(line, R.THREAD_SPEC))),
+        ("TXT-13", "material", F.when(_any_literal(line, R.MATERIAL_WORDS), whole)),
+        ("TXT-14", "company", F.when(_any_literal(line, R.COMPANY_WORDS), whole)),
         ("TXT-15", "japanese", F.when(line.rlike(R.JAPANESE_CHAR) & (F.length(line) >= 2), whole)),
     ]
 
 
-def route(line: Column) -> Column:
+def route(line: Column, digit: Column | None = None, keyword_hit: Column | None = None) -> Column:
     """TXT-16: first rule with a value takes the line; NULL when none."""
     expr = F.when(is_header(line), F.lit(None).cast(ROUTE_TYPE))
-    for rule, category, hits in rule_hits(line):
+    for rule, category, hits in rule_hits(line, digit, keyword_hit):
         expr = expr.when(not_empty(hits),
                          F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"),
                                   hits.alias("hits")))
@@ -97,7 +120,7 @@ def route(line: Column) -> Column:
 def classify_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Routed hits: ``(doc_id, line_no, hit_no, rule, category, value)``."""
     routed = (text_lines(docs, id_col, text_col)
-              .select("doc_id", "line_no", route(F.col("line")).alias("r"))
+              .select("doc_id", "line_no", route(F.col("line"), F.col("has_digit"), F.col("has_keyword")).alias("r"))
               .filter(F.col("r").isNotNull()))
     return (routed
             .select("doc_id", "line_no", F.col("r.rule").alias("rule"),
@@ -110,7 +133,7 @@ def classify_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def line_routes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per non-empty line with the rule that took it (NULL = none)."""
     return (text_lines(docs, id_col, text_col)
-            .select("doc_id", "line_no", "line", route(F.col("line")).alias("r"))
+            .select("doc_id", "line_no", "line", route(F.col("line"), F.col("has_digit"), F.col("has_keyword")).alias("r"))
             .select("doc_id", "line_no", "line",
                     F.col("r.rule").alias("rule"),
                     F.coalesce(F.col("r.category"), F.lit("none")).alias("category")))

@@ -73,3 +73,13 @@ def test_facts_dedupe_first_seen(spark):
 def test_trim_is_js_whitespace(spark):
     df = spark.createDataFrame([(1, "　  x ﻿\n\t\n")], "doc_id long, text string")
     assert [r.line for r in L.text_lines(df).collect()] == ["x"]
+
+
+def test_native_trim_equals_regex_trim(spark):
+    from pyspark.sql import functions as F
+    from sheaf.functions.text import js_trim, js_trim_regex
+    samples = ["　 x　", "\t\r\nab c ", "\u0085x\u0085", "﻿ y ", "", "   ", "é　"]
+    df = spark.createDataFrame([(s,) for s in samples], "s string")
+    rows = df.select(js_trim(F.col("s")).alias("a"), js_trim_regex(F.col("s")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    assert rows[2].a == "\u0085x\u0085"   # NEL is not JS whitespace
