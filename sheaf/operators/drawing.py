@@ -44,7 +44,12 @@ def same_line_numbers(line: Column) -> Column:
 
 
 def potential_numbers(s: Column) -> Column:
-    """TXT-21 + TXT-22: candidate codes in a piece of text."""
+    """TXT-21 + TXT-22: candidate codes in a piece of text.  Every kept
+    candidate contains a digit, so text without one is skipped."""
+    return F.when(has_digit(s), _potential_numbers(s)).otherwise(_empty())
+
+
+def _potential_numbers(s: Column) -> Column:
     per_pattern = [
         F.filter(F.transform(extract_all(s, p),
                              lambda m: F.regexp_replace(F.regexp_replace(m, R.WS + "+", "-"), "_", "-")),
