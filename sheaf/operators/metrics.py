@@ -51,7 +51,8 @@ def retryable(errors: DataFrame) -> DataFrame:
 def job_outcomes(status_log: DataFrame, timeout_s: int = JOB_TIMEOUT_SECONDS) -> DataFrame:
     """PRJ-6: per job, the first terminal status (SUCCEEDED / FAILED) if it
     came within the time limit of the job's first event; otherwise
-    ``TIMEOUT_ERROR`` once the limit has passed, else ``IN_PROGRESS``.
+    ``TIMEOUT_ERROR`` once the limit has passed, else ``IN_PROGRESS``; rows
+    without a job id are one ``MISSING_JOB_ID`` error row.
     ``status_log``: ``(job_id, ts, seq, status, message)``."""
     terminal = F.col("status").isin("SUCCEEDED", "FAILED")
     g = (status_log.groupBy("job_id")
@@ -62,7 +63,8 @@ def job_outcomes(status_log: DataFrame, timeout_s: int = JOB_TIMEOUT_SECONDS) ->
     elapsed_l = (F.unix_micros(F.col("last_seen").cast("timestamp"))
                  - F.unix_micros(F.col("started").cast("timestamp")))
     limit = F.lit(timeout_s * 1_000_000)
-    outcome = (F.when(F.col("t").isNotNull() & (elapsed_t <= limit), F.col("t.status"))
+    outcome = (F.when(F.col("job_id").isNull(), F.lit("MISSING_JOB_ID"))
+               .when(F.col("t").isNotNull() & (elapsed_t <= limit), F.col("t.status"))
                .when(F.col("t").isNotNull() | (elapsed_l > limit), F.lit("TIMEOUT_ERROR"))
                .otherwise(F.lit("IN_PROGRESS")))
     return g.select("job_id", "n_events", outcome.alias("outcome"),

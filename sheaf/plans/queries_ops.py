@@ -151,7 +151,8 @@ g AS (SELECT job_id, min(ts) AS started, max(ts) AS last_seen, count(*) AS n_eve
                FILTER (WHERE status IN ('SUCCEEDED', 'FAILED')) AS t
       FROM s GROUP BY job_id)
 SELECT job_id, n_events,
-       CASE WHEN t IS NOT NULL AND epoch_us(t.ts) - epoch_us(started) <= {JOB_TIMEOUT * 1_000_000} THEN t.status
+       CASE WHEN job_id IS NULL THEN 'MISSING_JOB_ID'
+            WHEN t IS NOT NULL AND epoch_us(t.ts) - epoch_us(started) <= {JOB_TIMEOUT * 1_000_000} THEN t.status
             WHEN t IS NOT NULL OR epoch_us(last_seen) - epoch_us(started) > {JOB_TIMEOUT * 1_000_000}
               THEN 'TIMEOUT_ERROR'
             ELSE 'IN_PROGRESS' END AS outcome,

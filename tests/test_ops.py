@@ -56,3 +56,17 @@ def test_admission_chunks_compose_like_a_fold(spark):
             want[fid] = ("WARNING" if u + p > 240 else "OK", u)
             used[m] = u + p
     assert got == want
+
+
+def test_job_outcomes_missing_id_and_timeout(spark):
+    import datetime as dt
+    from sheaf.operators import metrics as M
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0, 1, "IN_PROGRESS", "m1"), (1, t0 + dt.timedelta(seconds=100), 2, "FAILED", "boom"),
+            (2, t0, 3, "IN_PROGRESS", "m3"), (2, t0 + dt.timedelta(seconds=900), 4, "SUCCEEDED", "ok"),
+            (3, t0, 5, "IN_PROGRESS", "m5"),
+            (None, t0, 6, "SUCCEEDED", "x")]
+    log = spark.createDataFrame(rows, "job_id long, ts timestamp, seq long, status string, message string")
+    got = {r.job_id: (r.outcome, r.error_message) for r in M.job_outcomes(log, 300).collect()}
+    assert got == {1: ("FAILED", "boom"), 2: ("TIMEOUT_ERROR", None), 3: ("IN_PROGRESS", None),
+                   None: ("MISSING_JOB_ID", None)}
