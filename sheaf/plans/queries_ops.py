@@ -12,6 +12,7 @@ from sheaf.operators import usage as U
 from sheaf.plans.registry import register
 from sheaf.sources import derived as DV
 from sheaf.sources.events import document_events, event_records, result_location
+from sheaf.sources import logs as LG
 from sheaf.sources.files import file_text, part_files
 from sheaf.sources.tables import table
 
@@ -182,3 +183,11 @@ SELECT file_id, month, pages, used_before, status FROM r""")
 def quota_admission(spark, sf_dir):
     return U.admit(DV.order_usage(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")),
                    limit=MONTH_LIMIT)
+
+
+@register("log_errors", "SRC-6 structured log lines parsed and counted per hour", """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, 'S3 OCR processing failed' AS message,
+       count(*) AS n
+FROM events WHERE event_type = 'error' GROUP BY ALL""")
+def log_errors(spark, sf_dir):
+    return LG.log_errors(LG.parse_logs(LG.event_log_lines(table(spark, sf_dir, "events"))))
