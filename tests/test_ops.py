@@ -70,3 +70,26 @@ def test_job_outcomes_missing_id_and_timeout(spark):
     got = {r.job_id: (r.outcome, r.error_message) for r in M.job_outcomes(log, 300).collect()}
     assert got == {1: ("FAILED", "boom"), 2: ("TIMEOUT_ERROR", None), 3: ("IN_PROGRESS", None),
                    None: ("MISSING_JOB_ID", None)}
+
+
+def test_read_logs_from_files(spark):
+    import json
+    import os
+    import tempfile
+    from sheaf.sources.logs import log_errors, read_logs
+    d = tempfile.mkdtemp(prefix="sheaf-logs-")
+    lines = [json.dumps({"timestamp": "2024-01-05T10:15:00.000Z", "level": "ERROR", "service": "s",
+                         "version": "1", "requestId": "r1", "message": "S3 OCR processing failed",
+                         "data": {"key": "a.pdf", "error": "x"}, "environment": "prod"}),
+             "not json",
+             json.dumps({"timestamp": "2024-01-05T10:45:00.000Z", "level": "error",
+                         "message": "S3 OCR processing failed"}),
+             json.dumps({"timestamp": "2024-01-05T11:00:00.000Z", "level": "INFO", "message": "done"})]
+    with open(os.path.join(d, "log.jsonl"), "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    logs = read_logs(spark, d)
+    assert logs.count() == 4
+    first = logs.filter("requestId = 'r1'").first()
+    assert json.loads(first.data) == {"key": "a.pdf", "error": "x"}
+    got = [(r.hour, r.message, r.n) for r in log_errors(logs).collect()]
+    assert got == [("2024-01-05 10:00", "S3 OCR processing failed", 2)]
