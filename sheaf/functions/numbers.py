@@ -1,4 +1,4 @@
-"""Numeric helpers: stable rounding and fixed-place formatting (TXT-26)."""
+"""Numeric helpers: rounding that is stable under summation order."""
 
 from __future__ import annotations
 
@@ -18,10 +18,3 @@ def round6(c: Column | str) -> Column:
 
 def round6_sql(x: str) -> str:
     return f"(floor(({x}) * 1000000 + 0.5 + {_BIAS}) / 1000000)"
-
-
-def fixed(c: Column, places: int) -> Column:
-    """``Number.toFixed(places)`` for values rounded half-up on their
-    decimal value."""
-    return F.format_string(f"%.{places}f", F.round(c.cast(f"decimal(38,{min(places + 6, 18)})"),
-                                                   places))

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from sheaf.functions.rules import WS, WS_CHARS
 
 
-def lit_re(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def js_trim(c: Column) -> Column:
     """``String.prototype.trim``: strip JS whitespace and line terminators
     (plain ``trim`` strips U+0020 only; with the character set it is a

@@ -25,11 +25,6 @@ def render_json(docs: DataFrame, pretty: bool = True) -> DataFrame:
     return docs.select("doc_id", F.to_json(body, opts).alias("json"))
 
 
-def fixed(c, places: int = 1):
-    """TXT-26: fixed decimals (``toFixed``)."""
-    return F.format_string(f"%.{places}f", c)
-
-
 def kb_text(bytes_col, places: int = 1):
     """TXT-26: byte count as ``<n>KB`` with ``places`` decimals, rounded half
     up on the exact value (bytes x 0.0009765625 is exact in decimal)."""
