@@ -97,3 +97,45 @@ def job_tracker(status_log: DataFrame, timeout_s: int = JOB_TIMEOUT_SECONDS,
             .groupBy("job_id")
             .applyInPandasWithState(step, JOB_OUT, JOB_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
+
+
+MONTH_OUT = "month string, total_pages long, total_files long, last_updated string"
+MONTH_STATE = "pages long, files long, last_us long, end_ms long"
+
+
+def monthly_usage_counter(usage: DataFrame, delay: str = "1 day") -> DataFrame:
+    """STR-2 by calendar month: state per month is (pages, files, last
+    update); when the watermark passes the month's end the final totals are
+    emitted once and the state is dropped.  A month's rows in one
+    micro-batch are the only group data held at once."""
+    import datetime as dt
+
+    def month_end_ms(month: str) -> int:
+        _, y, m = month.split("#")
+        y, m = int(y), int(m)
+        nxt = dt.datetime(y + (m == 12), 1 if m == 12 else m + 1, 1, tzinfo=dt.timezone.utc)
+        return int(nxt.timestamp() * 1000)
+
+    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (month,) = key
+        if state.hasTimedOut:
+            pages, files, last_us, _ = state.get
+            state.remove()
+            last = dt.datetime.fromtimestamp(last_us / 1e6, dt.timezone.utc)
+            yield pd.DataFrame({"month": [month], "total_pages": [pages], "total_files": [files],
+                                "last_updated": [last.strftime("%Y-%m-%dT%H:%M:%S.")
+                                                 + f"{last.microsecond // 1000:03d}Z"]})
+            return
+        pages, files, last_us, end_ms = state.get if state.exists else (0, 0, 0, month_end_ms(month))
+        for pdf in pdfs:
+            pages += int(pdf["pages"].sum())
+            files += len(pdf)
+            last_us = max(last_us, int(pdf["ts"].astype("datetime64[us]").astype("int64").max()))
+        state.update((pages, files, last_us, end_ms))
+        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
+
+    return (event_time(usage).withWatermark("ts", delay)
+            .select("ts", "pages", month_key("ts").alias("month"))
+            .groupBy("month")
+            .applyInPandasWithState(step, MONTH_OUT, MONTH_STATE, "append",
+                                    GroupStateTimeout.EventTimeTimeout))
