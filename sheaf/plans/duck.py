@@ -206,6 +206,26 @@ f AS (SELECT doc_id, value, min(struct_pack(m := method, l := line_no, p := pos)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) AS BIGINT) AS seq, value FROM f"""
 
 
+def wide_sql(table: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """AGG-17 wide form, each list joined by '|' (flat for comparison)."""
+    fx = facts_sql(classified_sql(lines_sql(table, id_col, text_col)))
+    ctx = drawing_numbers_sql(table, id_col, text_col)
+    lists = ", ".join(
+        f"coalesce(array_to_string(list(value ORDER BY o) FILTER (WHERE category = {q(c)}), '|'), '') AS {c}"
+        for c in R.CATEGORIES)
+    cols = ", ".join(f"coalesce(w.{c}, '') AS {c}" for c in R.CATEGORIES)
+    return f"""
+WITH u AS (
+  SELECT doc_id, 'drawing' AS category, value, struct_pack(s := 0, a := seq, b := CAST(0 AS BIGINT)) AS o
+  FROM ({ctx})
+  UNION ALL
+  SELECT doc_id, category, value, struct_pack(s := 1, a := first_line, b := first_hit) AS o FROM ({fx})),
+f AS (SELECT doc_id, category, value, min(o) AS o FROM u GROUP BY ALL),
+w AS (SELECT doc_id, {lists} FROM f GROUP BY doc_id)
+SELECT d.doc_id, {cols}
+FROM (SELECT {id_col} AS doc_id FROM {table}) d LEFT JOIN w ON w.doc_id = d.doc_id"""
+
+
 def report_sql(table: str, id_col: str = "doc_id", text_col: str = "text") -> str:
     """TXT-25 via AGG-17 in DuckDB."""
     fx = facts_sql(classified_sql(lines_sql(table, id_col, text_col)))

@@ -226,3 +226,14 @@ def page_forms_legacy(spark, sf_dir):
     b = blocks_of(spark, sf_dir)
     return (A.forms(b, "page", "legacy").join(A.page_list(b, "legacy"), ["doc_id", "page"])
             .select("doc_id", "page_number", "form_no", "key", "value"))
+
+
+@register("page_table_cells", "AGG-6, JN-4/JN-6 page scope (cells resolve on their page)",
+          BASE + """SELECT doc_id, CAST(page AS BIGINT) AS page_number, CAST(1 AS BIGINT) AS table_no,
+       CAST(cell_no AS BIGINT) AS cell_no, text, CAST(row_index AS INTEGER) AS row_index,
+       CAST(column_index AS INTEGER) AS column_index FROM cells""")
+def page_table_cells(spark, sf_dir):
+    b = blocks_of(spark, sf_dir)
+    return (A.table_cells(b, "page").join(A.page_list(b), ["doc_id", "page"])
+            .select("doc_id", "page_number", "table_no", "cell_no", "text", "row_index",
+                    "column_index"))

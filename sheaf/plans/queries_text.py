@@ -78,3 +78,11 @@ def title_block_report(spark, sf_dir):
           lambda: D.report_sql("documents"))
 def document_report(spark, sf_dir):
     return RP.report(RP.filtered_text(table(spark, sf_dir, "documents")))
+
+
+@register("title_block_wide", "AGG-17 wide form: seven ordered category lists per document",
+          lambda: D.wide_sql(f"({title_blocks_sql()})"))
+def title_block_wide(spark, sf_dir):
+    from sheaf.functions.rules import CATEGORIES
+    w = RP.filtered_text(title_blocks(table(spark, sf_dir, "part")))
+    return w.select("doc_id", *[F.array_join(c, "|").alias(c) for c in CATEGORIES])
