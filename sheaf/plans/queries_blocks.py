@@ -237,3 +237,31 @@ def page_table_cells(spark, sf_dir):
     return (A.table_cells(b, "page").join(A.page_list(b), ["doc_id", "page"])
             .select("doc_id", "page_number", "table_no", "cell_no", "text", "row_index",
                     "column_index"))
+
+
+@register("page_table_grid", "AGG-7 page scope", BASE + """
+SELECT g.doc_id, CAST(t.page AS BIGINT) AS page_number, CAST(1 AS BIGINT) AS table_no, g.row_no, g.col_no,
+       g.text
+FROM grid g JOIN tbl t ON t.doc_id = g.doc_id AND t.table_no = g.table_no""")
+def page_table_grid(spark, sf_dir):
+    b = blocks_of(spark, sf_dir)
+    return (A.table_grid(A.table_cells(b, "page"), "page").join(A.page_list(b), ["doc_id", "page"])
+            .select("doc_id", "page_number", "table_no", "row_no", "col_no", "text"))
+
+
+@register("doc_table_cells_legacy", "JN-9 legacy tables: any child kept, own text else children",
+          BASE + """SELECT doc_id, CAST(table_no AS BIGINT) AS table_no, CAST(cell_no AS BIGINT) AS cell_no,
+                     text, CAST(row_index AS INTEGER) AS row_index,
+                     CAST(column_index AS INTEGER) AS column_index FROM cells""")
+def doc_table_cells_legacy(spark, sf_dir):
+    return A.table_cells(blocks_of(spark, sf_dir), "document", "legacy")
+
+
+@register("doc_forms_sync", "SET-1 sync: document forms = page forms concatenated in page order",
+          BASE + """SELECT doc_id, CAST(form_no AS BIGINT) AS form_no, key, value FROM forms_page""")
+def doc_forms_sync(spark, sf_dir):
+    from pyspark.sql import Window
+    b = blocks_of(spark, sf_dir)
+    pf = A.forms(b, "page", "sync").join(A.page_list(b, "sync"), ["doc_id", "page"])
+    w = Window.partitionBy("doc_id").orderBy("page_number", "form_no")
+    return pf.select("doc_id", F.row_number().over(w).cast("long").alias("form_no"), "key", "value")
