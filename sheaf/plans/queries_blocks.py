@@ -265,3 +265,33 @@ def doc_forms_sync(spark, sf_dir):
     pf = A.forms(b, "page", "sync").join(A.page_list(b, "sync"), ["doc_id", "page"])
     w = Window.partitionBy("doc_id").orderBy("page_number", "form_no")
     return pf.select("doc_id", F.row_number().over(w).cast("long").alias("form_no"), "key", "value")
+
+
+@register("doc_assembly_sync", "AGG-8 sync profile: document lists are page lists concatenated",
+          BASE + """,
+pt AS (SELECT doc_id, count(*) AS page_count, sum(length(text)) AS text_chars FROM page_text GROUP BY doc_id),
+ct AS (SELECT doc_id, count(*) AS n_cells FROM cells GROUP BY doc_id),
+tt AS (SELECT doc_id, count(*) AS n_tables FROM tbl GROUP BY doc_id)
+SELECT pt.doc_id, CAST(pt.page_count AS INTEGER) AS page_count, CAST(4 AS INTEGER) AS n_forms,
+       CAST(coalesce(tt.n_tables, 0) AS INTEGER) AS n_tables, CAST(coalesce(ct.n_cells, 0) AS BIGINT) AS n_cells,
+       CAST(pt.text_chars AS BIGINT) AS text_chars
+FROM pt LEFT JOIN ct ON ct.doc_id = pt.doc_id LEFT JOIN tt ON tt.doc_id = pt.doc_id""")
+def doc_assembly_sync(spark, sf_dir):
+    docs = A.assemble(blocks_of(spark, sf_dir), profile="sync")
+    return docs.select(
+        "doc_id", F.col("pageCount").alias("page_count"), F.size("forms").alias("n_forms"),
+        F.size("tables").alias("n_tables"),
+        F.aggregate("tables", F.lit(0).cast("long"), lambda acc, t: acc + F.size(t["cells"])).alias("n_cells"),
+        F.aggregate("pages", F.lit(0).cast("long"), lambda acc, p: acc + F.length(p["text"])).alias("text_chars"))
+
+
+@register("doc_assembly_legacy", "AGG-8 legacy profile: pages only (page forms/tables not returned)",
+          BASE + """SELECT doc_id, CAST(count(*) AS INTEGER) AS page_count,
+       CAST(sum(length(text)) AS BIGINT) AS text_chars, false AS has_doc_lists
+FROM page_text GROUP BY doc_id""")
+def doc_assembly_legacy(spark, sf_dir):
+    docs = A.assemble(blocks_of(spark, sf_dir), profile="legacy")
+    return docs.select(
+        "doc_id", F.col("pageCount").alias("page_count"),
+        F.aggregate("pages", F.lit(0).cast("long"), lambda acc, p: acc + F.length(p["text"])).alias("text_chars"),
+        (F.col("forms").isNotNull() | F.col("tables").isNotNull()).alias("has_doc_lists"))
