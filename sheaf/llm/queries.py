@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import quality, simhash
-from sheaf.llm.tables import documents, keep
+from sheaf.llm import quality, simhash, toxicity
+from sheaf.llm.tables import documents, keep, part_of
 from sheaf.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keep(simhash.edited(documents(spark, sf_dir)), "fingerprints")
     asked = rows.where("doc_id % 50 = 0").select("doc_id", "fingerprint")
     return rows.join(simhash.near(rows.select("fingerprint"), asked).distinct(), "doc_id", "left")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labels of documents with crc32(doc_id) mod 5 other than 0."""
+    docs = documents(spark, sf_dir)
+    held_out = part_of(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -19,6 +19,8 @@ BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LETTERS = np.ones(256, bool)   # separators that leave runs of letters and non-ASCII characters
+LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -34,7 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_BYTE[_SPACE] = 0
 _POWERS = np.ones(1, np.uint64)
 
 
@@ -59,6 +60,7 @@ class Block:
     starts: np.ndarray    # byte offset of each word
     ends: np.ndarray      # byte offset after each word
     bounds: np.ndarray    # n_rows + 1 word offsets: the words of row i
+    inside: np.ndarray    # whether a byte belongs to a word
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word."""
@@ -70,7 +72,8 @@ class Block:
         at = np.arange(len(data)) - np.maximum.accumulate(at)
         with np.errstate(over="ignore"):
             value = _BYTE[data]
-            at[value == 0] = 0
+            value[~self.inside] = 0
+            at[~self.inside] = 0
             value *= _powers(int(at.max()) + 1)[at]
             total = np.add.reduceat(value, self.starts)
             return mix(total + (self.ends - self.starts).astype(np.uint64))
@@ -96,34 +99,35 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), at.astype(np.int64)
 
 
-def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The rows of a string column, block by block."""
+def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES, separators: np.ndarray = _SPACE) -> Iterator[Block]:
+    """The rows of a string column, block by block; ``separators`` marks the
+    bytes that no word holds."""
     data, offsets = bytes_of(texts)
     n, first = len(offsets) - 1, 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + block_bytes, side="right")) - 1
         last = min(n, max(first + 1, last))
         own = offsets[first:last + 1] - offsets[first]
-        yield _split(first, data[offsets[first]:offsets[last]], own)
+        yield _split(first, data[offsets[first]:offsets[last]], own, separators)
         first = last
 
 
-def block_of(text: bytes) -> Block:
+def block_of(text: bytes, separators: np.ndarray = _SPACE) -> Block:
     """The words of one text."""
-    return _split(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    return _split(0, np.frombuffer(text, np.uint8), np.array([0, len(text)]), separators)
 
 
-def _split(first: int, data: np.ndarray, offsets: np.ndarray) -> Block:
+def _split(first: int, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Block:
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~separators[data]
     begins, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     cuts = offsets[1:-1]                       # a text's end also ends its last word
     at = cuts[(cuts > 0) & (cuts < n)]
     begins[at] = inside[1:-1][at]
     ends[at - 1] = inside[1:-1][at - 1]
     starts = np.flatnonzero(begins)
-    return Block(first, len(offsets) - 1, data, offsets, starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets))
+    return Block(first, len(offsets) - 1, data, offsets, starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets), inside[1:-1])
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
