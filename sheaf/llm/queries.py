@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import quality, simhash, toxicity
+from sheaf.llm import quality, sharding, simhash, toxicity
 from sheaf.llm.tables import documents, keep, part_of
 from sheaf.sources.tables import table
 
@@ -41,6 +41,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(simhash.near(rows.select("fingerprint"), asked).distinct(), "doc_id", "left")
 
 
+@query("op8_minimax_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts into 16 shards of near equal bytes."""
+    return sharding.shard(documents(spark, sf_dir)).select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from labels of documents with crc32(doc_id) mod 5 other than 0."""
