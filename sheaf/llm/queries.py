@@ -8,10 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import quality, sharding, simhash, toxicity
+from sheaf.llm import mixing, packing, quality, sharding, simhash, toxicity
 from sheaf.llm.tables import documents, keep, part_of
 from sheaf.sources.tables import table
 
+
+
+def tokenizers_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -32,6 +39,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(documents(spark, sf_dir), trusted)
 
 
+@query("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 3, 1, 2, repeating; 150 % of all words; at most 2 copies."""
+    return mixing.draw(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens of the 49k word vocabulary."""
+    return packing.pack(packing.pieces(documents(spark, sf_dir), tokenizers_path("word_bpe_49k.json")))
+
+
 @query("op7_fingerprints")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_near: rows within Hamming distance 3, for every doc_id divisible by
