@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import chat, mixing, packing, quality, sharding, simhash, toxicity
+from sheaf.llm import chat, mixing, neardup, packing, quality, sharding, simhash, toxicity
 from sheaf.llm.tables import documents, keep, part_of
 from sheaf.sources.tables import table
 
@@ -39,6 +39,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(documents(spark, sf_dir), trusted)
 
 
+@query("op2_near_duplicates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity of 0.85 or more."""
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 OWN_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 CHAT_SQL = r"""
