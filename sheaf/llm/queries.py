@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import chat, mixing, neardup, packing, quality, sharding, simhash, toxicity
+from sheaf.llm import chat, mixing, neardup, packing, passages, quality, sharding, simhash, toxicity
 from sheaf.llm.tables import documents, keep, part_of
 from sheaf.sources.tables import table
 
@@ -106,3 +106,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = part_of(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_shared_passages")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document shares with one of smaller
+    doc_id, up to one word in five different."""
+    return passages.passages(documents(spark, sf_dir))
