@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import chat, mixing, neardup, packing, passages, quality, sharding, simhash, toxicity
+from sheaf.llm import chat, lm, mixing, neardup, packing, passages, quality, sharding, simhash, toxicity
 from sheaf.llm.tables import documents, keep, part_of
 from sheaf.sources.tables import table
 
@@ -45,6 +45,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+@query("op3_deleted_interpolation")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents with crc32(doc_id) mod 7 other than 2."""
+    held_out = part_of(F.col("doc_id"), 7) == 2
+    scored = lm.score_corpus(documents(spark, sf_dir).select("doc_id", "text", (~held_out).alias("train")))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OWN_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 CHAT_SQL = r"""
