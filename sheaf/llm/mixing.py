@@ -97,11 +97,15 @@ def _step(n: int, seed: int) -> int:
     return a
 
 
-def draw(docs: DataFrame, p: Params = Params(), carry: tuple[str, ...] = ()) -> DataFrame:
+DRAWN = ("size", "source_size", "target", "taken", "copies", "partial", "shards", "order")
+
+
+def draw(docs: DataFrame, p: Params = Params(), carry: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """Per row of ``docs`` (doc_id, source, text and the columns of ``carry``):
     ``size``, ``source_size``, ``target``, ``taken`` words, ``copies`` (whole
     ones), ``partial`` (words of one more, cut or whole, copy) and ``shards``
-    (the output shard of each copy, the partial one last)."""
+    (the output shard of each copy, the partial one last).  ``prefix`` goes
+    before these names, where ``carry`` has one of them."""
     names = {c: f"carried_{i}" for i, c in enumerate(carry)}  # so that no input name clashes with a working name
     rows = keep(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"),
                             *[F.col(c).alias(n) for c, n in names.items()]), "mixing-rows")
@@ -137,18 +141,21 @@ def draw(docs: DataFrame, p: Params = Params(), carry: tuple[str, ...] = ()) ->
         return F.size(F.filter(F.element_at("ends", copy), lambda x: x <= at))
 
     shards = F.when(copies > 0, F.transform(F.sequence(F.lit(1), copies), shard_of)).otherwise(F.array().cast("array<int>"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + partial).alias("taken"),
-                         F.col("copies"), partial.alias("partial"), shards.alias("shards"), F.col("order").alias("mix_order"),
+    found = [F.col("size"), F.col("source_size"), F.col("target"), F.col("copies") * F.col("size") + partial, F.col("copies"), partial, shards, F.col("order")]
+    return placed.select("doc_id", "source", *[c.alias(prefix + n) for c, n in zip(found, DRAWN)],
                          *[F.col(n).alias(c) for c, n in names.items() if c not in ("doc_id", "source")])
 
 
-def write_order(drawn: DataFrame, p: Params = Params()) -> DataFrame:
-    """A row for each copy that the mix takes: the columns of ``drawn`` without
-    ``shards``, with ``copy``, ``words`` (of it), ``shard`` and ``place`` (the
-    order of the rows inside their shard)."""
-    rows = drawn.select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
-    return (rows.withColumn("words", F.when(F.col("copy") < F.col("copies"), F.col("size")).otherwise(F.col("partial")))
-            .withColumn("place", F.xxhash64(F.lit(p.seed), "shard", "copy", "mix_order")))
+def write_order(drawn: DataFrame, p: Params = Params(), prefix: str = "") -> DataFrame:
+    """A row for each copy that the mix takes: the columns of ``drawn`` with
+    ``copy``, ``words`` (of it), ``shard`` and ``place`` (the order of the rows
+    inside their shard)."""
+    def c(name: str) -> Column:
+        return F.col(prefix + name)
+
+    rows = drawn.select("*", F.posexplode(c("shards")).alias(f"{prefix}copy", f"{prefix}shard"))
+    return (rows.withColumn(f"{prefix}words", F.when(c("copy") < c("copies"), c("size")).otherwise(c("partial")))
+            .withColumn(f"{prefix}place", F.xxhash64(F.lit(p.seed), c("shard"), c("copy"), c("order"))))
 
 
 def cut(text: Column, n: Column) -> Column:

@@ -195,19 +195,30 @@ def _largest(row, col, n: int, d: int) -> float:
     return float(size)
 
 
+def _scores(texts: pa.Array, model: Model, p: Params) -> np.ndarray:
+    total = np.zeros(len(texts))
+    for b in words.blocks(texts, separators=words.LETTERS):
+        cells = _cells(b, p)
+        at = np.flatnonzero(model.weights[cells])
+        row = np.searchsorted(b.bounds, at, side="right") - 1
+        once = np.unique(row * p.cells + cells[at])
+        total[b.first:b.first + b.n_rows] = np.bincount(once // p.cells, model.weights[once % p.cells], minlength=b.n_rows)
+    return np.round(model.score(total), 9)
+
+
 def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
     """(doc_id, score) of each row."""
-    weights = model.weights
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = np.zeros(batch.num_rows)
-            for b in words.blocks(batch["text"], separators=words.LETTERS):
-                cells = _cells(b, p)
-                at = np.flatnonzero(weights[cells])
-                row = np.searchsorted(b.bounds, at, side="right") - 1
-                once = np.unique(row * p.cells + cells[at])
-                total[b.first:b.first + b.n_rows] = np.bincount(once // p.cells, weights[once % p.cells], minlength=b.n_rows)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.round(model.score(total), 9))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_scores(batch["text"], model, p))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def reject(docs: DataFrame, model: Model, limit: float = 0.5, p: Params = Params()) -> DataFrame:
+    """The rows of ``docs`` (any columns, with a text) that score below the limit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch["text"], model, p) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
