@@ -175,11 +175,12 @@ def rate(docs: DataFrame, trusted: DataFrame, p: Params = Params()) -> DataFrame
     ``base_failed`` and ``kept``.  ``trusted`` has the doc_ids of target texts;
     repeated and null ids in it count once and not at all.
 
-    The text is read by the count pass and by the score pass; only ids and
-    small counts are shuffled."""
+    The count pass shuffles the texts once, by id, to meet the trusted ids
+    (their number grows with the labels, so they are never broadcast); the
+    score pass reads them without a shuffle."""
     ids = (trusted.select("doc_id").where("doc_id is not null").distinct()
            .withColumn("trusted", part_of(F.col("doc_id"), p.held_out) != p.held_out - 1))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    marked = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     log_ratio = fit(marked, p)
     scored = keep(score(docs, log_ratio, p), "quality")
     limit = threshold(scored.join(ids.where("not trusted"), "doc_id"), p)
