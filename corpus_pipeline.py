@@ -3,7 +3,7 @@ before it kept, written as Parquet and read again in between.
 
 toxicity       rows that the classifier rejects go
 near_dedup     one document of each group of near copies (0.8 or more) stays
-passage_dedup  passages of 50 words or more that an earlier document has are cut
+passage_dedup  passages of 40 words or more that an earlier document has are cut
 mixing         sources at their target weights: rows left out, repeated or cut
 packing        the pieces of all rows in sequences of 4096 tokens
 

@@ -118,6 +118,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_shared_passages")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that a document shares with one of smaller
+    """Passages of 40 words or more that a document shares with one of smaller
     doc_id, up to one word in five different."""
     return passages.passages(documents(spark, sf_dir))
