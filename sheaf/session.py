@@ -33,7 +33,7 @@ def get_spark(app: str = "sheaf", master: str | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-        if master.startswith("local"):
+        if is_local(master):
             # local mode: the driver JVM is the only executor
             builder = builder.config("spark.driver.memory", "12g")
     for k, v in _CONF.items():
@@ -53,12 +53,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and lineage-cutting tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder
-    and is used as is.  Only when it is unset (local tests) a scratch folder
-    is made.
+    and is used as is; unset there, this raises, since a folder of one machine
+    would give partial tables.  Only a local master gets a scratch folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not path:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="sheaf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -66,6 +68,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def is_local(master: str) -> bool:
+    """One JVM on this machine (``local-cluster`` is a cluster)."""
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df, name: str = "table"):
     """Cut lineage: write ``df`` as Parquet under the shared checkpoint
     folder and read it back.  Later stages scan the written table (column
