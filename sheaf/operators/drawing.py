@@ -70,7 +70,7 @@ def right_side(line: Column) -> Column:
     starts at char 6 because -1 + 7 = 6)."""
     pos = F.locate("drawing", F.lower(line))
     start = F.when(pos == 0, F.lit(7)).otherwise(pos + 7)
-    return line.substr(start, F.lit(1 << 30))
+    return line.substr(start, F.length(line))
 
 
 def _line_candidates(line: Column, below: Column, below2: Column) -> Column:

@@ -12,6 +12,7 @@ RETRYABLE_ERRORS = ["ThrottlingException", "ServiceUnavailableException", "Inter
 FALLBACK_ERROR = "PROCESSING_ERROR"
 LEGACY_FALLBACK_ERROR = "UNKNOWN_ERROR"
 JOB_TIMEOUT_SECONDS = 300
+QUANTILES = (0.5, 0.9, 0.99)
 
 
 def error_counts(errors: DataFrame, fallback: str = FALLBACK_ERROR) -> DataFrame:
@@ -29,7 +30,7 @@ def latency_metrics(runs: DataFrame, quantiles: bool = False) -> DataFrame:
             F.max("duration_ms").alias("max_ms"),
             F.avg("duration_ms").alias("avg_ms")]
     if quantiles:
-        aggs += [F.percentile_approx("duration_ms", [0.5, 0.9, 0.99], 10000).alias("p50_p90_p99")]
+        aggs += [F.percentile_approx("duration_ms", list(QUANTILES), 10000).alias("p50_p90_p99")]
     return runs.groupBy("engine", "page_count").agg(*aggs)
 
 
@@ -48,11 +49,13 @@ def retryable(errors: DataFrame) -> DataFrame:
                                | F.coalesce(F.col("retryable_flag"), F.lit(False))).alias("retryable"))
 
 
-def job_outcomes(status_log: DataFrame, timeout_s: int = JOB_TIMEOUT_SECONDS) -> DataFrame:
+def job_outcomes(status_log: DataFrame, timeout_s: int = JOB_TIMEOUT_SECONDS, as_of=None) -> DataFrame:
     """PRJ-6: per job, the first terminal status (SUCCEEDED / FAILED) if it
-    came within the time limit of the job's first event; otherwise
-    ``TIMEOUT_ERROR`` once the limit has passed, else ``IN_PROGRESS``; rows
-    without a job id are one ``MISSING_JOB_ID`` error row.
+    came in less than the time limit after the job's first event; otherwise
+    ``TIMEOUT_ERROR`` once the limit is reached, else ``IN_PROGRESS``; rows
+    without a job id are one ``MISSING_JOB_ID`` error row.  ``as_of`` (a
+    timestamp column or literal) is the time at which silent jobs are judged;
+    without it each job is judged at its own last event.
     ``status_log``: ``(job_id, ts, seq, status, message)``."""
     terminal = F.col("status").isin("SUCCEEDED", "FAILED")
     g = (status_log.groupBy("job_id")
@@ -60,12 +63,13 @@ def job_outcomes(status_log: DataFrame, timeout_s: int = JOB_TIMEOUT_SECONDS) ->
               F.min(F.when(terminal, F.struct("ts", "seq", "status", "message"))).alias("t"),
               F.count(F.lit(1)).cast("long").alias("n_events")))
     elapsed_t = F.unix_micros(F.col("t.ts").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))
-    elapsed_l = (F.unix_micros(F.col("last_seen").cast("timestamp"))
+    seen = F.col("last_seen") if as_of is None else F.greatest("last_seen", F.lit(as_of).cast(status_log.schema["ts"].dataType))
+    elapsed_l = (F.unix_micros(seen.cast("timestamp"))
                  - F.unix_micros(F.col("started").cast("timestamp")))
     limit = F.lit(timeout_s * 1_000_000)
     outcome = (F.when(F.col("job_id").isNull(), F.lit("MISSING_JOB_ID"))
-               .when(F.col("t").isNotNull() & (elapsed_t <= limit), F.col("t.status"))
-               .when(F.col("t").isNotNull() | (elapsed_l > limit), F.lit("TIMEOUT_ERROR"))
+               .when(F.col("t").isNotNull() & (elapsed_t < limit), F.col("t.status"))
+               .when(F.col("t").isNotNull() | (elapsed_l >= limit), F.lit("TIMEOUT_ERROR"))
                .otherwise(F.lit("IN_PROGRESS")))
     return g.select("job_id", "n_events", outcome.alias("outcome"),
                     F.when(outcome == "FAILED", F.col("t.message")).alias("error_message"))

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.sources.files import read_files
+
 # FIXED VALUES: admission limits and markers
 MAX_FILE_BYTES = 10 * 1024 * 1024
 MAX_PAGES = 50
@@ -53,6 +55,19 @@ def triage(files: DataFrame, limits: Limits = Limits(), content: str = "content"
                         encrypted.alias("encrypted"), status.alias("status"))
 
 
+def triage_path(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+    """TRI-1..5 over the files under ``path``: sizes are judged from the file
+    listing, and only files within the size limit are read.  ``(path, size,
+    est_pages, encrypted, status)``; the middle two are NULL where the size
+    alone decided."""
+    files = read_files(spark, path)
+    large = (files.select("path", "length").filter(F.col("length") > limits.max_file_bytes)
+             .select("path", F.col("length").alias("size"), F.lit(None).cast("long").alias("est_pages"),
+                     F.lit(None).cast("boolean").alias("encrypted"), F.lit("SIZE_LIMIT_ERROR").alias("status")))
+    small = triage(files.filter(F.col("length") <= limits.max_file_bytes), limits)
+    return small.select("path", "size", "est_pages", "encrypted", "status").unionByName(large)
+
+
 def pass_quarantine(triaged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """TRI-6: admitted files and quarantined files."""
     return (triaged.filter(F.col("status") == "OK"),

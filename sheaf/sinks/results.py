@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.session import materialize
+from sheaf.sources.blocks import folder_exists
 
-def write_results(docs: DataFrame, path: str, fmt: str = "json") -> None:
-    """SNK-1: one result per document; re-running overwrites exactly the
-    documents it carries (dynamic partition overwrite by ``doc_id``)."""
-    (docs.write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .option("ignoreNullFields", "true")
-     .partitionBy("doc_id")
-     .format(fmt).save(path))
+
+RESULT_FOLDERS = 64
+
+
+def write_results(docs: DataFrame, path: str, folders: int = RESULT_FOLDERS) -> None:
+    """SNK-1: one JSON line per document in ``folders`` folders by a hash of
+    its id.  Re-running replaces exactly the documents it carries: the folders
+    they fall into are read, merged and overwritten, the others stay."""
+    spark = docs.sparkSession
+    new = materialize(docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(folders)).cast("int")), "results-new")
+    parts = sorted(r["part"] for r in new.select("part").distinct().collect())  # at most `folders`
+    here = [f"{path}/part={p}" for p in parts if folder_exists(spark, f"{path}/part={p}")]
+    merged = new
+    if here:
+        old = spark.read.schema(new.schema).option("basePath", path).json(here)
+        merged = materialize(old.join(new.select("doc_id"), "doc_id", "left_anti").select(*new.columns)
+                             .unionByName(new), "results-merged")
+    (merged.repartition("part").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "true")
+     .partitionBy("part").json(path))
+
+
+def read_results(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Results as written; ``part`` is left out."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.json(path).drop("part")
 
 
 def render_json(docs: DataFrame, pretty: bool = True) -> DataFrame:
@@ -33,6 +53,13 @@ def kb_text(bytes_col, places: int = 1):
     return F.concat(F.round(kb, places).cast(f"decimal(30,{places})").cast("string"), F.lit("KB"))
 
 
+def mb_text(bytes_col, places: int = 1):
+    """TXT-26: byte count as ``<n>MB`` with ``places`` decimals."""
+    from decimal import Decimal
+    mb = bytes_col.cast("decimal(20,0)") * F.lit(Decimal("0.00000095367431640625"))
+    return F.concat(F.round(mb, places).cast(f"decimal(30,{places})").cast("string"), F.lit("MB"))
+
+
 def stats_report(totals: DataFrame, ocr: DataFrame, shapes: DataFrame, pages: DataFrame,
                  cost: DataFrame) -> DataFrame:
     """SNK-3: one nested statistics report per document: document info,

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """``(path, modificationTime, length, content)``; missing size is 0."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-            .option("recursiveFileLookup", "true").load(path)
-            .withColumn("length", F.coalesce("length", F.lit(0)).cast("long")))
+def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``(path, modificationTime, length, content)`` of every file under
+    ``path``, whatever its name: triage judges a file by its bytes.  The
+    source always knows ``length``, and a filter on it is pushed down, so the
+    bytes of files it refuses are not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(path)
 
 
 # D4: file bytes per part (shared SQL text; same in DuckDB for the oracle)

@@ -72,6 +72,37 @@ def test_job_outcomes_missing_id_and_timeout(spark):
                    None: ("MISSING_JOB_ID", None)}
 
 
+def test_job_limit_is_exclusive_and_as_of_judges_silent_jobs(spark):
+    import datetime as dt
+    from sheaf.operators import metrics as M
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0, 1, "IN_PROGRESS", "m"), (1, t0 + dt.timedelta(seconds=300), 2, "SUCCEEDED", "m"),
+            (2, t0, 3, "IN_PROGRESS", "m"), (2, t0 + dt.timedelta(seconds=299), 4, "SUCCEEDED", "m"), (3, t0, 5, "IN_PROGRESS", "m")]
+    log = spark.createDataFrame(rows, "job_id long, ts timestamp, seq long, status string, message string")
+    assert {r.job_id: r.outcome for r in M.job_outcomes(log, 300).collect()} == {1: "TIMEOUT_ERROR", 2: "SUCCEEDED", 3: "IN_PROGRESS"}
+    later = {r.job_id: r.outcome for r in M.job_outcomes(log, 300, as_of=t0 + dt.timedelta(seconds=300)).collect()}
+    assert later == {1: "TIMEOUT_ERROR", 2: "SUCCEEDED", 3: "TIMEOUT_ERROR"}
+
+
+def test_files_are_judged_by_their_bytes_and_sizes_first(spark):
+    import os
+    import tempfile
+    d = tempfile.mkdtemp(prefix="sheaf-files-")
+    for name, raw in (("a.pdf", b"%PDF-1.4 /Type /Page "), ("b.PDF", b"%PDF x"), ("c", b"%PDF y"), ("d.txt", b"hello"), ("big.pdf", b"%PDF" + b"z" * 200)):
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(raw)
+    got = {os.path.basename(r.path): r.status for r in TR.triage_path(spark, d, TR.Limits(max_file_bytes=100)).collect()}
+    assert got == {"a.pdf": "OK", "b.PDF": "OK", "c": "OK", "d.txt": "FILE_ERROR", "big.pdf": "SIZE_LIMIT_ERROR"}
+    plan = TR.read_files(spark, d).filter("length <= 100")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,100)" in plan
+
+
+def test_mb_text(spark):
+    from sheaf.sinks.results import mb_text
+    df = spark.createDataFrame([(0,), (1048576,), (1572864,), (10 * 1024 * 1024 + 1,)], "b long").select(mb_text(TR.F.col("b"), 2).alias("t"))
+    assert [r.t for r in df.collect()] == ["0.00MB", "1.00MB", "1.50MB", "10.00MB"]
+
+
 def test_read_logs_from_files(spark):
     import json
     import os
