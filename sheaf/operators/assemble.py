@@ -329,23 +329,29 @@ def _doc_tables(blocks: DataFrame, profile: str) -> DataFrame:
 
 def assemble(blocks: DataFrame, files: DataFrame | None = None, profile: str = "current",
              engine: str = "textract-analyze", run_ts: str = "1970-01-01T00:00:00.000Z",
-             version: str = "1.0.0", region: str = "us-east-1") -> DataFrame:
-    """AGG-8: one nested result per document.
+             version: str = "1.0.0", region: str = "us-east-1",
+             documents: DataFrame | None = None) -> DataFrame:
+    """AGG-8: one nested result per document: per ``doc_id`` of ``documents``
+    where given (a response without blocks has a result too), else per
+    ``doc_id`` that has blocks.
 
     ``files`` (optional): ``(doc_id, input_file, file_size, processing_ms)``.
     The group per document is bounded: admitted files have at most the page
     limit of pages (TRI-4) and the size limit of bytes (TRI-1).
     """
     pg = pages(blocks, profile)
+    every = documents if documents is not None else blocks
+    every = every.select("doc_id").distinct()
     if profile == "legacy":
         # legacy computes page forms/tables but does not return them
         page_rows = pg.select("doc_id", "page_number", F.struct(
             F.col("page_number").alias("pageNumber"), "text", "confidence",
             F.col("block_count").alias("blockCount")).alias("p"))
-        return _envelope(page_rows.groupBy("doc_id").agg(
-            _ordered("pages", "page_number", F.col("p")).alias("pages"))
-            .withColumn("forms", F.lit(None)).withColumn("tables", F.lit(None)),
-            files, engine, run_ts, version, region)
+        doc = (every.join(page_rows.groupBy("doc_id").agg(
+            _ordered("pages", "page_number", F.col("p")).alias("pages")), "doc_id", "left")
+            .withColumn("pages", F.coalesce("pages", F.array()))
+            .withColumn("forms", F.lit(None)).withColumn("tables", F.lit(None)))
+        return _envelope(doc, files, engine, run_ts, version, region)
     pforms = (forms(blocks, "page", profile).groupBy("doc_id", "page")
               .agg(_ordered("forms", "form_no", F.struct("key", "value")).alias("forms")))
     ptables = (_page_tables(blocks, profile).groupBy("doc_id", "page")
@@ -361,7 +367,7 @@ def assemble(blocks: DataFrame, files: DataFrame | None = None, profile: str = "
     doc_pages = (page_rows.groupBy("doc_id")
                  .agg(_ordered("pages", "page_number", F.col("p")).alias("pages")))
     # every document gets a result, also one without PAGE blocks
-    doc_pages = (blocks.select("doc_id").distinct().join(doc_pages, "doc_id", "left")
+    doc_pages = (every.join(doc_pages, "doc_id", "left")
                  .withColumn("pages", F.coalesce("pages", F.array())))
     if profile == "current":
         dforms = (forms(blocks, "document", profile).groupBy("doc_id")

@@ -1,13 +1,14 @@
 """E1 as one batch job: object events -> stored responses -> results.
 
-``run_batch`` is the Spark counterpart of the reference's event handler:
+``run_batch`` is the Spark counterpart of an event handler:
 records are decoded (SRC-1/2), each record names a document whose stored
-analysis responses live under ``responses_path/doc_id=<id>/`` with
-``doc_id = xxhash64(bucket, key)``.  Complete documents are assembled with
-the record's key and size in the envelope (PRJ-5) and written with an
-idempotent per-document overwrite (SNK-1); the manifest says where each
-result belongs (SNK-2) and why a record produced none.  A bad record is a
-status row, not an aborted batch.
+analysis responses have the id ``document_id(bucket, key)``.  Documents whose
+responses are all there are assembled with the record's key and size in the
+envelope (PRJ-5) and written idempotently (SNK-1); the manifest says where
+each result belongs (SNK-2) and why a record produced none: a damaged,
+failed or unfinished response never counts as processed, and a response
+without blocks gives a result with 0 pages.  Of records that repeat a key
+the last one gives the envelope.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from pyspark.sql import functions as F
 
 from sheaf.operators.assemble import assemble
 from sheaf.sinks.results import write_results
-from sheaf.sources.blocks import (blocks_from_responses, complete_documents, job_status,
-                                  responses_schema)
+from sheaf.session import materialize
+from sheaf.sources.blocks import blocks_from_responses, read_responses, response_status
 from sheaf.sources.events import event_records, result_location
 
 
 def document_id(bucket, key):
-    """Stable 64-bit document id of an object."""
-    return F.xxhash64(bucket, key)
+    """Identity of an object: SHA-256 of its bucket and key, as text."""
+    return F.sha2(F.concat(bucket, F.lit("/"), key), 256)
 
 
 def run_batch(spark: SparkSession, events: DataFrame, responses_path: str, out_path: str,
@@ -34,23 +35,22 @@ def run_batch(spark: SparkSession, events: DataFrame, responses_path: str, out_p
     output_key, status)``; results are written under ``out_path``."""
     recs = (result_location(event_records(events), output_bucket)
             .withColumn("doc_id", document_id(F.col("bucket"), F.col("key"))))
-    wanted = recs.filter(F.col("status") == "OK").select("doc_id").distinct()
-    chunks = (spark.read.schema(responses_schema()).json(responses_path)
-              .join(wanted, "doc_id", "left_semi"))
-    ready = complete_documents(chunks)
-    states = job_status(chunks)
+    ok = recs.filter(F.col("status") == "OK")
+    chunks = (read_responses(spark, responses_path, "string")
+              .join(ok.select("doc_id").distinct(), "doc_id", "left_semi"))
+    # decided once: results and manifest follow the same reading of the folder
+    states = materialize(response_status(chunks), "response-status")
+    ready = states.filter(F.col("status") == "READY").select("doc_id")
     blocks = blocks_from_responses(chunks.join(ready, "doc_id", "left_semi"))
-    files = (recs.filter(F.col("status") == "OK")
-             .select("doc_id", F.col("key").alias("input_file"), F.col("size").alias("file_size"),
-                     F.lit(0).cast("long").alias("processing_ms"))
-             .dropDuplicates(["doc_id"]))
-    docs = assemble(blocks, files=files, profile=profile, run_ts=run_ts)
+    files = (ok.groupBy("doc_id")
+             .agg(F.max_by(F.struct(F.col("key").alias("input_file"), F.col("size").alias("file_size")),
+                           F.struct("event_no", "record_no")).alias("f"))
+             .select("doc_id", "f.input_file", "f.file_size", F.lit(0).cast("long").alias("processing_ms")))
+    docs = assemble(blocks, files=files, profile=profile, run_ts=run_ts, documents=ready)
     write_results(docs, out_path)
-    done = ready.withColumn("assembled", F.lit(True))
-    return (recs.join(done, "doc_id", "left").join(states, "doc_id", "left")
+    return (recs.join(states.withColumnRenamed("status", "response"), "doc_id", "left")
             .select("doc_id", "bucket", "raw_key", "key", "output_bucket", "output_key",
                     F.when(F.col("status") != "OK", F.col("status"))
-                    .when(F.col("assembled"), F.lit("PROCESSED"))
-                    .when(F.col("job_status") == "FAILED", F.lit("OCR_ENGINE_ERROR"))
-                    .when(F.col("n_chunks").isNull(), F.lit("NO_RESPONSE"))
-                    .otherwise(F.lit("INCOMPLETE")).alias("status")))
+                    .when(F.col("response").isNull(), F.lit("NO_RESPONSE"))
+                    .when(F.col("response") == "READY", F.lit("PROCESSED"))
+                    .otherwise(F.col("response")).alias("status")))

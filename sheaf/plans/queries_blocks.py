@@ -10,28 +10,18 @@ from sheaf.functions.numbers import round6
 from sheaf.operators import assemble as A
 from sheaf.plans.registry import register
 from sheaf.session import materialize
-from sheaf.sources.derived import order_blocks
+from sheaf.sources.blocks import blocks_from_responses, parse_responses
+from sheaf.sources.blocks import response_status as response_states
+from sheaf.sources.derived import order_blocks, order_responses
 from sheaf.sources.tables import table
 
 
-_LANDED: dict[tuple[str, str], str] = {}
-
-
 def blocks_of(spark, sf_dir):
-    """Derived block table, landed once per session and input folder as
-    Parquet in the shared checkpoint folder; every branch of an assembly
-    plan (and every later query) scans it instead of re-deriving it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    path = _LANDED.get(key)
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - folder gone: land it again
-            _LANDED.pop(key, None)
-    df = materialize(order_blocks(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")),
-                     "order-blocks")
-    _LANDED[key] = df.inputFiles()[0].rsplit("/", 1)[0]
-    return df
+    """Derived block table, landed as Parquet in the shared checkpoint folder
+    for this query: every branch of an assembly plan scans it instead of
+    deriving it again."""
+    return materialize(order_blocks(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")),
+                       "order-blocks")
 
 
 # base-table route to the same answers
@@ -50,7 +40,7 @@ docs AS (
          CAST(coalesce(m.npages, 1) AS INTEGER) AS npages
   FROM orders o LEFT JOIN (SELECT doc_id, max(page) AS npages FROM li GROUP BY doc_id) m
     ON o.o_orderkey = m.doc_id),
-pg AS (SELECT doc_id, unnest(range(1, npages + 1)) AS page FROM docs),
+pg AS (SELECT doc_id, unnest(range(1, npages + 1 + CAST(doc_id % 5 = 0 AS INTEGER))) AS page FROM docs),
 tbl AS (
   SELECT doc_id, page, dense_rank() OVER (PARTITION BY doc_id ORDER BY page) AS table_no
   FROM (SELECT DISTINCT doc_id, page FROM li)),
@@ -115,7 +105,6 @@ ocr AS (
          coalesce(avg(conf) FILTER (WHERE conf <> 0), 0) / 100 AS confidence,
          count(*) FILTER (WHERE conf <> 0) AS word_count
   FROM words WHERE length(text) > 0 GROUP BY doc_id, page),
-ocr_kept AS (SELECT * FROM ocr WHERE (doc_id + page_number) % 5 <> 0),
 shapes AS (
   SELECT doc_id, CAST(page AS BIGINT) AS page_number, (doc_id + page) % 3 <> 0 AS enabled,
          CAST((doc_id * 7 + page) % 5 AS INTEGER) AS shape_count,
@@ -129,6 +118,37 @@ totals AS (
 """
 
 
+@register("response_status", "SRC-4/5, STR-1: READY only for documents whose responses are all there and sound", """
+WITH n AS (SELECT o_orderkey AS doc_id, CAST(floor((coalesce(max(l_linenumber), 1) - 1) / 4) + 1 AS BIGINT) AS n
+           FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
+s AS (SELECT doc_id, doc_id % 17 AS k, CASE doc_id % 17 WHEN 9 THEN n - 1 WHEN 10 THEN n + 1 ELSE n END AS n_chunks FROM n)
+SELECT doc_id,
+       CASE WHEN k = 1 THEN 'OCR_ENGINE_ERROR' WHEN k IN (3, 6, 7, 8) THEN 'CORRUPT_RESPONSE'
+            WHEN k IN (2, 4, 9, 10) THEN 'INCOMPLETE' ELSE 'READY' END AS status,
+       CASE WHEN k = 1 THEN 'job ' || CAST(doc_id AS VARCHAR) || ' failed' END AS status_message,
+       n_chunks
+FROM s WHERE n_chunks > 0""")
+def response_status(spark, sf_dir):
+    rows = order_responses(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+    return response_states(parse_responses(rows))
+
+
+@register("response_blocks", "SRC-4/5: blocks of READY documents in chunk order; an empty block list is a document of 0 blocks", """
+WITH n AS (SELECT o_orderkey AS doc_id, CAST(floor((coalesce(max(l_linenumber), 1) - 1) / 4) + 1 AS BIGINT) AS n
+           FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT doc_id, CAST(CASE WHEN doc_id % 17 = 5 THEN 0 ELSE n END AS BIGINT) AS n_blocks,
+       coalesce((SELECT string_agg('L' || CAST(x AS VARCHAR), ' ' ORDER BY x) FROM (SELECT unnest(range(0, n)) AS x) WHERE doc_id % 17 <> 5), '') AS ids
+FROM n WHERE doc_id % 17 NOT IN (1, 2, 3, 4, 6, 7, 8, 9, 10)""")
+def response_blocks(spark, sf_dir):
+    chunks = parse_responses(order_responses(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")))
+    ready = response_states(chunks).filter("status = 'READY'").select("doc_id")
+    got = (blocks_from_responses(chunks.join(ready, "doc_id", "left_semi")).groupBy("doc_id")
+           .agg(F.array_sort(F.collect_list(F.struct("block_ord", "id"))).alias("b")))
+    return (ready.join(got, "doc_id", "left")
+            .select("doc_id", F.coalesce(F.size("b"), F.lit(0)).cast("long").alias("n_blocks"),
+                    F.coalesce(F.array_join(F.transform("b", lambda x: x["id"]), " "), F.lit("")).alias("ids")))
+
+
 @register("page_text", "AGG-1..3, WIN-1, PRJ-3, JN-7, LIM-4 (current profile)",
           BASE + "SELECT * FROM page_text")
 def page_text(spark, sf_dir):
@@ -167,33 +187,69 @@ def doc_table_grid(spark, sf_dir):
     return A.table_grid(A.table_cells(blocks_of(spark, sf_dir), "document"), "document")
 
 
-@register("doc_assembly", "AGG-8, PRJ-4/5 nested documents, summarised flat",
-          BASE + """,
-pt AS (SELECT doc_id, count(*) AS page_count, sum(length(text)) AS text_chars,
-              sum(n_forms) AS page_forms, sum(n_tables) AS page_tables FROM page_text GROUP BY doc_id),
-ct AS (SELECT doc_id, count(*) AS n_cells FROM cells GROUP BY doc_id)
-SELECT pt.doc_id, CAST(pt.page_count AS INTEGER) AS page_count, CAST(4 AS INTEGER) AS n_forms,
-       CAST(coalesce(tt.n_tables, 0) AS INTEGER) AS n_tables,
-       CAST(coalesce(ct.n_cells, 0) AS BIGINT) AS n_cells,
-       CAST(pt.text_chars AS BIGINT) AS text_chars,
-       CAST(pt.page_forms AS BIGINT) AS page_forms, CAST(pt.page_tables AS BIGINT) AS page_tables
-FROM pt LEFT JOIN ct ON ct.doc_id = pt.doc_id
-LEFT JOIN (SELECT doc_id, count(*) AS n_tables FROM tbl GROUP BY doc_id) tt ON tt.doc_id = pt.doc_id""")
-def doc_assembly(spark, sf_dir):
-    docs = A.assemble(blocks_of(spark, sf_dir))
+# the whole content of nested documents as flat text, in list order
+CONTENT = """,
+ct AS (SELECT doc_id, table_no, page, count(*) AS n_cells,
+              string_agg(text || '@' || CAST(row_index AS VARCHAR) || ',' || CAST(column_index AS VARCHAR), ';' ORDER BY cell_no) AS c
+       FROM cells GROUP BY doc_id, table_no, page),
+gr AS (SELECT doc_id, table_no, row_no, string_agg(text, '|' ORDER BY col_no) AS r FROM grid GROUP BY doc_id, table_no, row_no),
+gt AS (SELECT doc_id, table_no, string_agg(r, '/' ORDER BY row_no) AS g FROM gr GROUP BY doc_id, table_no),
+one_table AS (SELECT ct.doc_id, ct.table_no, ct.page, ct.n_cells, ct.c || '#' || gt.g AS t
+              FROM ct JOIN gt ON gt.doc_id = ct.doc_id AND gt.table_no = ct.table_no),
+all_tables AS (SELECT doc_id, count(*) AS n_tables, sum(n_cells) AS n_cells, string_agg(t, chr(10) ORDER BY table_no) AS tables
+               FROM one_table GROUP BY doc_id),
+page_form_list AS (SELECT doc_id, string_agg(key || '=' || value, chr(10) ORDER BY form_no) AS f FROM forms_page GROUP BY doc_id),
+doc_form_list AS (SELECT doc_id, string_agg(key || '=' || value, chr(10) ORDER BY form_no) AS f FROM forms_doc GROUP BY doc_id),
+page_rows AS (
+  SELECT p.doc_id, p.page_number, p.text, p.block_count, d.npages,
+         CASE WHEN p.page_number = 1 THEN f.f ELSE 'none' END AS forms, coalesce(t.t, 'none') AS tables
+  FROM page_text p JOIN docs d ON d.doc_id = p.doc_id JOIN page_form_list f ON f.doc_id = p.doc_id
+  LEFT JOIN one_table t ON t.doc_id = p.doc_id AND t.page = p.page_number)
+"""
+ENVELOPE = """'textract-analyze' AS engine, CAST(d.doc_id AS VARCHAR) AS input_file, CAST(0 AS BIGINT) AS file_size,
+       CAST(0 AS BIGINT) AS processing_ms, '1970-01-01T00:00:00.000Z 1.0.0 us-east-1' AS run"""
+
+
+def content_sql(blocks: str, forms: str) -> str:
+    return BASE + CONTENT + f""", pp AS (
+  SELECT doc_id, count(*) AS page_count,
+         string_agg(CAST(page_number AS VARCHAR) || '~' || text || '~' || CAST({blocks} AS VARCHAR) || '~' || forms || '~' || tables,
+                    chr(10) || chr(10) ORDER BY page_number) AS pages
+  FROM page_rows GROUP BY doc_id)
+SELECT d.doc_id, {ENVELOPE}, CAST(pp.page_count AS INTEGER) AS page_count, CAST(coalesce(t.n_tables, 0) AS INTEGER) AS n_tables,
+       CAST(coalesce(t.n_cells, 0) AS BIGINT) AS n_cells, pp.pages, f.f AS forms, coalesce(t.tables, '') AS tables
+FROM docs d JOIN pp ON pp.doc_id = d.doc_id JOIN {forms} f ON f.doc_id = d.doc_id LEFT JOIN all_tables t ON t.doc_id = d.doc_id"""
+
+
+def _form_text(forms):
+    return F.array_join(F.transform(forms, lambda f: F.concat(f["key"], F.lit("="), f["value"])), "\n")
+
+
+def _table_text(tables):
+    cell = lambda c: F.concat(c["text"], F.lit("@"), c["rowIndex"].cast("string"), F.lit(","), c["columnIndex"].cast("string"))
+    one = lambda t: F.concat(F.array_join(F.transform(t["cells"], cell), ";"), F.lit("#"),
+                             F.array_join(F.transform(t["rows"], lambda r: F.array_join(r, "|")), "/"))
+    return F.array_join(F.transform(tables, one), "\n")
+
+
+def flat_content(docs):
+    """Envelope, pages, forms and tables of nested documents as text columns;
+    an absent page list (PRJ-4) reads ``none``."""
+    page = lambda p: F.concat_ws("~", p["pageNumber"].cast("string"), p["text"], p["blockCount"].cast("string"),
+                                 F.coalesce(_form_text(p["forms"]), F.lit("none")), F.coalesce(_table_text(p["tables"]), F.lit("none")))
     return docs.select(
-        "doc_id",
-        F.col("pageCount").alias("page_count"),
-        F.size("forms").alias("n_forms"),
-        F.size("tables").alias("n_tables"),
-        F.aggregate("tables", F.lit(0).cast("long"),
-                    lambda acc, t: acc + F.size(t["cells"])).alias("n_cells"),
-        F.aggregate("pages", F.lit(0).cast("long"),
-                    lambda acc, p: acc + F.length(p["text"])).alias("text_chars"),
-        F.aggregate("pages", F.lit(0).cast("long"),
-                    lambda acc, p: acc + F.coalesce(F.size(p["forms"]), F.lit(0))).alias("page_forms"),
-        F.aggregate("pages", F.lit(0).cast("long"),
-                    lambda acc, p: acc + F.coalesce(F.size(p["tables"]), F.lit(0))).alias("page_tables"))
+        "doc_id", "engine", F.col("inputFile").alias("input_file"), F.col("fileSize").alias("file_size"),
+        F.col("processingTimeMs").alias("processing_ms"),
+        F.concat_ws(" ", "metadata.timestamp", "metadata.version", "metadata.region").alias("run"),
+        F.col("pageCount").alias("page_count"), F.size("tables").alias("n_tables"),
+        F.aggregate("tables", F.lit(0).cast("long"), lambda acc, t: acc + F.size(t["cells"])).alias("n_cells"),
+        F.array_join(F.transform("pages", page), "\n\n").alias("pages"),
+        _form_text(F.col("forms")).alias("forms"), _table_text(F.col("tables")).alias("tables"))
+
+
+@register("doc_assembly", "AGG-8, PRJ-4/5 nested documents: envelope and whole content", content_sql("block_count", "doc_form_list"))
+def doc_assembly(spark, sf_dir):
+    return flat_content(A.assemble(blocks_of(spark, sf_dir)))
 
 
 @register("page_text_sync", "sync profile: one response per page, block_count = all blocks",
@@ -267,31 +323,24 @@ def doc_forms_sync(spark, sf_dir):
     return pf.select("doc_id", F.row_number().over(w).cast("long").alias("form_no"), "key", "value")
 
 
-@register("doc_assembly_sync", "AGG-8 sync profile: document lists are page lists concatenated",
-          BASE + """,
-pt AS (SELECT doc_id, count(*) AS page_count, sum(length(text)) AS text_chars FROM page_text GROUP BY doc_id),
-ct AS (SELECT doc_id, count(*) AS n_cells FROM cells GROUP BY doc_id),
-tt AS (SELECT doc_id, count(*) AS n_tables FROM tbl GROUP BY doc_id)
-SELECT pt.doc_id, CAST(pt.page_count AS INTEGER) AS page_count, CAST(4 AS INTEGER) AS n_forms,
-       CAST(coalesce(tt.n_tables, 0) AS INTEGER) AS n_tables, CAST(coalesce(ct.n_cells, 0) AS BIGINT) AS n_cells,
-       CAST(pt.text_chars AS BIGINT) AS text_chars
-FROM pt LEFT JOIN ct ON ct.doc_id = pt.doc_id LEFT JOIN tt ON tt.doc_id = pt.doc_id""")
+SYNC_BLOCKS = """(1 + 7 * block_count + CASE WHEN block_count > 0 THEN 1 ELSE 0 END
+            + CASE WHEN page_number = 1 THEN 12 ELSE 0 END + CASE WHEN page_number = npages THEN 2 ELSE 0 END)"""
+
+
+@register("doc_assembly_sync", "AGG-8 sync profile: document lists are page lists concatenated; whole content",
+          content_sql(SYNC_BLOCKS, "page_form_list"))
 def doc_assembly_sync(spark, sf_dir):
-    docs = A.assemble(blocks_of(spark, sf_dir), profile="sync")
-    return docs.select(
-        "doc_id", F.col("pageCount").alias("page_count"), F.size("forms").alias("n_forms"),
-        F.size("tables").alias("n_tables"),
-        F.aggregate("tables", F.lit(0).cast("long"), lambda acc, t: acc + F.size(t["cells"])).alias("n_cells"),
-        F.aggregate("pages", F.lit(0).cast("long"), lambda acc, p: acc + F.length(p["text"])).alias("text_chars"))
+    return flat_content(A.assemble(blocks_of(spark, sf_dir), profile="sync"))
 
 
-@register("doc_assembly_legacy", "AGG-8 legacy profile: pages only (page forms/tables not returned)",
-          BASE + """SELECT doc_id, CAST(count(*) AS INTEGER) AS page_count,
-       CAST(sum(length(text)) AS BIGINT) AS text_chars, false AS has_doc_lists
-FROM page_text GROUP BY doc_id""")
+@register("doc_assembly_legacy", "AGG-8 legacy profile: pages only (page forms/tables not returned); whole content",
+          BASE + f"""SELECT p.doc_id, CAST(count(*) AS INTEGER) AS page_count, false AS has_doc_lists,
+       string_agg(CAST(page_number AS VARCHAR) || '~' || text || '~' || CAST({SYNC_BLOCKS} AS VARCHAR),
+                  chr(10) || chr(10) ORDER BY page_number) AS pages
+FROM page_text p JOIN docs d ON d.doc_id = p.doc_id GROUP BY p.doc_id""")
 def doc_assembly_legacy(spark, sf_dir):
     docs = A.assemble(blocks_of(spark, sf_dir), profile="legacy")
-    return docs.select(
-        "doc_id", F.col("pageCount").alias("page_count"),
-        F.aggregate("pages", F.lit(0).cast("long"), lambda acc, p: acc + F.length(p["text"])).alias("text_chars"),
-        (F.col("forms").isNotNull() | F.col("tables").isNotNull()).alias("has_doc_lists"))
+    page = lambda p: F.concat_ws("~", p["pageNumber"].cast("string"), p["text"], p["blockCount"].cast("string"))
+    return docs.select("doc_id", F.col("pageCount").alias("page_count"),
+                       (F.col("forms").isNotNull() | F.col("tables").isNotNull()).alias("has_doc_lists"),
+                       F.array_join(F.transform("pages", page), "\n\n").alias("pages"))

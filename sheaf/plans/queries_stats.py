@@ -14,7 +14,7 @@ from sheaf.plans.queries_blocks import BASE, blocks_of
 from sheaf.plans.registry import register
 from sheaf.sinks import results as SR
 from sheaf.sinks.results import kb_text
-from sheaf.sources.derived import ocr_kept, page_shapes
+from sheaf.sources.derived import page_shapes
 from sheaf.sources.files import file_text, part_files
 from sheaf.sources.tables import table
 
@@ -33,9 +33,9 @@ def page_word_stats(spark, sf_dir):
           BASE + f"""SELECT doc_id, CAST(sum(word_count) AS BIGINT) AS total_words,
        CAST(sum(length(text)) AS BIGINT) AS total_characters,
        {round6_sql('coalesce(avg(confidence) FILTER (WHERE confidence > 0), 0)')} AS average_confidence
-FROM ocr_kept GROUP BY doc_id""")
+FROM ocr GROUP BY doc_id""")
 def ocr_totals(spark, sf_dir):
-    return (S.ocr_totals(ocr_kept(_ocr(blocks_of(spark, sf_dir))))
+    return (S.ocr_totals(_ocr(blocks_of(spark, sf_dir)))
             .withColumn("average_confidence", round6("average_confidence")))
 
 
@@ -58,11 +58,11 @@ def shape_totals(spark, sf_dir):
        CAST(coalesce(o.word_count, 0) AS BIGINT) AS word_count,
        {round6_sql('coalesce(o.confidence, 0)')} AS confidence,
        s.enabled, s.shape_count, s.dominant_shape
-FROM shapes s LEFT JOIN ocr_kept o ON o.doc_id = s.doc_id AND o.page_number = s.page_number""")
+FROM shapes s LEFT JOIN ocr o ON o.doc_id = s.doc_id AND o.page_number = s.page_number""")
 def page_report(spark, sf_dir):
     b = blocks_of(spark, sf_dir)
     pl = A.page_list(b)
-    return (S.page_report(pl, ocr_kept(_ocr(b)), page_shapes(pl))
+    return (S.page_report(pl, _ocr(b), page_shapes(pl))
             .withColumn("confidence", round6("confidence")))
 
 
@@ -133,14 +133,49 @@ def file_sizes(spark, sf_dir):
     return f.select("doc_id", kb_text(F.col("length")).alias("size_kb"))
 
 
-@register("stats_report", "SNK-3 nested statistics report per document, rendered as JSON (TXT-27)")
+REPORT = ("document_info struct<total_pages:long,ocr_text_characters:long,detected_tables:long,detected_forms:long>, "
+          "statistics struct<ocr:struct<total_words:long,total_characters:long,average_confidence:double>,"
+          "shapes:struct<enabled_pages:long,total_shapes_found:long,dominant_shapes:array<string>>>, "
+          "estimated_cost struct<text_usd:string,image_usd:string,total_usd:string,total_jpy:string>, "
+          "pages array<struct<page_number:long,ocr_results:struct<text:string,word_count:long,confidence:double>,"
+          "shapes:struct<enabled:boolean,shape_count:int,dominant_shape:string>>>")
+
+
+@register("stats_report", "SNK-3 nested statistics report per document, rendered as JSON (TXT-27) and read back", BASE + f""",
+cost AS (
+  SELECT doc_id, CAST(pages AS DECIMAL(20,0)) * 0.0015 AS t, CAST(pages AS DECIMAL(20,0)) * 0.001 AS i FROM totals WHERE doc_id IS NOT NULL),
+o AS (SELECT doc_id, sum(word_count) AS w, sum(length(text)) AS c, coalesce(avg(confidence) FILTER (WHERE confidence > 0), 0) AS f
+      FROM ocr GROUP BY doc_id),
+sh AS (SELECT doc_id, count(*) FILTER (WHERE enabled) AS e, sum(shape_count) AS n,
+              coalesce(string_agg(dominant_shape, ',' ORDER BY page_number) FILTER (WHERE dominant_shape <> 'unknown'), '') AS d
+       FROM shapes GROUP BY doc_id),
+p AS (SELECT s.doc_id, string_agg(CAST(s.page_number AS VARCHAR) || '|' || coalesce(o.text, '[Not processed in this test]') || '|'
+             || CAST(coalesce(o.word_count, 0) AS VARCHAR) || '|' || CASE WHEN s.enabled THEN 'true' ELSE 'false' END || '|'
+             || CAST(s.shape_count AS VARCHAR) || '|' || coalesce(s.dominant_shape, ''), chr(10) ORDER BY s.page_number) AS page_list
+      FROM shapes s LEFT JOIN ocr o ON o.doc_id = s.doc_id AND o.page_number = s.page_number GROUP BY s.doc_id)
+SELECT totals.doc_id, CAST(pages AS BIGINT) AS total_pages, CAST(text_chars AS BIGINT) AS ocr_text_characters,
+       CAST(tables AS BIGINT) AS detected_tables, CAST(forms AS BIGINT) AS detected_forms,
+       CAST(o.w AS BIGINT) AS total_words, CAST(o.c AS BIGINT) AS total_characters, {round6_sql('o.f')} AS average_confidence,
+       sh.e AS enabled_pages, CAST(sh.n AS BIGINT) AS total_shapes_found, sh.d AS dominant_shapes,
+       CAST(CAST(round(t, 4) AS DECIMAL(24,4)) AS VARCHAR) AS text_usd, CAST(CAST(round(i, 4) AS DECIMAL(24,4)) AS VARCHAR) AS image_usd,
+       CAST(CAST(round(t + i, 4) AS DECIMAL(24,4)) AS VARCHAR) AS total_usd,
+       CAST(CAST(round(round(t + i, 4) * 150, 2) AS DECIMAL(24,2)) AS VARCHAR) AS total_jpy, p.page_list
+FROM totals JOIN cost ON cost.doc_id = totals.doc_id LEFT JOIN o ON o.doc_id = totals.doc_id
+LEFT JOIN sh ON sh.doc_id = totals.doc_id LEFT JOIN p ON p.doc_id = totals.doc_id""")
 def stats_report(spark, sf_dir):
     b = blocks_of(spark, sf_dir)
     pl = A.page_list(b)
-    pg = A.pages(b)
-    totals = S.doc_totals(pg)
-    ocr = ocr_kept(_ocr(b))
+    totals = S.doc_totals(A.pages(b))
+    ocr = _ocr(b)
     shapes = page_shapes(pl)
     report = SR.stats_report(totals, S.ocr_totals(ocr), S.shape_totals(shapes),
                              S.page_report(pl, ocr, shapes), S.cost_estimate(totals))
-    return SR.render_json(report, pretty=False)
+    r = SR.render_json(report, pretty=False).select("doc_id", F.from_json("json", REPORT).alias("r")).select("doc_id", "r.*")
+    page = lambda x: F.concat_ws("|", x["page_number"].cast("string"), x["ocr_results"]["text"], x["ocr_results"]["word_count"].cast("string"),
+                                 x["shapes"]["enabled"].cast("string"), x["shapes"]["shape_count"].cast("string"),
+                                 F.coalesce(x["shapes"]["dominant_shape"], F.lit("")))
+    return r.select("doc_id", "document_info.*", "statistics.ocr.total_words", "statistics.ocr.total_characters",
+                    round6("statistics.ocr.average_confidence").alias("average_confidence"),
+                    "statistics.shapes.enabled_pages", "statistics.shapes.total_shapes_found",
+                    F.array_join("statistics.shapes.dominant_shapes", ",").alias("dominant_shapes"), "estimated_cost.*",
+                    F.array_join(F.transform("pages", page), "\n").alias("page_list"))

@@ -30,11 +30,13 @@ RESPONSE_BLOCK = T.StructType([
     T.StructField("Relationships", T.ArrayType(RELATIONSHIP)),
 ])
 
+CORRUPT = "_corrupt"
 RESPONSE = T.StructType([
     T.StructField("JobStatus", T.StringType()),
     T.StructField("StatusMessage", T.StringType()),
     T.StructField("NextToken", T.StringType()),
     T.StructField("Blocks", T.ArrayType(RESPONSE_BLOCK)),
+    T.StructField(CORRUPT, T.StringType()),
 ])
 
 BLOCK_COLUMNS = ["doc_id", "block_ord", "block_type", "id", "text", "confidence", "page",
@@ -44,20 +46,49 @@ BLOCK_COLUMNS = ["doc_id", "block_ord", "block_type", "id", "text", "confidence"
 CHUNK_SHIFT = 1 << 32
 
 
-def responses_schema() -> T.StructType:
-    """Response rows as stored: partition columns come from the folders."""
-    return T.StructType(RESPONSE.fields + [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("chunk_no", T.IntegerType()),
-    ])
+# Stored responses: JSON lines (doc_id, chunk_no, body) in folders by a hash of
+# the document, so that the folders touched by a few documents are few.  The
+# body is a response as it was received; a damaged one stays readable as text.
+FOLDERS = 64
 
 
-def read_responses(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """SRC-4: stored analysis responses, one JSON object per response,
-    under ``path/doc_id=<id>/chunk_no=<n>/``."""
-    return (spark.read.schema(responses_schema())
-            .option("multiLine", str(multi_line).lower())
-            .json(path))
+def stored_schema(id_type: str = "long") -> str:
+    return f"doc_id {id_type}, chunk_no int, body string, part int"
+
+
+def folder(doc_id, folders: int = FOLDERS):
+    return F.pmod(F.xxhash64(doc_id), F.lit(folders)).cast("int")
+
+
+def parse_responses(stored: DataFrame) -> DataFrame:
+    """SRC-4/5: response columns of stored rows ``(doc_id, chunk_no, body)``.
+    A body that is no JSON object has its text in ``_corrupt`` and NULL
+    elsewhere; a missing or blank one counts as such."""
+    body = F.from_json("body", RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    blank = F.trim(F.coalesce("body", F.lit(""))) == ""
+    return (stored.withColumn("r", body)
+            .select("doc_id", "chunk_no", "r.JobStatus", "r.StatusMessage", "r.NextToken", "r.Blocks",
+                    F.when(blank | F.col("r").isNull(), F.coalesce("body", F.lit("")))
+                    .otherwise(F.col(f"r.{CORRUPT}")).alias(CORRUPT)))
+
+
+def read_responses(spark: SparkSession, path: str, id_type: str = "long",
+                   parts: list[int] | None = None) -> DataFrame:
+    """SRC-4: stored analysis responses under ``path/part=<n>/``.  With
+    ``parts`` only those folders are listed and read."""
+    reader = spark.read.schema(stored_schema(id_type))
+    if parts is None:
+        return parse_responses(reader.json(path))
+    paths = [f"{path}/part={p}" for p in parts if folder_exists(spark, f"{path}/part={p}")]
+    if not paths:
+        return parse_responses(spark.createDataFrame([], stored_schema(id_type)))
+    return parse_responses(reader.option("basePath", path).json(paths))
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def blocks_from_responses(responses: DataFrame) -> DataFrame:
@@ -83,12 +114,31 @@ def blocks_from_responses(responses: DataFrame) -> DataFrame:
                             ).alias("relationships")))
 
 
-def job_status(responses: DataFrame) -> DataFrame:
-    """Status of each document's analysis as stored with its chunks."""
-    return (responses.groupBy("doc_id")
-            .agg(F.max_by("JobStatus", "chunk_no").alias("job_status"),
-                 F.max_by("StatusMessage", "chunk_no").alias("status_message"),
-                 F.count(F.lit(1)).alias("n_chunks")))
+def response_status(responses: DataFrame) -> DataFrame:
+    """One status per document that has responses: ``(doc_id, status,
+    status_message, n_chunks)``.
+
+    * ``OCR_ENGINE_ERROR`` - a chunk says the job failed (its message is kept);
+    * ``CORRUPT_RESPONSE`` - a chunk cannot be read or has no job status;
+    * ``INCOMPLETE`` - another job status, a chunk missing or stored twice, or
+      the only chunk without a continuation token is not the last;
+    * ``READY`` - chunks 0..n, each ``SUCCEEDED``, the last without a token.
+    """
+    damaged = F.col(CORRUPT).isNotNull() | F.col("JobStatus").isNull()
+    ends = ~damaged & F.col("NextToken").isNull()
+    g = (responses.groupBy("doc_id")
+         .agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(damaged).alias("damaged"),
+              F.count_if(F.col("JobStatus") == "FAILED").alias("failed"),
+              F.min_by("StatusMessage", F.when(F.col("JobStatus") == "FAILED", F.col("chunk_no"))).alias("message"),
+              F.count_if(F.col("JobStatus") != "SUCCEEDED").alias("other"),
+              F.min("chunk_no").alias("low"), F.max("chunk_no").alias("high"),
+              F.count_if(ends).alias("ends"), F.max(F.when(ends, F.col("chunk_no"))).alias("end")))
+    whole = ((F.col("other") == 0) & (F.col("low") == 0) & (F.col("n_chunks") == F.col("high") + 1)
+             & (F.col("ends") == 1) & (F.col("end") == F.col("high")))
+    status = (F.when(F.col("failed") > 0, "OCR_ENGINE_ERROR").when(F.col("damaged") > 0, "CORRUPT_RESPONSE")
+              .when(F.coalesce(whole, F.lit(False)), "READY").otherwise("INCOMPLETE"))
+    return g.select("doc_id", status.alias("status"),
+                    F.when(F.col("failed") > 0, F.col("message")).alias("status_message"), "n_chunks")
 
 
 def to_responses(blocks: DataFrame, chunk_span: int = 2_000_000,
@@ -121,19 +171,12 @@ def to_responses(blocks: DataFrame, chunk_span: int = 2_000_000,
                     F.transform("bs", lambda x: x["b"]).alias("Blocks")))
 
 
-def complete_documents(responses: DataFrame) -> DataFrame:
-    """Documents whose response chunks are all present: one chunk without
-    a continuation token, chunks 0..n without gaps, and no failed status."""
-    return (responses.groupBy("doc_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.max("chunk_no").alias("m"),
-                 F.count_if(F.col("NextToken").isNull()).alias("ends"),
-                 F.count_if(F.col("JobStatus") != "SUCCEEDED").alias("bad"))
-            .filter((F.col("ends") == 1) & (F.col("n") == F.col("m") + 1) & (F.col("bad") == 0))
-            .select("doc_id"))
+def stored(responses: DataFrame, folders: int = FOLDERS) -> DataFrame:
+    """Responses as they are stored: ``(doc_id, chunk_no, body, part)``."""
+    body = F.struct("JobStatus", "StatusMessage", "NextToken", "Blocks")
+    return responses.select("doc_id", "chunk_no", F.to_json(body, {"ignoreNullFields": "true"}).alias("body"),
+                            folder(F.col("doc_id"), folders).alias("part"))
 
 
-def write_responses(responses: DataFrame, path: str) -> None:
-    (responses.write.mode("overwrite")
-     .partitionBy("doc_id", "chunk_no")
-     .option("ignoreNullFields", "true")
-     .json(path))
+def write_responses(responses: DataFrame, path: str, mode: str = "overwrite") -> None:
+    stored(responses).repartition("part").write.mode(mode).partitionBy("part").json(path)

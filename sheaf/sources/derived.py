@@ -198,7 +198,8 @@ def order_blocks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     ]
     kv_blocks = docs.select("doc_id", F.explode(F.array(*kv)).alias("b"))
     page_blocks = (docs
-                   .select("doc_id", F.explode(F.sequence(F.lit(1), F.col("npages"))).alias("page"))
+                   # every fifth document ends with a blank page: no lines, no words
+                   .select("doc_id", F.explode(F.sequence(F.lit(1), F.col("npages") + (F.col("doc_id") % 5 == 0).cast("int"))).alias("page"))
                    .select("doc_id", _blk(_ord(page, 0), "PAGE", F.concat(F.lit("P"), s("page")),
                                           page).alias("b")))
     return (page_blocks.unionByName(line_blocks).unionByName(table_blocks).unionByName(kv_blocks)
@@ -206,7 +207,7 @@ def order_blocks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# D8: shape-detection rows per page; OCR rows of some pages left out
+# D8: shape-detection rows per page
 # ---------------------------------------------------------------------------
 
 def page_shapes(page_numbers: DataFrame) -> DataFrame:
@@ -220,9 +221,35 @@ def page_shapes(page_numbers: DataFrame) -> DataFrame:
         .alias("dominant_shape"))
 
 
-def ocr_kept(ocr: DataFrame) -> DataFrame:
-    """OCR results with some pages left out, so that placeholders appear."""
-    return ocr.filter((F.col("doc_id") + F.col("page_number")) % 5 != 0)
+# ---------------------------------------------------------------------------
+# D9: stored responses per order: a chunk per page of line items, some of them
+# damaged, failed, empty, unfinished or missing by arithmetic on the order key
+# ---------------------------------------------------------------------------
+
+def order_responses(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """``(doc_id, chunk_no, body)``: the body is JSON text as received."""
+    n = lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(
+        (F.floor((F.max("l_linenumber") - 1) / LINES_PER_PAGE) + 1).cast("int").alias("n"))
+    docs = (orders.select(F.col("o_orderkey").alias("doc_id")).join(n, "doc_id", "left")
+            .withColumn("n", F.coalesce("n", F.lit(1))))
+    k, c, n = F.col("doc_id"), F.col("chunk_no"), F.col("n")
+    last = c == n - 1
+    status = (F.when((k % 17 == 1) & last, "FAILED").when((k % 17 == 2) & last, "IN_PROGRESS")
+              .when((k % 17 == 3) & last, F.lit(None)).otherwise("SUCCEEDED"))
+    block = F.struct(F.lit("LINE").alias("BlockType"), F.concat(F.lit("L"), c.cast("string")).alias("Id"), F.lit("a \"quoted\" line").alias("Text"))
+    body = F.to_json(F.struct(
+        status.alias("JobStatus"),
+        F.when(k % 17 == 1, F.concat(F.lit("job "), k.cast("string"), F.lit(" failed"))).alias("StatusMessage"),
+        F.when(~last | (k % 17 == 4), F.concat(F.lit("page-"), (c + 1).cast("string"))).alias("NextToken"),
+        F.when(k % 17 == 5, F.array().cast("array<struct<BlockType:string,Id:string,Text:string>>"))
+        .otherwise(F.array(block)).alias("Blocks")), {"ignoreNullFields": "true"})
+    damaged = (F.when((k % 17 == 6) & last, F.substring(body, 1, 25)).when((k % 17 == 7) & last, "")
+               .when((k % 17 == 8) & last, F.lit(None)).otherwise(body))
+    rows = docs.select("doc_id", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    return (rows.where(~((k % 17 == 9) & last))          # the last chunk never came
+            .withColumn("body", damaged)
+            .withColumn("copies", F.when((k % 17 == 10) & last, 2).otherwise(1))   # stored twice
+            .select("doc_id", "chunk_no", "body", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy"))
 
 
 # ---------------------------------------------------------------------------

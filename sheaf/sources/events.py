@@ -35,11 +35,11 @@ def event_records(events: DataFrame) -> DataFrame:
     """SRC-1/SRC-2: one row per record, key decoded (``+`` is a space, then
     percent-decoding); a malformed key decodes to NULL and gets status
     ``KEY_ERROR`` instead of aborting the batch."""
-    r = events.select(F.posexplode("Records").alias("record_no", "r"))
+    r = events.select(F.monotonically_increasing_id().alias("event_no"), F.posexplode("Records").alias("record_no", "r"))
     raw = F.col("r.s3.object.key")
     key = F.try_url_decode(F.regexp_replace(raw, r"\+", " "))
     return r.select(
-        F.col("r.s3.bucket.name").alias("bucket"),
+        "event_no", "record_no", F.col("r.s3.bucket.name").alias("bucket"),
         raw.alias("raw_key"),
         key.alias("key"),
         F.coalesce(F.col("r.s3.object.size"), F.lit(0)).cast("long").alias("size"),

@@ -1,11 +1,13 @@
 """STR-1: incremental document assembly as response chunks land.
 
-The file source watches the responses folder (``doc_id=<id>/chunk_no=<n>/``).
-Each micro-batch names the documents it touched; ``foreachBatch`` re-reads
-all chunks of just those documents (a semi-join on the partition column,
-so Spark prunes folders), keeps the complete ones, assembles them with the
-batch operators and overwrites their result partitions.  Re-running a
+The file source watches the responses folder (``part=<n>/``).  Each
+micro-batch names the documents it touched; ``foreachBatch`` lists and reads
+only the folders these fall into (at most ``FOLDERS`` numbers on the driver),
+decides each document's status, assembles the documents whose chunks are all
+there and merges results and statuses into their result folders.  Re-running a
 batch rewrites the same documents: at-least-once input, idempotent output.
+A document that failed, is damaged or waits for chunks has a status row and no
+result.
 """
 
 from __future__ import annotations
@@ -14,24 +16,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators.assemble import assemble
-from sheaf.sinks.results import write_results
-from sheaf.sources.blocks import blocks_from_responses, complete_documents, responses_schema
+from sheaf.session import materialize
+from sheaf.sinks.results import read_results, write_results
+from sheaf.sources.blocks import blocks_from_responses, folder, read_responses, response_status, stored_schema
+
+__all__ = ["assemble_batch", "read_results", "read_status", "start_assembly_stream"]
 
 
 def assemble_batch(spark: SparkSession, touched: DataFrame, responses_path: str, out_path: str,
-                   profile: str = "current", run_ts: str = "1970-01-01T00:00:00.000Z") -> None:
-    ids = touched.select("doc_id").distinct()
-    chunks = (spark.read.schema(responses_schema()).json(responses_path)
-              .join(ids, "doc_id", "left_semi"))
-    ready = complete_documents(chunks)
+                   profile: str = "current", run_ts: str = "1970-01-01T00:00:00.000Z",
+                   id_type: str = "long") -> None:
+    """Results under ``out_path/results``, statuses under ``out_path/status``."""
+    ids = materialize(touched.select("doc_id").distinct(), "stream-ids")
+    parts = [r["p"] for r in ids.select(folder(F.col("doc_id")).alias("p")).distinct().collect()]
+    chunks = read_responses(spark, responses_path, id_type, sorted(parts)).join(ids, "doc_id", "left_semi")
+    states = materialize(response_status(chunks), "stream-status")
+    ready = states.filter(F.col("status") == "READY").select("doc_id")
     blocks = blocks_from_responses(chunks.join(ready, "doc_id", "left_semi"))
-    write_results(assemble(blocks, profile=profile, run_ts=run_ts), out_path)
+    write_results(assemble(blocks, profile=profile, run_ts=run_ts, documents=ready), f"{out_path}/results")
+    write_results(states.withColumn("status", F.when(F.col("status") == "READY", "PROCESSED").otherwise(F.col("status"))),
+                  f"{out_path}/status")
+
+
+def read_status(spark: SparkSession, out_path: str) -> DataFrame:
+    return read_results(spark, f"{out_path}/status")
 
 
 def start_assembly_stream(spark: SparkSession, responses_path: str, out_path: str,
                           checkpoint: str, profile: str = "current",
-                          max_files_per_trigger: int | None = None, available_now: bool = True):
-    reader = spark.readStream.schema(responses_schema())
+                          max_files_per_trigger: int | None = None, available_now: bool = True,
+                          id_type: str = "long"):
+    reader = spark.readStream.schema(stored_schema(id_type))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(responses_path).select("doc_id")
@@ -39,12 +54,8 @@ def start_assembly_stream(spark: SparkSession, responses_path: str, out_path: st
     def each(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
-        assemble_batch(batch.sparkSession, batch, responses_path, out_path, profile)
+        assemble_batch(batch.sparkSession, batch, responses_path, out_path, profile, id_type=id_type)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
-
-
-def read_results(spark: SparkSession, out_path: str) -> DataFrame:
-    return spark.read.json(out_path).withColumn("doc_id", F.col("doc_id").cast("long"))

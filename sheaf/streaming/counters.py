@@ -49,33 +49,40 @@ def metrics_counter(runs: DataFrame, errors: DataFrame, every: str = "1 minute",
 
 JOB_OUT = "job_id long, outcome string, error_message string, n_events long"
 JOB_STATE = ("started long, t_ts long, t_seq long, t_status string, t_message string, "
-             "n long")
+             "n long, done boolean")
 
 
 def job_tracker(status_log: DataFrame, timeout_s: int = JOB_TIMEOUT_SECONDS,
-                delay: str = "1 hour") -> DataFrame:
-    """STR-4: per job, keep the start and the first terminal status in
-    state; when the watermark passes start + limit, emit the outcome
-    (terminal within the limit, else ``TIMEOUT_ERROR``) and drop the state.
-    State per job is a few fields; a job's rows per micro-batch are the
-    only group data held at once."""
+                delay: str = "1 hour", keep_s: int = 7 * 24 * 3600) -> DataFrame:
+    """STR-4: per job, keep the start and the first terminal status in state;
+    when the watermark passes start + limit, emit the outcome once (terminal
+    before the limit, else ``TIMEOUT_ERROR``), as the batch decides at a later
+    time (``job_outcomes`` with ``as_of``).  A decided job stays marked for
+    ``keep_s`` seconds, so later rows of it do not start it again.  Rows
+    without a job id are no job: see ``missing_job_ids``.
+
+    State per job is a few fields; a job's rows per micro-batch are the only
+    group data held at once."""
     limit_ms = timeout_s * 1000
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (job_id,) = key
+        started, t_ts, t_seq, t_status, t_msg, n, done = state.get if state.exists else (None, None, None, None, None, 0, False)
         if state.hasTimedOut:
-            started, t_ts, t_seq, t_status, t_msg, n = state.get
-            state.remove()
-            ok = t_status is not None and t_ts - started <= limit_ms * 1000
-            outcome = t_status if ok else "TIMEOUT_ERROR"
-            msg = t_msg if ok and t_status == "FAILED" else None
-            yield pd.DataFrame({"job_id": [job_id], "outcome": [outcome],
-                                "error_message": [msg], "n_events": [n]})
+            if done:
+                state.remove()
+                return
+            ok = t_status is not None and t_ts - started < limit_ms * 1000
+            state.update((started, t_ts, t_seq, t_status, t_msg, n, True))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_s * 1000)
+            yield pd.DataFrame({"job_id": [job_id], "outcome": [t_status if ok else "TIMEOUT_ERROR"],
+                                "error_message": [t_msg if ok and t_status == "FAILED" else None], "n_events": [n]})
+            return
+        if done:
+            for _ in pdfs:
+                pass
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_s * 1000)
             return
-        if state.exists:
-            started, t_ts, t_seq, t_status, t_msg, n = state.get
-        else:
-            started, t_ts, t_seq, t_status, t_msg, n = None, None, None, None, None, 0
         for pdf in pdfs:
             us = pdf["ts"].astype("datetime64[us]").astype("int64")
             lo = int(us.min())
@@ -88,54 +95,28 @@ def job_tracker(status_log: DataFrame, timeout_s: int = JOB_TIMEOUT_SECONDS,
                 if t_ts is None or cand < (t_ts, t_seq):
                     t_ts, t_seq = cand
                     t_status, t_msg = first["status"], first["message"]
-        state.update((started, t_ts, t_seq, t_status, t_msg, n))
+        state.update((started, t_ts, t_seq, t_status, t_msg, n, False))
         # the timer may not lie behind the watermark (late jobs fire next batch)
         state.setTimeoutTimestamp(max(started // 1000 + limit_ms,
                                       state.getCurrentWatermarkMs() + 1))
 
-    return (event_time(status_log).withWatermark("ts", delay)
+    return (event_time(status_log.where("job_id is not null")).withWatermark("ts", delay)
             .groupBy("job_id")
             .applyInPandasWithState(step, JOB_OUT, JOB_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
 
-MONTH_OUT = "month string, total_pages long, total_files long, last_updated string"
-MONTH_STATE = "pages long, files long, last_us long, end_ms long"
-
-
-def monthly_usage_counter(usage: DataFrame, delay: str = "1 day") -> DataFrame:
-    """STR-2 by calendar month: state per month is (pages, files, last
-    update); when the watermark passes the month's end the final totals are
-    emitted once and the state is dropped.  A month's rows in one
-    micro-batch are the only group data held at once."""
-    import datetime as dt
+def missing_job_ids(status_log: DataFrame) -> DataFrame:
+    """STR-4: running count of rows without a job id (the batch's
+    ``MISSING_JOB_ID`` row), a built-in aggregate of one row."""
+    return (status_log.where("job_id is null").groupBy(F.lit("MISSING_JOB_ID").alias("outcome"))
+            .agg(F.count(F.lit(1)).alias("n_events")))
 
-    def month_end_ms(month: str) -> int:
-        _, y, m = month.split("#")
-        y, m = int(y), int(m)
-        nxt = dt.datetime(y + (m == 12), 1 if m == 12 else m + 1, 1, tzinfo=dt.timezone.utc)
-        return int(nxt.timestamp() * 1000)
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (month,) = key
-        if state.hasTimedOut:
-            pages, files, last_us, _ = state.get
-            state.remove()
-            last = dt.datetime.fromtimestamp(last_us / 1e6, dt.timezone.utc)
-            yield pd.DataFrame({"month": [month], "total_pages": [pages], "total_files": [files],
-                                "last_updated": [last.strftime("%Y-%m-%dT%H:%M:%S.")
-                                                 + f"{last.microsecond // 1000:03d}Z"]})
-            return
-        pages, files, last_us, end_ms = state.get if state.exists else (0, 0, 0, month_end_ms(month))
-        for pdf in pdfs:
-            pages += int(pdf["pages"].sum())
-            files += len(pdf)
-            last_us = max(last_us, int(pdf["ts"].astype("datetime64[us]").astype("int64").max()))
-        state.update((pages, files, last_us, end_ms))
-        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
 
-    return (event_time(usage).withWatermark("ts", delay)
-            .select("ts", "pages", month_key("ts").alias("month"))
-            .groupBy("month")
-            .applyInPandasWithState(step, MONTH_OUT, MONTH_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+def monthly_usage_counter(usage: DataFrame) -> DataFrame:
+    """STR-2: the running monthly total (pages, files, last update), updated as
+    files arrive.  A built-in aggregate: rows are summed map-side, the state is
+    one row a month (output mode update or complete)."""
+    return (event_time(usage).groupBy(month_key("ts").alias("month"))
+            .agg(F.sum("pages").alias("total_pages"), F.count(F.lit(1)).alias("total_files"),
+                 F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("last_updated")))

@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from sheaf.operators import assemble as A
-from sheaf.sinks.results import render_json
+from sheaf.sinks.results import read_results, render_json, write_results
 from sheaf.sources import derived as DV
 from sheaf.sources.blocks import blocks_from_responses, read_responses, to_responses, write_responses
 from sheaf.sources.tables import table
@@ -50,7 +50,8 @@ def test_profiles_on_reference_test_response(spark):
 def test_page_scope_value_on_other_page_is_empty(spark):
     orders = table(spark, SF, "orders").filter("o_orderkey < 40")
     b = DV.order_blocks(orders, table(spark, SF, "lineitem").filter("l_orderkey < 40"))
-    npages = {r.doc_id: r.n for r in A.page_list(b).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    # pages with words (every fifth document ends with a blank one)
+    npages = {r.doc_id: r.n for r in b.filter("block_type = 'WORD'").groupBy("doc_id").agg(F.max("page").alias("n")).collect()}
     page = {(r.doc_id, r.key): r.value for r in A.forms(b, "page").collect()}
     doc = {(r.doc_id, r.key): r.value for r in A.forms(b, "document").collect()}
     for (d, k), v in doc.items():
@@ -141,7 +142,57 @@ def test_run_batch_event_to_results(spark):
     assert manifest["in/3.pdf"] == ("PROCESSED", "processed/in/3-result.json")
     assert manifest["in/missing.pdf"][0] == "NO_RESPONSE"
     assert manifest["bad%zz.pdf"] == ("KEY_ERROR", None)
-    out = spark.read.json(os.path.join(root, "out"))
+    out = read_results(spark, os.path.join(root, "out"))
     row = out.filter(F.col("inputFile") == "in/3.pdf").first()
     assert row.fileSize == 103 and row.metadata.version == "1.0.0"
     assert out.count() == 12
+
+
+def test_damaged_failed_and_empty_responses_are_never_processed(spark):
+    from sheaf.plans.batch import document_id, run_batch
+    from sheaf.sources.blocks import folder
+    from sheaf.sources.events import EVENT
+    block = '{"BlockType":"PAGE","Id":"p","Page":1}'
+    good = '{"JobStatus":"SUCCEEDED","NextToken":"t","Blocks":[%s]}' % block
+    last = '{"JobStatus":"SUCCEEDED","Blocks":[%s]}' % block
+    chunks = {"whole": [good, last], "cut": [good, last[:30]], "corrupt": ["{oops"], "blank": [""], "null": [None], "empty": ['{"JobStatus":"SUCCEEDED","Blocks":[]}'],
+              "failed": [good, '{"JobStatus":"FAILED","StatusMessage":"bad pdf"}'], "running": ['{"JobStatus":"IN_PROGRESS"}'], "nostatus": ['{"Blocks":[]}'],
+              "waiting": [good], "twice": [last, last]}
+    rows = [(k, 0 if k == "twice" else n, body) for k, bodies in chunks.items() for n, body in enumerate(bodies)]
+    stored = (spark.createDataFrame(rows, "key string, chunk_no int, body string")
+              .withColumn("doc_id", document_id(F.lit("bkt"), F.concat(F.lit("in/"), F.col("key"), F.lit(".pdf")))).drop("key"))
+    root = tempfile.mkdtemp(prefix="sheaf-bad-")
+    stored.withColumn("part", folder(F.col("doc_id"))).write.partitionBy("part").json(os.path.join(root, "resp"))
+    recs = [{"s3": {"bucket": {"name": "bkt"}, "object": {"key": f"in/{k}.pdf", "size": n}}} for n in (1, 2) for k in chunks]
+    ev = spark.read.schema(EVENT).json(spark.sparkContext.parallelize([json.dumps({"Records": recs})]))
+    got = {r.key[3:-4]: r.status for r in run_batch(spark, ev, os.path.join(root, "resp"), os.path.join(root, "out")).collect()}
+    assert got == {"whole": "PROCESSED", "empty": "PROCESSED", "cut": "CORRUPT_RESPONSE", "corrupt": "CORRUPT_RESPONSE", "blank": "CORRUPT_RESPONSE", "null": "CORRUPT_RESPONSE",
+                   "nostatus": "CORRUPT_RESPONSE", "failed": "OCR_ENGINE_ERROR", "running": "INCOMPLETE", "waiting": "INCOMPLETE", "twice": "INCOMPLETE"}
+    out = {r.inputFile: (r.pageCount, r.fileSize) for r in read_results(spark, os.path.join(root, "out")).collect()}
+    assert out == {"in/whole.pdf": (2, 2), "in/empty.pdf": (0, 2)}  # the last record of a key gives the envelope
+
+
+def test_results_are_replaced_document_by_document(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="sheaf-res-"), "out")
+    schema = "doc_id long, v string"
+    write_results(spark.createDataFrame([(i, "a") for i in range(50)], schema), path, folders=4)
+    write_results(spark.createDataFrame([(i, "b") for i in range(40, 60)], schema), path, folders=4)
+    write_results(spark.createDataFrame([(i, "b") for i in range(40, 60)], schema), path, folders=4)
+    assert sorted((r.doc_id, r.v) for r in read_results(spark, path, schema).collect()) == [(i, "a" if i < 40 else "b") for i in range(60)]
+
+
+def test_legacy_document_without_page_numbers_has_a_result(spark):
+    b = spark.createDataFrame([(1, 0, "LINE", "1", "x", None, None, None, None, None, None), (2, 0, "LINE", "1", "y", None, 1, None, None, None, None)], SCHEMA)
+    assert {r.doc_id: r.pageCount for r in A.assemble(b, profile="legacy").collect()} == {1: 0, 2: 1}
+
+
+def test_shared_folder_is_required_off_local():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from sheaf.session import checkpoint_dir, is_local
+    assert is_local("local") and is_local("local[4]") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
+    none = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, master="yarn")))
