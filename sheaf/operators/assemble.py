@@ -297,36 +297,6 @@ def _ordered(col_name: str, order: str, value) -> F.Column:
                        lambda x: x["v"])
 
 
-def _page_tables(blocks: DataFrame, profile: str) -> DataFrame:
-    cells = table_cells(blocks, "page", profile)
-    grid = table_rows(table_grid(cells, "page"), "page")
-    tl = table_list(blocks, "page", profile)
-    clist = (cells.groupBy("doc_id", "page", "table_no")
-             .agg(_ordered("cells", "cell_no", F.struct(
-                 "text", F.col("row_index").alias("rowIndex"),
-                 F.col("column_index").alias("columnIndex"))).alias("cells")))
-    return (tl.join(clist, ["doc_id", "page", "table_no"], "left")
-            .join(grid, ["doc_id", "page", "table_no"], "left")
-            .select("doc_id", "page", "table_no",
-                    F.struct(F.coalesce("cells", F.array()).alias("cells"),
-                             F.coalesce("rows", F.array()).alias("rows")).alias("table")))
-
-
-def _doc_tables(blocks: DataFrame, profile: str) -> DataFrame:
-    cells = table_cells(blocks, "document", profile)
-    grid = table_rows(table_grid(cells, "document"), "document")
-    tl = table_list(blocks, "document", profile)
-    clist = (cells.groupBy("doc_id", "table_no")
-             .agg(_ordered("cells", "cell_no", F.struct(
-                 "text", F.col("row_index").alias("rowIndex"),
-                 F.col("column_index").alias("columnIndex"))).alias("cells")))
-    return (tl.join(clist, ["doc_id", "table_no"], "left")
-            .join(grid, ["doc_id", "table_no"], "left")
-            .select("doc_id", "table_no",
-                    F.struct(F.coalesce("cells", F.array()).alias("cells"),
-                             F.coalesce("rows", F.array()).alias("rows")).alias("table")))
-
-
 def assemble(blocks: DataFrame, files: DataFrame | None = None, profile: str = "current",
              engine: str = "textract-analyze", run_ts: str = "1970-01-01T00:00:00.000Z",
              version: str = "1.0.0", region: str = "us-east-1",
@@ -339,51 +309,20 @@ def assemble(blocks: DataFrame, files: DataFrame | None = None, profile: str = "
     The group per document is bounded: admitted files have at most the page
     limit of pages (TRI-4) and the size limit of bytes (TRI-1).
     """
-    pg = pages(blocks, profile)
-    every = documents if documents is not None else blocks
-    every = every.select("doc_id").distinct()
-    if profile == "legacy":
-        # legacy computes page forms/tables but does not return them
-        page_rows = pg.select("doc_id", "page_number", F.struct(
-            F.col("page_number").alias("pageNumber"), "text", "confidence",
-            F.col("block_count").alias("blockCount")).alias("p"))
-        doc = (every.join(page_rows.groupBy("doc_id").agg(
-            _ordered("pages", "page_number", F.col("p")).alias("pages")), "doc_id", "left")
-            .withColumn("pages", F.coalesce("pages", F.array()))
-            .withColumn("forms", F.lit(None)).withColumn("tables", F.lit(None)))
-        return _envelope(doc, files, engine, run_ts, version, region)
-    pforms = (forms(blocks, "page", profile).groupBy("doc_id", "page")
-              .agg(_ordered("forms", "form_no", F.struct("key", "value")).alias("forms")))
-    ptables = (_page_tables(blocks, profile).groupBy("doc_id", "page")
-               .agg(_ordered("tables", "table_no", F.col("table")).alias("tables")))
-    page_rows = (pg.join(pforms, ["doc_id", "page"], "left")
-                 .join(ptables, ["doc_id", "page"], "left")
+    every = (documents if documents is not None else blocks).select("doc_id").distinct()
+    if profile != "legacy":
+        from sheaf.operators.nested import nested
+        return _envelope(nested(blocks, every, profile), files, engine, run_ts, version, region)
+    # legacy computes page forms/tables but does not return them
+    page_rows = (page_list(blocks, profile).join(page_lines(blocks, profile), ["doc_id", "page"], "left")
                  .select("doc_id", "page_number", F.struct(
-                     F.col("page_number").alias("pageNumber"), "text", "confidence",
-                     F.col("block_count").alias("blockCount"),
-                     # PRJ-4: empty lists are left out (NULL fields vanish in JSON)
-                     F.when(F.size("forms") > 0, F.col("forms")).alias("forms"),
-                     F.when(F.size("tables") > 0, F.col("tables")).alias("tables")).alias("p")))
-    doc_pages = (page_rows.groupBy("doc_id")
-                 .agg(_ordered("pages", "page_number", F.col("p")).alias("pages")))
-    # every document gets a result, also one without PAGE blocks
-    doc_pages = (every.join(doc_pages, "doc_id", "left")
-                 .withColumn("pages", F.coalesce("pages", F.array())))
-    if profile == "current":
-        dforms = (forms(blocks, "document", profile).groupBy("doc_id")
-                  .agg(_ordered("forms", "form_no", F.struct("key", "value")).alias("forms")))
-        dtables = (_doc_tables(blocks, profile).groupBy("doc_id")
-                   .agg(_ordered("tables", "table_no", F.col("table")).alias("tables")))
-        doc = (doc_pages.join(dforms, "doc_id", "left").join(dtables, "doc_id", "left")
-               .withColumn("forms", F.coalesce("forms", F.array()))
-               .withColumn("tables", F.coalesce("tables", F.array())))
-    elif profile == "sync":
-        # SET-1: document lists are the page lists in page order
-        doc = (doc_pages
-               .withColumn("forms", F.flatten(F.transform(
-                   "pages", lambda p: F.coalesce(p["forms"], F.array()))))
-               .withColumn("tables", F.flatten(F.transform(
-                   "pages", lambda p: F.coalesce(p["tables"], F.array())))))
+                     F.col("page_number").alias("pageNumber"), F.coalesce("text", F.lit("")).alias("text"),
+                     F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+                     F.coalesce("block_count", F.lit(0)).cast("long").alias("blockCount")).alias("p")))
+    doc = (every.join(page_rows.groupBy("doc_id").agg(
+        _ordered("pages", "page_number", F.col("p")).alias("pages")), "doc_id", "left")
+        .withColumn("pages", F.coalesce("pages", F.array()))
+        .withColumn("forms", F.lit(None)).withColumn("tables", F.lit(None)))
     return _envelope(doc, files, engine, run_ts, version, region)
 
 
