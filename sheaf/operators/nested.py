@@ -72,8 +72,10 @@ def resolve(blocks: DataFrame) -> DataFrame:
                         F.filter("p", lambda x: x["use"] != "text").alias("slots"))
 
 
-def _ordered(order: str, value: Column) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v"))))), lambda x: x["v"])
+def _ordered(order: str, value: Column, where: Column = F.lit(True)) -> Column:
+    """The values of a group's rows that pass ``where``, in order."""
+    rows = F.sort_array(F.collect_list(F.when(where, F.struct(F.col(order).alias("o"), value.alias("v")))))
+    return F.transform(rows, lambda x: x["v"])
 
 
 def _keys_once(forms: Column) -> Column:
@@ -111,13 +113,13 @@ def lists(blocks: DataFrame) -> DataFrame:
     got = (refs("doc").unionByName(refs("page")).join(texts.hint("merge"), ["doc_id", "target"], "left")
            .withColumn("text", F.coalesce(F.when(F.col("scope") == "doc", F.col("text_doc")).otherwise(F.col("text_page")), F.lit("")))
            .repartition("doc_id"))
-    cell = F.when(F.col("pos").isNotNull(), F.struct("text", "rowIndex", "columnIndex"))
+    cell = F.struct("text", "rowIndex", "columnIndex")
     # a key has one value at most; a table its cells in order
     owned = (got.groupBy("doc_id", "scope", "page", "src_ord", "src_id", "is_key", "key")
-             .agg(F.max("text").alias("value"), _ordered("pos", cell).alias("cells")))
-    form = F.when(F.col("is_key"), F.struct(F.col("src_id").alias("id"), "key", "value"))
-    table = F.when(~F.col("is_key"), F.struct("cells", _grid(F.col("cells")).alias("rows")))
-    both = owned.groupBy("doc_id", "scope", "page").agg(_ordered("src_ord", form).alias("forms"), _ordered("src_ord", table).alias("tables"))
+             .agg(F.max("text").alias("value"), _ordered("pos", cell, F.col("pos").isNotNull()).alias("cells"))
+             .withColumn("rows", F.when(~F.col("is_key"), _grid(F.col("cells")))))
+    form, table = F.struct(F.col("src_id").alias("id"), "key", "value"), F.struct("cells", "rows")
+    both = owned.groupBy("doc_id", "scope", "page").agg(_ordered("src_ord", form, F.col("is_key")).alias("forms"), _ordered("src_ord", table, ~F.col("is_key")).alias("tables"))
     kept = F.transform(F.filter(_keys_once(F.col("forms")), lambda f: f["key"] != ""), lambda f: F.struct(f["key"].alias("key"), f["value"].alias("value")))
     return both.withColumn("forms", kept)
 
