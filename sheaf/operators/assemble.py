@@ -297,6 +297,7 @@ def _ordered(col_name: str, order: str, value) -> F.Column:
                        lambda x: x["v"])
 
 
+# the defaults of engine, version and region below are FIXED VALUES of the envelope
 def assemble(blocks: DataFrame, files: DataFrame | None = None, profile: str = "current",
              engine: str = "textract-analyze", run_ts: str = "1970-01-01T00:00:00.000Z",
              version: str = "1.0.0", region: str = "us-east-1",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.text import js_trim
 
+# FIXED VALUES: text of a page without OCR result, published price assumptions
 PLACEHOLDER_TEXT = "[Not processed in this test]"
 # price assumptions (parameters; defaults are the published estimate)
 TEXT_RATE_USD = Decimal("0.0015")

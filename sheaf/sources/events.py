@@ -48,6 +48,7 @@ def event_records(events: DataFrame) -> DataFrame:
         F.when(key.isNull(), F.lit("KEY_ERROR")).otherwise(F.lit("OK")).alias("status"))
 
 
+# FIXED VALUES: folder and suffix of result keys (in result_location)
 def result_location(records: DataFrame, output_bucket: str | None = None) -> DataFrame:
     """SNK-2: ``output_bucket`` (parameter, else the input bucket) and
     ``processed/<key without its last extension>-result.json``."""
