@@ -109,19 +109,27 @@ def cost_estimate(totals: DataFrame, text_pages: str = "pages", image_pages: str
         fixed(F.round(total, 4) * F.lit(yen), 2).alias("total_jpy"))
 
 
-def table_preview(grid: DataFrame, tables: int = 2, rows: int = 3) -> DataFrame:
+def table_preview(grid: DataFrame, tables: int = 2, rows: int = 3, cells: DataFrame | None = None) -> DataFrame:
     """LIM-1: first ``tables`` tables per document, first ``rows`` rows each
-    (cells joined by ' | '), with the count of rows not shown."""
+    (cells joined by ' | '), with the count of rows not shown.  With ``cells``
+    a table that has cells but no grid is one row 0 that tells their number."""
     per_row = (grid.filter(F.col("table_no") <= tables)
                .groupBy("doc_id", "table_no", "row_no")
                .agg(F.array_sort(F.collect_list(F.struct("col_no", "text"))).alias("cs")))
     w = Window.partitionBy("doc_id", "table_no")
-    return (per_row
-            .withColumn("n_rows", F.count(F.lit(1)).over(w))
-            .filter(F.col("row_no") <= rows)
-            .select("doc_id", "table_no", "row_no",
-                    F.array_join(F.transform("cs", lambda x: x["text"]), " | ").alias("row_text"),
-                    F.greatest(F.col("n_rows") - rows, F.lit(0)).cast("long").alias("more_rows")))
+    shown = (per_row
+             .withColumn("n_rows", F.count(F.lit(1)).over(w))
+             .filter(F.col("row_no") <= rows)
+             .select("doc_id", "table_no", "row_no",
+                     F.array_join(F.transform("cs", lambda x: x["text"]), " | ").alias("row_text"),
+                     F.greatest(F.col("n_rows") - rows, F.lit(0)).cast("long").alias("more_rows")))
+    if cells is None:
+        return shown
+    counts = cells.filter(F.col("table_no") <= tables).groupBy("doc_id", "table_no").agg(F.count(F.lit(1)).alias("n"))
+    bare = counts.join(per_row.select("doc_id", "table_no").distinct(), ["doc_id", "table_no"], "left_anti")
+    return shown.unionByName(bare.select("doc_id", "table_no", F.lit(0).cast("long").alias("row_no"),
+                                         F.concat(F.col("n").cast("string"), F.lit(" cells (no rows structure)")).alias("row_text"),
+                                         F.lit(0).cast("long").alias("more_rows")))
 
 
 def first_table_page(pages: DataFrame) -> DataFrame:
@@ -131,6 +139,17 @@ def first_table_page(pages: DataFrame) -> DataFrame:
             .agg(F.min("page_number").alias("page_number")))
 
 
+def first_table(pages: DataFrame, page_grid: DataFrame, rows: int = 3) -> DataFrame:
+    """LIM-2: the first page that has tables and the first ``rows`` rows of
+    its first table (cells joined by ' | ').  ``page_grid``: the grid of page
+    scope with ``page``."""
+    first = pages.filter(F.col("n_tables") > 0).groupBy("doc_id").agg(F.min(F.struct("page_number", "page")).alias("p")).select("doc_id", "p.*")
+    top = page_grid.filter((F.col("table_no") == 1) & (F.col("row_no") <= rows))
+    return (first.join(top, ["doc_id", "page"]).groupBy("doc_id", "page_number", "row_no")
+            .agg(F.array_sort(F.collect_list(F.struct("col_no", "text"))).alias("cs"))
+            .select("doc_id", "page_number", "row_no", F.array_join(F.transform("cs", lambda x: x["text"]), " | ").alias("row_text")))
+
+
 def page_samples(pages: DataFrame, n_pages: int = 3, chars: int = 100,
                  collapse: str = "newline") -> DataFrame:
     """LIM-3: first ``n_pages`` pages per document with a text sample: first

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 MAX_PAGES_PER_MONTH = 1000
 WARN_SHARE = 0.8
 
+CHUNK_ROWS = 100_000
+
 
 def month_key(ts) -> F.Column:
     return F.date_format(ts, "'USAGE#'yyyy'#'MM")
@@ -36,10 +38,11 @@ def ranged_usage(usage: DataFrame, chunks: int | None = None) -> DataFrame:
     """Usage rows range-partitioned on the unique key (month, ts, file_id)
     with the chunk (partition) number as a column, written once so both
     passes of a two-level scan see the same chunks.  Chunks are contiguous in
-    month order and balanced however many files one month or hour holds."""
+    month order and balanced however many files one month or hour holds; their
+    number follows the rows, so a chunk stays about ``CHUNK_ROWS`` at most."""
     from sheaf.session import materialize
     spark = usage.sparkSession
-    n = chunks or max(spark.sparkContext.defaultParallelism * 2, 2)
+    n = chunks or max(spark.sparkContext.defaultParallelism * 2, 1 + usage.count() // CHUNK_ROWS)
     u = usage.select("file_id", "ts", F.col("pages").cast("long").alias("pages"),
                      month_key("ts").alias("month"))
     return materialize(u.repartitionByRange(n, "month", "ts", "file_id")
@@ -59,7 +62,7 @@ def prior_usage(usage: DataFrame, chunks: int | None = None) -> DataFrame:
     wi = (Window.partitionBy("month", "chunk").orderBy("ts", "file_id")
           .rowsBetween(Window.unboundedPreceding, -1))
     inner = r.select("*", F.coalesce(F.sum("pages").over(wi), F.lit(0)).alias("inner"))
-    # offsets: one row per (month, chunk), bounded
+    # chunks are contiguous in month order: at most months + chunks rows
     return (inner.join(F.broadcast(offsets), ["month", "chunk"])
             .select("file_id", "ts", "pages", "month",
                     (F.col("offset") + F.col("inner")).cast("long").alias("prior_pages")))
@@ -145,6 +148,6 @@ def admit(usage: DataFrame, limit: int = MAX_PAGES_PER_MONTH, warn_share: float
                              "pages": pdf["pages"].to_numpy(), "used_before": before,
                              "status": status})
 
-    # the start table has one row per (month, chunk): bounded, broadcast
+    # chunks are contiguous in month order: at most months + chunks rows
     return (ranged.join(F.broadcast(starts), ["month", "chunk"])
             .groupBy("month", "chunk").applyInPandas(replay, ADMIT_OUT))

@@ -94,8 +94,19 @@ n AS (SELECT doc_id, table_no, count(*) AS n_rows FROM r GROUP BY ALL)
 SELECT r.doc_id, r.table_no, r.row_no, r.row_text, CAST(greatest(n.n_rows - 3, 0) AS BIGINT) AS more_rows
 FROM r JOIN n ON n.doc_id = r.doc_id AND n.table_no = r.table_no WHERE r.row_no <= 3""")
 def table_preview(spark, sf_dir):
+    cells = A.table_cells(blocks_of(spark, sf_dir), "document")
+    return S.table_preview(A.table_grid(cells, "document"), cells=cells)
+
+
+@register("first_table_rows", "LIM-2 first page with tables, first 3 rows of its first table", BASE + """
+SELECT f.doc_id, f.page_number, g.row_no, string_agg(g.text, ' | ' ORDER BY g.col_no) AS row_text
+FROM (SELECT doc_id, min(page_number) AS page_number FROM page_text WHERE n_tables > 0 GROUP BY doc_id) f
+JOIN tbl t ON t.doc_id = f.doc_id AND t.page = f.page_number
+JOIN grid g ON g.doc_id = f.doc_id AND g.table_no = t.table_no
+WHERE g.row_no <= 3 GROUP BY f.doc_id, f.page_number, g.row_no""")
+def first_table_rows(spark, sf_dir):
     b = blocks_of(spark, sf_dir)
-    return S.table_preview(A.table_grid(A.table_cells(b, "document"), "document"))
+    return S.first_table(A.pages(b), A.table_grid(A.table_cells(b, "page"), "page"))
 
 
 @register("first_table_page", "LIM-2 first page with tables",

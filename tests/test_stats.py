@@ -1,7 +1,7 @@
 """Statistics goldens: cost text, samples, word stats, totals rollup."""
 
-from pyspark.sql import functions as F
 
+from sheaf.operators import assemble as A
 from sheaf.operators import stats as S
 from sheaf.session import spread
 
@@ -46,6 +46,19 @@ def test_totals_rollup_has_grand_total(spark):
     assert got[None] == (3, 3, 2, 2) and got[1] == (2, 3, 1, 2)
 
 
+def test_preview_of_a_table_without_rows_and_first_table(spark):
+    cells = spark.createDataFrame([(1, 1, 1, "a", 0, 1), (1, 1, 2, "b", 0, 2), (1, 2, 1, "x", 1, 1), (1, 2, 2, "y", 1, 2)],
+                                  "doc_id long, table_no long, cell_no long, text string, row_index int, column_index int")
+    grid = A.table_grid(cells)
+    got = sorted((r.table_no, r.row_no, r.row_text) for r in S.table_preview(grid, cells=cells).collect())
+    assert got == [(1, 0, "2 cells (no rows structure)"), (2, 1, "x | y")]
+    pages = spark.createDataFrame([(1, 1, 4, 0), (1, 2, 7, 1), (1, 3, 9, 1)], "doc_id long, page_number long, page int, n_tables long")
+    page_grid = spark.createDataFrame([(1, 9, 1, 1, 1, "no")] + [(1, 7, 1, r, c, f"{r}{c}") for r in range(1, 6) for c in (1, 2)],
+                                      "doc_id long, page int, table_no long, row_no long, col_no long, text string")
+    got = sorted((r.page_number, r.row_no, r.row_text) for r in S.first_table(pages, page_grid).collect())
+    assert got == [(2, 1, "11 | 12"), (2, 2, "21 | 22"), (2, 3, "31 | 32")]
+
+
 def test_spread_only_when_too_few_splits(spark):
     one = spark.range(100).withColumnRenamed("id", "doc_id").coalesce(1)
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
