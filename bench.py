@@ -25,10 +25,11 @@ HEADLINE = [
     "page_text",             # blocks -> pages
     "doc_forms",             # key/value resolution
     "doc_table_grid",        # cells -> dense grids
-    "doc_assembly",          # nested documents
+    "doc_assembly",          # nested documents (block queries derive their input inside the timed run)
     "page_report",           # OCR x shapes
     "file_triage",
     "quota_flags",
+    "quota_admission",
     "usage_monthly",
     "job_outcomes",
 ]
