@@ -19,8 +19,10 @@ gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,36 +37,56 @@ CAPACITY = 4096
 END = 1
 
 
+# between an ASCII letter and an ASCII mark or digit
+_SEAM = re.compile(rb"(?<=[a-z])(?=[!-@\[-`{-~])|(?<=[!-@\[-`{-~])(?=[a-z])")
+
+
+def fragments(word: bytes) -> list[bytes]:
+    """Parts of a word that the vocabulary's pre-tokenizer never joins, ASCII
+    letters in lower case.  A word with an apostrophe (contractions) or with the
+    beginning of a special token is left whole."""
+    if b"'" in word or b"<|" in word:
+        return [word]
+    word = word.lower()
+    return [word] if word.isalpha() else _SEAM.split(word)
+
+
 class WordIds:
-    """Token ids of words, each distinct word encoded once while it is kept.
+    """Token ids of words; each distinct word is put together from its
+    fragments once, each distinct fragment encoded once, while it is kept.
 
-    The vocabulary's pre-tokenizer drops white space and joins nothing across
-    it, so a text's ids are those of its words in turn."""
+    The vocabulary lower-cases, drops white space and joins nothing across it,
+    so a text's ids are those of its words in turn."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.encoded: dict[bytes, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[int, int] = {}
         self.starts, self.pool, self.used, self.count = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
 
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
-        if self.count + len(texts) > self.most:
-            self._clear()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = sum(map(len, found))
-        while self.used + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(n, len(self.pool)), np.uint32)])
-        while self.count + len(texts) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(max(len(texts), len(self.starts)), np.int64)])
-        if n:
-            self.pool[self.used:self.used + n] = np.concatenate([np.array(x, np.uint32) for x in found])
-        self.starts[self.count + 1:self.count + len(texts) + 1] = self.used + np.cumsum([len(x) for x in found])
-        self.at.update(zip(hashes, range(self.count, self.count + len(texts))))
-        self.used, self.count = self.used + n, self.count + len(texts)
+    def _add(self, hashes: list[int], found: list[bytes]) -> None:
+        parts = [fragments(w) for w in found]
+        new = list({f for own in parts for f in own if f not in self.encoded})
+        if len(self.encoded) + len(new) > self.most:
+            self.encoded.clear()
+            new = list({f for own in parts for f in own})
+        for f, e in zip(new, self.tokenizer.encode_batch_fast([f.decode("utf-8", "replace") for f in new], add_special_tokens=False)):
+            self.encoded[f] = np.array(e.ids, "<u4").tobytes()
+        ids = [b"".join([self.encoded[f] for f in own]) for own in parts]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool)), np.uint32)])
+        while self.count + len(ids) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(ids), len(self.starts)), np.int64)])
+        self.pool[self.used:self.used + len(flat)] = flat
+        self.starts[self.count + 1:self.count + len(ids) + 1] = self.used + np.cumsum([len(x) // 4 for x in ids])
+        self.at.update(zip(hashes, range(self.count, self.count + len(ids))))
+        self.used, self.count = self.used + len(flat), self.count + len(ids)
 
     def block(self, b: words.Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words of a block, bounds of its rows in them)."""
@@ -76,8 +98,8 @@ class WordIds:
         if self.count + len(new) > self.most:
             self._clear()
             new = range(len(keys))
-        raw = b.data.tobytes()
-        self._add([keys[i] for i in new], [raw[b.starts[first[i]]:b.ends[first[i]]].decode("utf-8", "replace") for i in new])
+        raw, starts, ends = b.data.tobytes(), b.starts[first].tolist(), b.ends[first].tolist()
+        self._add([keys[i] for i in new], [raw[starts[i]:ends[i]] for i in new])
         slot = np.array([self.at[k] for k in keys])[back]
         start, n = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
         ends = np.cumsum(n)
@@ -85,6 +107,12 @@ class WordIds:
         return ids, np.concatenate([[0], ends])[b.bounds]
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, kept from task to task."""
+    return WordIds(path)
+
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -92,7 +120,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of each row of ``docs`` (doc_id, text) in tokens of the
     vocabulary at ``path``: ids are not kept, their number and crc32 are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = word_ids(path)
         for batch in batches:
             doc_ids = batch["doc_id"].to_pylist()
             out = []

@@ -28,7 +28,8 @@ def test_pieces_are_the_tokenizers_ids(odd, small, capacity):
 
 
 def test_odd_words(spark):
-    texts = ["<|endoftext|> a<|startoftext|>b", "é ́ ＡＢ ﬁ  x y İ ΑΣ ς", "don't I'LL 12345 a_b--c\x1cd\x85e", "﻿zero​width 가각 नमस्ते"]
+    texts = ["<|endoftext|> a<|startoftext|>b", "é ́ ＡＢ ﬁ  x y İ ΑΣ ς", "don't I'LL 12345 a_b--c\x1cd\x85e", "﻿zero​width 가각 नमस्ते",
+             "THE,END é,x a–,b DON'T x'S,Y <|ENDOFTEXT|> <|endoftext|>,X A\u0301B,C ±x½y²z x_y-z9a 3rd,4th ...A..b K\u212aK, ÀB!!C ß.s ﬁ,N"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted((tuple(r) for r in packing.pieces(docs, PATH).collect()), key=repr) == model(list(enumerate(texts)), 4096)
 
