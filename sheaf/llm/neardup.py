@@ -13,8 +13,8 @@ equal bands a bucket.
    on the full sets.
 3. What is linked is joined to components.  In buckets that still hold several
    components, members of different ones may be linked by an edge that no star
-   had.  Shingles that no other member there has bound how similar a member can
-   be to any other; pairs that this exact bound allows are confirmed too.
+   had.  Such a pair shares a rare shingle, or both sets consist mostly of
+   frequent ones; the pairs that this exact condition allows are confirmed too.
 
 So every pair that shares a bucket is confirmed, ruled out by a bound, or
 already in one component.  A pair at the threshold misses all buckets with
@@ -49,6 +49,7 @@ class Params:
     percent: int = 85   # linked: 100 * intersection >= percent * union
     rows: int = 5
     bands: int = 25
+    rare: int = 8       # a shingle is frequent if more sets have it
 
     @property
     def least(self) -> int:
@@ -135,8 +136,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _lonely(texts: DataFrame, p: Params) -> DataFrame:
-    """(node, lonely): shingles of a text that no other text of the table has."""
+def _rare(texts: DataFrame, p: Params) -> DataFrame:
+    """(shingle, node, n): the shingles that n <= ``p.rare`` texts of the table
+    have.  Counted first, so no frequent shingle is gathered."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch["node"].to_numpy()
@@ -145,8 +147,9 @@ def _lonely(texts: DataFrame, p: Params) -> DataFrame:
                 sets = [shingles(h[s], p) for _, s in b.rows()]
                 yield pa.RecordBatch.from_arrays([words.as_long(np.concatenate(sets)), pa.array(np.repeat(node[b.first:b.first + b.n_rows], [len(x) for x in sets]))], names=["shingle", "node"])
 
-    return (texts.mapInArrow(run, "shingle long, node long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-            .where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lonely")))
+    rows = texts.mapInArrow(run, "shingle long, node long").distinct()
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= p.rare)
+    return rows.join(counts.hint("merge"), "shingle")
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -158,22 +161,43 @@ def _stars(shared: DataFrame) -> DataFrame:
 
 
 def _rest(shared: DataFrame, known: DataFrame, stars: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """(a, b): pairs in one bucket but in two components that no star had and
-    that the bound allows."""
-    rooted = (shared.where("size > 2").join(known, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    """(a, b): pairs of two components in buckets that hold several, which no
+    star had and which can reach the threshold.
+
+    Of linked sets a and b, a has at most n(a) - o shingles that b has not,
+    o being the least intersection.  So a has o shingles at least that are
+    either frequent here or also in b: the pair shares a rare shingle, or both
+    sets have o frequent ones.  Rare shingles give few pairs each; sets of
+    mostly frequent shingles are compared bucket by bucket."""
+    rooted = shared.where("size > 2").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     left = keep(rooted.join(mixed, "key").select("key", "node", "n", "root"), "neardup-mixed")
-    lonely = _lonely(texts.join(left.select("node").distinct(), "node"), p)
-    # at most n - lonely shingles can be common with any other set
-    able = (left.join(lonely, "node", "left").withColumn("common", F.col("n") - F.coalesce("lonely", F.lit(0)))
-            .where(100 * F.col("common") >= p.percent * F.col("n")).drop("lonely"))
-    able = keep(able, "neardup-able")
-    a, b = (able.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "common")]) for x in "ab")
-    most = F.least("common_a", "common_b")
-    pairs = (a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (100 * most >= p.percent * (F.col("n_a") + F.col("n_b") - most)))
-             .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    nodes = left.select("node", "n", "root").distinct()
+    rare = keep(_rare(texts.join(nodes.select("node"), "node"), p), "neardup-rare")
+
+    x, y = F.col("x"), F.col("y")
+    least = p.percent * (x["size"] + y["size"])  # of (100 + percent) * intersection
+    owners = (rare.where("n > 1").select("shingle", "node").join(nodes.withColumnRenamed("n", "size"), "node")
+              .groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("node", "size", "root"))).alias("own")))  # p.rare at most
+    sharing = (owners.select("own", F.explode("own").alias("x"))
+               .select("x", F.explode(F.filter("own", lambda o: (o["node"] > x["node"]) & (o["root"] != x["root"]))).alias("y"))
+               .where((100 + p.percent) * F.least(x["size"], y["size"]) >= least)
+               .select(x["node"].alias("a"), y["node"].alias("b")))
+
+    few = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
+    # a pair comes once, from the least of the buckets that both are in
+    buckets = left.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    able = (left.join(few, "node", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0)))
+            # the smallest partner has percent / 100 of its shingles
+            .where((100 + p.percent) * 100 * F.col("common") >= p.percent * (100 + p.percent) * F.col("n")))
+    able = keep(able.join(buckets, "node"), "neardup-able")
+    a, b = (able.select("key", *[F.col(c).alias(f"{c}_{z}") for c in ("node", "n", "root", "common", "keys")]) for z in "ab")
+    allowed = ((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+               & ((100 + p.percent) * F.least("common_a", "common_b") >= p.percent * (F.col("n_a") + F.col("n_b")))
+               & (F.array_min(F.array_intersect("keys_a", "keys_b")) == a["key"]))
+    frequent = a.join(b, (a["key"] == b["key"]) & allowed).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+    return sharing.unionByName(frequent).distinct().join(done, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
