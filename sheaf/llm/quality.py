@@ -44,12 +44,6 @@ class Params:
     max_repeat_percent: int = 20
 
 
-def _cells(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Cells of the unigrams and bigrams of one text."""
-    grams = np.concatenate([h, words.windows(h, 2)]) if len(h) > 1 else h
-    return (grams % np.uint64(buckets)).astype(np.int64)
-
-
 def _block_cells(b: words.Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(cell, row in block) of every unigram and bigram of a block."""
     h = b.hashes(lower=True)

@@ -146,8 +146,3 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
-
-
-def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """A list column from flat values and row bounds."""
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))

@@ -43,7 +43,10 @@ def test_scores_against_brute_force(spark, small):
     import zlib
     trusted = {i for i, q in labels.items() if q == 1}
     fitted = {i for i in trusted if zlib.crc32(str(i).encode()) % p.held_out != p.held_out - 1}
-    cells = {i: quality._cells(words.block_of((t or "").encode()).hashes(lower=True), p.buckets) for i, t in rows.items()}
+    cells = {}
+    for i, t in rows.items():
+        h = words.block_of((t or "").encode()).hashes(lower=True)
+        cells[i] = (np.concatenate([h, words.windows(h, 2)] if len(h) > 1 else [h]) % np.uint64(p.buckets)).astype(np.int64)
     raw, target = np.full(p.buckets, p.alpha), np.full(p.buckets, p.alpha)
     for i, c in cells.items():
         np.add.at(raw, c, 1)
