@@ -74,7 +74,7 @@ def chunks(docs: DataFrame, p: Params) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             lengths = np.cumsum([0, *map(len, texts)]).astype(np.uint64)
-            raw = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            raw = zstandard.ZstdCompressor(level=9).compress(b"".join(texts))
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())),
                                                pa.array([pack(lengths)], pa.binary()), pa.array([raw], pa.binary())], names=["chunk", "doc_ids", "train", "offsets", "text"])
 
@@ -182,12 +182,12 @@ def _own(inverse: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return n[back]
 
 
-COUNTED = "doc_id long, train boolean, n_tokens long, counts binary"
+COUNTED = "doc_ids array<long>, train array<boolean>, lengths array<long>, counts binary"
 
 
 def counted(packed: DataFrame, answered: DataFrame) -> DataFrame:
-    """Per row of the corpus, for each token: c(w), c(h w), and how many of
-    them are of the row itself."""
+    """A row a chunk: for each token of its texts c(w), c(h w), and how many of
+    them are of the text itself."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for r in range(left.num_rows):
@@ -198,22 +198,23 @@ def counted(packed: DataFrame, answered: DataFrame) -> DataFrame:
                 total = np.concatenate([unpack(x.as_py()) for x in own["totals"]])
                 inverse = np.unique(keys, return_inverse=True)[1]
                 columns += [total[inverse], _own(inverse, t.bounds).astype(np.uint64)]
-            table = np.stack(columns)
-            for i, (doc_id, train) in enumerate(zip(left["doc_ids"][r].as_py(), left["train"][r].as_py())):
-                s = slice(t.bounds[i], t.bounds[i + 1])
-                out.append((doc_id, train, s.stop - s.start, pack(table[:, s].ravel())))
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["doc_id", "train", "n_tokens", "counts"])
+            out.append((left["doc_ids"][r].as_py(), left["train"][r].as_py(), np.diff(t.bounds).tolist(), pack(np.concatenate(columns))))
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["doc_ids", "train", "lengths", "counts"])
 
     return packed.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, COUNTED)
 
 
-def _columns(raw: bytes) -> tuple[np.ndarray, ...]:
-    """(c(w), own c(w), c(h w), own c(h w), c(h), own c(h)) of a row's tokens;
-    the last token, the end, is the context of the first."""
-    w, own_w, hw, own_hw = unpack(raw).astype(np.float64).reshape(4, -1)
-    h, own_h = np.concatenate([w[-1:], w[:-1]]), np.concatenate([own_w[-1:], own_w[:-1]])
-    return w, own_w, hw, own_hw, h, own_h
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bool, tuple[np.ndarray, ...]]]:
+    """(doc_id, train, (c(w), own c(w), c(h w), own c(h w), c(h), own c(h)) of
+    its tokens) for each text; the last token, the end, is the context of the
+    first."""
+    for ids, train, lengths, raw in zip(*(batch[c] for c in ("doc_ids", "train", "lengths", "counts"))):
+        table = unpack(raw.as_py()).astype(np.float64).reshape(4, -1)
+        ends = np.cumsum(lengths.as_py())
+        for doc_id, own, n, end in zip(ids.as_py(), train.as_py(), lengths.as_py(), ends):
+            w, own_w, hw, own_hw = table[:, end - n:end]
+            yield doc_id, own, (w, own_w, hw, own_hw, np.concatenate([w[-1:], w[:-1]]), np.concatenate([own_w[-1:], own_w[:-1]]))
 
 
 def frequency_bucket(h: np.ndarray) -> np.ndarray:
@@ -231,10 +232,9 @@ def statistics(rows: DataFrame, p: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[tuple[int, int, int], list[float]] = {}
         for batch in batches:
-            for raw, train in zip(batch["counts"], batch["train"].to_pylist()):
+            for _, train, (w, own_w, hw, own_hw, h, own_h) in _texts(batch):
                 if not train:
                     continue
-                w, own_w, hw, own_hw, h, own_h = _columns(raw.as_py())
                 context = h - own_h
                 grid = np.full((3, len(w)), NONE, np.int64)
                 grid[0] = frequency_bucket(context)
@@ -255,7 +255,7 @@ def statistics(rows: DataFrame, p: Params) -> DataFrame:
                                           pa.array([cells[k][0] for k in keys], pa.int64()), pa.array([cells[k][1] for k in keys], pa.float64())],
                                          names=["bucket", "bigram", "unigram", "n", "types"])
 
-    return (rows.select("counts", "train").mapInArrow(run, "bucket long, bigram long, unigram long, n long, types double")
+    return (rows.mapInArrow(run, "bucket long, bigram long, unigram long, n long, types double")
             .groupBy("bucket", "bigram", "unigram").agg(F.sum("n").alias("n"), F.sum("types").alias("types")))
 
 
@@ -283,12 +283,14 @@ def learn(bucket: np.ndarray, bigram: np.ndarray, unigram: np.ndarray, n: np.nda
 
 
 def score(rows: DataFrame, m: Model) -> DataFrame:
-    """Base and model score of each row of ``counted``."""
+    """Base and model score of each text in ``counted``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, base, value = [], [], []
-            for raw in batch["counts"]:
-                w, _, hw, _, h, _ = _columns(raw.as_py())
+            ids, trained, size, known, base, value = [], [], [], [], [], []
+            for doc_id, train, (w, _, hw, _, h, _) in _texts(batch):
+                ids.append(doc_id)
+                trained.append(train)
+                size.append(len(w))
                 known.append(int((w > 0).sum()))
                 base.append(float(np.log10((w + 1) / (m.tokens + m.types + 1)).sum()))
                 l2, l1, l0 = m.weights[np.minimum(frequency_bucket(h), len(m.weights) - 1)].T
@@ -298,7 +300,7 @@ def score(rows: DataFrame, m: Model) -> DataFrame:
                 # an unseen context says nothing: its bigram weight goes to the others
                 part = np.where(seen, part, part / (1 - l2))
                 value.append(float(np.log10(part).sum()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["train"], batch["n_tokens"], pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64())],
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(trained, pa.bool_()), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64())],
                                              names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     return rows.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
