@@ -94,7 +94,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_fingerprints")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_near: rows within Hamming distance 3, for every doc_id divisible by
+    """n_near: rows within Hamming distance 14, for every doc_id divisible by
     50 (the query set of the search); null elsewhere."""
     rows = keep(simhash.edited(documents(spark, sf_dir)), "fingerprints")
     asked = rows.where("doc_id % 50 = 0").select("doc_id", "fingerprint")

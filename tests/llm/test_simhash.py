@@ -53,3 +53,37 @@ def test_similar_texts_have_similar_fingerprints(small):
     a = [simhash.fingerprint(words.block_of(t.encode()).hashes(lower=True)) for t in texts]
     assert all(simhash.likeness(x, x) == 1 for x in a) and all(0 <= simhash.likeness(x, y) <= 1 for x, y in itertools.product(a, a))
     assert simhash.fingerprint(np.empty(0, np.uint64)) == bytes(16)
+
+
+def _apart(a, b):
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+
+
+def test_near_against_brute_force_up_to_and_beyond_the_radius(spark):
+    rng = np.random.default_rng(8)
+    prints = [rng.bytes(16) for _ in range(12)]
+    for b in list(prints):
+        for flips in (2, 5, 9, 12, 13, 14, 14, 15, 16, 18):
+            x = int.from_bytes(b)
+            for bit in rng.choice(128, flips, replace=False):
+                x ^= 1 << int(bit)
+            prints += [x.to_bytes(16)] * (1 + flips % 2)
+    table = spark.createDataFrame([(i, p.hex()) for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    for radius in (0, 3, 8, 14):
+        got = {r["doc_id"]: r["n_near"] for r in simhash.near(table.select("fingerprint"), table.where("doc_id % 2 = 0"), radius).collect()}
+        assert got == {i: sum(_apart(p, q) <= radius for q in prints) for i, p in enumerate(prints) if i % 2 == 0}
+
+
+def test_near_finds_edited_texts(spark):
+    """One word replaced in texts of 100 words, three in texts of 500."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for n, edits in ((100, 1), (500, 3)):
+        for _ in range(50):
+            text = rng.integers(1, 2 ** 63, n, dtype=np.uint64)
+            other = text.copy()
+            other[rng.choice(n, edits, replace=False)] = rng.integers(1, 2 ** 63, edits, dtype=np.uint64)
+            rows += [(len(rows) + i, simhash.fingerprint(t).hex()) for i, t in enumerate((text, other))]
+    table = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    got = {r["doc_id"]: r["n_near"] for r in simhash.near(table.select("fingerprint"), table.where("doc_id % 2 = 0")).collect()}
+    assert np.mean([got[i] == 2 for i in range(0, 100, 2)]) > 0.9 and np.mean([got[i] == 2 for i in range(100, 200, 2)]) > 0.85
