@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import chat, lm, mixing, neardup, packing, passages, quality, sharding, simhash, toxicity
+from sheaf.llm import chat, langid, lm, mixing, neardup, packing, passages, quality, sharding, simhash, toxicity, whitening
 from sheaf.llm.tables import documents, keep, part_of
 from sheaf.sources.tables import table
 
@@ -121,3 +121,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 40 words or more that a document shares with one of smaller
     doc_id, up to one word in five different."""
     return passages.passages(documents(spark, sf_dir))
+
+
+@query("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents with crc32(doc_id) mod 5 other than 0."""
+    docs = documents(spark, sf_dir)
+    held_out = part_of(F.col("doc_id"), 5) == 0
+    return langid.predict(docs, langid.fit(docs.where(~held_out)), {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 32 components of x = floor(64 * entry) + 1000000."""
+    return whitening.components(table(spark, sf_dir, "embeddings"))
