@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import chat, langid, lm, mixing, neardup, packing, passages, quality, sharding, simhash, toxicity, whitening
+from sheaf.llm import chat, collocations, langid, lm, mixing, neardup, packing, passages, quality, sharding, simhash, toxicity, whitening
 from sheaf.llm.tables import documents, keep, part_of
 from sheaf.sources.tables import table
 
@@ -135,3 +135,38 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 32 components of x = floor(64 * entry) + 1000000."""
     return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM said), range(1, 5) AS s(k) WHERE i + k - 1 <= len(w)),
+counted AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f FROM counted WHERE f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, x.f AS l, y.f AS r, cut,
+         (2000000 * CAST(c.f AS HUGEINT)) // (CAST(x.f AS HUGEINT) + y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM often WHERE k > 1) c
+  JOIN often x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN often y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, f, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM often WHERE k > 2), range(2, 4) AS s(m) WHERE m < k AND i + m - 1 <= k),
+around AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN around o ON o.lang = w.lang AND o.phrase = w.phrase WHERE o.f IS NULL OR 100 * o.f < 80 * w.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", PHRASE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of 2 to 4 words said 30 times or more."""
+    return collocations.collocations(documents(spark, sf_dir))
