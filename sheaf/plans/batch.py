@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sheaf.operators.assemble import assemble
 from sheaf.sinks.results import write_results
 from sheaf.session import materialize
-from sheaf.sources.blocks import blocks_from_responses, read_responses, response_status
+from sheaf.sources.blocks import blocks_from_responses, distinct_chunks, folder, read_responses, response_status
 from sheaf.sources.events import event_records, result_location
 
 
@@ -36,18 +36,22 @@ def run_batch(spark: SparkSession, events: DataFrame, responses_path: str, out_p
     recs = (result_location(event_records(events), output_bucket)
             .withColumn("doc_id", document_id(F.col("bucket"), F.col("key"))))
     ok = recs.filter(F.col("status") == "OK")
-    chunks = (read_responses(spark, responses_path, "string")
+    # the folders that the records fall into: at most FOLDERS numbers
+    parts = sorted(r["p"] for r in ok.select(folder(F.col("doc_id")).alias("p")).distinct().collect())
+    chunks = (read_responses(spark, responses_path, "string", parts)
               .join(ok.select("doc_id").distinct(), "doc_id", "left_semi"))
     # decided once: results and manifest follow the same reading of the folder
     states = materialize(response_status(chunks), "response-status")
     ready = states.filter(F.col("status") == "READY").select("doc_id")
-    blocks = blocks_from_responses(chunks.join(ready, "doc_id", "left_semi"))
+    blocks = blocks_from_responses(distinct_chunks(chunks, states))
     files = (ok.groupBy("doc_id")
              .agg(F.max_by(F.struct(F.col("key").alias("input_file"), F.col("size").alias("file_size")),
                            F.struct("event_no", "record_no")).alias("f"))
              .select("doc_id", "f.input_file", "f.file_size", F.lit(0).cast("long").alias("processing_ms")))
     docs = assemble(blocks, files=files, profile=profile, run_ts=run_ts, documents=ready)
-    write_results(docs, out_path)
+    # a document that had a result and is not whole any more loses it
+    gone = states.where(F.col("status") != "READY").select("doc_id", F.lit(True).alias("_deleted"))
+    write_results(docs.withColumn("_deleted", F.lit(False)).unionByName(gone, allowMissingColumns=True), out_path)
     return (recs.join(states.withColumnRenamed("status", "response"), "doc_id", "left")
             .select("doc_id", "bucket", "raw_key", "key", "output_bucket", "output_key",
                     F.when(F.col("status") != "OK", F.col("status"))

@@ -4,13 +4,16 @@ the expected page text, forms and tables straight from the base tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheaf.functions.numbers import round6
 from sheaf.operators import assemble as A
 from sheaf.plans.registry import register
-from sheaf.session import materialize
-from sheaf.sources.blocks import blocks_from_responses, parse_responses
+from sheaf.session import materialize, scratch_path
+from sheaf.sinks import store
+from sheaf.sources.blocks import blocks_from_responses, distinct_chunks, parse_responses
 from sheaf.sources.blocks import response_status as response_states
 from sheaf.sources.derived import order_blocks, order_responses
 from sheaf.sources.tables import table
@@ -121,12 +124,13 @@ totals AS (
 @register("response_status", "SRC-4/5, STR-1: READY only for documents whose responses are all there and sound", """
 WITH n AS (SELECT o_orderkey AS doc_id, CAST(floor((coalesce(max(l_linenumber), 1) - 1) / 4) + 1 AS BIGINT) AS n
            FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
-s AS (SELECT doc_id, doc_id % 17 AS k, CASE doc_id % 17 WHEN 9 THEN n - 1 WHEN 10 THEN n + 1 ELSE n END AS n_chunks FROM n)
+s AS (SELECT doc_id, doc_id % 17 AS k, CASE doc_id % 17 WHEN 9 THEN n - 1 ELSE n END AS n_chunks,
+             CASE WHEN doc_id % 17 = 9 THEN n - 1 WHEN doc_id % 17 IN (10, 11) THEN n + 1 ELSE n END AS n_rows FROM n)
 SELECT doc_id,
-       CASE WHEN k = 1 THEN 'OCR_ENGINE_ERROR' WHEN k IN (3, 6, 7, 8) THEN 'CORRUPT_RESPONSE'
-            WHEN k IN (2, 4, 9, 10) THEN 'INCOMPLETE' ELSE 'READY' END AS status,
+       CASE WHEN k = 1 THEN 'OCR_ENGINE_ERROR' WHEN k IN (3, 6, 7, 8, 11) THEN 'CORRUPT_RESPONSE'
+            WHEN k IN (2, 4, 9) THEN 'INCOMPLETE' ELSE 'READY' END AS status,
        CASE WHEN k = 1 THEN 'job ' || CAST(doc_id AS VARCHAR) || ' failed' END AS status_message,
-       n_chunks
+       n_chunks, n_rows
 FROM s WHERE n_chunks > 0""")
 def response_status(spark, sf_dir):
     rows = order_responses(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
@@ -138,17 +142,40 @@ WITH n AS (SELECT o_orderkey AS doc_id, CAST(floor((coalesce(max(l_linenumber),
            FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)
 SELECT doc_id, CAST(CASE WHEN doc_id % 17 = 5 THEN 0 ELSE n END AS BIGINT) AS n_blocks,
        coalesce((SELECT string_agg('L' || CAST(x AS VARCHAR), ' ' ORDER BY x) FROM (SELECT unnest(range(0, n)) AS x) WHERE doc_id % 17 <> 5), '') AS ids
-FROM n WHERE doc_id % 17 NOT IN (1, 2, 3, 4, 6, 7, 8, 9, 10)""")
+FROM n WHERE doc_id % 17 NOT IN (1, 2, 3, 4, 6, 7, 8, 9, 11)""")
 def response_blocks(spark, sf_dir):
     chunks = parse_responses(order_responses(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")))
-    ready = response_states(chunks).filter("status = 'READY'").select("doc_id")
-    got = (blocks_from_responses(chunks.join(ready, "doc_id", "left_semi")).groupBy("doc_id")
+    states = response_states(chunks)
+    ready = states.filter("status = 'READY'").select("doc_id")
+    got = (blocks_from_responses(distinct_chunks(chunks, states)).groupBy("doc_id")
            .agg(F.array_sort(F.collect_list(F.struct("block_ord", "id"))).alias("b")))
     return (ready.join(got, "doc_id", "left")
             .select("doc_id", F.coalesce(F.size("b"), F.lit(0)).cast("long").alias("n_blocks"),
                     F.coalesce(F.array_join(F.transform("b", lambda x: x["id"]), " "), F.lit("")).alias("ids")))
 
 
+@register("results_latest", "SNK-1: versioned results after three epochs, a compaction and a run that never committed", """
+SELECT o_orderkey AS doc_id,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'again' WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS run,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS status,
+       CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS customer
+FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 5 = 0""")
+def results_latest(spark, sf_dir):
+    """Every order's document, then every third one's next version, then every
+    fifth one's without a status and the end of every seventh."""
+    key = F.col("doc_id")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("first").alias("run"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
+    path = scratch_path(spark, f"results-{uuid.uuid4().hex}")
+    store.append(docs, path)
+    store.append(docs.where(key % 3 == 0).withColumn("run", F.lit("second")).withColumn("customer", F.col("customer") + 1), path)
+    store.compact(spark, path)
+    store.write_run(docs.where(key % 2 == 0).withColumn("run", F.lit("lost")), path, 3)
+    fifth = docs.where(key % 5 == 0).withColumn("run", F.lit("again")).withColumn("status", F.lit(None).cast("string"))
+    ended = docs.where((key % 7 == 0) & (key % 5 != 0)).select("doc_id", F.lit(True).alias("_deleted"))
+    store.append(fifth.withColumn("_deleted", F.lit(False)).unionByName(ended, allowMissingColumns=True), path)
+    return store.latest(spark, path)
+
+
 @register("page_text", "AGG-1..3, WIN-1, PRJ-3, JN-7, LIM-4 (current profile)",
           BASE + "SELECT * FROM page_text")
 def page_text(spark, sf_dir):

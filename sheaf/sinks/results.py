@@ -5,35 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.session import materialize
-from sheaf.sources.blocks import folder_exists
+from sheaf.sinks import store
 
 
-RESULT_FOLDERS = 64
-
-
-def write_results(docs: DataFrame, path: str, folders: int = RESULT_FOLDERS) -> None:
-    """SNK-1: one JSON line per document in ``folders`` folders by a hash of
-    its id.  Re-running replaces exactly the documents it carries: the folders
-    they fall into are read, merged and overwritten, the others stay."""
-    spark = docs.sparkSession
-    new = materialize(docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(folders)).cast("int")), "results-new")
-    parts = sorted(r["part"] for r in new.select("part").distinct().collect())  # at most `folders`
-    here = [f"{path}/part={p}" for p in parts if folder_exists(spark, f"{path}/part={p}")]
-    merged = new
-    if here:
-        old = spark.read.schema(new.schema).option("basePath", path).json(here)
-        merged = materialize(old.join(new.select("doc_id"), "doc_id", "left_anti").select(*new.columns)
-                             .unionByName(new), "results-merged")
-    (merged.repartition("part").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "true")
-     .partitionBy("part").json(path))
+def write_results(docs: DataFrame, path: str, folders: int | None = None, txn: str | None = None) -> None:
+    """SNK-1: the documents' rows as the next epoch of the store at ``path``.
+    Re-running replaces exactly the documents it carries; rows of others are
+    neither read nor written.  ``folders``: into so many files."""
+    store.append(docs, path, txn=txn, files=folders)
 
 
 def read_results(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Results as written; ``part`` is left out."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.json(path).drop("part")
+    """The current result of each document."""
+    return store.latest(spark, path, schema)
 
 
 def render_json(docs: DataFrame, pretty: bool = True) -> DataFrame:

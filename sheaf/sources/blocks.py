@@ -9,6 +9,7 @@ of blocks inside a document (response chunk, then position in the chunk).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,35 +61,42 @@ def folder(doc_id, folders: int = FOLDERS):
     return F.pmod(F.xxhash64(doc_id), F.lit(folders)).cast("int")
 
 
-def parse_responses(stored: DataFrame) -> DataFrame:
-    """SRC-4/5: response columns of stored rows ``(doc_id, chunk_no, body)``.
-    A body that is no JSON object has its text in ``_corrupt`` and NULL
-    elsewhere; a missing or blank one counts as such."""
+def parse_responses(stored: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """SRC-4/5: response columns of stored rows ``(doc_id, chunk_no, body)``
+    and ``digest``, which is equal for equal bodies; ``carry`` names further
+    columns to keep.  A body that is no JSON
+    object has its text in ``_corrupt`` and NULL elsewhere; a missing or blank
+    one counts as such."""
     body = F.from_json("body", RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     blank = F.trim(F.coalesce("body", F.lit(""))) == ""
     return (stored.withColumn("r", body)
             .select("doc_id", "chunk_no", "r.JobStatus", "r.StatusMessage", "r.NextToken", "r.Blocks",
                     F.when(blank | F.col("r").isNull(), F.coalesce("body", F.lit("")))
-                    .otherwise(F.col(f"r.{CORRUPT}")).alias(CORRUPT)))
+                    .otherwise(F.col(f"r.{CORRUPT}")).alias(CORRUPT), F.sha2(F.coalesce("body", F.lit("")), 256).alias("digest"), *carry))
 
 
 def read_responses(spark: SparkSession, path: str, id_type: str = "long",
                    parts: list[int] | None = None) -> DataFrame:
     """SRC-4: stored analysis responses under ``path/part=<n>/``.  With
-    ``parts`` only those folders are listed and read."""
+    ``parts`` only those folders, where they exist, are listed and read."""
     reader = spark.read.schema(stored_schema(id_type))
     if parts is None:
         return parse_responses(reader.json(path))
-    paths = [f"{path}/part={p}" for p in parts if folder_exists(spark, f"{path}/part={p}")]
-    if not paths:
+    try:
+        return parse_responses(reader.option("basePath", path).json(f"{path}/part={{{','.join(map(str, parts))}}}"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return parse_responses(spark.createDataFrame([], stored_schema(id_type)))
-    return parse_responses(reader.option("basePath", path).json(paths))
 
 
-def folder_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def distinct_chunks(responses: DataFrame, states: DataFrame) -> DataFrame:
+    """The responses of the READY documents in ``states``, one of each chunk
+    that was delivered more than once.  Only documents with such chunks
+    (``n_rows`` above ``n_chunks``) go through a de-duplication."""
+    ready = states.where(F.col("status") == "READY").select("doc_id", (F.col("n_rows") > F.col("n_chunks")).alias("_again"))
+    rows = responses.join(ready, "doc_id")
+    return rows.where("not _again").unionByName(rows.where("_again").dropDuplicates(["doc_id", "chunk_no"])).drop("_again")
 
 
 def blocks_from_responses(responses: DataFrame) -> DataFrame:
@@ -114,31 +122,49 @@ def blocks_from_responses(responses: DataFrame) -> DataFrame:
                             ).alias("relationships")))
 
 
+def chunk_facts(responses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What decides a document's status, a row a delivered chunk: digest,
+    damaged, failed, message, other (neither done nor failed), ends (no
+    continuation token).  A missing chunk number counts as -1."""
+    damaged = F.col(CORRUPT).isNotNull() | F.col("JobStatus").isNull()
+    failed = F.coalesce(F.col("JobStatus") == "FAILED", F.lit(False))
+    return responses.select("doc_id", F.coalesce("chunk_no", F.lit(-1)).alias("chunk_no"), "digest", damaged.alias("damaged"), failed.alias("failed"),
+                            F.when(failed, F.col("StatusMessage")).alias("message"),
+                            F.coalesce(F.col("JobStatus") != "SUCCEEDED", F.lit(False)).alias("other"),
+                            (~damaged & F.col("NextToken").isNull()).alias("ends"), *carry)
+
+
 def response_status(responses: DataFrame) -> DataFrame:
     """One status per document that has responses: ``(doc_id, status,
-    status_message, n_chunks)``.
+    status_message, n_chunks, n_rows)``.  A chunk delivered again with the same
+    body is the same chunk; ``n_chunks`` counts chunk numbers, ``n_rows``
+    deliveries.
 
     * ``OCR_ENGINE_ERROR`` - a chunk says the job failed (its message is kept);
-    * ``CORRUPT_RESPONSE`` - a chunk cannot be read or has no job status;
-    * ``INCOMPLETE`` - another job status, a chunk missing or stored twice, or
-      the only chunk without a continuation token is not the last;
+    * ``CORRUPT_RESPONSE`` - a chunk cannot be read, has no job status, or was
+      delivered with two different bodies;
+    * ``INCOMPLETE`` - another job status, a chunk missing, or the only chunk
+      without a continuation token is not the last;
     * ``READY`` - chunks 0..n, each ``SUCCEEDED``, the last without a token.
     """
-    damaged = F.col(CORRUPT).isNotNull() | F.col("JobStatus").isNull()
-    ends = ~damaged & F.col("NextToken").isNull()
-    g = (responses.groupBy("doc_id")
-         .agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(damaged).alias("damaged"),
-              F.count_if(F.col("JobStatus") == "FAILED").alias("failed"),
-              F.min_by("StatusMessage", F.when(F.col("JobStatus") == "FAILED", F.col("chunk_no"))).alias("message"),
-              F.count_if(F.col("JobStatus") != "SUCCEEDED").alias("other"),
+    # dealt by document once: chunks and documents are grouped without another exchange
+    slim = chunk_facts(responses).repartition("doc_id")
+    each = slim.groupBy("doc_id", "chunk_no").agg(
+        F.count(F.lit(1)).alias("rows"), (F.min("digest") != F.max("digest")).alias("differs"), F.max("damaged").alias("damaged"), F.max("failed").alias("failed"),
+        F.min("message").alias("message"), F.max("other").alias("other"), F.max("ends").alias("ends"))
+    g = (each.groupBy("doc_id")
+         .agg(F.sum("rows").alias("n_rows"), F.count(F.lit(1)).alias("n_chunks"), F.max(F.col("damaged") | F.col("differs")).alias("damaged"),
+              F.max("failed").alias("failed"),
+              F.min_by("message", F.when(F.col("failed"), F.col("chunk_no"))).alias("message"),
+              F.max("other").alias("other"),
               F.min("chunk_no").alias("low"), F.max("chunk_no").alias("high"),
-              F.count_if(ends).alias("ends"), F.max(F.when(ends, F.col("chunk_no"))).alias("end")))
-    whole = ((F.col("other") == 0) & (F.col("low") == 0) & (F.col("n_chunks") == F.col("high") + 1)
-             & (F.col("ends") == 1) & (F.col("end") == F.col("high")))
-    status = (F.when(F.col("failed") > 0, "OCR_ENGINE_ERROR").when(F.col("damaged") > 0, "CORRUPT_RESPONSE")
+              F.count_if(F.col("ends")).alias("n_ends"), F.max(F.when(F.col("ends"), F.col("chunk_no"))).alias("end")))
+    whole = (~F.col("other") & (F.col("low") == 0) & (F.col("n_chunks") == F.col("high") + 1)
+             & (F.col("n_ends") == 1) & (F.col("end") == F.col("high")))
+    status = (F.when(F.col("failed"), "OCR_ENGINE_ERROR").when(F.col("damaged"), "CORRUPT_RESPONSE")
               .when(F.coalesce(whole, F.lit(False)), "READY").otherwise("INCOMPLETE"))
     return g.select("doc_id", status.alias("status"),
-                    F.when(F.col("failed") > 0, F.col("message")).alias("status_message"), "n_chunks")
+                    F.when(F.col("failed"), F.col("message")).alias("status_message"), "n_chunks", "n_rows")
 
 
 def to_responses(blocks: DataFrame, chunk_span: int = 2_000_000,
@@ -178,5 +204,7 @@ def stored(responses: DataFrame, folders: int = FOLDERS) -> DataFrame:
                             folder(F.col("doc_id"), folders).alias("part"))
 
 
-def write_responses(responses: DataFrame, path: str, mode: str = "overwrite") -> None:
-    stored(responses).repartition("part").write.mode(mode).partitionBy("part").json(path)
+def write_responses(responses: DataFrame, path: str, mode: str = "overwrite", files: int = 8) -> None:
+    """``files`` files a folder at most, written by as many tasks."""
+    spread = F.pmod(F.xxhash64("doc_id", "chunk_no"), F.lit(files))
+    stored(responses).repartition("part", spread).write.mode(mode).partitionBy("part").json(path)

@@ -248,8 +248,10 @@ def order_responses(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     return (rows.where(~((k % 17 == 9) & last))          # the last chunk never came
             .withColumn("body", damaged)
-            .withColumn("copies", F.when((k % 17 == 10) & last, 2).otherwise(1))   # stored twice
-            .select("doc_id", "chunk_no", "body", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy"))
+            # delivered twice: 10 with the same body, 11 with another one
+            .withColumn("copies", F.when((k % 17).isin(10, 11) & last, 2).otherwise(1))
+            .select("doc_id", "chunk_no", "body", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+            .withColumn("body", F.when((k % 17 == 11) & (F.col("copy") == 2), F.concat("body", F.lit(" "))).otherwise(F.col("body"))).drop("copy"))
 
 
 # ---------------------------------------------------------------------------

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 S3_OBJECT = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("size", T.LongType()),
-    T.StructField("eTag", T.StringType()), T.StructField("sequencer", T.StringType())])
+    T.StructField("eTag", T.StringType()), T.StructField("sequencer", T.StringType()),
+    T.StructField("versionId", T.StringType())])
 S3_BUCKET = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("ownerIdentity", T.StructType([T.StructField("principalId", T.StringType())])),
@@ -36,16 +37,21 @@ def event_records(events: DataFrame) -> DataFrame:
     percent-decoding); a malformed key decodes to NULL and gets status
     ``KEY_ERROR`` instead of aborting the batch."""
     r = events.select(F.monotonically_increasing_id().alias("event_no"), F.posexplode("Records").alias("record_no", "r"))
+    return r.select("event_no", "record_no", *record_columns())
+
+
+def record_columns() -> list[Column]:
+    """The columns of a record ``r``, in a batch or a stream."""
     raw = F.col("r.s3.object.key")
     key = F.try_url_decode(F.regexp_replace(raw, r"\+", " "))
-    return r.select(
-        "event_no", "record_no", F.col("r.s3.bucket.name").alias("bucket"),
+    return [
+        F.col("r.s3.bucket.name").alias("bucket"),
         raw.alias("raw_key"),
         key.alias("key"),
         F.coalesce(F.col("r.s3.object.size"), F.lit(0)).cast("long").alias("size"),
         F.col("r.eventName").alias("event_name"),
         F.col("r.eventTime").alias("event_time"),
-        F.when(key.isNull(), F.lit("KEY_ERROR")).otherwise(F.lit("OK")).alias("status"))
+        F.when(key.isNull(), F.lit("KEY_ERROR")).otherwise(F.lit("OK")).alias("status")]
 
 
 # FIXED VALUES: folder and suffix of result keys (in result_location)

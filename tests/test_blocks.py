@@ -157,8 +157,8 @@ def test_damaged_failed_and_empty_responses_are_never_processed(spark):
     last = '{"JobStatus":"SUCCEEDED","Blocks":[%s]}' % block
     chunks = {"whole": [good, last], "cut": [good, last[:30]], "corrupt": ["{oops"], "blank": [""], "null": [None], "empty": ['{"JobStatus":"SUCCEEDED","Blocks":[]}'],
               "failed": [good, '{"JobStatus":"FAILED","StatusMessage":"bad pdf"}'], "running": ['{"JobStatus":"IN_PROGRESS"}'], "nostatus": ['{"Blocks":[]}'],
-              "waiting": [good], "twice": [last, last]}
-    rows = [(k, 0 if k == "twice" else n, body) for k, bodies in chunks.items() for n, body in enumerate(bodies)]
+              "waiting": [good], "twice": [last, last], "differing": [last, last + " "]}
+    rows = [(k, 0 if k in ("twice", "differing") else n, body) for k, bodies in chunks.items() for n, body in enumerate(bodies)]
     stored = (spark.createDataFrame(rows, "key string, chunk_no int, body string")
               .withColumn("doc_id", document_id(F.lit("bkt"), F.concat(F.lit("in/"), F.col("key"), F.lit(".pdf")))).drop("key"))
     root = tempfile.mkdtemp(prefix="sheaf-bad-")
@@ -167,9 +167,9 @@ def test_damaged_failed_and_empty_responses_are_never_processed(spark):
     ev = spark.read.schema(EVENT).json(spark.sparkContext.parallelize([json.dumps({"Records": recs})]))
     got = {r.key[3:-4]: r.status for r in run_batch(spark, ev, os.path.join(root, "resp"), os.path.join(root, "out")).collect()}
     assert got == {"whole": "PROCESSED", "empty": "PROCESSED", "cut": "CORRUPT_RESPONSE", "corrupt": "CORRUPT_RESPONSE", "blank": "CORRUPT_RESPONSE", "null": "CORRUPT_RESPONSE",
-                   "nostatus": "CORRUPT_RESPONSE", "failed": "OCR_ENGINE_ERROR", "running": "INCOMPLETE", "waiting": "INCOMPLETE", "twice": "INCOMPLETE"}
+                   "nostatus": "CORRUPT_RESPONSE", "failed": "OCR_ENGINE_ERROR", "running": "INCOMPLETE", "waiting": "INCOMPLETE", "twice": "PROCESSED", "differing": "CORRUPT_RESPONSE"}
     out = {r.inputFile: (r.pageCount, r.fileSize) for r in read_results(spark, os.path.join(root, "out")).collect()}
-    assert out == {"in/whole.pdf": (2, 2), "in/empty.pdf": (0, 2)}  # the last record of a key gives the envelope
+    assert out == {"in/whole.pdf": (2, 2), "in/empty.pdf": (0, 2), "in/twice.pdf": (1, 2)}  # the last record of a key gives the envelope
 
 
 def test_results_are_replaced_document_by_document(spark):
