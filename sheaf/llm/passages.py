@@ -12,9 +12,12 @@ exactly or nearly, with an earlier one.
    shares a passage of ``min_words`` there, whichever documents the short seeds
    point to.  Of 50 equal words or more that an earlier document has, all but
    ten at most at either end are thus in a result.
-2. Each seed points to its first document (smallest doc_id): a seed with n
-   occurrences gives n - 1 anchors, never the pairs among them.  Occurrences
-   are counted map-side first and joined back by sort-merge, which splits a
+2. Most seeds are in one text only.  Chunks of texts ask which are not: each
+   sends its distinct seeds once, as packed differences, to the bucket of
+   their hash and gets back a bit for each.  Only seeds that two texts share
+   become rows.  Each points to its first document (smallest doc_id): a seed
+   with n occurrences gives n - 1 anchors, never the pairs among them.  Origins
+   are aggregated map-side first and joined back by sort-merge, which splits a
    frequent seed.
 3. The anchors of a pair of documents are chained in order of both texts; a
    chain's score is ``k`` an anchor less ``gap`` a word stepped over in either,
@@ -44,11 +47,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm import words
-from sheaf.llm.tables import keep
+from sheaf.llm.lm import pack, unpack
+from sheaf.llm.tables import keep, parts
 
 _NEAR = np.uint64(0x8CB92BA72F3D8DD7)
 _AGAIN = np.uint64(0xD6E8FEB86659FD93)
@@ -69,6 +74,8 @@ class Params:
     min_words: int = 40   # so that a passage of 50 whose first and last words differ is found
     skip: int = 16
     identity: float = 0.8
+    chunk_words: int = 1 << 20
+    bucket_chunks: int = 4   # chunks' worth of seeds that one task compares
 
 
 def seeds(h: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -116,50 +123,189 @@ def near_seeds(h: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     return runs[at], at
 
 
-def _numbered(found: np.ndarray) -> np.ndarray:
-    """``found`` with the number of a hash's occurrences before it mixed in, so
-    that each is one seed of a text."""
+def _numbered(found: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """``found`` (text by text) with the number of a hash's occurrences before
+    it in its text mixed in, so that each is one seed of a text."""
     order = np.argsort(found, kind="stable")
-    own = found[order]
+    own, of = found[order], text[order]
     index = np.arange(len(own))
     before = np.empty(len(own), np.uint64)
-    before[order] = index - np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), index, 0)) if len(own) else index
+    before[order] = index - np.maximum.accumulate(np.where(np.append(True, (own[1:] != own[:-1]) | (of[1:] != of[:-1])), index, 0)) if len(own) else index
     with np.errstate(over="ignore"):
         return np.where(before > 0, words.mix(found + before * _AGAIN), found)
 
 
-def _all_seeds(h: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, whether exact) of the seeds of a text, of all kinds."""
-    kinds = [seeds(h, p), near_seeds(h, p), exact_seeds(h, p)]
-    return (np.concatenate([_numbered(x) for x, _ in kinds]), np.concatenate([at for _, at in kinds]),
-            np.repeat([False, False, True], [len(x) for x, _ in kinds]))
+_INVERSE = pow(words._BASE, -1, 1 << 64)
 
 
-SEED = "seed long, doc_id long, pos int, exact boolean"
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """``words.windows`` of every position with k words after it, by sums of
+    powers: the same numbers in a few passes, whatever k is."""
+    n = len(h)
+    if n < k:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        back = np.full(n, _INVERSE, np.uint64)
+        back[0] = 1
+        sums = np.append(np.uint64(0), np.cumsum(h * np.multiply.accumulate(back)))
+        return words.mix((sums[k:] - sums[:-k]) * words._powers(n)[k - 1:n] + np.uint64(k))
+
+
+def _least(value: np.ndarray, window: int) -> np.ndarray:
+    """The place of the least (first) value in each window of ``value``."""
+    at = np.arange(len(value))
+    size = 1
+    while size < window:
+        step = min(size, window - size)
+        later = value[step:] < value[:-step]
+        value, at = np.where(later, value[step:], value[:-step]), np.where(later, at[step:], at[:-step])
+        size += step
+    return at
+
+
+def _block_minima(h: np.ndarray, bounds: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """``seeds`` of all texts of a block: (hash, place in ``h``)."""
+    runs = _runs(h, k)
+    count = np.maximum(np.diff(bounds) - k + 1, 0)
+    own = np.repeat(np.arange(len(count)), count)
+    if not len(own):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    place = bounds[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    # texts apart by a window, so that none reaches into the next
+    shifted = place + own * window
+    value = np.full(int(shifted[-1]) + window, np.uint64(0xFFFFFFFFFFFFFFFF))
+    back = np.zeros(len(value), np.int64)
+    value[shifted], back[shifted] = runs[place], place
+    first = place == bounds[own]
+    whole = place + window - 1 + k <= bounds[own + 1]
+    at = back[_least(value, window)[shifted[first | whole]]]
+    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+    at = _thinned(runs[at], at, window)
+    return runs[at], at
+
+
+def _block_seeds(h: np.ndarray, bounds: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, position, whether exact) of all seeds of a block's texts:
+    ``seeds``, ``near_seeds`` and ``exact_seeds`` of each, numbered."""
+    size = np.diff(bounds)
+    text = np.repeat(np.arange(len(size)), size)
+    runs = words.mix(_runs(h, p.near_k) ^ _NEAR)
+    inside = np.arange(len(runs)) + p.near_k <= bounds[text[:len(runs)] + 1]
+    at = np.flatnonzero(inside & (runs % np.uint64(p.near_of) == 0))
+    at = _thinned(runs[at], at, p.window)
+    kinds = [_block_minima(h, bounds, p.k, p.window), (runs[at], at), _block_minima(h, bounds, p.min_words, p.exact_window)]
+    found = [_numbered(x, text[at]) for x, at in kinds]
+    at = np.concatenate([at for _, at in kinds])
+    return np.concatenate(found), text[at], at - bounds[text[at]], np.repeat([False, False, True], [len(x) for x in found])
 
 
-def seed_rows(docs: DataFrame, p: Params) -> DataFrame:
-    """A row for each seed; ``exact`` marks the runs of ``min_words`` words."""
+CHUNK = "chunk long, doc_ids binary, sizes binary, words binary, codes binary"
+
+
+def chunks(docs: DataFrame, p: Params) -> DataFrame:
+    """The texts as words, many in a row: hashes of the distinct words and,
+    for each word of the texts, its place among them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, sizes, hashes, n = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            distinct, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (
+                np.concatenate(ids).astype("<i8").tobytes(), np.concatenate(sizes).astype("<u4").tobytes(), distinct.astype("<u8").tobytes(), pack(codes.astype(np.uint64))))],
+                names=[c.split()[0] for c in CHUNK.split(", ")])
+
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
+            own = batch["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
             for b in words.blocks(batch["text"]):
-                h = b.hashes(lower=True)
-                found = [_all_seeds(h[s], p) for _, s in b.rows()]
-                seed, pos, exact = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [words.as_long(seed), pa.array(np.repeat(ids[b.first:b.first + b.n_rows], [len(x) for x, *_ in found])),
-                     pa.array(pos.astype(np.int32)), pa.array(exact)], names=["seed", "doc_id", "pos", "exact"])
+                ids.append(own[b.first:b.first + b.n_rows])
+                sizes.append(np.diff(b.bounds))
+                hashes.append(b.hashes(lower=True))
+                n += len(hashes[-1])
+                if n >= p.chunk_words:
+                    yield flush()
+                    number, ids, sizes, hashes, n = number + 1, [], [], [], 0
+        if ids:
+            yield flush()
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, SEED)
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, CHUNK)
+
+
+def _chunk_seeds(row: dict, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, doc_id, position, whether exact) of the seeds of a chunk."""
+    h = np.frombuffer(row["words"], "<u8")[unpack(row["codes"]).astype(np.int64)].astype(np.uint64)
+    bounds = np.append(0, np.cumsum(np.frombuffer(row["sizes"], "<u4").astype(np.int64)))
+    seed, text, pos, exact = _block_seeds(h, bounds, p)
+    return seed, np.frombuffer(row["doc_ids"], "<i8")[text], pos, exact
+
+
+KEY_BITS = 48  # of a seed, to ask whether it is shared; a wrong yes only costs a row
+
+
+def _asked(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, whether each is there twice, the key of each seed)."""
+    keys, place, n = np.unique(seed >> np.uint64(64 - KEY_BITS), return_inverse=True, return_counts=True)
+    return keys, n > 1, place
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted keys."""
+    return np.searchsorted(((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), np.arange(buckets + 1))
+
+
+def shared(packed: DataFrame, buckets: int, p: Params) -> DataFrame:
+    """(chunk, bucket, flags): for each key of a chunk whether another text has
+    it too.  A chunk sends its distinct keys once, as packed differences."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, twice, _ = _asked(_chunk_seeds(row, p)[0])
+                cuts = _cuts(keys, buckets)
+                some = np.flatnonzero(np.diff(cuts)).tolist()
+                own = [slice(cuts[b], cuts[b + 1]) for b in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([pack(np.diff(keys[s], prepend=np.uint64(0))) for s in own], pa.binary()),
+                                                  pa.array([np.packbits(twice[s]).tobytes() for s in own], pa.binary())], names=["bucket", "chunk", "keys", "twice"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpack(k.as_py()), dtype=np.uint64) for k in table["keys"]]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(t.as_py(), np.uint8), count=len(k)) for t, k in zip(table["twice"], keys)]).astype(bool)
+        all_keys = np.concatenate(keys)
+        order = np.argsort(all_keys, kind="stable")
+        again = np.diff(all_keys[order]) == 0
+        twice[order[1:][again]] = twice[order[:-1][again]] = True
+        bits = np.split(twice, np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table([table["chunk"], table["bucket"], pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())], names=["chunk", "bucket", "flags"])
+
+    return packed.mapInArrow(ask, "bucket int, chunk long, keys binary, twice binary").groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, flags binary")
+
+
+def seed_rows(packed: DataFrame, flags: DataFrame, p: Params) -> DataFrame:
+    """A row for each seed that two texts share; ``exact`` marks the runs of
+    ``min_words`` words."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            seed, doc_id, pos, exact = _chunk_seeds(row, p)
+            keys, _, place = _asked(seed)
+            bits = [np.unpackbits(np.frombuffer(f, np.uint8)) for f in right.sort_by("bucket")["flags"].to_pylist()]
+            cuts = np.diff(_cuts(keys, row["buckets"]))
+            often = np.concatenate([np.empty(0, np.uint8), *[x[:n] for x, n in zip(bits, cuts[cuts > 0].tolist())]]).astype(bool)
+            some = np.flatnonzero(often[place])
+            out.append(pa.table([words.as_long(seed[some]), pa.array(doc_id[some].astype(np.int64)), pa.array(pos[some].astype(np.int32)), pa.array(exact[some])], names=["seed", "doc_id", "pos", "exact"]))
+        return pa.concat_tables(out)
+
+    return packed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(run, "seed long, doc_id long, pos int, exact boolean")
 
 
 def anchors(docs: DataFrame, p: Params) -> DataFrame:
     """(doc_id, other, pos, other_pos, exact): each shared seed with its place
     in the first document that has it."""
-    rows = seed_rows(docs, p)
-    origin = (rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min_by("pos", "doc_id").alias("other_pos"), F.min("doc_id").alias("other"))
-              .where("n > 1").drop("n"))
+    packed = keep(chunks(docs, p), "passages-chunks")
+    buckets = max(parts(docs.sparkSession), packed.count() // p.bucket_chunks)
+    flags = keep(shared(packed, buckets, p), "passages-shared")
+    rows = keep(seed_rows(packed.withColumn("buckets", F.lit(buckets)), flags, p), "passages-seeds")
+    # a table of its own, so that the join below is one of two plain exchanges, which split a frequent seed
+    origin = keep(rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+                  .where("n > 1").select("seed", F.col("first.doc_id").alias("other"), F.col("first.pos").alias("other_pos")), "passages-origins")
     return (rows.join(origin.hint("merge"), "seed").where("doc_id <> other")
             .select("doc_id", "other", "pos", "other_pos", "exact"))
 

@@ -231,3 +231,21 @@ def test_recall_of_edited_passages(spark):
     found = covered(passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     recall = {k: sum(len(found[i] & set(range(at, at + n))) >= 0.8 * n for i, at, n in v) / len(v) for k, v in want.items()}
     assert recall["10 %"] >= 0.97 and recall["15 %"] >= 0.95 and recall["20 %"] >= 0.85 and recall["1 in 6"] >= 0.97 and recall["1 in 5"] >= 0.95, recall
+
+
+def test_seeds_of_a_block_are_those_of_its_texts():
+    rng, p = np.random.default_rng(21), passages.Params(min_words=12, exact_window=5)
+    texts = [rng.integers(0, 30, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (0, 1, 3, 4, 5, 6, 7, 20, 21, 22, 37, 200, 0, 1000)]
+    texts += [np.zeros(300, np.uint64) + np.uint64(7), np.tile(texts[8], 9)]
+    bounds = np.append(0, np.cumsum([len(t) for t in texts]))
+    seed, text, pos, exact = passages._block_seeds(np.concatenate(texts), bounds, p)
+    for i, h in enumerate(texts):
+        kinds = [passages.seeds(h, p), passages.near_seeds(h, p), passages.exact_seeds(h, p)]
+        want = sorted((int(x), int(at), k == 2) for k, (found, places) in enumerate(kinds) for x, at in zip(passages._numbered(found, np.zeros(len(found), int)), places))
+        assert sorted(zip(seed[text == i].tolist(), pos[text == i].tolist(), exact[text == i].tolist())) == want
+
+
+@pytest.mark.parametrize("size", [1, 50, 1 << 20])
+def test_chunks_do_not_change_the_result(spark, small, size):
+    want = sorted(map(tuple, passages.passages(small).collect()))
+    assert want and sorted(map(tuple, passages.passages(small.repartition(3), passages.Params(chunk_words=size)).collect())) == want
