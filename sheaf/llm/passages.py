@@ -15,7 +15,9 @@ exactly or nearly, with an earlier one.
 2. Most seeds are in one text only.  Chunks of texts ask which are not: each
    sends its distinct seeds once, as packed differences, to the bucket of
    their hash and gets back a bit for each.  Only seeds that two texts share
-   become rows.  Each points to its first document (smallest doc_id): a seed
+   become rows, and of these such as have others near them: a text's shared
+   seeds lie close together in a passage, whichever documents they point to,
+   and single ones are stock phrases.  Each points to its first document (smallest doc_id): a seed
    with n occurrences gives n - 1 anchors, never the pairs among them.  Origins
    are aggregated map-side first and joined back by sort-merge, which splits a
    frequent seed.
@@ -70,6 +72,7 @@ class Params:
     near_of: int = 2       # of so many runs of near_k words one, by its hash
     exact_window: int = 11  # of runs of min_words: one seed at least in 50 equal words
     gap: float = 0.1
+    dense: int = 3         # shared seeds of a text within min_words to either side of one that counts
     min_anchors: int = 2
     min_words: int = 40   # so that a passage of 50 whose first and last words differ is found
     skip: int = 16
@@ -231,11 +234,18 @@ def chunks(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def _chunk_seeds(row: dict, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, doc_id, position, whether exact) of the seeds of a chunk."""
+    """(hash, text, position, whether exact) of the seeds of a chunk."""
     h = np.frombuffer(row["words"], "<u8")[unpack(row["codes"]).astype(np.int64)].astype(np.uint64)
     bounds = np.append(0, np.cumsum(np.frombuffer(row["sizes"], "<u4").astype(np.int64)))
-    seed, text, pos, exact = _block_seeds(h, bounds, p)
-    return seed, np.frombuffer(row["doc_ids"], "<i8")[text], pos, exact
+    return _block_seeds(h, bounds, p)
+
+
+def _dense(text: np.ndarray, pos: np.ndarray, p: Params) -> np.ndarray:
+    """Which of these seeds have ``dense`` of them, itself included, within
+    ``min_words`` words of their text to either side."""
+    key = (text << 32) + pos
+    rising = np.sort(key)
+    return np.searchsorted(rising, key + p.min_words, side="right") - np.searchsorted(rising, key - p.min_words) >= p.dense
 
 
 KEY_BITS = 48  # of a seed, to ask whether it is shared; a wrong yes only costs a row
@@ -279,18 +289,20 @@ def shared(packed: DataFrame, buckets: int, p: Params) -> DataFrame:
 
 
 def seed_rows(packed: DataFrame, flags: DataFrame, p: Params) -> DataFrame:
-    """A row for each seed that two texts share; ``exact`` marks the runs of
-    ``min_words`` words."""
+    """A row for each seed that two texts share and that has others near it;
+    ``exact`` marks the runs of ``min_words`` words."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            seed, doc_id, pos, exact = _chunk_seeds(row, p)
+            seed, text, pos, exact = _chunk_seeds(row, p)
             keys, _, place = _asked(seed)
             bits = [np.unpackbits(np.frombuffer(f, np.uint8)) for f in right.sort_by("bucket")["flags"].to_pylist()]
             cuts = np.diff(_cuts(keys, row["buckets"]))
             often = np.concatenate([np.empty(0, np.uint8), *[x[:n] for x, n in zip(bits, cuts[cuts > 0].tolist())]]).astype(bool)
             some = np.flatnonzero(often[place])
-            out.append(pa.table([words.as_long(seed[some]), pa.array(doc_id[some].astype(np.int64)), pa.array(pos[some].astype(np.int32)), pa.array(exact[some])], names=["seed", "doc_id", "pos", "exact"]))
+            some = some[exact[some] | _dense(text[some], pos[some], p)]
+            doc_id = np.frombuffer(row["doc_ids"], "<i8")
+            out.append(pa.table([words.as_long(seed[some]), pa.array(doc_id[text[some]].astype(np.int64)), pa.array(pos[some].astype(np.int32)), pa.array(exact[some])], names=["seed", "doc_id", "pos", "exact"]))
         return pa.concat_tables(out)
 
     return packed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(run, "seed long, doc_id long, pos int, exact boolean")
@@ -454,22 +466,23 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, other, at, to = [], [], [], []
+            doc, other, at, to = [], [], [], []  # a row a pair, a list a chain
             for i, (d, o, own) in enumerate(zip(batch["doc_id"].to_pylist(), batch["other"].to_pylist(), batch["at"])):
                 flat = own.values
                 x, y = flat.field("pos").to_numpy().astype(np.int64), flat.field("other_pos").to_numpy().astype(np.int64)
                 whole = flat.field("exact").to_numpy(zero_copy_only=False)
                 order = np.lexsort((-y, x))
                 x, y, whole = x[order], y[order], whole[order]
-                for c in chains(x, y, p, whole):
+                found = chains(x, y, p, whole)
+                if found:
                     doc.append(d)
                     other.append(o)
-                    at.append(x[c])
-                    to.append(y[c])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(other, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(to, pa.list_(pa.int32()))],
-                                             names=["doc_id", "other", "at", "to"])
+                    at.append([x[c] for c in found])
+                    to.append([y[c] for c in found])
+            kind = pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(other, pa.int64()), pa.array(at, kind), pa.array(to, kind)], names=["doc_id", "other", "at", "to"])
 
-    chained = keep(pairs.mapInArrow(chain, "doc_id long, other long, at array<int>, to array<int>"), "passages-chains")
+    chained = keep(pairs.mapInArrow(chain, "doc_id long, other long, at array<array<int>>, to array<array<int>>"), "passages-chains")
     wanted = chained.select("doc_id").unionByName(chained.select(F.col("other").alias("doc_id"))).distinct()
     texts = keep(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "passages-texts")
 
@@ -484,8 +497,8 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 for i, s in b.rows():
                     if others[i] != last:
                         last, far = others[i], words.block_of(batch["other_text"][i].as_py().encode()).hashes(lower=True)
-                    found = align(h[s], far, np.array(at[i]), np.array(to[i]), p)
-                    out += [(docs_[i], others[i], *x) for x in found]
+                    found = {x for a, b_ in zip(at[i], to[i]) for x in align(h[s], far, np.array(a), np.array(b_), p)}
+                    out += [(docs_[i], others[i], *x) for x in sorted(found)]
             kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds],
                                              names=[x.split()[0] for x in PASSAGE.split(", ")])
