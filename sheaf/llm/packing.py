@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,14 +42,36 @@ END = 1
 _SEAM = re.compile(rb"(?<=[a-z])(?=[!-@\[-`{-~])|(?<=[!-@\[-`{-~])(?=[a-z])")
 
 
-def fragments(word: bytes) -> list[bytes]:
-    """Parts of a word that the vocabulary's pre-tokenizer never joins, ASCII
+def fragments(found: list[bytes]) -> list[list[bytes]]:
+    """Parts of words that the vocabulary's pre-tokenizer never joins, ASCII
     letters in lower case.  A word with an apostrophe (contractions) or with the
     beginning of a special token is left whole."""
-    if b"'" in word or b"<|" in word:
-        return [word]
-    word = word.lower()
-    return [word] if word.isalpha() else _SEAM.split(word)
+    # words hold no white space: a line each, a vertical tab at each seam
+    rows = _SEAM.sub(b"\x0b", b"\n".join(found).lower()).split(b"\n") if found else []
+    return [[w] if b"'" in w or b"<|" in w else r.split(b"\x0b") for w, r in zip(found, rows)]
+
+
+class Pool:
+    """Runs of ids, by number."""
+
+    def __init__(self) -> None:
+        self.starts, self.ids, self.count = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+
+    def add(self, sizes: np.ndarray, flat: np.ndarray) -> None:
+        used = int(self.starts[self.count])
+        while used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(flat), len(self.ids)), np.uint32)])
+        while self.count + len(sizes) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(sizes), len(self.starts)), np.int64)])
+        self.ids[used:used + len(flat)] = flat
+        self.starts[self.count + 1:self.count + len(sizes) + 1] = used + np.cumsum(sizes)
+        self.count += len(sizes)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes of the runs ``at``, their ids one after another)."""
+        start, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(n)
+        return n, self.ids[np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class WordIds:
@@ -62,31 +85,35 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.encoded: dict[bytes, bytes] = {}
+        self.encoded: dict[bytes, int] = {}
+        self.parts = Pool()
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[int, int] = {}
-        self.starts, self.pool, self.used, self.count = np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
+        self.words = Pool()
+
+    def _encode(self, new: list[bytes]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([f.decode("utf-8", "replace") for f in new], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.encoded.update(zip(new, range(self.parts.count, self.parts.count + len(new))))
+        self.parts.add(sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
 
     def _add(self, hashes: list[int], found: list[bytes]) -> None:
-        parts = [fragments(w) for w in found]
-        new = list({f for own in parts for f in own if f not in self.encoded})
+        if not found:
+            return
+        parts = fragments(found)
+        flat = list(chain.from_iterable(parts))
+        new = list({f for f in flat if f not in self.encoded})
         if len(self.encoded) + len(new) > self.most:
             self.encoded.clear()
-            new = list({f for own in parts for f in own})
-        for f, e in zip(new, self.tokenizer.encode_batch_fast([f.decode("utf-8", "replace") for f in new], add_special_tokens=False)):
-            self.encoded[f] = np.array(e.ids, "<u4").tobytes()
-        ids = [b"".join([self.encoded[f] for f in own]) for own in parts]
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool)), np.uint32)])
-        while self.count + len(ids) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(max(len(ids), len(self.starts)), np.int64)])
-        self.pool[self.used:self.used + len(flat)] = flat
-        self.starts[self.count + 1:self.count + len(ids) + 1] = self.used + np.cumsum([len(x) // 4 for x in ids])
-        self.at.update(zip(hashes, range(self.count, self.count + len(ids))))
-        self.used, self.count = self.used + len(flat), self.count + len(ids)
+            self.parts = Pool()
+            new = list(set(flat))
+        self._encode(new)
+        sizes, ids = self.parts.take(np.fromiter(map(self.encoded.__getitem__, flat), np.int64, len(flat)))
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.at.update(zip(hashes, range(self.words.count, self.words.count + len(found))))
+        self.words.add(np.add.reduceat(sizes, np.cumsum(count) - count), ids)
 
     def block(self, b: words.Block) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words of a block, bounds of its rows in them)."""
@@ -95,16 +122,14 @@ class WordIds:
         unique, first, back = np.unique(b.hashes(), return_index=True, return_inverse=True)
         keys = unique.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.at]
-        if self.count + len(new) > self.most:
+        if self.words.count + len(new) > self.most:
             self._clear()
             new = range(len(keys))
         raw, starts, ends = b.data.tobytes(), b.starts[first].tolist(), b.ends[first].tolist()
         self._add([keys[i] for i in new], [raw[starts[i]:ends[i]] for i in new])
-        slot = np.array([self.at[k] for k in keys])[back]
-        start, n = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
-        ends = np.cumsum(n)
-        ids = self.pool[np.repeat(start - (ends - n), n) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends])[b.bounds]
+        slot = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        n, ids = self.words.take(slot[back])
+        return ids, np.append(0, np.cumsum(n))[b.bounds]
 
 
 @lru_cache(1)
