@@ -34,6 +34,50 @@ def latency_metrics(runs: DataFrame, quantiles: bool = False) -> DataFrame:
     return runs.groupBy("engine", "page_count").agg(*aggs)
 
 
+def latency_percentiles(runs: DataFrame, by: tuple[str, ...] = ("engine", "page_count"), qs: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """AGG-15: exact quantiles, interpolated between neighbours: ``(*by, q, n,
+    value)``.  The aggregate holds a group's distinct values; where those are
+    too many, use sketches."""
+    g = runs.groupBy(*by).agg(F.count("duration_ms").alias("n"), F.percentile("duration_ms", list(qs)).alias("v"))
+    return g.select(*by, "n", F.posexplode("v").alias("k", "value")).select(
+        *by, F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("k") + 1).alias("q"), "n", "value")
+
+
+# KLL sketches: of k items a normalised rank is off by about 2.3 / k ** 0.9
+SKETCH_K = 800
+
+
+def latency_sketches(runs: DataFrame, window: str = "1 day", by: tuple[str, ...] = ("engine", "page_count"), k: int = SKETCH_K) -> DataFrame:
+    """AGG-15 / STR-3: a mergeable sketch of processing times per time window
+    and group: ``(start, *by, n, sketch)``, a few kilobytes a row, in a batch or
+    a stream (with a watermark on ``ts``).  Missing times are left out."""
+    g = runs.where("duration_ms is not null").groupBy(F.window(F.col("ts").cast("timestamp"), window).alias("w"), *by)
+    rows = g.agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), F.lit(k)).alias("sketch"))
+    return rows.select(F.col("w.start").alias("start"), *by, "n", "sketch")
+
+
+def merge_sketches(sketches: DataFrame, by: list, k: int = SKETCH_K) -> DataFrame:
+    """Stored sketches merged to coarser groups (columns ``by``): of days to
+    months, of page counts to engines, or of all.  Only sketches are read."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, qs: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """``q`` and its estimate ``v`` of each row's sketch."""
+    rest = [c for c in sketches.columns if c != "sketch"]
+    pairs = F.array(*[F.struct(F.lit(q).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("v")) for q in qs])
+    return sketches.select(*rest, F.inline(pairs))
+
+
+def within_rank(runs: DataFrame, found: DataFrame, by: list[str], error: float) -> DataFrame:
+    """``found`` (*by, q, n, v) with ``within``: whether ``v`` lies within
+    ``error`` x n (and one) ranks of its quantile among all rows of ``runs``."""
+    ranks = (runs.join(found, by).groupBy(*by, "q", "n", "v")
+             .agg(F.count_if(F.col("duration_ms") < F.col("v")).alias("below"), F.count_if(F.col("duration_ms") <= F.col("v")).alias("up_to")))
+    slack = F.lit(error) * F.col("n") + 1
+    return ranks.select(*by, "q", "n", "v", ((F.col("below") <= F.col("q") * F.col("n") + slack) & (F.col("up_to") >= F.col("q") * F.col("n") - slack)).alias("within"))
+
+
 def throughput(runs: DataFrame) -> DataFrame:
     """AGG-13: total seconds and seconds per page, per engine."""
     return (runs.groupBy("engine")

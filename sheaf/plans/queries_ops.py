@@ -14,6 +14,7 @@ from sheaf.sources import derived as DV
 from sheaf.sources.events import document_events, event_records, result_location
 from sheaf.sources import logs as LG
 from sheaf.sources.files import file_text, part_files
+from sheaf.session import materialize
 from sheaf.sources.tables import table
 
 # limits used by the registered triage query (parameters of triage())
@@ -127,20 +128,32 @@ def latency_metrics(spark, sf_dir):
             .withColumn("sum_ms", round6("sum_ms")).withColumn("avg_ms", round6("avg_ms")))
 
 
-@register("latency_quantiles", "AGG-15 quantiles: each sketch value lies within 0.1 % of ranks of its quantile", f"""
-SELECT engine, page_count, CAST(q.q AS DOUBLE) AS q, n, true AS within
-FROM (SELECT {DV.ENGINE_SQL} AS engine, CAST(user_id % 10 + 1 AS INTEGER) AS page_count, count(*) AS n
-      FROM events WHERE event_type <> 'error' GROUP BY ALL) CROSS JOIN (SELECT unnest([0.5, 0.9, 0.99]) AS q) q""")
+@register("latency_quantiles", "AGG-15 quantiles by engine and page count: exact, and whether a sketch's lie within 0.1 % of their ranks", f"""
+SELECT engine, page_count, CAST(q.q AS DOUBLE) AS q, n, {round6_sql('list_extract(v, q.i)')} AS value, true AS within
+FROM (SELECT {DV.ENGINE_SQL} AS engine, CAST(user_id % 10 + 1 AS INTEGER) AS page_count, count(*) AS n, quantile_cont(value, [0.5, 0.9, 0.99]) AS v
+      FROM events WHERE event_type <> 'error' GROUP BY ALL) CROSS JOIN (SELECT unnest([0.5, 0.9, 0.99]) AS q, unnest([1, 2, 3]) AS i) q""")
 def latency_quantiles(spark, sf_dir):
-    runs = DV.run_times(table(spark, sf_dir, "events"))
+    runs, by = DV.run_times(table(spark, sf_dir, "events")), ["engine", "page_count"]
     got = (M.latency_metrics(runs, quantiles=True)
-           .select("engine", "page_count", "n", F.posexplode("p50_p90_p99").alias("k", "v"))
-           .withColumn("q", F.element_at(F.array(*[F.lit(x) for x in M.QUANTILES]), F.col("k") + 1)))
-    ranks = (runs.join(got, ["engine", "page_count"]).groupBy("engine", "page_count", "q", "n")
-             .agg(F.count_if(F.col("duration_ms") < F.col("v")).alias("below"), F.count_if(F.col("duration_ms") <= F.col("v")).alias("up_to")))
-    slack = 0.001 * F.col("n") + 1
-    return ranks.select("engine", "page_count", "q", "n",
-                        ((F.col("below") <= F.col("q") * F.col("n") + slack) & (F.col("up_to") >= F.col("q") * F.col("n") - slack)).alias("within"))
+           .select(*by, "n", F.posexplode("p50_p90_p99").alias("k", "v"))
+           .withColumn("q", F.element_at(F.array(*[F.lit(x) for x in M.QUANTILES]), F.col("k") + 1)).drop("k"))
+    close = M.within_rank(runs, got, by, 0.001).drop("v", "n")
+    return M.latency_percentiles(runs).withColumn("value", round6("value")).join(close, [*by, "q"])
+
+
+@register("latency_sketch_months", "AGG-15 / STR-3: a month's quantiles by engine from its days' merged sketches, within 1.5 % of ranks; n and exact values beside", f"""
+SELECT month, engine, CAST(q.q AS DOUBLE) AS q, n, days, {round6_sql('list_extract(v, q.i)')} AS value, true AS within
+FROM (SELECT strftime(ts, '%Y-%m') AS month, {DV.ENGINE_SQL} AS engine, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS days, quantile_cont(value, [0.5, 0.9, 0.99]) AS v
+      FROM events WHERE event_type <> 'error' GROUP BY ALL) CROSS JOIN (SELECT unnest([0.5, 0.9, 0.99]) AS q, unnest([1, 2, 3]) AS i) q""")
+def latency_sketch_months(spark, sf_dir):
+    runs, by = DV.run_times(table(spark, sf_dir, "events")), ["month", "engine"]
+    runs = runs.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    stored = materialize(M.latency_sketches(runs).withColumn("month", F.date_format("start", "yyyy-MM")), "latency-days")
+    merged = M.merge_sketches(stored, by)
+    close = M.within_rank(runs, M.sketch_quantiles(merged), by, 0.015).drop("v")
+    days = stored.groupBy(*by).agg(F.count_distinct("start").alias("days"))
+    exact = M.latency_percentiles(runs, tuple(by)).withColumn("value", round6("value")).drop("n")
+    return close.join(exact, [*by, "q"]).join(days, by)
 
 
 @register("throughput", "AGG-13 total seconds and seconds per page", f"""

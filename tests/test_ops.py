@@ -7,6 +7,9 @@ from sheaf.operators import usage as U
 from sheaf.sources.events import event_records, result_location
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def test_triage_first_failure_wins(spark):
     rows = [
         ("big", bytearray(b"%PDF" + b"x" * 80)),
@@ -124,3 +127,33 @@ def test_read_logs_from_files(spark):
     assert json.loads(first.data) == {"key": "a.pdf", "error": "x"}
     got = [(r.hour, r.message, r.n) for r in log_errors(logs).collect()]
     assert got == [("2024-01-05 10:00", "S3 OCR processing failed", 2)]
+
+
+def test_sketches_merge_and_follow_a_stream(spark):
+    import os
+    import tempfile
+
+    from sheaf.operators import metrics as M
+    from sheaf.sources import derived as DV
+    from sheaf.sources.tables import table
+    runs = DV.run_times(table(spark, SF, "events"))
+    runs = runs.unionByName(runs.limit(3).withColumn("duration_ms", F.lit(None).cast("double")))
+    path = os.path.join(tempfile.mkdtemp(prefix="sheaf-kll-"), "r")
+    runs.repartition(3).write.parquet(path)
+    s = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = M.latency_sketches(s).writeStream.outputMode("complete").format("memory").queryName("kll_days").start()
+    q.processAllAvailable()
+    q.stop()
+    streamed = spark.sql("SELECT * FROM kll_days")
+    batch = M.latency_sketches(runs)
+    key = lambda df: sorted((r["start"], r["engine"], r["page_count"], r["n"]) for r in df.collect())
+    assert key(streamed) == key(batch) and streamed.agg(F.sum("n")).first()[0] == runs.count() - 3
+    every = runs.where("duration_ms is not null")
+    for days in (streamed, batch):
+        for by in (["engine"], ["engine", "page_count"]):
+            found = M.sketch_quantiles(M.merge_sketches(days, by), (0.0, 0.1, 0.5, 0.9, 1.0))
+            close = M.within_rank(every, found, by, 0.015).collect()
+            assert len(close) == found.count() and all(r["within"] for r in close)
+    assert M.merge_sketches(batch.where("false"), ["engine"]).count() == 0
+    small = spark.createDataFrame([("e", 1, x) for x in (1.0, 2.0, 10.0, None)], "engine string, page_count int, duration_ms double")
+    assert [(r["q"], r["n"], r["value"]) for r in M.latency_percentiles(small).orderBy("q").collect()] == [(0.5, 3, 2.0), (0.9, 3, 8.4), (0.99, 3, 9.84)]
