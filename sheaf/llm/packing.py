@@ -86,12 +86,20 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.encoded: dict[bytes, int] = {}
-        self.parts = Pool()
-        self._clear()
+        self.parts, self.words = Pool(), Pool()
+        self.at: dict[int, int] = {}
+        self.again = np.zeros(1024, bool)  # whether a second block had the word
 
     def _clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.words = Pool()
+        """Forgets the words that only one block has had: most distinct words
+        never come again."""
+        kept = [(h, i) for h, i in self.at.items() if self.again[i]]
+        if 2 * len(kept) > self.most:
+            kept = []
+        at, words_ = np.array([i for _, i in kept], np.int64), Pool()
+        words_.add(*self.words.take(at))
+        self.at, self.words = dict(zip([h for h, _ in kept], range(len(kept)))), words_
+        self.again = np.zeros(1024, bool)
 
     def _encode(self, new: list[bytes]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([f.decode("utf-8", "replace") for f in new], add_special_tokens=False)]
@@ -124,10 +132,14 @@ class WordIds:
         new = [i for i, k in enumerate(keys) if k not in self.at]
         if self.words.count + len(new) > self.most:
             self._clear()
-            new = range(len(keys))
+            new = [i for i, k in enumerate(keys) if k not in self.at]
+        before = self.words.count
         raw, starts, ends = b.data.tobytes(), b.starts[first].tolist(), b.ends[first].tolist()
         self._add([keys[i] for i in new], [raw[starts[i]:ends[i]] for i in new])
         slot = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        while self.words.count > len(self.again):
+            self.again = np.concatenate([self.again, np.zeros(len(self.again), bool)])
+        self.again[slot[slot < before]] = True
         n, ids = self.words.take(slot[back])
         return ids, np.append(0, np.cumsum(n))[b.bounds]
 
