@@ -77,6 +77,7 @@ class Params:
     min_words: int = 40   # so that a passage of 50 whose first and last words differ is found
     skip: int = 16
     identity: float = 0.8
+    around: int = 128     # words beside a chain that are compared first
     chunk_words: int = 1 << 20
     bucket_chunks: int = 4   # chunks' worth of seeds that one task compares
 
@@ -356,8 +357,9 @@ def chains(pos: np.ndarray, other: np.ndarray, p: Params, exact: np.ndarray | No
     return out
 
 
-def _diagonal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the words agree, along the best-scoring common beginning without a gap."""
+def _diagonal(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """(whether the words agree, along the best-scoring common beginning without
+    a gap; how many words that took)."""
     n, at, size, score, best, end, parts = min(len(a), len(b)), 0, 64, 0, 0, 0, []
     while at < n:
         stop = min(at + size, n)
@@ -369,16 +371,17 @@ def _diagonal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if len(sums) and sums.max() > best:
             best, end = int(sums.max()), at + int(sums.argmax()) + 1
         if len(low):
-            break
+            return np.concatenate(parts)[:end], at + int(low[0]) + 1
         score, at, size = int(sums[-1]), stop, min(2 * size, 4096)
-    return np.concatenate(parts)[:end] if parts else np.empty(0, bool)
+    return np.concatenate(parts)[:end] if parts else np.empty(0, bool), n
 
 
-def follow(a: np.ndarray, b: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def follow(a: np.ndarray, b: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(words of a, words of b, agree) of each column of the best-scoring
-    alignment of a beginning of ``a`` and one of ``b``; it is given up where
-    the score is ``skip`` differing words below its best."""
-    i = j = score = best = n = kept = 0
+    alignment of a beginning of ``a`` and one of ``b``, and how many words of
+    ``a`` were looked at; it is given up where the score is ``skip`` differing
+    words below its best."""
+    i = j = score = best = n = kept = reach = 0
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(hit: np.ndarray, da: int = 1, db: int = 1) -> None:
@@ -389,10 +392,15 @@ def follow(a: np.ndarray, b: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndar
             i, j, n, score = i + da * len(hit), j + db * len(hit), n + len(hit), score + hits - MISS * (len(hit) - hits)
 
     while True:
-        add(_diagonal(a[i:], b[j:]))
+        hit, looked = _diagonal(a[i:], b[j:])
+        reach = max(reach, i + looked)
+        add(hit)
         if score > best:
             best, kept = score, n
-        if score < best - MISS * p.skip or len(a) - i < GRAM or len(b) - j < GRAM:
+        if score < best - MISS * p.skip:
+            break
+        reach = max(reach, i + p.skip + GRAM)
+        if len(a) - i < GRAM or len(b) - j < GRAM:
             break
         ga, gb = words.windows(a[i:i + p.skip + GRAM], GRAM), words.windows(b[j:j + p.skip + GRAM], GRAM)
         x, y = np.nonzero(ga[:, None] == gb[None, :])
@@ -407,9 +415,9 @@ def follow(a: np.ndarray, b: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndar
         add(np.zeros(max(x, y) - both, bool), int(x > y), int(y > x))
         add(new[turn:])
     if not kept:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), reach
     da, db, hit = (np.concatenate(c)[:kept] for c in zip(*parts))
-    return da, db, hit
+    return da, db, hit, reach
 
 
 def _passing(a: np.ndarray, b: np.ndarray, hit: np.ndarray, p: Params) -> list[tuple[int, int]]:
@@ -438,12 +446,19 @@ def _passing(a: np.ndarray, b: np.ndarray, hit: np.ndarray, p: Params) -> list[t
 
 def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, other: np.ndarray, p: Params) -> list[tuple[int, int, int, int, int]]:
     """Passages (start, end, other start, other end, matches) along a chain."""
-    out, seen = [], np.zeros(len(pos), bool)
+    return _align(a, b, pos, other, p)[0]
+
+
+def _align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, other: np.ndarray, p: Params) -> tuple[list[tuple[int, int, int, int, int]], bool, bool]:
+    """``align``, and whether that looked at the first and the last word of ``a``
+    or beyond."""
+    out, seen, first, last = [], np.zeros(len(pos), bool), False, False
     for k, (x, y) in enumerate(zip(pos.tolist(), other.tolist())):
         if seen[k]:  # agrees in an alignment already split into its passages
             continue
         left, right = follow(a[:x][::-1], b[:y][::-1], p), follow(a[x:], b[y:], p)
-        da, db, hit = (np.concatenate([l[::-1], r]) for l, r in zip(left, right))
+        first, last = first or left[3] >= x, last or right[3] >= len(a) - x
+        da, db, hit = (np.concatenate([l[::-1], r]) for l, r in zip(left[:3], right[:3]))
         at = x - int(left[0].sum()) + np.append(0, np.cumsum(da))
         to = y - int(left[1].sum()) + np.append(0, np.cumsum(db))
         for s, e in _passing(at, to, hit, p):
@@ -452,7 +467,62 @@ def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, other: np.ndarray, p: P
             mine, theirs = at[:-1][hit], to[:-1][hit]
             near = np.minimum(np.searchsorted(mine, pos), len(mine) - 1)
             seen |= (mine[near] == pos) & (theirs[near] == other)
-    return sorted(set(out))
+    return sorted(set(out)), first, last
+
+
+CLIPPED = "doc_id long, other long, base array<int>, last array<boolean>, part array<binary>, of array<int>, at array<array<int>>, to array<array<int>>"
+
+
+def _clipped(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """The parts of a text within ``around`` words of a pair's chains, instead
+    of the text: ``base`` is a part's first word, ``last`` whether it ends with
+    the text, ``of`` each chain's part."""
+    for batch in batches:
+        out = []
+        ids, others, at, to = (batch[c].to_pylist() for c in ("doc_id", "other", "at", "to"))
+        for b in words.blocks(batch["text"]):
+            for i, s in b.rows():
+                n = s.stop - s.start
+                # anchors beyond the text are of another one of its doc_id
+                kept = [[(x, y) for x, y in zip(*c) if x < n] for c in zip(at[i], to[i])]
+                kept = sorted([c for c in kept if c], key=lambda c: c[0])
+                base, end, of = [], [], []
+                for c in kept:
+                    low, high = max(0, c[0][0] - p.around), min(n, c[-1][0] + p.around)
+                    if not base or low > end[-1]:
+                        base.append(low)
+                        end.append(high)
+                    end[-1] = max(end[-1], high)
+                    of.append(len(base) - 1)
+                part = [b.data[b.starts[s.start + x]:b.ends[s.start + y - 1]].tobytes() for x, y in zip(base, end)]
+                out.append((ids[i], others[i], base, [y == n for y in end], part, of, [[x for x, _ in c] for c in kept], [[y for _, y in c] for c in kept]))
+        ints = pa.list_(pa.int32())
+        kinds = (pa.int64(), pa.int64(), ints, pa.list_(pa.bool_()), pa.list_(pa.binary()), ints, pa.list_(ints), pa.list_(ints))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in CLIPPED.split(", ")])
+
+
+FOUND = "doc_id long, other_doc_id long, start int, end int, other_start int, other_end int, matches int"
+
+
+def _compared(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """The passages of each pair, or one row without any where an alignment
+    came to an end of a part that is no end of the text."""
+    before, far = None, None
+    for batch in batches:
+        out = []
+        for row in range(batch.num_rows):
+            d, o, base, last, part, of, at, to = (batch[c.split()[0]][row].as_py() for c in CLIPPED.split(", "))
+            if o != before:
+                before, far = o, words.block_of(batch["other_text"][row].as_py().encode()).hashes(lower=True)
+            own = [words.block_of(x).hashes(lower=True) for x in part]
+            found, again = set(), False
+            for k, x, y in zip(of, at, to):
+                spans, first, end = _align(own[k], far, np.array(x) - base[k], np.array(y), p)
+                again = again or first and base[k] > 0 or end and not last[k]
+                found |= {(a + base[k], b + base[k], *rest) for a, b, *rest in spans}
+            out += [(d, o, None, None, None, None, None)] if again else [(d, o, *x) for x in sorted(found)]
+        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
 PASSAGE = "doc_id long, other_doc_id long, start int, end int, other_start int, other_end int, matches int"
@@ -486,25 +556,14 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
     wanted = chained.select("doc_id").unionByName(chained.select(F.col("other").alias("doc_id"))).distinct()
     texts = keep(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "passages-texts")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, far = None, None
-        for batch in batches:
-            out = []
-            others, docs_ = batch["other"].to_pylist(), batch["doc_id"].to_pylist()
-            at, to = batch["at"].to_pylist(), batch["to"].to_pylist()
-            for b in words.blocks(batch["text"]):
-                h = b.hashes(lower=True)
-                for i, s in b.rows():
-                    if others[i] != last:
-                        last, far = others[i], words.block_of(batch["other_text"][i].as_py().encode()).hashes(lower=True)
-                    found = {x for a, b_ in zip(at[i], to[i]) for x in align(h[s], far, np.array(a), np.array(b_), p)}
-                    out += [(docs_[i], others[i], *x) for x in sorted(found)]
-            kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds],
-                                             names=[x.split()[0] for x in PASSAGE.split(", ")])
-
-    joined = chained.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")), "other")
-    found = joined.select("doc_id", "other", "at", "to", "text", "other_text").mapInArrow(compare, PASSAGE)
+    far = texts.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
+    parts_ = chained.join(texts, "doc_id").mapInArrow(lambda x: _clipped(x, p), CLIPPED)
+    near = keep(parts_.join(far, "other").select(*[c.split()[0] for c in CLIPPED.split(", ")], "other_text").mapInArrow(lambda x: _compared(x, p), FOUND), "passages-near")
+    # what goes on beyond its parts is aligned on whole texts
+    whole = chained.join(near.where("matches is null").select("doc_id", F.col("other_doc_id").alias("other")).hint("merge"), ["doc_id", "other"], "left_semi")
+    whole = whole.join(texts, "doc_id").select("doc_id", "other", F.array(F.lit(0)).alias("base"), F.array(F.lit(True)).alias("last"), F.array(F.col("text").cast("binary")).alias("part"),
+                                               F.transform("at", lambda c: F.lit(0)).alias("of"), "at", "to")
+    found = near.where("matches is not null").unionByName(whole.join(far, "other").select(*[c.split()[0] for c in CLIPPED.split(", ")], "other_text").mapInArrow(lambda x: _compared(x, p), FOUND))
     rows = found.groupBy("doc_id").agg(F.collect_set(F.struct(*[x.split()[0] for x in PASSAGE.split(", ")][1:])).alias("rows"))
     first = F.expr("filter(rows, r -> not exists(rows, q -> q.other_doc_id < r.other_doc_id and q.start <= r.start and q.`end` >= r.`end`))")
     return rows.select("doc_id", F.inline(first))

@@ -249,3 +249,10 @@ def test_seeds_of_a_block_are_those_of_its_texts():
 def test_chunks_do_not_change_the_result(spark, small, size):
     want = sorted(map(tuple, passages.passages(small).collect()))
     assert want and sorted(map(tuple, passages.passages(small.repartition(3), passages.Params(chunk_words=size)).collect())) == want
+
+
+def test_parts_of_texts_do_not_change_the_result(spark, small):
+    """Alignments that leave their parts are done again on whole texts."""
+    want = sorted(map(tuple, passages.passages(small, passages.Params(around=1 << 20)).collect()))
+    for around in (1, 30):
+        assert want and sorted(map(tuple, passages.passages(small, passages.Params(around=around)).collect())) == want
