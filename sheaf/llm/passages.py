@@ -501,25 +501,60 @@ def _clipped(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in CLIPPED.split(", ")])
 
 
+def _hashed(part: pa.Array) -> list[list[np.ndarray]]:
+    """The word hashes of each part of each row."""
+    flat = [h[s] for b in words.blocks(part.flatten()) for h in [b.hashes(lower=True)] for _, s in b.rows()]
+    ends = np.append(0, np.cumsum(part.value_lengths().to_numpy())).tolist()
+    return [flat[x:y] for x, y in zip(ends, ends[1:])]
+
+
+def _able(a: np.ndarray, sorted_other: np.ndarray, pos: np.ndarray, begins: bool, ends: bool, p: Params) -> bool:
+    """Whether an alignment through anchors at ``pos`` (ascending) may hold a
+    passage or look beyond an end of ``a`` that is no end of its text (all but
+    ``begins``, ``ends``).  A word of ``a`` that the other text has nowhere
+    never agrees, so counting all others as agreeing bounds every score from
+    above: it tells how far an alignment reaches, and whether any stretch there
+    has matches enough.  A no is certain."""
+    if not len(sorted_other):
+        return False
+    agree = sorted_other[np.minimum(np.searchsorted(sorted_other, a), len(sorted_other) - 1)] == a
+    sums = np.append(0, np.cumsum(np.where(agree, 1, -MISS)))
+    # given up ``skip`` misses below the best, after at most one more difference and a look along its diagonal
+    drop = MISS * (2 * p.skip + GRAM + DROP + 1)
+    right = np.flatnonzero(sums[pos[-1]:] < sums[pos].min() - drop)
+    left = np.flatnonzero(sums[:pos[0] + 1] > sums[pos].max() + drop)
+    margin = p.skip + GRAM  # words after a stretch that are looked at for a run that agrees
+    low, high = (int(left[-1]) if len(left) else 0), (int(pos[-1] + right[0]) if len(right) else len(a))
+    if low <= margin and not begins or high >= len(a) - margin and not ends:
+        return True
+    over = np.append(0, np.cumsum(agree[low:high] - p.identity))
+    return len(over) > p.min_words and bool((over[p.min_words:] >= np.minimum.accumulate(over)[:-p.min_words] - 1e-9).any())
+
+
 FOUND = "doc_id long, other_doc_id long, start int, end int, other_start int, other_end int, matches int"
 
 
 def _compared(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """The passages of each pair, or one row without any where an alignment
     came to an end of a part that is no end of the text."""
-    before, far = None, None
+    before, far, sorted_far = None, None, None
     for batch in batches:
         out = []
-        for row in range(batch.num_rows):
-            d, o, base, last, part, of, at, to = (batch[c.split()[0]][row].as_py() for c in CLIPPED.split(", "))
+        columns = [batch[c.split()[0]].to_pylist() for c in CLIPPED.split(", ") if c.split()[0] != "part"]
+        own = _hashed(batch["part"])
+        for row, (d, o, base, last, of, at, to) in enumerate(zip(*columns)):
             if o != before:
                 before, far = o, words.block_of(batch["other_text"][row].as_py().encode()).hashes(lower=True)
-            own = [words.block_of(x).hashes(lower=True) for x in part]
+                sorted_far = np.unique(far)
             found, again = set(), False
-            for k, x, y in zip(of, at, to):
-                spans, first, end = _align(own[k], far, np.array(x) - base[k], np.array(y), p)
-                again = again or first and base[k] > 0 or end and not last[k]
-                found |= {(a + base[k], b + base[k], *rest) for a, b, *rest in spans}
+            for k, (a, low, end) in enumerate(zip(own[row], base, last)):
+                mine = sorted({c for j, x, y in zip(of, at, to) if j == k for c in zip(x, y)})
+                pos, other = np.array([x for x, _ in mine], np.int64) - low, np.array([y for _, y in mine], np.int64)
+                if not _able(a, sorted_far, pos, low == 0, end, p):
+                    continue
+                spans, first, beyond = _align(a, far, pos, other, p)
+                again = again or first and low > 0 or beyond and not end
+                found |= {(x + low, y + low, *rest) for x, y, *rest in spans}
             out += [(d, o, None, None, None, None, None)] if again else [(d, o, *x) for x in sorted(found)]
         kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5)
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
@@ -541,7 +576,8 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 flat = own.values
                 x, y = flat.field("pos").to_numpy().astype(np.int64), flat.field("other_pos").to_numpy().astype(np.int64)
                 whole = flat.field("exact").to_numpy(zero_copy_only=False)
-                order = np.lexsort((-y, x))
+                order = np.lexsort((~whole, -y, x))
+                order = order[np.append(True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0))]  # seeds of several kinds at one place are one anchor
                 x, y, whole = x[order], y[order], whole[order]
                 found = chains(x, y, p, whole)
                 if found:
