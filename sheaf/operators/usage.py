@@ -85,69 +85,132 @@ def quota_flags(usage: DataFrame, limit: int = MAX_PAGES_PER_MONTH,
 # ---------------------------------------------------------------------------
 
 ADMIT_OUT = "file_id long, month string, pages long, used_before long, status string"
+MAP = "month string, chunk int, breaks array<long>, slopes array<long>, shifts array<long>"
+START = "month string, chunk int, start long"
+
+
+def _runs(batch, keys: tuple[str, ...]) -> list[tuple[tuple, int, int]]:
+    """(key, begin, end) of the runs of equal keys in a sorted batch."""
+    import numpy as np
+    columns = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+    new = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    at = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+    return [(tuple(batch[k][x].as_py() for k in keys), x, y) for x, y in zip(at, at[1:]) if y > x]
+
+
+def _chunk_maps(ranged: DataFrame, limit: int) -> DataFrame:
+    """The map of each (month, chunk), batch by batch over sorted rows."""
+    def run(batches):
+        import pyarrow as pa
+
+        from sheaf.operators import translations as T
+        key, maps = None, []
+
+        def row():
+            f = T.compose(maps, limit)
+            return pa.RecordBatch.from_arrays([pa.array([key[1]], pa.string()), pa.array([key[0]], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in f)],
+                                              names=["month", "chunk", "breaks", "slopes", "shifts"])
+
+        for batch in batches:
+            pages = batch["pages"].to_numpy(zero_copy_only=False)
+            for own, x, y in _runs(batch, ("chunk", "month")):
+                if own != key:
+                    if maps:
+                        yield row()
+                    key, maps = own, []
+                maps = [T.compose([*maps, T.of_files(pages[x:y], limit)], limit)]
+        if maps:
+            yield row()
+
+    return _in_order(ranged).select("month", "chunk", "pages").mapInArrow(run, MAP)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "month", "ts", "file_id")
+
+
+def _starts(maps: DataFrame, chunks: int, limit: int, fan: int) -> DataFrame:
+    """What is used at the start of each (month, chunk): up a tree of composed
+    maps, ``fan`` to a node, and down again from 0 at the top; no task sees more
+    than ``fan`` maps of a month."""
+    import pyarrow as pa
+
+    from sheaf.operators import translations as T
+
+    def sorted_maps(table: pa.Table) -> tuple[pa.Table, list]:
+        table = table.sort_by("chunk")
+        return table, list(zip(*([x.values.to_numpy() for x in table[c]] for c in ("breaks", "slopes", "shifts"))))
+
+    def compose(table: pa.Table) -> pa.Table:
+        table, own = sorted_maps(table)
+        f = T.compose(own, limit)
+        return pa.table([table["month"][:1], pa.array([table["chunk"][0].as_py() // fan], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in f)],
+                        names=["month", "chunk", "breaks", "slopes", "shifts"])
+
+    def walk(table: pa.Table) -> pa.Table:
+        table, own = sorted_maps(table)
+        used, out = table["start"][0].as_py(), []
+        for f in own:
+            out.append(used)
+            used = T.value(f, used)
+        return pa.table([table["month"], table["chunk"], pa.array(out, pa.int64())], names=["month", "chunk", "start"])
+
+    if chunks <= fan:
+        return maps.withColumn("start", F.lit(0).cast("long")).groupBy("month").applyInArrow(walk, START)
+    node = F.expr(f"chunk div {fan}").cast("int")
+    above = _starts(maps.groupBy("month", node.alias("node")).applyInArrow(compose, MAP), -(-chunks // fan), limit, fan)
+    above = above.select(F.col("month").alias("of"), F.col("chunk").alias("node"), "start")
+    down = maps.withColumn("at", node).join(above, F.col("month").eqNullSafe(F.col("of")) & (F.col("at") == F.col("node")))
+    return down.select("month", "chunk", "breaks", "slopes", "shifts", "node", "start").groupBy("month", "node").applyInArrow(walk, START)
 
 
 def admit(usage: DataFrame, limit: int = MAX_PAGES_PER_MONTH, warn_share: float = WARN_SHARE,
-          chunks: int | None = None) -> DataFrame:
+          chunks: int | None = None, fan: int = 64) -> DataFrame:
     """Files in month order (ts, file id) are admitted while they fit the
     month's remaining quota; a rejected file (``QUOTA_EXCEEDED``) leaves the
     quota unchanged.  ``WARNING``: admitted beyond ``warn_share`` x limit.
+    A null page count is 0; rows without a time are a month of their own.
 
-    The fold is sequential, so it runs in three bounded steps instead of
-    one group per month:
+    The fold is sequential, so it runs in three steps without a group per month:
 
     1. range-partition the files on the unique key (month, ts, file_id):
        contiguous, balanced chunks even when one month holds most files;
-    2. per (month, chunk) compute the chunk's transfer function
-       used-before -> used-after as a vector over 0..limit (quota use never
-       exceeds the limit), then compose the chunk functions of a month in
-       chunk order (months x chunks small vectors) to get each chunk's start;
+    2. per (month, chunk) the map used-before -> used-after as a piecewise
+       translation (``translations.py``), whose size follows its breakpoints
+       and not the limit; the maps of a month are composed up a tree and its
+       starts handed down;
     3. replay every chunk from its start.
+
+    Steps 2 and 3 read a chunk's sorted rows batch by batch and carry the map
+    or the running total from one batch to the next.
     """
-    import numpy as np
-    import pandas as pd
-
-    ranged = ranged_usage(usage, chunks)
-
-    def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "file_id"])
-        used = np.arange(limit + 1, dtype=np.int64)
-        for p in pdf["pages"].to_numpy():
-            nxt = used + p
-            used = np.where(nxt <= limit, nxt, used)
-        return pd.DataFrame({"month": [pdf["month"].iloc[0]], "chunk": [int(pdf["chunk"].iloc[0])],
-                             "f": [used.tolist()]})
-
-    funcs = ranged.groupBy("month", "chunk").applyInPandas(
-        transfer, "month string, chunk int, f array<long>")
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        cur, starts = 0, []
-        for f in pdf["f"]:
-            starts.append(cur)
-            cur = int(f[cur])
-        return pd.DataFrame({"month": pdf["month"].to_numpy(), "chunk": pdf["chunk"].to_numpy(),
-                             "start": starts})
-
-    starts = funcs.groupBy("month").applyInPandas(compose, "month string, chunk int, start long")
+    from sheaf.session import materialize
+    n = chunks or max(usage.sparkSession.sparkContext.defaultParallelism * 2, 1 + usage.count() // CHUNK_ROWS)
+    ranged = ranged_usage(usage, n).withColumn("pages", F.coalesce("pages", F.lit(0)).cast("long"))
+    maps = materialize(_chunk_maps(ranged, limit), "admission-maps")
+    starts = _starts(maps, n, limit, fan)
     warn = limit * warn_share
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "file_id"])
-        used = int(pdf["start"].iloc[0])
-        before, status = [], []
-        for p in pdf["pages"].to_numpy():
-            before.append(used)
-            if used + p > limit:
-                status.append("QUOTA_EXCEEDED")
-            else:
-                status.append("WARNING" if used + p > warn else "OK")
-                used += int(p)
-        return pd.DataFrame({"file_id": pdf["file_id"].to_numpy(), "month": pdf["month"].to_numpy(),
-                             "pages": pdf["pages"].to_numpy(), "used_before": before,
-                             "status": status})
+    def replay(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from sheaf.operators import translations as T
+        key, used = None, 0
+        for batch in batches:
+            pages = batch["pages"].to_numpy(zero_copy_only=False)
+            before, status = np.empty(len(pages), np.int64), np.empty(len(pages), object)
+            for own, x, y in _runs(batch, ("chunk", "month")):
+                if own != key:
+                    key, used = own, batch["start"][x].as_py()
+                before[x:y], admitted, used = T.replay(pages[x:y], used, limit)
+                status[x:y] = np.where(admitted, np.where(before[x:y] + pages[x:y] > warn, "WARNING", "OK"), "QUOTA_EXCEEDED")
+            yield pa.RecordBatch.from_arrays([batch["file_id"], batch["month"], batch["pages"], pa.array(before), pa.array(status, pa.string())],
+                                             names=["file_id", "month", "pages", "used_before", "status"])
 
     # chunks are contiguous in month order: at most months + chunks rows
-    return (ranged.join(F.broadcast(starts), ["month", "chunk"])
-            .groupBy("month", "chunk").applyInPandas(replay, ADMIT_OUT))
+    at = F.broadcast(starts.select(F.col("month").alias("of"), F.col("chunk").alias("in"), "start"))
+    rows = ranged.join(at, F.col("month").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("in")))
+    return _in_order(rows).select("file_id", "month", "pages", "chunk", "start").mapInArrow(replay, ADMIT_OUT)
