@@ -12,11 +12,13 @@ from sheaf.operators import stats as S
 from sheaf.plans import duck as D
 from sheaf.plans.queries_blocks import BASE, blocks_of
 from sheaf.plans.registry import register
+from sheaf.session import materialize
 from sheaf.sinks import results as SR
 from sheaf.sinks.results import kb_text
 from sheaf.sources.derived import page_shapes
 from sheaf.sources.files import file_text, part_files
 from sheaf.sources.tables import table
+from sheaf.streaming import totals as T
 
 
 def _ocr(b):
@@ -73,6 +75,28 @@ def doc_totals(spark, sf_dir):
     return S.doc_totals(A.pages(blocks_of(spark, sf_dir)))
 
 
+@register("corpus_totals_by_epoch", "AGG-9 corpus totals after each of three deliveries, by signed deltas", BASE + """,
+d AS (SELECT *, doc_id % 3 = 0 AS again, doc_id % 5 = 4 AS late, doc_id % 7 = 0 AND doc_id % 5 <> 4 AS gone FROM totals WHERE doc_id IS NOT NULL),
+e AS (SELECT 0 AS seq, pages, text_chars, tables, forms FROM d WHERE NOT late
+      UNION ALL SELECT 1, pages, text_chars + CASE WHEN again THEN 10 ELSE 0 END, tables + CASE WHEN again THEN 1 ELSE 0 END, forms
+      FROM d WHERE NOT late OR again
+      UNION ALL SELECT 2, pages, text_chars + CASE WHEN again AND NOT late THEN 10 ELSE 0 END,
+                       tables + CASE WHEN again AND NOT late THEN 1 ELSE 0 END, forms FROM d WHERE NOT gone)
+SELECT CAST(seq AS BIGINT) AS seq, count(*) AS documents, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(text_chars) AS BIGINT) AS text_chars,
+       CAST(sum(tables) AS BIGINT) AS tables, CAST(sum(forms) AS BIGINT) AS forms FROM e GROUP BY seq""")
+def corpus_totals_by_epoch(spark, sf_dir):
+    """Most documents; then every third one again, changed; then the others
+    and the end of every seventh of the first ones."""
+    docs = materialize(S.doc_totals(A.pages(blocks_of(spark, sf_dir))).where("doc_id is not null"), "totals-documents")
+    key = F.col("doc_id")
+    late, again = key % 5 == 4, key % 3 == 0
+    first = docs.where(~late).withColumn("seq", F.lit(0)).withColumn("_deleted", F.lit(False))
+    second = (docs.where(again).withColumn("seq", F.lit(1)).withColumn("_deleted", F.lit(False))
+              .withColumn("text_chars", F.col("text_chars") + 10).withColumn("tables", F.col("tables") + 1))
+    third = docs.where(late | (key % 7 == 0)).withColumn("seq", F.lit(2)).withColumn("_deleted", ~late)
+    return T.totals_by_seq(T.signed_deltas(first.unionByName(second).unionByName(third)))
+
+
 @register("cost_estimate", "AGG-12 cost estimate (exact decimals, fixed places)",
           BASE + """SELECT doc_id,
        CAST(CAST(round(CAST(pages AS DECIMAL(20,0)) * 0.0015, 4) AS DECIMAL(24,4)) AS VARCHAR) AS text_usd,
