@@ -71,6 +71,27 @@ def targets(sizes: list[tuple[str | None, int]], p: Params) -> list[float]:
     return out
 
 
+def share(own: np.ndarray, n: int, draw: np.random.Generator) -> np.ndarray:
+    """How many of ``n`` blocks drawn without replacement are of each source of
+    an urn (multivariate hypergeometric), whatever the urn's size.  Each block
+    is taken with probability n / all; of so many taken every set is as likely,
+    so what lacks is drawn from the rest, or what is over from the taken ones,
+    in the same way: about the square root of ``n``.  The last few are drawn
+    one by one."""
+    taken, rest = np.zeros_like(own), own.copy()
+    while n > 32:
+        some = draw.binomial(rest, n / int(rest.sum()))
+        over = int(some.sum()) - n
+        if over > 0:
+            some = some - share(some, over, draw)
+        taken, rest, n = taken + some, rest - some, max(0, -over)
+    for _ in range(n):
+        i = int(np.searchsorted(np.cumsum(rest), draw.integers(int(rest.sum())), side="right"))
+        taken[i] += 1
+        rest[i] -= 1
+    return taken
+
+
 def quotas(blocks: list[int], p: Params) -> np.ndarray:
     """Blocks of each source for each shard: an array (shards, sources)."""
     draw = np.random.Generator(np.random.PCG64(p.seed))
@@ -79,19 +100,16 @@ def quotas(blocks: list[int], p: Params) -> np.ndarray:
         if shards == 1:
             return [own]
         left = shards // 2
-        n = int(own.sum()) * left // shards
-        if own.sum() < 10 ** 9:
-            part = draw.multivariate_hypergeometric(own, n, method="marginals") if n else np.zeros_like(own)
-        else:  # the generator's limit: the share of so many blocks is its mean to a part in a million
-            part = own * n // own.sum()
+        part = share(own, int(own.sum()) * left // shards, draw)
         return split(part, left) + split(own - part, shards - left)
 
     return np.array(split(np.array(blocks, np.int64), p.shards), np.int64).reshape(p.shards, len(blocks))
 
 
 def _step(n: int, seed: int) -> int:
-    """A multiplier prime to n, about n times the golden ratio."""
-    a = max(1, int(n * 0.6180339887) + seed % max(1, n // 8 + 1))
+    """A multiplier prime to n, about n times the golden ratio where its
+    products with 0..n stay in 64 bits, else as large as they let it be."""
+    a = max(1, min(int(n * 0.6180339887) + seed % max(1, n // 8 + 1), (1 << 62) // n))
     while math.gcd(a, n) != 1:
         a += 1
     return a

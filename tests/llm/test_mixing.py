@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -94,3 +95,37 @@ def test_cut_keeps_the_first_words(spark):
 
 def test_multipliers_are_prime_to_the_number_of_blocks():
     assert all(np.gcd(mixing._step(n, 7), n) == 1 for n in range(1, 400))
+
+
+def test_a_share_has_the_hypergeometric_law():
+    draw = np.random.Generator(np.random.PCG64(1))
+    own, n, times = np.array([60, 25, 0, 15]), 40, 6000  # above the few drawn one by one
+    got = np.array([mixing.share(own, n, draw) for _ in range(times)])
+    assert (got.sum(axis=1) == n).all() and (got >= 0).all() and (got <= own).all()
+    for i, good in enumerate(own.tolist()):
+        law = np.array([math.comb(good, k) * math.comb(100 - good, n - k) / math.comb(100, n) for k in range(n + 1)])
+        seen = np.bincount(got[:, i], minlength=n + 1) / times
+        assert np.abs(seen - law).max() < 5 * math.sqrt(0.25 / times)
+
+
+@pytest.mark.parametrize("size", [10 ** 6, 10 ** 12, 10 ** 17])
+def test_shares_of_urns_of_any_size(size):
+    draw = np.random.Generator(np.random.PCG64(2))
+    own = np.array([6, 3, 0, 1], np.int64) * (size // 10)
+    n = size // 3
+    got = np.array([mixing.share(own, n, draw) for _ in range(400)])
+    assert (got.sum(axis=1) == n).all() and (got >= 0).all() and (got <= own).all()
+    p = own / size
+    spread = np.sqrt(n * p * (1 - p) * (size - n) / (size - 1))
+    z = (got - n * p)[:, p > 0] / spread[p > 0]
+    assert np.abs(z).max() < 5 and np.abs(z.mean(axis=0)).max() < 0.25 and np.abs(z.std(axis=0) - 1).max() < 0.15
+
+
+def test_quotas_and_steps_of_very_many_blocks():
+    p = mixing.Params()
+    blocks = [10 ** 12, 3 * 10 ** 12 + 7, 5, 0]
+    found = mixing.quotas(blocks, p)
+    assert found.sum(axis=0).tolist() == blocks and np.ptp(found.sum(axis=1)) <= p.shards
+    for n in [1, 2, 9, 10 ** 6, 10 ** 10, *blocks[:2]]:
+        step = mixing._step(n, p.seed)
+        assert math.gcd(step, n) == 1 and step * n < 2 ** 63
