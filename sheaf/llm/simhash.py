@@ -1,4 +1,4 @@
-"""Document fingerprints by SimHash, and block tables that find all
+"""Document fingerprints by SimHash, and permuted block tables that find all
 fingerprints within a Hamming radius.
 
 Terms are the runs of ``gram`` lower-cased words of a text (the whole sequence
@@ -6,12 +6,15 @@ where there are fewer), weighted by 1 + ln(occurrences).  The 128 bits of each
 term's hash vote with its weight; a bit of the fingerprint is 1 where the sum
 is positive.  Texts without words have the fingerprint 0.
 
-Search: the bits are cut into six blocks, and one table a block holds the
-fingerprints by its value.  With ``radius`` = 6 q + a, fingerprints within the
-radius differ in at most q bits in one of the first a + 1 blocks or in at most
-q - 1 in one of the others, so a query asks each table for its own block with
-up to that many bits flipped, and the distance follows.  A pair counts in the
-first block that finds it.  Equal fingerprints are one class first.
+Search: the bits are cut into blocks, and a table for each block holds the
+fingerprints permuted: rotated so that the block comes first, and keyed by it.
+With ``radius`` = blocks * q + a, fingerprints within the radius differ in at
+most q bits in one of the first a + 1 blocks or in at most q - 1 in one of the
+others, so a query asks each table for its own block with up to that many bits
+flipped, and the distance follows.  A pair counts in the first block that finds
+it.  Equal fingerprints are one class first.  The result is the same for any
+number of blocks; fewer and wider ones ask for more keys and meet fewer rows,
+so their number follows the row count (``block_count``).
 
 Edge cases: nulls are empty texts; equal texts have equal fingerprints;
 ``edited`` has a row for each input row: rows that share a doc_id follow one
@@ -22,11 +25,12 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm import words
@@ -35,8 +39,7 @@ from sheaf.llm.tables import parts
 BITS = 128
 GRAM = 2
 RADIUS = 14  # one to three words replaced in some hundred; see the README for the measured recall
-#: (half, first hex digit, digits) of the blocks of the search.
-BLOCKS = ((0, 0, 5), (0, 5, 5), (1, 0, 5), (1, 5, 5), (0, 10, 6), (1, 10, 6))
+MIN_BLOCKS = 3  # a key of 43 bits; wider ones have too many flips to list
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -166,36 +169,67 @@ def _flips(bits: int, most: int) -> list[int]:
     return [sum(1 << b for b in at) for n in range(most + 1) for at in itertools.combinations(range(bits), n)]
 
 
-def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+def layout(blocks: int, radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, flips to ask for) of each block that needs a table."""
+    q, a = divmod(radius, blocks)
+    ends = [BITS * i // blocks for i in range(blocks + 1)]
+    cut = [(start, end - start, q if i <= a else q - 1) for i, (start, end) in enumerate(zip(ends, ends[1:]))]
+    return [c for c in cut if c[2] >= 0]
+
+
+def block_count(rows: int, radius: int = RADIUS) -> int:
+    """The number of blocks with the least work a query: the keys it asks for
+    and, of so many rows with uniform bits, those that it meets."""
+    def work(blocks: int) -> float:
+        return sum(sum(math.comb(bits, n) for n in range(flips + 1)) * (1 + rows / 2 ** bits) for _, bits, flips in layout(blocks, radius))
+    return min(range(MIN_BLOCKS, BITS // 8 + 1), key=work)
+
+
+def _rotated(high: Column, low: Column, by: int) -> tuple[Column, Column]:
+    """Both halves of a print rotated left by so many bits."""
+    by %= BITS
+    if by >= 64:
+        high, low, by = low, high, by - 64
+    if not by:
+        return high, low
+    return (F.shiftleft(high, by).bitwiseOR(F.shiftrightunsigned(low, 64 - by)),
+            F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(high, 64 - by)))
+
+
+def _permuted(prints: DataFrame, cut: list[tuple[int, int, int]], *more: str) -> DataFrame:
+    """(block, key, high, low, *more): each print once a table, its block first."""
+    half = [F.shiftleft(F.conv(F.substring("fingerprint", at, 8), 16, 10).cast("long"), 32)
+            .bitwiseOR(F.conv(F.substring("fingerprint", at + 8, 8), 16, 10).cast("long")) for at in (1, 17)]
+    rows = []
+    for i, (start, bits, _) in enumerate(cut):
+        high, low = _rotated(F.col("h"), F.col("l"), start)
+        rows.append(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(high, 64 - bits).alias("key"), high.alias("high"), low.alias("low")))
+    return (prints.select("fingerprint", half[0].alias("h"), half[1].alias("l"), *more)
+            .select("fingerprint", F.explode(F.array(*rows)).alias("t"), *more).select("fingerprint", "t.*", *more))
+
+
+def near(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(doc_id, n_near): for each row of ``queries`` (doc_id, fingerprint) the
-    number of rows of ``prints`` within the radius, its own copies included."""
-    q, a = divmod(radius, len(BLOCKS))
-    flips = [q if i <= a else q - 1 for i in range(len(BLOCKS))]  # -1: no table
-
-    def digits(c: str, start: int, n: int):
-        return F.conv(F.substring(c, start + 1, n), 16, 10).cast("long")
-
-    def halves(df: DataFrame, *more: str) -> DataFrame:
-        both = [F.shiftleft(digits("fingerprint", at, 8), 32).bitwiseOR(digits("fingerprint", at + 8, 8)) for at in (0, 16)]
-        return df.select(*[h.alias(f"half{i}") for i, h in enumerate(both)], *more)
-
-    def key(i: int, half: str = "half"):
-        """Number and value of block ``i``."""
-        own, start, n = BLOCKS[i]
-        value = F.shiftrightunsigned(F.col(f"{half}{own}"), 4 * (16 - start - n)).bitwiseAND(F.lit((1 << 4 * n) - 1))
-        return value.bitwiseOR(F.lit(i << 32))
-
-    used = [i for i, most in enumerate(flips) if most >= 0]
-    table = (halves(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")), "n")
-             .select("half0", "half1", "n", F.explode(F.array(*[key(i) for i in used])).alias("key")))
-    masks = queries.sparkSession.createDataFrame([(i, m) for i in used for m in _flips(4 * BLOCKS[i][2], flips[i])], "block int, mask long")
-    asked = (halves(queries.select("fingerprint").distinct(), "fingerprint").crossJoin(F.broadcast(masks))
-             .select(F.col("half0").alias("own0"), F.col("half1").alias("own1"),
-                     F.element_at(F.array(*[key(i) for i in range(len(BLOCKS))]), F.col("block") + 1).bitwiseXOR(F.col("mask")).alias("key")))
-    met = (asked.join(table, "key").withColumn("block", F.shiftright("key", 32))
-           .select("own0", "own1", "n", "block", *[F.col(f"own{i}").bitwiseXOR(F.col(f"half{i}")).alias(f"x{i}") for i in (0, 1)]))
-    first = F.coalesce(*[F.when(F.bit_count(key(i, "x").bitwiseAND(F.lit((1 << 32) - 1))) <= flips[i], F.lit(i)) for i in used])
-    found = met.where(F.bit_count("x0") + F.bit_count("x1") <= radius).where(first == F.col("block"))
-    counts = found.groupBy("own0", "own1").agg(F.sum("n").alias("n_near"))
-    of = halves(queries, "doc_id")
-    return of.join(counts, (of["half0"] == counts["own0"]) & (of["half1"] == counts["own1"])).select("doc_id", "n_near")
+    number of rows of ``prints`` within the radius, its own copies included.
+    ``blocks``: 3 to 16; None for as many as suit the number of rows."""
+    cut = layout(blocks or block_count(prints.count(), radius), radius)
+    masks = [(i, m) for i, (_, bits, flips) in enumerate(cut) for m in _flips(bits, flips)]  # by radius and blocks alone
+    flipped = queries.sparkSession.createDataFrame(pa.table({"block": pa.array([i for i, _ in masks], pa.int32()), "mask": pa.array([m for _, m in masks], pa.int64())}))
+    table = _permuted(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")), cut, "n").drop("fingerprint")
+    asked = (_permuted(queries.select("fingerprint").distinct(), cut).join(F.broadcast(flipped), "block")
+             .select("block", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "fingerprint", F.col("high").alias("own_high"), F.col("low").alias("own_low")))
+    met = (asked.join(table, ["block", "key"])
+           .select("fingerprint", "n", "block", F.col("own_high").bitwiseXOR(F.col("high")).alias("high"), F.col("own_low").bitwiseXOR(F.col("low")).alias("low"))
+           .where(F.bit_count("high") + F.bit_count("low") <= radius))
+    found = met.where(~F.coalesce(*[F.when(F.col("block") == i, _found_before(cut, i)) for i in range(len(cut))]))
+    return queries.select("doc_id", "fingerprint").join(found.groupBy("fingerprint").agg(F.sum("n").alias("n_near")), "fingerprint").select("doc_id", "n_near")
+
+
+def _found_before(cut: list[tuple[int, int, int]], i: int) -> Column:
+    """Whether a table before the ``i``-th finds a pair whose prints, rotated
+    to block ``i``, differ in the bits (high, low)."""
+    out = F.lit(False)
+    for start, bits, flips in cut[:i]:
+        front, _ = _rotated(F.col("high"), F.col("low"), start - cut[i][0])
+        out = out | (F.bit_count(F.shiftrightunsigned(front, 64 - bits)) <= flips)
+    return out

@@ -87,3 +87,33 @@ def test_near_finds_edited_texts(spark):
     table = spark.createDataFrame(rows, "doc_id long, fingerprint string")
     got = {r["doc_id"]: r["n_near"] for r in simhash.near(table.select("fingerprint"), table.where("doc_id % 2 = 0")).collect()}
     assert np.mean([got[i] == 2 for i in range(0, 100, 2)]) > 0.9 and np.mean([got[i] == 2 for i in range(100, 200, 2)]) > 0.85
+
+
+def test_near_is_the_same_for_any_number_of_blocks(spark):
+    rng = np.random.default_rng(10)
+    prints = [rng.bytes(16) for _ in range(6)]
+    for b in list(prints):
+        for flips in (1, 4, 9, 13, 14, 14, 15, 17):
+            x = int.from_bytes(b)
+            for bit in rng.choice(128, flips, replace=False):
+                x ^= 1 << int(bit)
+            prints.append(x.to_bytes(16))
+    prints += [bytes(16)] * 3 + [b"\xff" * 16]
+    table = spark.createDataFrame([(i, p.hex()) for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    asked = [*range(0, 6), len(prints) - 1, len(prints) - 2]
+    want = {i: sum(_apart(prints[i], q) <= 14 for q in prints) for i in asked}
+    for blocks in (4, 5, 6, 7, 8, 11, 15, 16):
+        got = simhash.near(table.select("fingerprint"), table.where(table["doc_id"].isin(asked)), 14, blocks)
+        assert {r["doc_id"]: r["n_near"] for r in got.collect()} == want, blocks
+    one = simhash.near(table.select("fingerprint"), table.where("doc_id = 0"), 14, 3)
+    assert {r["doc_id"]: r["n_near"] for r in one.collect()} == {0: want[0]}
+
+
+def test_blocks_widen_with_the_rows():
+    counts = [simhash.block_count(10 ** n) for n in range(1, 13)]
+    assert counts == sorted(counts, reverse=True) and counts[0] > 8 and counts[-1] == simhash.MIN_BLOCKS
+    for blocks in range(3, 17):
+        cut = simhash.layout(blocks, 14)
+        assert sum(flips + 1 for _, _, flips in cut) == 15  # one difference more than the radius would be needed to escape
+    share = lambda blocks: sum(len(simhash._flips(bits, flips)) / 2 ** bits for _, bits, flips in simhash.layout(blocks, 14))
+    assert share(8) > share(7) > share(6) > share(5) > share(4) > share(3) and share(4) < 5e-6 and share(3) < 1e-7
