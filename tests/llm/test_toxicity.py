@@ -1,8 +1,10 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sheaf.llm import queries, toxicity, words
+from sheaf.llm.tables import part_of
 from tests.llm.helpers import SF
 
 
@@ -58,6 +60,73 @@ def test_swapped_groups_change_little(spark):
     assert tight[0] < 0.25 * loose[0] and tight[1] < loose[1]
 
 
+def _sample(seed=3, n=300, d=12):
+    """Rows of cells, labels, and changes of two sentences, as ``features`` writes them."""
+    rng = np.random.default_rng(seed)
+    rows = [np.unique(rng.integers(0, d, 5)) for _ in range(n)]
+    y = np.array([float(0 in r or (1 in r and rng.random() < 0.7)) for r in rows])
+    swapped = np.array([2, -3, 0, 1, 4, -5, 0] * 3)
+    return y, np.array([len(r) for r in rows]), np.concatenate(rows), swapped, rows
+
+
+def test_fit_against_a_plain_minimum():
+    """The refit is the minimum of the stated loss: its slopes, from a dense
+    matrix, are 0, with and without the penalty."""
+    y, lengths, cells, swapped, rows = _sample()
+    for swap in (0.0, 1.0, 50.0):
+        p = toxicity.Params(cells=16, swap=swap, l1=0.0)
+        model = toxicity.train(y, lengths, cells, swapped, p)
+        x = np.zeros((len(rows), 16))
+        for i, r in enumerate(rows):
+            x[i, r] = 1
+        c = np.zeros((2, 16))
+        c[0, [1, 2]], c[1, [0, 3, 4]] = (1, -1), (1, 1, -1)
+        slope = x.T @ (model.score(x @ model.weights) - y) / len(y) + p.l2 * model.weights + 2 * swap * c.T @ (c @ model.weights) / 2
+        live = np.flatnonzero(model.weights)
+        assert len(live) == 12 and np.abs(slope[live]).max() < 1e-6
+        assert abs(np.mean(model.score(x @ model.weights) - y)) < 1e-6
+        # more steps change nothing: the result does not depend on where the search stops
+        again = toxicity.train(y, lengths, cells, swapped, toxicity.Params(cells=16, swap=swap, l1=0.0, tolerance=1e-9))
+        assert np.abs(model.weights - again.weights).max() < 1e-2
+
+
+def test_whole_sentences_are_swapped():
+    p = toxicity.Params()
+    cell = lambda w: toxicity._word_cell(w, p)
+    got = list(toxicity._counterfactuals(b"the muslim woman is here. nobody else! men women", toxicity._swaps(p), p))
+    assert len(got) == 1  # the last sentence is its own counterfactual
+    own, other = got[0]
+    assert set(own) == {cell(w) for w in "the muslim woman is here".split()}
+    assert set(other) == {cell(w) for w in "the jewish man is here".split()}
+
+
+def test_sample_is_bounded_by_words(spark):
+    docs, labels = labelled(spark, [(f"{'awful' if i % 2 else 'fine'} word{'abcdefghij'[i % 10]}", i % 2) for i in range(400)])
+    whole, half = (toxicity.fit(docs, labels, toxicity.Params(max_cells=m)) for m in (1 << 20, 400))
+    assert whole.weights.any() and half.weights.any() and not np.array_equal(whole.weights, half.weights)
+    assert not toxicity.fit(docs, labels, toxicity.Params(max_cells=1)).weights.any()
+
+
+def test_gap_on_real_held_out_sentences(spark):
+    """With the penalty, swapped sentences of texts that took no part in the
+    training change their scores less, and texts are told apart as well."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    held_out = part_of(F.col("doc_id"), 5) == 0
+    known = docs.join(labels.where(held_out), "doc_id").cache()
+    found = {}
+    for swap in (0.0, 1.0):
+        p = toxicity.Params(swap=swap)
+        model = toxicity.fit(docs, labels.where(~held_out), p)
+        total = toxicity.gaps(known, model, p).agg(F.sum("sentences"), F.sum("gap")).first()
+        scores = toxicity.score(known, model, p).join(labels, "doc_id").collect()
+        found[swap] = total[0], total[1], np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in scores if r["toxic"] is not None])
+    known.unpersist()
+    print(found)
+    (n, loose, before), (_, tight, after) = found[0.0], found[1.0]
+    assert n > 0 and tight < 0.7 * loose and after >= before - 0.005
+
+
 def test_edges(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(odd, none)
