@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import rules as R
-from sheaf.session import spread
-from sheaf.functions.text import extract_all, has, has_digit, js_trim, trimmed_lines
+from sheaf.functions.text import extract_all, has, has_digit, js_trim
+from sheaf.operators.lines import numbered_lines
 
 def _empty() -> Column:
     return F.array().cast("array<string>")
@@ -82,44 +82,40 @@ def _line_candidates(line: Column, below: Column, below2: Column) -> Column:
         F.when(F.length(rest) > 2, potential_numbers(rest)).otherwise(_empty()))
 
 
-def context_candidates(docs: DataFrame, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """All candidates in discovery order: ``(doc_id, method, line_no, pos, value)``.
-
-    ``method`` 1 = near a detected line (``line_no`` = index of the
-    detected line among non-empty lines), 2/3 = whole-text context pattern
-    after/before the keyword.
-    """
-    d = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    lines = d.select("doc_id", trimmed_lines(F.col("text")).alias("ls"))
-    near = (lines
-            .select("doc_id", F.posexplode(F.transform(
-                "ls", lambda x, i: F.struct(
-                    x.alias("line"),
-                    F.get(F.col("ls"), i + 1).alias("below"),
-                    F.get(F.col("ls"), i + 2).alias("below2")))).alias("line_no", "l"))
-            .filter(F.col("l.line").rlike(R.drawing_detector_pattern()))
-            .select("doc_id", F.lit(1).alias("method"), F.col("line_no").cast("long").alias("line_no"),
-                    F.posexplode(_line_candidates(F.col("l.line"), F.col("l.below"),
-                                                  F.col("l.below2"))).alias("pos", "value")))
-    keyword = R.ci("drawing|図面|dwg")
-    ctx = []
-    for k, p in enumerate(R.context_patterns()):
-        ctx.append(d.filter(F.col("text").rlike(keyword))
-                   .select("doc_id", F.lit(2 + k).alias("method"), F.lit(0).cast("long").alias("line_no"),
-                           F.posexplode(F.filter(extract_all(F.col("text"), p, 1),
-                                                 lambda v: has_digit(v) & has(v, "-")))
-                           .alias("pos", "value")))
-    out = near
-    for c in ctx:
-        out = out.unionByName(c)
-    return out.select("doc_id", "method", "line_no", F.col("pos").cast("long").alias("pos"), "value")
-
-
-def drawing_numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def context_hits(line: Column, below: Column, below2: Column) -> Column:
+    """A line's candidates as ``array<struct<method, pos, value>>``.
+
+    ``method`` 1 = near a detected line, 2/3 = context pattern after/before
+    the keyword.  The context patterns never cross a line end, so those of the
+    whole text are those of its lines."""
+    def numbered(method: int, values: Column) -> Column:
+        return F.transform(_arr(values), lambda v, i: F.struct(F.lit(method).alias("method"), i.cast("long").alias("pos"), v.alias("value")))
+
+    keyword = line.rlike(R.ci("drawing|図面|dwg"))
+    ctx = [F.when(keyword, F.filter(extract_all(line, p, 1), lambda v: has_digit(v) & has(v, "-")))
+           for p in R.context_patterns()]
+    return F.concat(numbered(1, _line_candidates(line, below, below2)), *[numbered(2 + k, c) for k, c in enumerate(ctx)])
+
+
+def detected(line: Column) -> Column:
+    """TXT-17; every keyword of the context patterns is detected too."""
+    return line.rlike(R.drawing_detector_pattern())
+
+
+def context_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       range_bytes: int | None = None) -> DataFrame:
+    """All candidates in discovery order: ``(doc_id, method, line_no, pos, value)``,
+    from one pass over the lines."""
+    lines = numbered_lines(docs, id_col, text_col, range_bytes).filter(detected(F.col("line")))
+    return (lines.select("doc_id", "line_no", F.explode(context_hits(F.col("line"), F.col("below"), F.col("below2"))).alias("h"))
+            .select("doc_id", "h.method", "line_no", "h.pos", "h.value"))
+
+
+def drawing_numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    range_bytes: int | None = None) -> DataFrame:
     """TXT-24: ``(doc_id, seq, value)``: distinct values (len >= 3) in
-    first-seen order, ``seq`` 1-based."""
-    firsts = (context_candidates(docs, id_col, text_col)
+    first-seen order, ``seq`` 1-based.  ``range_bytes``: see ``lines.pieces``."""
+    firsts = (context_candidates(docs, id_col, text_col, range_bytes)
               .filter(F.length("value") >= 3)
               .groupBy("doc_id", "value")
               .agg(F.min(F.struct("method", "line_no", "pos")).alias("o")))

@@ -9,6 +9,10 @@ map-side first).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +21,8 @@ from sheaf.functions import rules as R
 from sheaf.session import spread
 from sheaf.functions.text import extract_all, has, has_digit, js_trim, not_empty, split_lines
 
+CUT_BYTES = 8 << 20  # of pieces handed on at a time
+
 ROUTE_TYPE = T.StructType([
     T.StructField("rule", T.StringType()),
     T.StructField("category", T.StringType()),
@@ -24,16 +30,85 @@ ROUTE_TYPE = T.StructType([
 ])
 
 
-def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, range_bytes: int | None = None, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """``(doc_id, before, own, text)``: texts in pieces of whole lines.
+
+    ``before`` counts the lines before the piece and ``own`` the piece's own
+    lines; what follows them is a halo of up to two non-empty lines, read as
+    neighbours only.  ``own`` is NULL for a text in one piece.
+
+    With ``range_bytes``, texts above it are cut at the first line end after
+    each so many bytes and their pieces dealt anew, so that one giant text
+    keeps many tasks busy; shorter texts are not shuffled.  No rule looks
+    beyond a line and the two non-empty lines below it, so the results do not
+    depend on the cuts.  A line is never cut."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    whole = d if range_bytes is None else d.filter(F.col("text").isNull() | (F.octet_length("text") <= range_bytes))
+    out = spread(whole).select("doc_id", F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("own"), "text")
+    if range_bytes is None:
+        return out
+    id_type = d.schema["doc_id"].dataType.simpleString()
+    cut = (d.filter(F.octet_length("text") > range_bytes)
+           .mapInArrow(lambda batches: _cut(batches, range_bytes), f"doc_id {id_type}, before long, own long, text string")
+           .repartition("doc_id", "before"))
+    return out.unionByName(cut)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of each text, a batch of about ``CUT_BYTES`` at a time."""
+    for batch in batches:
+        for i, text in enumerate(batch["text"]):
+            raw = np.frombuffer(text.as_buffer(), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 10), len(raw))  # of the lines
+            rows, held, first = [], 0, 0
+            while first < len(ends):
+                start = int(ends[first - 1]) + 1 if first else 0
+                last = min(int(np.searchsorted(ends, start + size)), len(ends) - 1)
+                halo, wanted = last, 2
+                while wanted and halo + 1 < len(ends):
+                    halo += 1
+                    wanted -= bool(raw[int(ends[halo - 1]) + 1:int(ends[halo])].tobytes().decode().strip(R.WS_CHARS))
+                rows.append((first, last + 1 - first, raw[start:int(ends[halo])].tobytes().decode()))
+                held, first = held + int(ends[halo]) - start, last + 1
+                if held >= CUT_BYTES or first == len(ends):
+                    before, own, body = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch["doc_id"][i].as_py()] * len(rows), batch["doc_id"].type), pa.array(before, pa.int64()),
+                         pa.array(own, pa.int64()), pa.array(body, pa.string())], names=["doc_id", "before", "own", "text"])
+                    rows, held = [], 0
+
+
+def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   range_bytes: int | None = None, outer: bool = False) -> DataFrame:
+    """TXT-1 with WIN-2: ``(doc_id, line_no, line, below, below2)``, each
+    non-empty line beside the next two.  The neighbours come from the piece's
+    own line array, so no window shuffles the text.  ``outer`` keeps a row
+    with NULLs for a text without lines."""
+    ls = (pieces(docs, range_bytes, id_col, text_col)
+          .select("doc_id", "before", "own", F.filter(
+              F.transform(split_lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), js_trim(x).alias("line"))),
+              lambda x: F.length(x["line"]) > 0).alias("ls")))
+    near = F.transform("ls", lambda x, i: F.struct(
+        x["pos"].alias("pos"), x["line"].alias("line"),
+        F.get(F.col("ls"), i + 1)["line"].alias("below"),
+        F.get(F.col("ls"), i + 2)["line"].alias("below2")))
+    rows = ls.select("doc_id", "before", "own", (F.explode_outer if outer else F.explode)(near).alias("l"))
+    return (rows.filter(F.col("own").isNull() | F.col("l.pos").isNull() | (F.col("l.pos") < F.col("own")))
+            .select("doc_id", (F.col("before") + F.col("l.pos") + 1).alias("line_no"), "l.line", "l.below", "l.below2"))
+
+
+def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               range_bytes: int | None = None) -> DataFrame:
     """TXT-1: ``(doc_id, line_no, line)`` for every non-empty trimmed line.
 
     ``line_no`` is the 1-based position in ``text.split('\\n')``.
     """
-    d = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    return (d
-            .select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "raw"))
+    return (pieces(docs, range_bytes, id_col, text_col)
+            .select("doc_id", "before", "own", F.posexplode(split_lines(F.col("text"))).alias("pos", "raw"))
+            .filter(F.col("own").isNull() | (F.col("pos") < F.col("own")))
             .select("doc_id",
-                    (F.col("pos") + 1).cast("long").alias("line_no"),
+                    (F.col("before") + F.col("pos") + 1).alias("line_no"),
                     js_trim(F.col("raw")).alias("line"))
             .filter(F.length("line") > 0)
             .withColumn("has_digit", has_digit(F.col("line")))
@@ -117,9 +192,10 @@ def route(line: Column, digit: Column | None = None, keyword_hit: Column | None
     return expr
 
 
-def classify_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   range_bytes: int | None = None) -> DataFrame:
     """Routed hits: ``(doc_id, line_no, hit_no, rule, category, value)``."""
-    routed = (text_lines(docs, id_col, text_col)
+    routed = (text_lines(docs, id_col, text_col, range_bytes)
               .select("doc_id", "line_no", route(F.col("line"), F.col("has_digit"), F.col("has_keyword")).alias("r"))
               .filter(F.col("r").isNotNull()))
     return (routed
@@ -152,10 +228,11 @@ def dedupe_facts(hits: DataFrame) -> DataFrame:
                     "n_hits"))
 
 
-def line_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               range_bytes: int | None = None) -> DataFrame:
     """Long form of the filtered text: ``(doc_id, category, value, first_line,
-    first_hit, n_hits)``."""
-    return dedupe_facts(classify_lines(docs, id_col, text_col))
+    first_hit, n_hits)``.  ``range_bytes``: see ``pieces``."""
+    return dedupe_facts(classify_lines(docs, id_col, text_col, range_bytes))
 
 
 def all_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

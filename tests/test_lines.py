@@ -83,3 +83,46 @@ def test_native_trim_equals_regex_trim(spark):
     rows = df.select(js_trim(F.col("s")).alias("a"), js_trim_regex(F.col("s")).alias("b")).collect()
     assert all(r.a == r.b for r in rows)
     assert rows[2].a == "\u0085x\u0085"   # NEL is not JS whitespace
+
+
+def _joined(spark, sf="/root/testdata/sf0.01"):
+    """The documents of each language as one text, with drawing lines, blank
+    lines and white space between them."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()
+    between = ["\nDrawing No: KA21941-A004002\n\n \t\n110-510\n", "\r\n図面 7005-0040\n　\n\nAB12CD34\nKA-99 X\n", "\n\n", "\ndwg A1-2345 dwg see 110-510 drawing\n"]
+    texts = {}
+    for i, r in enumerate(sorted(rows, key=lambda r: r["doc_id"])):
+        texts[r["lang"]] = texts.get(r["lang"], "") + (r["text"] or "") + between[i % 4]
+    odd = ["", None, "\n" * 5000, "x" * 5000, "drawing\n" + " \n" * 4000 + "110-510\n\n" + "AB12-C34", "図面\n" * 600]
+    return spark.createDataFrame(list(enumerate([t for _, t in sorted(texts.items(), key=str)] + odd)), "doc_id long, text string")
+
+
+def test_giant_texts_in_ranges(spark):
+    """Facts, drawing numbers and reports do not depend on the cuts."""
+    from sheaf.operators import drawing as DR
+    from sheaf.operators import report as RP
+    df = _joined(spark).cache()
+    for run in (L.line_facts, DR.drawing_numbers, RP.filtered_text):
+        whole = sorted(map(str, run(df).collect()))
+        assert whole and sorted(map(str, run(df, range_bytes=1000).collect())) == whole, run
+    assert sorted(map(str, DR.drawing_numbers(df, range_bytes=1).collect())) == sorted(map(str, DR.drawing_numbers(df).collect()))
+    texts, found = {r["doc_id"]: r["text"] for r in df.collect()}, {}
+    for r in sorted(L.pieces(df, 1000).where("own is not null").collect(), key=lambda r: r["before"]):
+        own = r["text"].split("\n")[:r["own"]]
+        assert len("\n".join(own[:-1]).encode()) <= 1000  # lines are whole, so the last may go beyond
+        assert r["before"] == len(found.setdefault(r["doc_id"], []))
+        found[r["doc_id"]] += own
+    assert len(found) > 5 and all("\n".join(ls) == texts[i] for i, ls in found.items())
+    df.unpersist()
+
+
+def test_context_patterns_line_by_line(spark):
+    """The context patterns over whole texts give what they give line by line."""
+    from pyspark.sql import functions as F
+
+    from sheaf.functions import rules as R
+    from sheaf.functions.text import extract_all, split_lines
+    df = _joined(spark)
+    for p in R.context_patterns():
+        by_line = F.flatten(F.transform(split_lines(F.col("text")), lambda x: extract_all(x, p, 1)))
+        assert df.where(F.col("text").isNotNull() & ~extract_all(F.col("text"), p, 1).eqNullSafe(by_line)).count() == 0
