@@ -43,6 +43,14 @@ def latency_percentiles(runs: DataFrame, by: tuple[str, ...] = ("engine", "page_
         *by, F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("k") + 1).alias("q"), "n", "value")
 
 
+def run_seconds(phases: DataFrame) -> DataFrame:
+    """``(doc_id, conversion_s, shapes_s)`` from a log of ``(doc_id, phase,
+    seconds)``: of a phase that ran again the longest time, NULL where a phase
+    did not end."""
+    return phases.where("doc_id is not null").groupBy("doc_id").agg(
+        *[F.max(F.when(F.col("phase") == p, F.col("seconds"))).alias(f"{p}_s") for p in ("conversion", "shapes")])
+
+
 # KLL sketches: of k items a normalised rank is off by about 2.3 / k ** 0.9
 SKETCH_K = 800
 

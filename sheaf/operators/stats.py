@@ -65,7 +65,8 @@ def shape_totals(shapes: DataFrame) -> DataFrame:
 
 def page_report(page_numbers: DataFrame, ocr: DataFrame, shapes: DataFrame) -> DataFrame:
     """JN-8: every page of every document with its OCR result (placeholder
-    text, 0 words, confidence 0 when missing) and its shape result."""
+    text, 0 words, confidence 0 when missing) and its shape result;
+    ``processed``: whether it has an OCR result."""
     o = ocr.select("doc_id", "page_number", F.col("text").alias("o_text"),
                    F.col("word_count").alias("o_words"), F.col("confidence").alias("o_conf"))
     s = shapes.select("doc_id", "page_number", "enabled", "shape_count", "dominant_shape")
@@ -77,7 +78,8 @@ def page_report(page_numbers: DataFrame, ocr: DataFrame, shapes: DataFrame) -> D
                     .otherwise(F.col("o_text")).alias("text"),
                     F.coalesce("o_words", F.lit(0)).cast("long").alias("word_count"),
                     F.coalesce("o_conf", F.lit(0.0)).alias("confidence"),
-                    "enabled", "shape_count", "dominant_shape"))
+                    "enabled", "shape_count", "dominant_shape",
+                    F.col("o_words").isNotNull().alias("processed")))
 
 
 def doc_totals(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.operators import assemble as A
 from sheaf.functions import rules as R
 from sheaf.functions.numbers import round6, round6_sql
+from sheaf.operators import metrics as M
 from sheaf.operators import stats as S
 from sheaf.plans import duck as D
 from sheaf.plans.queries_blocks import BASE, blocks_of
@@ -15,7 +16,7 @@ from sheaf.plans.registry import register
 from sheaf.session import materialize
 from sheaf.sinks import results as SR
 from sheaf.sinks.results import kb_text
-from sheaf.sources.derived import page_shapes
+from sheaf.sources.derived import page_shapes, run_phases
 from sheaf.sources.files import file_text, part_files
 from sheaf.sources.tables import table
 from sheaf.streaming import totals as T
@@ -64,7 +65,7 @@ FROM shapes s LEFT JOIN ocr o ON o.doc_id = s.doc_id AND o.page_number = s.page_
 def page_report(spark, sf_dir):
     b = blocks_of(spark, sf_dir)
     pl = A.page_list(b)
-    return (S.page_report(pl, _ocr(b), page_shapes(pl))
+    return (S.page_report(pl, _ocr(b), page_shapes(pl)).drop("processed")
             .withColumn("confidence", round6("confidence")))
 
 
@@ -168,7 +169,10 @@ def file_sizes(spark, sf_dir):
     return f.select("doc_id", kb_text(F.col("length")).alias("size_kb"))
 
 
-REPORT = ("document_info struct<total_pages:long,ocr_text_characters:long,detected_tables:long,detected_forms:long>, "
+RUN = {"version": "3.0", "timestamp": "2024-02-01T00:00:00.000Z", "region": "us-east-1"}
+REPORT = ("version string, timestamp string, "
+          "document_info struct<total_pages:long,ocr_processed_pages:long,processing_region:string,ocr_text_characters:long,detected_tables:long,detected_forms:long>, "
+          "performance_metrics struct<conversion_time_seconds:double,shapes_detection_time_seconds:double,total_processing_time:double>, "
           "statistics struct<ocr:struct<total_words:long,total_characters:long,average_confidence:double>,"
           "shapes:struct<enabled_pages:long,total_shapes_found:long,dominant_shapes:array<string>>>, "
           "estimated_cost struct<text_usd:string,image_usd:string,total_usd:string,total_jpy:string>, "
@@ -186,9 +190,15 @@ sh AS (SELECT doc_id, count(*) FILTER (WHERE enabled) AS e, sum(shape_count) AS
        FROM shapes GROUP BY doc_id),
 p AS (SELECT s.doc_id, string_agg(CAST(s.page_number AS VARCHAR) || '|' || coalesce(o.text, '[Not processed in this test]') || '|'
              || CAST(coalesce(o.word_count, 0) AS VARCHAR) || '|' || CASE WHEN s.enabled THEN 'true' ELSE 'false' END || '|'
-             || CAST(s.shape_count AS VARCHAR) || '|' || coalesce(s.dominant_shape, ''), chr(10) ORDER BY s.page_number) AS page_list
-      FROM shapes s LEFT JOIN ocr o ON o.doc_id = s.doc_id AND o.page_number = s.page_number GROUP BY s.doc_id)
-SELECT totals.doc_id, CAST(pages AS BIGINT) AS total_pages, CAST(text_chars AS BIGINT) AS ocr_text_characters,
+             || CAST(s.shape_count AS VARCHAR) || '|' || coalesce(s.dominant_shape, ''), chr(10) ORDER BY s.page_number) AS page_list,
+             count(o.word_count) AS processed
+      FROM shapes s LEFT JOIN ocr o ON o.doc_id = s.doc_id AND o.page_number = s.page_number GROUP BY s.doc_id),
+runs AS (SELECT event_id // 2 AS doc_id, max(value) FILTER (WHERE event_id % 2 = 0) AS c, max(value) FILTER (WHERE event_id % 2 = 1) AS s
+         FROM events WHERE event_type <> 'error' GROUP BY 1)
+SELECT totals.doc_id, {D.q(RUN['version'])} AS version, {D.q(RUN['timestamp'])} AS timestamp, {D.q(RUN['region'])} AS processing_region,
+       coalesce(p.processed, 0) AS ocr_processed_pages, {round6_sql('runs.c')} AS conversion_time_seconds,
+       {round6_sql('runs.s')} AS shapes_detection_time_seconds, {round6_sql('runs.c + runs.s')} AS total_processing_time,
+       CAST(pages AS BIGINT) AS total_pages, CAST(text_chars AS BIGINT) AS ocr_text_characters,
        CAST(tables AS BIGINT) AS detected_tables, CAST(forms AS BIGINT) AS detected_forms,
        CAST(o.w AS BIGINT) AS total_words, CAST(o.c AS BIGINT) AS total_characters, {round6_sql('o.f')} AS average_confidence,
        sh.e AS enabled_pages, CAST(sh.n AS BIGINT) AS total_shapes_found, sh.d AS dominant_shapes,
@@ -196,7 +206,8 @@ SELECT totals.doc_id, CAST(pages AS BIGINT) AS total_pages, CAST(text_chars AS B
        CAST(CAST(round(t + i, 4) AS DECIMAL(24,4)) AS VARCHAR) AS total_usd,
        CAST(CAST(round(round(t + i, 4) * 150, 2) AS DECIMAL(24,2)) AS VARCHAR) AS total_jpy, p.page_list
 FROM totals JOIN cost ON cost.doc_id = totals.doc_id LEFT JOIN o ON o.doc_id = totals.doc_id
-LEFT JOIN sh ON sh.doc_id = totals.doc_id LEFT JOIN p ON p.doc_id = totals.doc_id""")
+LEFT JOIN sh ON sh.doc_id = totals.doc_id LEFT JOIN p ON p.doc_id = totals.doc_id
+LEFT JOIN runs ON runs.doc_id = totals.doc_id""")
 def stats_report(spark, sf_dir):
     b = blocks_of(spark, sf_dir)
     pl = A.page_list(b)
@@ -204,12 +215,14 @@ def stats_report(spark, sf_dir):
     ocr = _ocr(b)
     shapes = page_shapes(pl)
     report = SR.stats_report(totals, S.ocr_totals(ocr), S.shape_totals(shapes),
-                             S.page_report(pl, ocr, shapes), S.cost_estimate(totals))
+                             S.page_report(pl, ocr, shapes), S.cost_estimate(totals),
+                             M.run_seconds(run_phases(table(spark, sf_dir, "events"))), RUN)
     r = SR.render_json(report, pretty=False).select("doc_id", F.from_json("json", REPORT).alias("r")).select("doc_id", "r.*")
     page = lambda x: F.concat_ws("|", x["page_number"].cast("string"), x["ocr_results"]["text"], x["ocr_results"]["word_count"].cast("string"),
                                  x["shapes"]["enabled"].cast("string"), x["shapes"]["shape_count"].cast("string"),
                                  F.coalesce(x["shapes"]["dominant_shape"], F.lit("")))
-    return r.select("doc_id", "document_info.*", "statistics.ocr.total_words", "statistics.ocr.total_characters",
+    times = [round6(f"performance_metrics.{c}").alias(c) for c in ("conversion_time_seconds", "shapes_detection_time_seconds", "total_processing_time")]
+    return r.select("doc_id", "version", "timestamp", *times, "document_info.*", "statistics.ocr.total_words", "statistics.ocr.total_characters",
                     round6("statistics.ocr.average_confidence").alias("average_confidence"),
                     "statistics.shapes.enabled_pages", "statistics.shapes.total_shapes_found",
                     F.array_join("statistics.shapes.dominant_shapes", ",").alias("dominant_shapes"), "estimated_cost.*",

@@ -292,6 +292,14 @@ def run_times(events: DataFrame) -> DataFrame:
                     F.col("value").alias("duration_ms")))
 
 
+def run_phases(events: DataFrame) -> DataFrame:
+    """Two phases a document, by number of the event; failed ones have no time."""
+    return (events.filter(F.col("event_type") != "error")
+            .select(F.expr("event_id div 2").alias("doc_id"),
+                    F.when(F.col("event_id") % 2 == 0, "conversion").otherwise("shapes").alias("phase"),
+                    F.col("value").alias("seconds")))
+
+
 def job_status_log(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"),
                          F.expr(STATUS_SQL).alias("status"),

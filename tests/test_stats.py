@@ -64,3 +64,22 @@ def test_spread_only_when_too_few_splits(spark):
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(100).withColumnRenamed("id", "doc_id").repartition(16)
     assert spread(many).rdd.getNumPartitions() == 16
+
+
+def test_pages_are_observed_by_the_write(spark):
+    """Counts of processed and placeholder pages come with the action itself."""
+    from sheaf.operators import stats as S
+    from sheaf.sinks import results as SR
+    pages = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "doc_id long, page_number long")
+    ocr = spark.createDataFrame([(1, 1, "a b", 2, 90.0)], "doc_id long, page_number long, text string, word_count long, confidence double")
+    shapes = spark.createDataFrame([], "doc_id long, page_number long, enabled boolean, shape_count int, dominant_shape string")
+    seen_pages, seen = SR.observe_pages(S.page_report(pages, ocr, shapes))
+    assert sorted((r["doc_id"], r["page_number"], r["processed"]) for r in seen_pages.collect()) == [(1, 1, True), (1, 2, False), (2, 1, False)]
+    assert seen.get == {"pages": 3, "processed_pages": 1, "placeholder_pages": 2}
+
+
+def test_run_seconds(spark):
+    from sheaf.operators import metrics as M
+    log = spark.createDataFrame([(1, "conversion", 2.0), (1, "conversion", 3.0), (1, "shapes", 1.0), (2, "shapes", 4.0), (None, "shapes", 9.0)],
+                                "doc_id long, phase string, seconds double")
+    assert sorted(tuple(r) for r in M.run_seconds(log).collect()) == [(1, 3.0, 1.0), (2, None, 4.0)]
