@@ -15,9 +15,11 @@ Profiles (how the three reference processors differ):
   tables without a CHILD relationship are dropped and non-CELL children are
   kept as cells.
 
-Shuffles: id resolution joins on ``(doc_id[, page], id)``; page lists group
+Shuffles: id resolution groups by ``(doc_id[, page], id)``; page lists group
 by ``(doc_id, page)``; only the nested document assembly groups by
-``doc_id`` (bounded by the page limit of admitted files).
+``doc_id`` (bounded by the page limit of admitted files).  Lookups and lists
+are unions that are grouped, not joins: blocks dealt by ``doc_id`` need no
+exchange, others one a step.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.operators.graph import child_text, first_rel_ids, in_scope, last_by_id, scope_cols
+from sheaf.operators.graph import child_slots, child_text, first_rel_ids, in_scope, referenced, scope_cols, slot_text
 
 PROFILES = ("current", "sync", "legacy")
 
@@ -42,73 +44,51 @@ def _kv(blocks: DataFrame) -> DataFrame:
 # block text per profile
 # ---------------------------------------------------------------------------
 
-def _legacy_text(targets: DataFrame, blocks: DataFrame, scope: str) -> DataFrame:
-    """Legacy text: own text when set, else texts of the first CHILD
-    relationship's children that exist and have text, joined by ''."""
+def _legacy_text(rows: DataFrame, blocks: DataFrame, scope: str) -> DataFrame:
+    """Legacy text of ``rows`` (distinct but for ``text`` and ``ids``): own
+    text when set, else texts of the first CHILD relationship's children that
+    exist (the first block with an id is what a linear find returns) and have
+    text, joined by ''.  A block that was delivered ``n`` times has each of its
+    children as often."""
+    own = [c for c in rows.columns if c not in ("text", "ids")]
     cols = scope_cols(scope)
-    src = in_scope(blocks, scope)
-    # the first block with an id is what a linear find returns
-    first = (src.groupBy(*cols, "id")
-             .agg(F.min(F.struct("block_ord", "text")).alias("f"))
-             .select(*cols, F.col("id").alias("dst_id"), F.col("f.text").alias("child")))
-    tgt = (src.join(targets.select("doc_id", "block_ord"), ["doc_id", "block_ord"], "left_semi")
-           .select(*cols, "block_ord", "text", first_rel_ids("CHILD").alias("ids")))
-    kids = (tgt.filter(F.col("text").isNull() | (F.col("text") == ""))
-            .select(*cols, "block_ord", F.posexplode("ids").alias("id_ord", "dst_id"))
-            .join(first.hint("merge"), [*cols, "dst_id"], "inner")
-            .filter(F.col("child").isNotNull() & (F.col("child") != ""))
-            .groupBy("doc_id", "block_ord")
-            .agg(F.array_join(F.transform(
-                F.array_sort(F.collect_list(F.struct("id_ord", "child"))),
-                lambda x: x["child"]), "").alias("kid_text")))
-    return (tgt.join(kids, ["doc_id", "block_ord"], "left")
-            .select("doc_id", "block_ord",
-                    F.when((F.col("text").isNotNull()) & (F.col("text") != ""), F.col("text"))
-                    .otherwise(F.coalesce("kid_text", F.lit(""))).alias("child_text")))
-
-
-def scope_texts(blocks: DataFrame, scope: str, profile: str = "current") -> DataFrame:
-    """Text of every block that forms or tables may read in a scope (KEY /
-    VALUE / CELL blocks; every block for legacy, whose cells may be of any
-    type).  Forms and tables call this with the same arguments, so one
-    query plan computes it once (Spark reuses the identical exchanges)."""
-    if profile == "legacy":
-        return _legacy_text(blocks.select("doc_id", "block_ord"), blocks, scope)
-    sources = blocks.filter(F.col("block_type").isin("KEY_VALUE_SET", "CELL"))
-    return child_text(sources, blocks, scope)
+    has = F.coalesce(F.col("text") != "", F.lit(False))
+    asking = (rows.select(*own, F.when(has, F.col("text")).alias("text"), F.posexplode_outer(F.when(~has, F.col("ids"))).alias("id_ord", "dst_id")))
+    kid = F.when(F.col("found.text") != "", F.struct(F.lit(0).alias("rel_ord"), "id_ord", F.col("found.text").alias("t")))
+    return (referenced(asking, blocks, scope, "text", first=True).groupBy(*own)
+            .agg(F.max("text").alias("own_text"), F.collect_set(kid).alias("kids"))
+            .select(*own, F.coalesce("own_text", slot_text(F.flatten(F.transform("kids", lambda x: F.array_repeat(x, F.col("n").cast("int")))), "")).alias("text")))
 
 
 # ---------------------------------------------------------------------------
 # forms (AGG-5, PRJ-2, JN-5, JN-9)
 # ---------------------------------------------------------------------------
 
+def _value_id() -> F.Column:
+    """First VALUE relationship, first id (JN-5)."""
+    return F.get(first_rel_ids("VALUE"), 0)
+
+
 def forms(blocks: DataFrame, scope: str = "document", profile: str = "current") -> DataFrame:
     """Key/value pairs: ``(doc_id, [page,] form_no, key, value)`` in the
     order a key id first appears; the last KEY block with an id wins."""
     cols = scope_cols(scope)
     src = in_scope(blocks, scope)
-    kv = _kv(src)
     if profile == "legacy":
         return _legacy_forms(src, cols, scope)
-    keys = (last_by_id(kv.filter(_is_entity("KEY")), cols, "relationships")
-            .select(*cols, F.col("first_ord").alias("key_pos"),
-                    F.col("last.block_ord").alias("key_ord"),
-                    # first VALUE relationship, first id (JN-5)
-                    F.get(F.get(F.filter("last.relationships", lambda r: r["type"] == "VALUE"), 0)
-                          ["ids"], 0).alias("value_id")))
-    values = (kv.filter(~_is_entity("KEY") & _is_entity("VALUE"))
-              .groupBy(*cols, F.col("id").alias("value_id"))
-              .agg(F.max("block_ord").alias("val_ord")))
-    pairs = keys.join(values, [*cols, "value_id"], "left")
-    texts = scope_texts(blocks, scope, profile)
-    kt = texts.select("doc_id", F.col("block_ord").alias("key_ord"), F.col("child_text").alias("kt"))
-    vt = texts.select("doc_id", F.col("block_ord").alias("val_ord"), F.col("child_text").alias("vt"))
-    out = (pairs.join(kt, ["doc_id", "key_ord"], "left")
-           .join(vt, ["doc_id", "val_ord"], "left")
-           .select(*cols, "key_pos",
-                   F.coalesce("kt", F.lit("")).alias("key"),
-                   F.when(F.col("val_ord").isNull(), F.lit("")).otherwise(
-                       F.coalesce("vt", F.lit(""))).alias("value"))
+    is_key = _is_entity("KEY")
+    kv = (_kv(src).filter(is_key | _is_entity("VALUE"))
+          .select("doc_id", "page", "block_ord", "id", "relationships", is_key.alias("is_key"), F.when(is_key, _value_id()).alias("value_id")))
+    last = F.max(F.struct("block_ord", "value_id", "child_text"))
+    once = (child_text(kv, blocks, scope, carry=("id", "is_key", "value_id")).groupBy(*cols, "id", "is_key")
+            .agg(F.min("block_ord").alias("key_pos"), last.alias("last"))
+            .select(*cols, "is_key", "key_pos", F.when(F.col("is_key"), F.col("last.value_id")).otherwise(F.col("id")).alias("pair_id"),
+                    F.when(F.col("last.block_ord").isNotNull(), F.col("last.child_text")).alias("t")))
+    # a key and the VALUE block it names meet in one group, which has one value at most
+    value = F.max(F.when(~F.col("is_key"), F.col("t"))).over(Window.partitionBy(*cols, "pair_id"))
+    out = (once.withColumn("value", F.coalesce(F.when(F.col("pair_id").isNotNull(), value), F.lit("")))
+           .filter("is_key")
+           .select(*cols, "key_pos", F.when(F.col("doc_id").isNotNull(), F.col("t")).alias("key"), "value")
            .filter(F.col("key") != ""))
     w = Window.partitionBy(*cols).orderBy("key_pos")
     return out.select(*cols, F.row_number().over(w).cast("long").alias("form_no"), "key", "value")
@@ -118,19 +98,23 @@ def _legacy_forms(src: DataFrame, cols: list[str], scope: str) -> DataFrame:
     """Legacy pairing: every KEY block in block order; value = first block
     (any type) with the first VALUE id; pair only when it exists."""
     keys = (_kv(src).filter(_is_entity("KEY"))
-            .select(*cols, "block_ord",
-                    F.get(F.get(F.filter("relationships", lambda r: r["type"] == "VALUE"), 0)
-                          ["ids"], 0).alias("value_id"))
-            .filter(F.col("value_id").isNotNull()))
-    first = (src.groupBy(*cols, F.col("id").alias("value_id"))
-             .agg(F.min("block_ord").alias("val_ord")))
-    pairs = keys.join(first, [*cols, "value_id"], "inner")
-    texts = scope_texts(src, scope, "legacy")
-    kt = texts.select("doc_id", "block_ord", F.col("child_text").alias("key"))
-    vt = texts.select("doc_id", F.col("block_ord").alias("val_ord"), F.col("child_text").alias("value"))
-    out = (pairs.join(kt, ["doc_id", "block_ord"], "left").join(vt, ["doc_id", "val_ord"], "left")
-           .select(*cols, "block_ord", F.coalesce("key", F.lit("")).alias("key"),
-                   F.coalesce("value", F.lit("")).alias("value")))
+            .select(*cols, "block_ord", "text", first_rel_ids("CHILD").alias("ids"), _value_id().alias("dst_id"))
+            .filter(F.col("dst_id").isNotNull())
+            .groupBy(*cols, "block_ord", "dst_id").agg(F.max("text").alias("text"), F.max("ids").alias("ids"), F.count(F.lit(1)).alias("n")))
+    src = src.withColumn("ids", first_rel_ids("CHILD"))
+    pairs = referenced(keys, src, scope, "text", "ids", first=True, copies=True).filter(F.col("found").isNotNull())
+    # a side without a place in the document has no text
+    side = lambda is_key, n, ord_, text, ids: F.struct(F.lit(is_key).alias("is_key"), F.coalesce(n, F.lit(1)).cast("long").alias("n"),
+                                                       F.when(ord_.isNotNull(), text).alias("text"), F.when(ord_.isNotNull(), ids).alias("ids"))
+    sides = (pairs.select(*cols, "block_ord", "dst_id", F.explode(F.array(
+        side(True, F.col("n"), F.col("block_ord"), F.col("text"), F.col("ids")),
+        side(False, F.when(F.col("found.block_ord").isNotNull(), F.col("copies")), F.col("found.block_ord"), F.col("found.text"), F.col("found.ids")))).alias("s"))
+        .select(*cols, "block_ord", F.col("dst_id").alias("value_id"), "s.*"))
+    of = lambda is_key, c: F.max(F.when(F.col("is_key") == is_key, F.col(c)))
+    out = (_legacy_text(sides, src, scope).groupBy(*cols, "block_ord", "value_id")
+           .agg(of(True, "text").alias("key"), of(False, "text").alias("value"), of(True, "n").alias("n"), of(False, "n").alias("m"))
+           # blocks delivered again pair each with each
+           .withColumn("again", F.explode(F.array_repeat(F.lit(1), (F.col("n") * F.col("n") * F.col("m")).cast("int")))))
     w = Window.partitionBy(*cols).orderBy("block_ord")
     return out.select(*cols, F.row_number().over(w).cast("long").alias("form_no"), "key", "value")
 
@@ -167,28 +151,31 @@ def table_cells(blocks: DataFrame, scope: str = "document", profile: str = "curr
     if profile == "legacy":
         tables = tables.filter(F.col("child_ids").isNotNull())
     tables = _table_rank(tables, cols)
-    refs = tables.select(*cols, "table_no", F.posexplode("child_ids").alias("cell_pos", "cell_id"))
+    refs = tables.select(*cols, "table_no", F.posexplode("child_ids").alias("cell_pos", "dst_id"))
     if profile == "legacy":
         # linear find: the first block with the id, any type
-        idx = (src.groupBy(*cols, F.col("id").alias("cell_id"))
-               .agg(F.min(F.struct("block_ord", "block_type", "row_index", "column_index"))
-                    .alias("last")))
-        cells = refs.join(idx.hint("merge"), [*cols, "cell_id"], "inner")
+        src = src.withColumn("ids", first_rel_ids("CHILD"))
+        cells = (referenced(refs, src, scope, "text", "row_index", "column_index", "ids", first=True).filter(F.col("found").isNotNull())
+                 .select(*cols, "table_no", "cell_pos", F.coalesce("found.row_index", F.lit(0)).alias("row_index"),
+                         F.coalesce("found.column_index", F.lit(0)).alias("column_index"), F.lit(1).alias("n"),
+                         # a cell without a place in the document has no text
+                         *[F.when(F.col("found.block_ord").isNotNull(), F.col(f"found.{c}")).alias(c) for c in ("text", "ids")]))
+        cells = _legacy_text(cells, src, scope)
     else:
-        idx = (last_by_id(src, cols, "block_type", "row_index", "column_index")
-               .select(*cols, F.col("id").alias("cell_id"), "last"))
-        cells = (refs.join(idx.hint("merge"), [*cols, "cell_id"], "inner")
-                 .filter(F.col("last.block_type") == "CELL"))
-    cells = cells.select(*cols, "table_no", "cell_pos",
-                         F.col("last.block_ord").alias("cell_ord"),
-                         F.coalesce("last.row_index", F.lit(0)).alias("row_index"),
-                         F.coalesce("last.column_index", F.lit(0)).alias("column_index"))
-    texts = scope_texts(blocks, scope, profile)
-    return (cells.join(texts.withColumnRenamed("block_ord", "cell_ord"), ["doc_id", "cell_ord"],
-                       "left")
-            .select(*cols, "table_no", (F.col("cell_pos") + 1).cast("long").alias("cell_no"),
-                    F.coalesce("child_text", F.lit("")).alias("text"),
-                    "row_index", "column_index"))
+        # the cells of tables and the children of cells are looked up together
+        slots = (src.filter(F.col("block_type") == "CELL").select(*cols, F.col("block_ord").alias("cell_ord"), F.explode(child_slots()).alias("s"))
+                 .filter(F.col("cell_ord").isNotNull()).select(*cols, "cell_ord", "s.*"))
+        rows = referenced(refs.unionByName(slots, allowMissingColumns=True), src, scope, "text", "block_type", "row_index", "column_index")
+        found = F.col("found")
+        part = F.when(F.col("cell_ord").isNotNull(), F.struct("rel_ord", "id_ord", F.coalesce(found["text"], F.lit("")).alias("t")))
+        ref = F.when(F.col("cell_ord").isNull(), F.struct("table_no", "cell_pos", F.coalesce(found["row_index"], F.lit(0)).alias("row_index"),
+                                                          F.coalesce(found["column_index"], F.lit(0)).alias("column_index")))
+        cells = (rows.filter(F.col("cell_ord").isNotNull() | (found["block_type"] == "CELL"))
+                 .groupBy(*cols, F.coalesce("cell_ord", found["block_ord"]).alias("at"))
+                 .agg(F.collect_list(ref).alias("refs"), F.collect_set(part).alias("parts"))
+                 .select(*cols, slot_text(F.col("parts")).alias("text"), F.explode("refs").alias("r"))
+                 .select(*cols, "r.*", "text"))
+    return cells.select(*cols, "table_no", (F.col("cell_pos") + 1).cast("long").alias("cell_no"), "text", "row_index", "column_index")
 
 
 def table_grid(cells: DataFrame, scope: str = "document") -> DataFrame:
@@ -196,20 +183,21 @@ def table_grid(cells: DataFrame, scope: str = "document") -> DataFrame:
     ``''``; a later cell overwrites an earlier one; index <= 0 is ignored;
     no grid when either extent is <= 0.
     ``(doc_id, [page,] table_no, row_no, col_no, text)``."""
-    cols = scope_cols(scope)
-    key = [*cols, "table_no"]
-    dims = (cells.groupBy(*key)
-            .agg(F.max("row_index").alias("max_row"), F.max("column_index").alias("max_col"))
-            .filter((F.col("max_row") > 0) & (F.col("max_col") > 0)))
-    last = (cells.filter((F.col("row_index") >= 1) & (F.col("column_index") >= 1))
-            .groupBy(*key, F.col("row_index").alias("row_no"), F.col("column_index").alias("col_no"))
-            .agg(F.max_by("text", "cell_no").alias("text")))
-    slots = (dims.select(*key, "max_col", F.explode(F.sequence(F.lit(1), "max_row")).alias("row_no"))
-             .select(*key, "row_no", F.explode(F.sequence(F.lit(1), "max_col")).alias("col_no")))
-    return (slots.join(last, [*key, "row_no", "col_no"], "left")
-            .select(*key, F.col("row_no").cast("long").alias("row_no"),
-                    F.col("col_no").cast("long").alias("col_no"),
-                    F.coalesce("text", F.lit("")).alias("text")))
+    key = [*scope_cols(scope), "table_no"]
+    w = Window.partitionBy(*key).orderBy("cell_no")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = cells.select(*key, "cell_no", "row_index", "column_index", "text", F.row_number().over(w).alias("i"),
+                        F.max("row_index").over(every).alias("max_row"), F.max("column_index").over(every).alias("max_col"))
+    # a table's first cell brings the empty slots too: row 0 stands for the cell itself
+    dense = (F.col("i") == 1) & (F.col("max_row") > 0) & (F.col("max_col") > 0)
+    rows = (rows.withColumn("row_no", F.explode(F.when(dense, F.sequence(F.lit(0), F.col("max_row"))).otherwise(F.array(F.lit(0)))))
+            .withColumn("col_no", F.explode(F.when(F.col("row_no") > 0, F.sequence(F.lit(1), F.col("max_col"))).otherwise(F.array(F.lit(0))))))
+    own = F.col("row_no") == 0
+    return (rows.filter(~own | ((F.col("row_index") >= 1) & (F.col("column_index") >= 1)))
+            .groupBy(*key, F.when(own, F.col("row_index")).otherwise(F.col("row_no")).cast("long").alias("row_no"),
+                     F.when(own, F.col("column_index")).otherwise(F.col("col_no")).cast("long").alias("col_no"))
+            .agg(F.max_by("text", F.when(own, F.col("cell_no"))).alias("text"))
+            .select(*key, "row_no", "col_no", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def table_rows(grid: DataFrame, scope: str = "document") -> DataFrame:
@@ -268,35 +256,39 @@ def page_lines(blocks: DataFrame, profile: str = "current") -> DataFrame:
                       count.cast("long").alias("block_count"))
 
 
+def page_groups(blocks: DataFrame, profile: str, more: DataFrame, *aggs: F.Column, whole: bool = False) -> DataFrame:
+    """Pages with their lines and ``aggs`` over the rows ``more`` (``doc_id,
+    page`` and other columns) of the page: ``(doc_id, page_number, page, text,
+    confidence, block_count, ...)``.  Page list, lines and ``more`` meet in one
+    grouping by ``(doc_id, page)``.  ``whole``: with the groups without a page
+    number, such as that of a document's own rows."""
+    lines = page_lines(blocks, profile)
+    rows = (page_list(blocks, profile).unionByName(lines.select("doc_id", "page", F.struct("text", "confidence", "block_count").alias("line")), allowMissingColumns=True)
+            .unionByName(more, allowMissingColumns=True))
+    known = F.col("doc_id").isNotNull()  # pages of a null document have nothing
+    return (rows.groupBy("doc_id", "page")
+            .agg(F.collect_list("page_number").alias("numbers"), F.max(F.when(known, F.col("line"))).alias("line"), *aggs)
+            .withColumn("page_number", (F.explode_outer if whole else F.explode)("numbers"))
+            .withColumns({"text": F.coalesce("line.text", F.lit("")), "confidence": F.coalesce("line.confidence", F.lit(0.0)),
+                          "block_count": F.coalesce("line.block_count", F.lit(0)).cast("long")})
+            .drop("numbers", "line"))
+
+
 def pages(blocks: DataFrame, profile: str = "current") -> DataFrame:
     """Flat page results: ``(doc_id, page_number, text, confidence,
     block_count, n_forms, n_tables)`` (LIM-4 counts included)."""
-    plist = page_list(blocks, profile)
-    lines = page_lines(blocks, profile)
-    nf = (forms(blocks, "page", profile).groupBy("doc_id", "page")
-          .agg(F.count(F.lit(1)).alias("n_forms")))
-    nt = (table_list(blocks, "page", profile).groupBy("doc_id", "page")
-          .agg(F.count(F.lit(1)).alias("n_tables")))
-    return (plist.join(lines, ["doc_id", "page"], "left")
-            .join(nf, ["doc_id", "page"], "left")
-            .join(nt, ["doc_id", "page"], "left")
-            .select("doc_id", "page_number", "page",
-                    F.coalesce("text", F.lit("")).alias("text"),
-                    F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-                    F.coalesce("block_count", F.lit(0)).cast("long").alias("block_count"),
-                    F.coalesce("n_forms", F.lit(0)).cast("long").alias("n_forms"),
-                    F.coalesce("n_tables", F.lit(0)).cast("long").alias("n_tables")))
+    one = F.lit(1).cast("long")
+    more = (forms(blocks, "page", profile).select("doc_id", "page", one.alias("f"))
+            .unionByName(table_list(blocks, "page", profile).select("doc_id", "page", one.alias("t")), allowMissingColumns=True))
+    known = F.col("doc_id").isNotNull()
+    return (page_groups(blocks, profile, more, F.count(F.when(known, F.col("f"))).alias("n_forms"), F.count(F.when(known, F.col("t"))).alias("n_tables"))
+            .select("doc_id", "page_number", "page", "text", "confidence", "block_count", "n_forms", "n_tables"))
 
 
 # ---------------------------------------------------------------------------
 # document assembly (AGG-8, PRJ-4, PRJ-5)
 # ---------------------------------------------------------------------------
 
-def _ordered(col_name: str, order: str, value) -> F.Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))),
-                       lambda x: x["v"])
-
-
 # the defaults of engine, version and region below are FIXED VALUES of the envelope
 def assemble(blocks: DataFrame, files: DataFrame | None = None, profile: str = "current",
              engine: str = "textract-analyze", run_ts: str = "1970-01-01T00:00:00.000Z",
@@ -310,20 +302,19 @@ def assemble(blocks: DataFrame, files: DataFrame | None = None, profile: str = "
     The group per document is bounded: admitted files have at most the page
     limit of pages (TRI-4) and the size limit of bytes (TRI-1).
     """
-    every = (documents if documents is not None else blocks).select("doc_id").distinct()
+    # read with their place, which keeps the blocks' own exchange in use
+    every = (documents.select("doc_id").distinct() if documents is not None
+             else blocks.groupBy("doc_id").agg(F.max("block_ord").alias("last")).select("doc_id"))
     if profile != "legacy":
         from sheaf.operators.nested import nested
         return _envelope(nested(blocks, every, profile), files, engine, run_ts, version, region)
     # legacy computes page forms/tables but does not return them
-    page_rows = (page_list(blocks, profile).join(page_lines(blocks, profile), ["doc_id", "page"], "left")
-                 .select("doc_id", "page_number", F.struct(
-                     F.col("page_number").alias("pageNumber"), F.coalesce("text", F.lit("")).alias("text"),
-                     F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-                     F.coalesce("block_count", F.lit(0)).cast("long").alias("blockCount")).alias("p")))
-    doc = (every.join(page_rows.groupBy("doc_id").agg(
-        _ordered("pages", "page_number", F.col("p")).alias("pages")), "doc_id", "left")
-        .withColumn("pages", F.coalesce("pages", F.array()))
-        .withColumn("forms", F.lit(None)).withColumn("tables", F.lit(None)))
+    none = every.select("doc_id", F.lit(None).cast("int").alias("page"), F.lit(True).alias("wanted"))
+    page = F.struct(F.col("page_number").alias("pageNumber"), "text", "confidence", F.col("block_count").alias("blockCount"))
+    doc = (page_groups(blocks, profile, none, F.max("wanted").alias("wanted"), whole=True).groupBy("doc_id")
+           .agg(F.array_sort(F.collect_list(F.when(F.col("page_number").isNotNull() & F.col("doc_id").isNotNull(), page))).alias("pages"), F.max("wanted").alias("wanted"))
+           .where("wanted").drop("wanted")
+           .withColumn("forms", F.lit(None)).withColumn("tables", F.lit(None)))
     return _envelope(doc, files, engine, run_ts, version, region)
 
 

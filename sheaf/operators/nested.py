@@ -1,24 +1,24 @@
 """Nested documents in one resolution pass (AGG-8 for ``current`` and
 ``sync``).
 
-Every relationship id is looked up once, by one join on ``(doc_id, id)``.  The
-matching rows carry the target's page, so the page-scope answer (the last
-target on the source's own page) and the document-scope answer (the last target
-anywhere) come from the same rows.  Forms and tables of both scopes are then
-put together from one row per source block.
-
-Exchanges: edges and blocks by (doc_id, id), sources by (doc_id, block), their
-targets by the same, and doc_id for the lists; everything after that stays in
-the document's partition.  A document's lists are bounded by the page limit of
-admitted files (TRI-4).
+Every relationship id is looked up once: edges and blocks meet in groups by
+``(doc_id, id)``.  The blocks carry their page, so the page-scope answer (the
+last target on the source's own page) and the document-scope answer (the last
+target anywhere) come from the same rows.  Forms and tables of both scopes are
+then put together from one row per source block.
+
+Exchanges: edges and blocks by (doc_id, id), sources and their targets by
+(doc_id, block), and doc_id for the lists; none at all for blocks that are
+dealt by doc_id.  A document's lists are bounded by the page limit of admitted
+files (TRI-4).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.operators.assemble import page_lines, page_list
+from sheaf.operators.assemble import page_groups
 
 SOURCES = ("KEY_VALUE_SET", "CELL", "TABLE")
 
@@ -49,21 +49,25 @@ def _edges(blocks: DataFrame) -> DataFrame:
 def resolve(blocks: DataFrame) -> DataFrame:
     """One row per source block: ``text_doc`` and ``text_page`` (its children's
     texts in each scope), ``slots`` of the values and cells it points to."""
-    edges = _edges(blocks)
     value = (F.col("block_type") == "KEY_VALUE_SET") & ~_has("KEY") & _has("VALUE")
-    targets = blocks.select("doc_id", F.col("id").alias("dst_id"), F.col("block_ord").alias("dst_ord"), F.col("page").alias("dst_page"),
-                            (F.col("block_type") == "CELL").alias("is_cell"), value.alias("is_value"),
-                            F.coalesce("text", F.lit("")).alias("t"), "row_index", "column_index")
-    rows = edges.join(targets.hint("merge"), ["doc_id", "dst_id"], "left")
-    # a value must be a VALUE block; of the candidates the last one counts
-    fits = F.col("dst_ord").isNotNull() & ((F.col("use") != "value") | F.col("is_value"))
-    found = F.struct("dst_ord", "t", "is_cell", "row_index", "column_index")
+    found = F.struct(F.col("block_ord").alias("dst_ord"), F.coalesce("text", F.lit("")).alias("t"), (F.col("block_type") == "CELL").alias("is_cell"), "row_index", "column_index")
+    targets = blocks.select("doc_id", F.col("id").alias("dst_id"), "page", F.struct(found.alias("found"), value.alias("is_value")).alias("target"))
+    edges = _edges(blocks)
     own = ["src_page", "src_type", "src_id", "is_key"]
-    # all rows of an edge share (doc_id, dst_id): no exchange
-    slots = (rows.groupBy("doc_id", "dst_id", "src_ord", *own, "use", "rel_ord", "id_ord")
-             .agg(F.max(F.when(fits, found)).alias("doc"), F.max(F.when(fits & (F.col("dst_page") == F.col("src_page")), found)).alias("page")))
+    edge = F.struct("src_ord", "src_type", "src_id", "is_key", "use", "rel_ord", "id_ord")
+    rows = edges.select("doc_id", "dst_id", F.col("src_page").alias("page"), edge.alias("edge")).unionByName(targets, allowMissingColumns=True)
+    # a value must be a VALUE block; of the candidates the last one counts
+    hit = F.when(F.col("target.found.dst_ord").isNotNull(), F.col("target.found"))
+    val = F.when(F.col("target.is_value"), hit)
+    known = F.col("doc_id").isNotNull() & F.col("dst_id").isNotNull()
+    for scope, key, fits in (("page", ["doc_id", "dst_id", "page"], known & F.col("page").isNotNull()), ("doc", ["doc_id", "dst_id"], known)):
+        w = Window.partitionBy(*key)
+        rows = rows.withColumn(f"in_{scope}", F.when(fits, F.struct(F.max(hit).over(w).alias("any"), F.max(val).over(w).alias("value"))))
+    slots = (rows.where("edge is not null").select("doc_id", "dst_id", F.col("page").alias("src_page"), "edge.*", *[
+        F.when(F.col("edge.use") == "value", F.col(f"in_{scope}.value")).otherwise(F.col(f"in_{scope}.any")).alias(scope) for scope in ("doc", "page")]))
+    # a block that was delivered twice has each of its slots once
     parts = (slots.groupBy("doc_id", "src_ord", *own)
-             .agg(F.sort_array(F.collect_list(F.when(F.col("dst_id").isNotNull(), F.struct("rel_ord", "id_ord", "use", "doc", "page")))).alias("p")))
+             .agg(F.sort_array(F.collect_set(F.when(F.col("dst_id").isNotNull(), F.struct("rel_ord", "id_ord", "use", "doc", "page")))).alias("p")))
 
     def text(scope: str) -> Column:
         return F.array_join(F.transform(F.filter("p", lambda x: x["use"] == "text"), lambda x: F.coalesce(x[scope]["t"], F.lit(""))), " ")
@@ -94,25 +98,41 @@ def _grid(cells: Column) -> Column:
     return F.when((rows > 0) & (cols > 0), F.transform(F.sequence(F.lit(1), rows), row)).otherwise(F.array().cast("array<array<string>>"))
 
 
+REF = "struct<scope:string,page:int,src_ord:bigint,src_id:string,is_key:boolean,key:string,pos:int,target:bigint,rowIndex:int,columnIndex:int>"
+REFS = f"array<{REF}>"
+
+
 def lists(blocks: DataFrame) -> DataFrame:
     """Forms and tables: ``(doc_id, scope, page, forms, tables)``, a row per
     document (``page`` NULL) and per page that has some."""
     src = resolve(blocks)
-    owners = src.filter(F.col("is_key") | (F.col("src_type") == "TABLE"))
+    owner, texts = F.col("is_key") | (F.col("src_type") == "TABLE"), F.struct("text_doc", "text_page")
 
-    def refs(scope: str) -> DataFrame:
-        rows = owners if scope == "doc" else owners.filter(F.col("src_page").isNotNull())
+    def refs(scope: str) -> Column:
         usable = lambda x: x[scope].isNotNull() & ((x["use"] == "value") | x[scope]["is_cell"])
-        picked = F.transform(F.filter("slots", usable), lambda x, i: F.struct(
-            i.alias("pos"), x[scope]["dst_ord"].alias("target"), F.coalesce(x[scope]["row_index"], F.lit(0)).alias("rowIndex"),
-            F.coalesce(x[scope]["column_index"], F.lit(0)).alias("columnIndex")))
-        return rows.select("doc_id", F.lit(scope).alias("scope"), F.when(F.lit(scope == "page"), F.col("src_page")).alias("page"), "src_ord", "src_id", "is_key",
-                           F.col(f"text_{scope}").alias("key"), F.explode_outer(picked).alias("x")).select("*", "x.*").drop("x")
-
-    texts = src.filter("src_type <> 'TABLE'").select("doc_id", F.col("src_ord").alias("target"), "text_doc", "text_page")
-    got = (refs("doc").unionByName(refs("page")).join(texts.hint("merge"), ["doc_id", "target"], "left")
-           .withColumn("text", F.coalesce(F.when(F.col("scope") == "doc", F.col("text_doc")).otherwise(F.col("text_page")), F.lit("")))
-           .repartition("doc_id"))
+        ref = lambda x, i: F.struct(
+            F.lit(scope).alias("scope"), F.when(F.lit(scope == "page"), F.col("src_page")).alias("page"), "src_ord", "src_id", "is_key",
+            F.col(f"text_{scope}").alias("key"), i.alias("pos"), x[scope]["dst_ord"].alias("target"),
+            F.coalesce(x[scope]["row_index"], F.lit(0)).alias("rowIndex"), F.coalesce(x[scope]["column_index"], F.lit(0)).alias("columnIndex"))
+        picked = F.transform(F.filter("slots", usable), ref)
+        # an owner without any has one reference to nothing
+        none = F.array(F.struct(F.lit(scope).alias("scope"), F.when(F.lit(scope == "page"), F.col("src_page")).alias("page"), "src_ord", "src_id", "is_key",
+                                F.col(f"text_{scope}").alias("key"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("target"),
+                                F.lit(0).alias("rowIndex"), F.lit(0).alias("columnIndex")))
+        rows = F.when(F.size(picked) > 0, picked.cast(REFS)).otherwise(none.cast(REFS))
+        return F.when(owner if scope == "doc" else owner & F.col("src_page").isNotNull(), rows)
+
+    # a source stands for its text (``giver``) and, if it is a key or a table, for
+    # what it refers to; both meet in groups by (doc_id, place of the target)
+    asks = F.concat(*[F.coalesce(refs(s), F.array().cast(REFS)) for s in ("doc", "page")])
+    gives = F.when(F.col("src_type") != "TABLE", texts)
+    both = (src.select("doc_id", F.explode(F.concat(
+        F.array(F.struct(F.col("src_ord").alias("target"), gives.alias("giver"), F.lit(None).cast(REF).alias("x"))),
+        F.transform(asks, lambda x: F.struct(x["target"].alias("target"), F.lit(None).cast("struct<text_doc:string,text_page:string>").alias("giver"), x.alias("x"))))).alias("e"))
+        .select("doc_id", "e.*"))
+    text = F.max("giver").over(Window.partitionBy("doc_id", "target"))
+    got = (both.withColumn("t", F.when(F.col("target").isNotNull() & F.col("doc_id").isNotNull(), text)).where("x is not null")
+           .select("doc_id", "x.*", F.coalesce(F.when(F.col("x.scope") == "doc", F.col("t.text_doc")).otherwise(F.col("t.text_page")), F.lit("")).alias("text")))
     cell = F.struct("text", "rowIndex", "columnIndex")
     # a key has one value at most; a table its cells in order
     owned = (got.groupBy("doc_id", "scope", "page", "src_ord", "src_id", "is_key", "key")
@@ -126,20 +146,20 @@ def lists(blocks: DataFrame) -> DataFrame:
 
 def nested(blocks: DataFrame, every: DataFrame, profile: str) -> DataFrame:
     """``(doc_id, pages, forms, tables)`` for each ``doc_id`` of ``every``."""
-    found = lists(blocks)
-    by_page = found.filter("scope = 'page'").select("doc_id", "page", "forms", "tables")
-    rows = (page_list(blocks, profile).join(page_lines(blocks.repartition("doc_id") if profile != "current" else blocks.filter("block_type = 'LINE'").repartition("doc_id"), profile), ["doc_id", "page"], "left")
-            .join(by_page, ["doc_id", "page"], "left"))
-    page = F.struct(F.col("page_number").alias("pageNumber"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-                    F.coalesce("block_count", F.lit(0)).cast("long").alias("blockCount"),
+    known = F.col("doc_id").isNotNull()
+    found = lists(blocks).select("doc_id", "page", F.struct("forms", "tables").alias("found"))
+    # the row without a page is the document's, which a page list never has
+    groups = page_groups(blocks, profile, found, F.max(F.when(known, F.col("found"))).alias("found"), whole=True)
+    page = F.struct(F.col("page_number").alias("pageNumber"), "text", "confidence", F.col("block_count").alias("blockCount"),
                     # PRJ-4: empty lists are left out (NULL fields vanish in JSON)
-                    F.when(F.size("forms") > 0, F.col("forms")).alias("forms"), F.when(F.size("tables") > 0, F.col("tables")).alias("tables"))
-    pages = rows.groupBy("doc_id").agg(_ordered("page_number", page).alias("pages"))
+                    F.when(F.size("found.forms") > 0, F.col("found.forms")).alias("forms"), F.when(F.size("found.tables") > 0, F.col("found.tables")).alias("tables"))
+    rows = groups.unionByName(every.select("doc_id", F.lit(True).alias("wanted")), allowMissingColumns=True)
     # every document gets a result, also one without PAGE blocks
-    doc = every.join(pages, "doc_id", "left").withColumn("pages", F.coalesce("pages", F.array()))
+    doc = (rows.groupBy("doc_id").agg(_ordered("page_number", page, F.col("page_number").isNotNull() & known).alias("pages"),
+                                      F.max(F.when(F.col("page").isNull(), F.col("found"))).alias("found"), F.max("wanted").alias("wanted"))
+           .where("wanted"))
     if profile == "sync":
         # SET-1: document lists are the page lists in page order
         both = lambda name: F.flatten(F.transform("pages", lambda p: F.coalesce(p[name], F.array())))
-        return doc.withColumn("forms", both("forms")).withColumn("tables", both("tables"))
-    whole = found.filter("scope = 'doc'").select("doc_id", "forms", "tables")
-    return (doc.join(whole, "doc_id", "left").withColumn("forms", F.coalesce("forms", F.array())).withColumn("tables", F.coalesce("tables", F.array())))
+        return doc.select("doc_id", "pages", both("forms").alias("forms"), both("tables").alias("tables"))
+    return doc.select("doc_id", "pages", F.coalesce("found.forms", F.array()).alias("forms"), F.coalesce("found.tables", F.array()).alias("tables"))

@@ -115,23 +115,22 @@ def table_preview(grid: DataFrame, tables: int = 2, rows: int = 3, cells: DataFr
     """LIM-1: first ``tables`` tables per document, first ``rows`` rows each
     (cells joined by ' | '), with the count of rows not shown.  With ``cells``
     a table that has cells but no grid is one row 0 that tells their number."""
-    per_row = (grid.filter(F.col("table_no") <= tables)
+    rows_in = grid.select("doc_id", "table_no", "row_no", "col_no", "text")
+    if cells is not None:
+        # a table's cells stand for its row 0: grid and cells meet in one grouping
+        rows_in = rows_in.unionByName(cells.select("doc_id", "table_no", F.lit(0).cast("long").alias("row_no")), allowMissingColumns=True)
+    per_row = (rows_in.filter(F.col("table_no") <= tables)
                .groupBy("doc_id", "table_no", "row_no")
-               .agg(F.array_sort(F.collect_list(F.struct("col_no", "text"))).alias("cs")))
+               .agg(F.array_sort(F.collect_list(F.struct("col_no", "text"))).alias("cs"), F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("doc_id", "table_no")
-    shown = (per_row
-             .withColumn("n_rows", F.count(F.lit(1)).over(w))
-             .filter(F.col("row_no") <= rows)
-             .select("doc_id", "table_no", "row_no",
-                     F.array_join(F.transform("cs", lambda x: x["text"]), " | ").alias("row_text"),
-                     F.greatest(F.col("n_rows") - rows, F.lit(0)).cast("long").alias("more_rows")))
-    if cells is None:
-        return shown
-    counts = cells.filter(F.col("table_no") <= tables).groupBy("doc_id", "table_no").agg(F.count(F.lit(1)).alias("n"))
-    bare = counts.join(per_row.select("doc_id", "table_no").distinct(), ["doc_id", "table_no"], "left_anti")
-    return shown.unionByName(bare.select("doc_id", "table_no", F.lit(0).cast("long").alias("row_no"),
-                                         F.concat(F.col("n").cast("string"), F.lit(" cells (no rows structure)")).alias("row_text"),
-                                         F.lit(0).cast("long").alias("more_rows")))
+    bare = F.col("row_no") == 0
+    return (per_row
+            .withColumn("n_rows", F.count_if(~bare).over(w))
+            .filter(F.when(bare, F.col("n_rows") == 0).otherwise(F.col("row_no") <= rows))
+            .select("doc_id", "table_no", "row_no",
+                    F.when(bare, F.concat(F.col("n").cast("string"), F.lit(" cells (no rows structure)")))
+                    .otherwise(F.array_join(F.transform("cs", lambda x: x["text"]), " | ")).alias("row_text"),
+                    F.greatest(F.col("n_rows") - rows, F.lit(0)).cast("long").alias("more_rows")))
 
 
 def first_table_page(pages: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.numbers import round6
 from sheaf.operators import assemble as A
 from sheaf.plans.registry import register
-from sheaf.session import materialize, scratch_path
+from sheaf.session import scratch_path
 from sheaf.sinks import store
 from sheaf.sources.blocks import blocks_from_responses, distinct_chunks, parse_responses
 from sheaf.sources.blocks import response_status as response_states
@@ -19,12 +19,18 @@ from sheaf.sources.derived import order_blocks, order_responses
 from sheaf.sources.tables import table
 
 
+#: Orders and line items a partition of the derived blocks holds at most, on average.
+ROWS_PER_PARTITION = 60_000
+
+
 def blocks_of(spark, sf_dir):
-    """Derived block table, landed as Parquet in the shared checkpoint folder
-    for this query: every branch of an assembly plan scans it instead of
-    deriving it again."""
-    return materialize(order_blocks(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")),
-                       "order-blocks")
+    """Derived block table, dealt by document into partitions whose size does
+    not grow with the tables.  It is not written: the operators read the kinds
+    they need, in the partitions of their documents."""
+    orders, lineitem = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    rows = orders.count() + lineitem.count()  # from the footers of the files
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PARTITION))
+    return order_blocks(orders, lineitem, parts)
 
 
 # base-table route to the same answers

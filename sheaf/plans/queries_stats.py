@@ -211,7 +211,8 @@ LEFT JOIN runs ON runs.doc_id = totals.doc_id""")
 def stats_report(spark, sf_dir):
     b = blocks_of(spark, sf_dir)
     pl = A.page_list(b)
-    totals = S.doc_totals(A.pages(b))
+    # a row a document, read twice: kept, so that the pages are resolved once
+    totals = materialize(S.doc_totals(A.pages(b)), "report-totals")
     ocr = _ocr(b)
     shapes = page_shapes(pl)
     report = SR.stats_report(totals, S.ocr_totals(ocr), S.shape_totals(shapes),

@@ -9,7 +9,7 @@ base tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NL = {"spark": "'\\n'", "duck": "chr(10)"}
@@ -86,7 +86,6 @@ LINE_SORT = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extended
 def order_lines(lineitem: DataFrame) -> DataFrame:
     """Line items numbered per order (``n``, a total order) with the page
     (4 line numbers per page) and the table row they land on."""
-    from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_SORT)
     page = (F.floor((F.col("l_linenumber") - 1) / LINES_PER_PAGE) + 1).cast("int")
     return (lineitem
@@ -99,7 +98,8 @@ def order_lines(lineitem: DataFrame) -> DataFrame:
 
 def _blk(block_ord, block_type, id_, page, text=None, confidence=None, row=None, col=None,
          entity=None, rels=None):
-    return F.struct(
+    """The columns of a block."""
+    return [
         block_ord.cast("long").alias("block_ord"),
         F.lit(block_type).alias("block_type"),
         id_.alias("id"),
@@ -111,7 +111,7 @@ def _blk(block_ord, block_type, id_, page, text=None, confidence=None, row=None,
         (F.array(F.lit(entity)) if entity else F.lit(None)).cast("array<string>").alias("entity_types"),
         (rels if rels is not None else F.lit(None)).cast(
             "array<struct<type:string,ids:array<string>>>").alias("relationships"),
-    )
+    ]
 
 
 def _rel(kind, *ids):
@@ -123,33 +123,33 @@ def _ord(page, section, n=0, sub=0):
             + (n if not isinstance(n, int) else F.lit(n)) * 100 + sub)
 
 
-def order_blocks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def order_blocks(orders: DataFrame, lineitem: DataFrame, partitions: int | None = None) -> DataFrame:
     """D3 block table: PAGE, LINE, TABLE/CELL/WORD and KEY/VALUE blocks.
 
-    Everything is narrow (explode of per-row block arrays) except the line
-    numbering window and the per-page table child list, both keyed by the
-    order.
+    Both inputs are dealt once by the order, into ``partitions`` (default: the
+    number of shuffle partitions); all the rest stays there, and what is grouped
+    by ``doc_id`` and more afterwards needs no other exchange.  Each kind of
+    block is a branch of its own, so that a query that reads some kinds derives
+    only those.
     """
-    lines = order_lines(lineitem)
+    parts = partitions or int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = order_lines(lineitem.select("l_orderkey", *LINE_SORT).repartition(parts, "l_orderkey"))
     s = lambda c: F.col(c).cast("string")
-    nid = s("n")
-    page = F.col("page")
-    words = [s("l_partkey"), F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag")]
+    nid, page, n, c = s("n"), F.col("page"), F.col("n"), F.col("c")
     # LINE + three CELLs + three WORDs per line item
-    per_line = [
-        _blk(_ord(page, 1, F.col("n")), "LINE", F.concat(F.lit("L"), nid), page,
-             text=F.concat(F.lit("P"), s("l_partkey"), F.lit(" "), F.col("l_returnflag"),
-                           F.col("l_linestatus")),
-             confidence=F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity") + 50)),
-    ]
-    for c in (1, 2, 3):
-        cid = F.concat(F.lit("C"), nid, F.lit(f"_{c}"))
-        wid = F.concat(F.lit("W"), nid, F.lit(f"_{c}"))
-        per_line.append(_blk(_ord(page, 2, F.col("n"), c), "WORD", wid, page, text=words[c - 1],
-                             confidence=F.round(F.col("l_discount") * 1000 + c - 1, 3)))
-        per_line.append(_blk(_ord(page, 4, F.col("n"), c), "CELL", cid, page,
-                             row=F.col("row"), col=F.lit(c), rels=F.array(_rel("CHILD", wid))))
-    line_blocks = lines.select("doc_id", F.explode(F.array(*per_line)).alias("b"))
+    line_blocks = lines.select("doc_id", *_blk(
+        _ord(page, 1, n), "LINE", F.concat(F.lit("L"), nid), page,
+        text=F.concat(F.lit("P"), s("l_partkey"), F.lit(" "), F.col("l_returnflag"), F.col("l_linestatus")),
+        confidence=F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity") + 50)))
+    thrice = lines.withColumn("c", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    wid = F.concat(F.lit("W"), nid, F.lit("_"), s("c"))
+    word_blocks = thrice.select("doc_id", *_blk(
+        _ord(page, 2, n, c), "WORD", wid, page,
+        text=F.when(c == 1, s("l_partkey")).when(c == 2, F.col("l_quantity").cast("int").cast("string")).otherwise(F.col("l_returnflag")),
+        confidence=F.round(F.col("l_discount") * 1000 + c - 1, 3)))
+    cell_blocks = thrice.select("doc_id", *_blk(
+        _ord(page, 4, n, c), "CELL", F.concat(F.lit("C"), nid, F.lit("_"), s("c")), page,
+        row=F.col("row"), col=c, rels=F.array(_rel("CHILD", wid))))
 
     # one TABLE per page with lines; CHILD ids in line order
     tables = (lines
@@ -160,50 +160,63 @@ def order_blocks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
                           *[F.concat(F.lit("C"), x["ns"], F.lit(f"_{c}")) for c in (1, 2, 3)]
                       ))).alias("cells")))
     table_blocks = tables.select(
-        "doc_id", _blk(_ord(page, 3), "TABLE", F.concat(F.lit("T"), s("page")), page,
-                       rels=F.array(F.struct(F.lit("CHILD").alias("type"),
-                                             F.col("cells").alias("ids")))).alias("b"))
-
-    npages = (lines.groupBy("doc_id").agg(F.max("page").alias("npages")))
-    docs = (orders.select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_orderpriority")
-            .join(npages, "doc_id", "left")
-            .withColumn("npages", F.coalesce("npages", F.lit(1)).cast("int")))
+        "doc_id", *_blk(_ord(page, 3), "TABLE", F.concat(F.lit("T"), s("page")), page,
+                        rels=F.array(F.struct(F.lit("CHILD").alias("type"),
+                                              F.col("cells").alias("ids")))))
+
+    # of the numbered lines, so that the exchange of the lines serves here too; a
+    # window instead of a join, whose null filter would ask for another exchange
+    npages = lines.groupBy("doc_id").agg(F.max(F.when(n > 0, page)).alias("npages"))
+    docs = (orders.select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_orderpriority", F.lit(True).alias("is_order"))
+            .repartition(parts, "doc_id")
+            .unionByName(npages, allowMissingColumns=True)
+            .withColumn("npages", F.max("npages").over(Window.partitionBy("doc_id"))).where("is_order")
+            .select("doc_id", "o_orderstatus", "o_orderpriority",
+                    F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("npages")), F.lit(1)).cast("int").alias("npages")))
     p1, last = F.lit(1), F.col("npages")
     kv = [
         _blk(_ord(p1, 5, 0), "KEY_VALUE_SET", F.lit("K1"), p1, entity="KEY",
              rels=F.array(_rel("VALUE", F.lit("V1")),
                           _rel("CHILD", F.lit("KW1a"), F.lit("KW1b")))),
-        _blk(_ord(p1, 5, 1), "WORD", F.lit("KW1a"), p1, text=F.lit("Order"), confidence=F.lit(99.0)),
-        _blk(_ord(p1, 5, 2), "WORD", F.lit("KW1b"), p1, text=F.lit("status"), confidence=F.lit(98.0)),
         _blk(_ord(p1, 5, 3), "KEY_VALUE_SET", F.lit("V1"), p1, entity="VALUE",
              rels=F.array(_rel("CHILD", F.lit("VW1")))),
-        _blk(_ord(p1, 5, 4), "WORD", F.lit("VW1"), p1, text=F.col("o_orderstatus"),
-             confidence=F.lit(97.0)),
         _blk(_ord(p1, 5, 5), "KEY_VALUE_SET", F.lit("K2"), p1, entity="KEY",
              rels=F.array(_rel("CHILD", F.lit("KW2a"), F.lit("KW2b")), _rel("VALUE", F.lit("V2")))),
-        _blk(_ord(p1, 5, 6), "WORD", F.lit("KW2a"), p1, text=F.lit("Order"), confidence=F.lit(0.0)),
-        _blk(_ord(p1, 5, 7), "WORD", F.lit("KW2b"), p1, text=F.lit("priority"),
-             confidence=F.lit(96.0)),
         _blk(_ord(p1, 5, 8), "KEY_VALUE_SET", F.lit("K3"), p1, entity="KEY",
              rels=F.array(_rel("CHILD", F.lit("KW3")))),
-        _blk(_ord(p1, 5, 9), "WORD", F.lit("KW3"), p1, text=F.lit("Clerk"), confidence=F.lit(95.0)),
         _blk(_ord(p1, 5, 10), "KEY_VALUE_SET", F.lit("K4"), p1, entity="KEY",
              rels=F.array(_rel("CHILD", F.lit("missing-1"), F.lit("missing-2")))),
         _blk(_ord(p1, 5, 11), "KEY_VALUE_SET", F.lit("K5"), p1, entity="KEY"),
         # the value of K2 sits on the last page
         _blk(_ord(last, 6, 0), "KEY_VALUE_SET", F.lit("V2"), last, entity="VALUE",
              rels=F.array(_rel("CHILD", F.lit("VW2")))),
+    ]
+    kv_words = [
+        _blk(_ord(p1, 5, 1), "WORD", F.lit("KW1a"), p1, text=F.lit("Order"), confidence=F.lit(99.0)),
+        _blk(_ord(p1, 5, 2), "WORD", F.lit("KW1b"), p1, text=F.lit("status"), confidence=F.lit(98.0)),
+        _blk(_ord(p1, 5, 4), "WORD", F.lit("VW1"), p1, text=F.col("o_orderstatus"),
+             confidence=F.lit(97.0)),
+        _blk(_ord(p1, 5, 6), "WORD", F.lit("KW2a"), p1, text=F.lit("Order"), confidence=F.lit(0.0)),
+        _blk(_ord(p1, 5, 7), "WORD", F.lit("KW2b"), p1, text=F.lit("priority"),
+             confidence=F.lit(96.0)),
+        _blk(_ord(p1, 5, 9), "WORD", F.lit("KW3"), p1, text=F.lit("Clerk"), confidence=F.lit(95.0)),
         _blk(_ord(last, 6, 1), "WORD", F.lit("VW2"), last, text=F.col("o_orderpriority"),
              confidence=F.lit(94.0)),
     ]
-    kv_blocks = docs.select("doc_id", F.explode(F.array(*kv)).alias("b"))
+
+    def of_docs(block_type: str, blocks: list) -> DataFrame:
+        # the kind is a constant of the branch, which a filter on it can use
+        return (docs.select("doc_id", F.explode(F.array(*[F.struct(*b) for b in blocks])).alias("b"))
+                .select("doc_id", "b.*").withColumn("block_type", F.lit(block_type)))
+
     page_blocks = (docs
                    # every fifth document ends with a blank page: no lines, no words
                    .select("doc_id", F.explode(F.sequence(F.lit(1), F.col("npages") + (F.col("doc_id") % 5 == 0).cast("int"))).alias("page"))
-                   .select("doc_id", _blk(_ord(page, 0), "PAGE", F.concat(F.lit("P"), s("page")),
-                                          page).alias("b")))
-    return (page_blocks.unionByName(line_blocks).unionByName(table_blocks).unionByName(kv_blocks)
-            .select("doc_id", "b.*"))
+                   .select("doc_id", *_blk(_ord(page, 0), "PAGE", F.concat(F.lit("P"), s("page")), page)))
+    out = page_blocks
+    for branch in (line_blocks, word_blocks, cell_blocks, table_blocks, of_docs("KEY_VALUE_SET", kv), of_docs("WORD", kv_words)):
+        out = out.unionByName(branch)
+    return out
 
 
 # ---------------------------------------------------------------------------
