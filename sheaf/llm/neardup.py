@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import words
 from sheaf.llm.components import components
-from sheaf.llm.tables import keep
+from sheaf.llm.tables import drop, keep
 
 
 @dataclass(frozen=True)
@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     more = keep(confirm(_rest(shared, known, stars, texts, p), texts, p), "neardup-more")
     if not more.isEmpty():
         known = keep(components(edges.unionByName(more)), "neardup-components")
+    drop(shared, texts, stars, edges, more)
     roots = classes.select("digest", "node").join(known, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     found = rows.join(roots, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("root"))

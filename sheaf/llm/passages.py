@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import words
 from sheaf.llm.lm import pack, unpack
-from sheaf.llm.tables import keep, parts
+from sheaf.llm.tables import drop, keep, parts
 
 _NEAR = np.uint64(0x8CB92BA72F3D8DD7)
 _AGAIN = np.uint64(0xD6E8FEB86659FD93)
@@ -309,18 +309,19 @@ def seed_rows(packed: DataFrame, flags: DataFrame, p: Params) -> DataFrame:
     return packed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(run, "seed long, doc_id long, pos int, exact boolean")
 
 
-def anchors(docs: DataFrame, p: Params) -> DataFrame:
+def anchors(docs: DataFrame, p: Params) -> tuple[DataFrame, list[DataFrame]]:
     """(doc_id, other, pos, other_pos, exact): each shared seed with its place
-    in the first document that has it."""
+    in the first document that has it; and the kept tables that this reads."""
     packed = keep(chunks(docs, p), "passages-chunks")
     buckets = max(parts(docs.sparkSession), packed.count() // p.bucket_chunks)
     flags = keep(shared(packed, buckets, p), "passages-shared")
     rows = keep(seed_rows(packed.withColumn("buckets", F.lit(buckets)), flags, p), "passages-seeds")
+    drop(packed, flags)
     # a table of its own, so that the join below is one of two plain exchanges, which split a frequent seed
     origin = keep(rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
                   .where("n > 1").select("seed", F.col("first.doc_id").alias("other"), F.col("first.pos").alias("other_pos")), "passages-origins")
     return (rows.join(origin.hint("merge"), "seed").where("doc_id <> other")
-            .select("doc_id", "other", "pos", "other_pos", "exact"))
+            .select("doc_id", "other", "pos", "other_pos", "exact")), [rows, origin]
 
 
 def chains(pos: np.ndarray, other: np.ndarray, p: Params, exact: np.ndarray | None = None) -> list[np.ndarray]:
@@ -566,7 +567,8 @@ PASSAGE = "doc_id long, other_doc_id long, start int, end int, other_start int,
 def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """A row for each passage that ``doc_id`` shares with ``other_doc_id``, a
     smaller one: ``start`` and ``end`` count words (end excluded)."""
-    pairs = anchors(docs, p).groupBy("doc_id", "other").agg(F.collect_list(F.struct("pos", "other_pos", "exact")).alias("at"), F.max("exact").alias("whole"))
+    found, read = anchors(docs, p)
+    pairs = found.groupBy("doc_id", "other").agg(F.collect_list(F.struct("pos", "other_pos", "exact")).alias("at"), F.max("exact").alias("whole"))
     pairs = pairs.where((F.size("at") >= p.min_anchors) | F.col("whole")).drop("whole")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -589,8 +591,10 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(other, pa.int64()), pa.array(at, kind), pa.array(to, kind)], names=["doc_id", "other", "at", "to"])
 
     chained = keep(pairs.mapInArrow(chain, "doc_id long, other long, at array<array<int>>, to array<array<int>>"), "passages-chains")
+    drop(*read)
     wanted = chained.select("doc_id").unionByName(chained.select(F.col("other").alias("doc_id"))).distinct()
-    texts = keep(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "passages-texts")
+    # not kept: both sides below read one exchange of the texts by their document
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
 
     far = texts.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
     parts_ = chained.join(texts, "doc_id").mapInArrow(lambda x: _clipped(x, p), CLIPPED)

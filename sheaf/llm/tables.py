@@ -18,6 +18,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Empty kept tables that nothing reads any more: an overwrite without rows
+    deletes their files wherever the shared folder is."""
+    for t in tables:
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(folder)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

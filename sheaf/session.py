@@ -26,6 +26,8 @@ _CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(16 * 1024 * 1024),
 }
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_spark(app: str = "sheaf", master: str | None = None,
               shuffle_partitions: int | None = None,
@@ -77,11 +79,19 @@ def materialize(df, name: str = "table"):
     """Cut lineage: write ``df`` as Parquet under the shared checkpoint
     folder and read it back.  Later stages scan the written table (column
     pruning and filter pushdown apply) and survive executor loss without
-    recomputing the lineage."""
+    recomputing the lineage.  The shuffle files of the write go when it has
+    ended: nothing reads them again, and their driver-side cleaning may come
+    only after the job."""
     import uuid
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")  # a write keeps the settings it starts with
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before else spark.conf.unset(CLEAN_UP)
+    return spark.read.parquet(path)
 
 
 def spread(df, key: str = "doc_id"):

@@ -1,10 +1,14 @@
+import glob
 import random
+import tempfile
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sheaf.llm import passages, queries
+from sheaf.llm import passages, queries, tables
 from tests.llm.helpers import SF, lower_words
 
 
@@ -256,3 +260,33 @@ def test_parts_of_texts_do_not_change_the_result(spark, small):
     want = sorted(map(tuple, passages.passages(small, passages.Params(around=1 << 20)).collect()))
     for around in (1, 30):
         assert want and sorted(map(tuple, passages.passages(small, passages.Params(around=around)).collect())) == want
+
+
+def test_tables_that_nothing_reads_any_more_go(spark, small, monkeypatch):
+    kept = {}
+
+    def keep(df, name):
+        table = tables.keep(df, name)
+        kept[name] = (table.schema, table.inputFiles()[0].rpartition("/")[0])
+        return table
+
+    monkeypatch.setattr(passages, "keep", keep)
+    passages.passages(small).count()
+    left = {name for name, (schema, folder) in kept.items() if not spark.read.schema(schema).parquet(folder).isEmpty()}
+    assert len(kept) > 2 and left <= {"passages-chains", "passages-near"}
+
+
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_shuffles_of_a_kept_table_go(spark):
+    top = spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+    files = lambda: set(glob.glob(f"{top}/**/shuffle_*.data", recursive=True))
+    before, end = files(), time.time() + 20
+    set_before = spark.conf.get(CLEAN_UP, None)
+    tables.keep(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "shuffled")
+    assert spark.conf.get(CLEAN_UP, None) == set_before
+    # the executors delete them a moment later
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
