@@ -15,167 +15,92 @@ Profiles (how the three reference processors differ):
   tables without a CHILD relationship are dropped and non-CELL children are
   kept as cells.
 
-Shuffles: id resolution groups by ``(doc_id[, page], id)``; page lists group
-by ``(doc_id, page)``; only the nested document assembly groups by
-``doc_id`` (bounded by the page limit of admitted files).  Lookups and lists
-are unions that are grouped, not joins: blocks dealt by ``doc_id`` need no
-exchange, others one a step.
+Shuffles: the blocks are grouped by ``doc_id`` (bounded by the page limit of
+admitted files) and read once; ids, lists and grids are then worked out for
+batches of documents on Arrow columns (``operators/batches.py``).  Blocks dealt
+by ``doc_id`` need no exchange, others one.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.operators.graph import child_slots, child_text, first_rel_ids, in_scope, referenced, scope_cols, slot_text
+from sheaf.operators import batches as B
+from sheaf.operators.graph import scope_cols
 
 PROFILES = ("current", "sync", "legacy")
 
 
-def _is_entity(kind: str):
-    return F.coalesce(F.array_contains("entity_types", kind), F.lit(False))
+# what a batch of documents needs of their blocks; relationships of the kinds that are asked for theirs
+def _columns(*more: str, kinds: tuple[str, ...] = ()) -> list:
+    rels = F.when(F.col("block_type").isin(*kinds), F.col("relationships")) if kinds else F.col("relationships")
+    return ["block_ord", "block_type", "id", "text", "page", *more, rels.alias("relationships")]
 
 
-def _kv(blocks: DataFrame) -> DataFrame:
-    return blocks.filter(F.col("block_type") == "KEY_VALUE_SET")
+def _rows(doc: np.ndarray, n: int, **columns) -> pa.Array:
+    """A list of rows for each of ``n`` documents, by sorted ``doc``."""
+    return B.lists(doc, n, pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns)))
 
 
-# ---------------------------------------------------------------------------
-# block text per profile
-# ---------------------------------------------------------------------------
+def _page(s: B.Scope, group: np.ndarray) -> dict:
+    """The page column of rows in page scope."""
+    return {"page": s.page[group].astype(np.int32)} if hasattr(s, "keys") else {}
 
-def _legacy_text(rows: DataFrame, blocks: DataFrame, scope: str) -> DataFrame:
-    """Legacy text of ``rows`` (distinct but for ``text`` and ``ids``): own
-    text when set, else texts of the first CHILD relationship's children that
-    exist (the first block with an id is what a linear find returns) and have
-    text, joined by ''.  A block that was delivered ``n`` times has each of its
-    children as often."""
-    own = [c for c in rows.columns if c not in ("text", "ids")]
-    cols = scope_cols(scope)
-    has = F.coalesce(F.col("text") != "", F.lit(False))
-    asking = (rows.select(*own, F.when(has, F.col("text")).alias("text"), F.posexplode_outer(F.when(~has, F.col("ids"))).alias("id_ord", "dst_id")))
-    kid = F.when(F.col("found.text") != "", F.struct(F.lit(0).alias("rel_ord"), "id_ord", F.col("found.text").alias("t")))
-    return (referenced(asking, blocks, scope, "text", first=True).groupBy(*own)
-            .agg(F.max("text").alias("own_text"), F.collect_set(kid).alias("kids"))
-            .select(*own, F.coalesce("own_text", slot_text(F.flatten(F.transform("kids", lambda x: F.array_repeat(x, F.col("n").cast("int")))), "")).alias("text")))
+
+def _exploded(whole: DataFrame, scope: str, *names: str, out: str = "out") -> DataFrame:
+    """The rows of the lists ``out``; ``whole``, a row a document, stays at hand
+    for what is made of the same documents, which then need not be grouped again."""
+    rows = whole.select("doc_id", F.explode(out).alias("r")).select(*[F.col(c if c == "doc_id" else f"r.{c}") for c in (*scope_cols(scope), *names)])
+    rows.whole = whole
+    return rows
 
 
 # ---------------------------------------------------------------------------
 # forms (AGG-5, PRJ-2, JN-5, JN-9)
 # ---------------------------------------------------------------------------
 
-def _value_id() -> F.Column:
-    """First VALUE relationship, first id (JN-5)."""
-    return F.get(first_rel_ids("VALUE"), 0)
-
-
 def forms(blocks: DataFrame, scope: str = "document", profile: str = "current") -> DataFrame:
     """Key/value pairs: ``(doc_id, [page,] form_no, key, value)`` in the
-    order a key id first appears; the last KEY block with an id wins."""
-    cols = scope_cols(scope)
-    src = in_scope(blocks, scope)
-    if profile == "legacy":
-        return _legacy_forms(src, cols, scope)
-    is_key = _is_entity("KEY")
-    kv = (_kv(src).filter(is_key | _is_entity("VALUE"))
-          .select("doc_id", "page", "block_ord", "id", "relationships", is_key.alias("is_key"), F.when(is_key, _value_id()).alias("value_id")))
-    last = F.max(F.struct("block_ord", "value_id", "child_text"))
-    once = (child_text(kv, blocks, scope, carry=("id", "is_key", "value_id")).groupBy(*cols, "id", "is_key")
-            .agg(F.min("block_ord").alias("key_pos"), last.alias("last"))
-            .select(*cols, "is_key", "key_pos", F.when(F.col("is_key"), F.col("last.value_id")).otherwise(F.col("id")).alias("pair_id"),
-                    F.when(F.col("last.block_ord").isNotNull(), F.col("last.child_text")).alias("t")))
-    # a key and the VALUE block it names meet in one group, which has one value at most
-    value = F.max(F.when(~F.col("is_key"), F.col("t"))).over(Window.partitionBy(*cols, "pair_id"))
-    out = (once.withColumn("value", F.coalesce(F.when(F.col("pair_id").isNotNull(), value), F.lit("")))
-           .filter("is_key")
-           .select(*cols, "key_pos", F.when(F.col("doc_id").isNotNull(), F.col("t")).alias("key"), "value")
-           .filter(F.col("key") != ""))
-    w = Window.partitionBy(*cols).orderBy("key_pos")
-    return out.select(*cols, F.row_number().over(w).cast("long").alias("form_no"), "key", "value")
-
-
-def _legacy_forms(src: DataFrame, cols: list[str], scope: str) -> DataFrame:
-    """Legacy pairing: every KEY block in block order; value = first block
-    (any type) with the first VALUE id; pair only when it exists."""
-    keys = (_kv(src).filter(_is_entity("KEY"))
-            .select(*cols, "block_ord", "text", first_rel_ids("CHILD").alias("ids"), _value_id().alias("dst_id"))
-            .filter(F.col("dst_id").isNotNull())
-            .groupBy(*cols, "block_ord", "dst_id").agg(F.max("text").alias("text"), F.max("ids").alias("ids"), F.count(F.lit(1)).alias("n")))
-    src = src.withColumn("ids", first_rel_ids("CHILD"))
-    pairs = referenced(keys, src, scope, "text", "ids", first=True, copies=True).filter(F.col("found").isNotNull())
-    # a side without a place in the document has no text
-    side = lambda is_key, n, ord_, text, ids: F.struct(F.lit(is_key).alias("is_key"), F.coalesce(n, F.lit(1)).cast("long").alias("n"),
-                                                       F.when(ord_.isNotNull(), text).alias("text"), F.when(ord_.isNotNull(), ids).alias("ids"))
-    sides = (pairs.select(*cols, "block_ord", "dst_id", F.explode(F.array(
-        side(True, F.col("n"), F.col("block_ord"), F.col("text"), F.col("ids")),
-        side(False, F.when(F.col("found.block_ord").isNotNull(), F.col("copies")), F.col("found.block_ord"), F.col("found.text"), F.col("found.ids")))).alias("s"))
-        .select(*cols, "block_ord", F.col("dst_id").alias("value_id"), "s.*"))
-    of = lambda is_key, c: F.max(F.when(F.col("is_key") == is_key, F.col(c)))
-    out = (_legacy_text(sides, src, scope).groupBy(*cols, "block_ord", "value_id")
-           .agg(of(True, "text").alias("key"), of(False, "text").alias("value"), of(True, "n").alias("n"), of(False, "n").alias("m"))
-           # blocks delivered again pair each with each
-           .withColumn("again", F.explode(F.array_repeat(F.lit(1), (F.col("n") * F.col("n") * F.col("m")).cast("int")))))
-    w = Window.partitionBy(*cols).orderBy("block_ord")
-    return out.select(*cols, F.row_number().over(w).cast("long").alias("form_no"), "key", "value")
+    order a key id first appears; the last KEY block with an id wins.  Legacy
+    pairing: every KEY block in block order; value = first block (any type)
+    with the first VALUE id; pair only when it exists."""
+    cols, legacy = scope_cols(scope), profile == "legacy"
+
+    def made(b: pa.Array, known: pa.Array) -> pa.Array:
+        s = B.Blocks(b, known).scope(scope)
+        group, key, value = B.legacy_forms(s) if legacy else B.forms(s)
+        return _rows(s.doc[group], len(b), **_page(s, group), form_no=B.place(group) + 1, key=key, value=value)
+
+    page = "page:int," if len(cols) > 1 else ""
+    out = B.per_document(blocks, _columns("entity_types", kinds=() if legacy else ("KEY_VALUE_SET",)), made,
+                         f"array<struct<{page}form_no:bigint,key:string,value:string>>")
+    return _exploded(out, scope, "form_no", "key", "value")
 
 
 # ---------------------------------------------------------------------------
 # tables (AGG-6, AGG-7, JN-6)
 # ---------------------------------------------------------------------------
 
-def _table_rank(tables: DataFrame, cols: list[str]) -> DataFrame:
-    w = Window.partitionBy(*cols).orderBy("table_ord")
-    return tables.withColumn("table_no", F.row_number().over(w).cast("long"))
-
-
-def table_list(blocks: DataFrame, scope: str = "document", profile: str = "current") -> DataFrame:
-    """Every TABLE block in scope: ``(doc_id, [page,] table_no, table_ord)``."""
-    cols = scope_cols(scope)
-    t = (in_scope(blocks, scope).filter(F.col("block_type") == "TABLE")
-         .select(*cols, F.col("block_ord").alias("table_ord"),
-                 first_rel_ids("CHILD").alias("child_ids")))
-    if profile == "legacy":
-        t = t.filter(F.col("child_ids").isNotNull())
-    return _table_rank(t.select(*cols, "table_ord"), cols)
-
-
 def table_cells(blocks: DataFrame, scope: str = "document", profile: str = "current") -> DataFrame:
     """Cells of every table in child order:
     ``(doc_id, [page,] table_no, cell_no, text, row_index, column_index)``.
-    Missing row/column index is 0."""
-    cols = scope_cols(scope)
-    src = in_scope(blocks, scope)
-    tables = (src.filter(F.col("block_type") == "TABLE")
-              .select(*cols, F.col("block_ord").alias("table_ord"),
-                      first_rel_ids("CHILD").alias("child_ids")))
-    if profile == "legacy":
-        tables = tables.filter(F.col("child_ids").isNotNull())
-    tables = _table_rank(tables, cols)
-    refs = tables.select(*cols, "table_no", F.posexplode("child_ids").alias("cell_pos", "dst_id"))
-    if profile == "legacy":
-        # linear find: the first block with the id, any type
-        src = src.withColumn("ids", first_rel_ids("CHILD"))
-        cells = (referenced(refs, src, scope, "text", "row_index", "column_index", "ids", first=True).filter(F.col("found").isNotNull())
-                 .select(*cols, "table_no", "cell_pos", F.coalesce("found.row_index", F.lit(0)).alias("row_index"),
-                         F.coalesce("found.column_index", F.lit(0)).alias("column_index"), F.lit(1).alias("n"),
-                         # a cell without a place in the document has no text
-                         *[F.when(F.col("found.block_ord").isNotNull(), F.col(f"found.{c}")).alias(c) for c in ("text", "ids")]))
-        cells = _legacy_text(cells, src, scope)
-    else:
-        # the cells of tables and the children of cells are looked up together
-        slots = (src.filter(F.col("block_type") == "CELL").select(*cols, F.col("block_ord").alias("cell_ord"), F.explode(child_slots()).alias("s"))
-                 .filter(F.col("cell_ord").isNotNull()).select(*cols, "cell_ord", "s.*"))
-        rows = referenced(refs.unionByName(slots, allowMissingColumns=True), src, scope, "text", "block_type", "row_index", "column_index")
-        found = F.col("found")
-        part = F.when(F.col("cell_ord").isNotNull(), F.struct("rel_ord", "id_ord", F.coalesce(found["text"], F.lit("")).alias("t")))
-        ref = F.when(F.col("cell_ord").isNull(), F.struct("table_no", "cell_pos", F.coalesce(found["row_index"], F.lit(0)).alias("row_index"),
-                                                          F.coalesce(found["column_index"], F.lit(0)).alias("column_index")))
-        cells = (rows.filter(F.col("cell_ord").isNotNull() | (found["block_type"] == "CELL"))
-                 .groupBy(*cols, F.coalesce("cell_ord", found["block_ord"]).alias("at"))
-                 .agg(F.collect_list(ref).alias("refs"), F.collect_set(part).alias("parts"))
-                 .select(*cols, slot_text(F.col("parts")).alias("text"), F.explode("refs").alias("r"))
-                 .select(*cols, "r.*", "text"))
-    return cells.select(*cols, "table_no", (F.col("cell_pos") + 1).cast("long").alias("cell_no"), "text", "row_index", "column_index")
+    Missing row/column index is 0.  Legacy: tables without a CHILD relationship
+    are dropped and any block is a cell (linear find: the first with the id)."""
+    cols, legacy = scope_cols(scope), profile == "legacy"
+
+    def made(b: pa.Array, known: pa.Array) -> pa.Array:
+        s = B.Blocks(b, known).scope(scope)
+        c = B.Cells(s, legacy)
+        group = c.group[c.table]
+        return _rows(s.doc[group], len(b), **_page(s, group), table_no=c.number[c.table] + 1, cell_no=c.at + 1, text=c.text, row_index=c.row, column_index=c.col)
+
+    page = "page:int," if len(cols) > 1 else ""
+    out = B.per_document(blocks, _columns("row_index", "column_index", kinds=() if legacy else ("TABLE", "CELL")), made,
+                         f"array<struct<{page}table_no:bigint,cell_no:bigint,text:string,row_index:int,column_index:int>>", name="cells")
+    return _exploded(out, scope, "table_no", "cell_no", "text", "row_index", "column_index", out="cells")
 
 
 def table_grid(cells: DataFrame, scope: str = "document") -> DataFrame:
@@ -183,21 +108,31 @@ def table_grid(cells: DataFrame, scope: str = "document") -> DataFrame:
     ``''``; a later cell overwrites an earlier one; index <= 0 is ignored;
     no grid when either extent is <= 0.
     ``(doc_id, [page,] table_no, row_no, col_no, text)``."""
-    key = [*scope_cols(scope), "table_no"]
-    w = Window.partitionBy(*key).orderBy("cell_no")
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = cells.select(*key, "cell_no", "row_index", "column_index", "text", F.row_number().over(w).alias("i"),
-                        F.max("row_index").over(every).alias("max_row"), F.max("column_index").over(every).alias("max_col"))
-    # a table's first cell brings the empty slots too: row 0 stands for the cell itself
-    dense = (F.col("i") == 1) & (F.col("max_row") > 0) & (F.col("max_col") > 0)
-    rows = (rows.withColumn("row_no", F.explode(F.when(dense, F.sequence(F.lit(0), F.col("max_row"))).otherwise(F.array(F.lit(0)))))
-            .withColumn("col_no", F.explode(F.when(F.col("row_no") > 0, F.sequence(F.lit(1), F.col("max_col"))).otherwise(F.array(F.lit(0))))))
-    own = F.col("row_no") == 0
-    return (rows.filter(~own | ((F.col("row_index") >= 1) & (F.col("column_index") >= 1)))
-            .groupBy(*key, F.when(own, F.col("row_index")).otherwise(F.col("row_no")).cast("long").alias("row_no"),
-                     F.when(own, F.col("column_index")).otherwise(F.col("col_no")).cast("long").alias("col_no"))
-            .agg(F.max_by("text", F.when(own, F.col("cell_no"))).alias("text"))
-            .select(*key, "row_no", "col_no", F.coalesce("text", F.lit("")).alias("text")))
+    cols = scope_cols(scope)
+
+    def made(b: pa.Array, *_: pa.Array) -> pa.Array:
+        doc, c = B.parents(b), B.structs(b)
+        key = [doc, *[B.numbers(c[k]) for k in (*cols[1:], "table_no")]]
+        table, one = B.number(*key)
+        order = np.lexsort((B.numbers(c["cell_no"]), table))
+        # a missing index is as one that is ignored
+        row, col = (B.numbers(c[k].fill_null(0))[order] for k in ("row_index", "column_index"))
+        n_rows, n_cols, text = B.grid(table[order], len(one), row, col, c["text"].take(pa.array(order)))
+        of = np.repeat(np.arange(len(one)), n_rows * n_cols)
+        at = B.place(of)
+        same = {k: c[k].take(pa.array(one[of])) for k in (*cols[1:], "table_no")}
+        return _rows(doc[one[of]], len(b), **same, row_no=at // n_cols[of] + 1, col_no=at % n_cols[of] + 1, text=text)
+
+    page = "page:int," if len(cols) > 1 else ""
+    returns = f"array<struct<{page}table_no:bigint,row_no:bigint,col_no:bigint,text:string>>"
+    if hasattr(cells, "whole"):
+        out = B.listed(cells.whole, made, returns, "cells", name="grid")
+    else:
+        long = [F.col(c).cast("long").alias(c) for c in ("table_no", "cell_no")]
+        out = B.per_document(cells, [*cols[1:], *long, "row_index", "column_index", "text"], made, returns, name="grid")
+    grid = _exploded(out, scope, "table_no", "row_no", "col_no", "text", out="grid")
+    grid.made_of = cells
+    return grid
 
 
 def table_rows(grid: DataFrame, scope: str = "document") -> DataFrame:
@@ -235,54 +170,29 @@ def page_list(blocks: DataFrame, profile: str = "current") -> DataFrame:
             .select("doc_id", "page_number", "page"))
 
 
-def page_lines(blocks: DataFrame, profile: str = "current") -> DataFrame:
-    """AGG-1..3 per ``(doc_id, page)``: LINE texts in block order joined by
-    newline (missing text is ''), mean LINE confidence (0 when none),
-    block count (LINEs, or all blocks of the page for sync/legacy)."""
-    b = blocks.filter(F.col("page").isNotNull())
-    is_line = F.col("block_type") == "LINE"
-    if profile == "current":
-        b = b.filter(is_line)
-    agg = (b.groupBy("doc_id", "page")
-           .agg(F.array_sort(F.collect_list(F.when(is_line, F.struct(
-                "block_ord", F.coalesce("text", F.lit("")).alias("t"))))).alias("ls"),
-                F.avg(F.when(is_line, F.col("confidence"))).alias("confidence"),
-                F.count_if(is_line).alias("n_lines"),
-                F.count(F.lit(1)).alias("n_blocks")))
-    count = F.col("n_lines") if profile == "current" else F.col("n_blocks")
-    return agg.select("doc_id", "page",
-                      F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("text"),
-                      F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-                      count.cast("long").alias("block_count"))
-
-
-def page_groups(blocks: DataFrame, profile: str, more: DataFrame, *aggs: F.Column, whole: bool = False) -> DataFrame:
-    """Pages with their lines and ``aggs`` over the rows ``more`` (``doc_id,
-    page`` and other columns) of the page: ``(doc_id, page_number, page, text,
-    confidence, block_count, ...)``.  Page list, lines and ``more`` meet in one
-    grouping by ``(doc_id, page)``.  ``whole``: with the groups without a page
-    number, such as that of a document's own rows."""
-    lines = page_lines(blocks, profile)
-    rows = (page_list(blocks, profile).unionByName(lines.select("doc_id", "page", F.struct("text", "confidence", "block_count").alias("line")), allowMissingColumns=True)
-            .unionByName(more, allowMissingColumns=True))
-    known = F.col("doc_id").isNotNull()  # pages of a null document have nothing
-    return (rows.groupBy("doc_id", "page")
-            .agg(F.collect_list("page_number").alias("numbers"), F.max(F.when(known, F.col("line"))).alias("line"), *aggs)
-            .withColumn("page_number", (F.explode_outer if whole else F.explode)("numbers"))
-            .withColumns({"text": F.coalesce("line.text", F.lit("")), "confidence": F.coalesce("line.confidence", F.lit(0.0)),
-                          "block_count": F.coalesce("line.block_count", F.lit(0)).cast("long")})
-            .drop("numbers", "line"))
-
-
 def pages(blocks: DataFrame, profile: str = "current") -> DataFrame:
-    """Flat page results: ``(doc_id, page_number, text, confidence,
-    block_count, n_forms, n_tables)`` (LIM-4 counts included)."""
-    one = F.lit(1).cast("long")
-    more = (forms(blocks, "page", profile).select("doc_id", "page", one.alias("f"))
-            .unionByName(table_list(blocks, "page", profile).select("doc_id", "page", one.alias("t")), allowMissingColumns=True))
-    known = F.col("doc_id").isNotNull()
-    return (page_groups(blocks, profile, more, F.count(F.when(known, F.col("f"))).alias("n_forms"), F.count(F.when(known, F.col("t"))).alias("n_tables"))
-            .select("doc_id", "page_number", "page", "text", "confidence", "block_count", "n_forms", "n_tables"))
+    """Flat page results: ``(doc_id, page_number, page, text, confidence,
+    block_count, n_forms, n_tables)`` (LIM-4 counts included).  AGG-1..3: LINE
+    texts in block order joined by newline (missing text is ''), mean LINE
+    confidence (0 when none), block count (LINEs, or all blocks of the page for
+    sync/legacy)."""
+    legacy = profile == "legacy"
+
+    def made(b: pa.Array, known: pa.Array) -> pa.Array:
+        s = B.Blocks(b, known).scope("page")
+        p = B.Pages(s, profile)
+        text, confidence, count = p.lines(profile)
+        pairs = (B.legacy_forms if legacy else B.forms)(s)[0]
+        tables = np.flatnonzero(B.equals(s.b.kind, "TABLE") & s.usable)
+        if legacy:
+            tables = tables[s.b.first_ids(tables, "CHILD").is_valid().to_numpy(zero_copy_only=False)]
+        n_forms, n_tables = (p.of(np.bincount(x, minlength=s.n), 0) for x in (pairs, s.group[tables]))
+        return _rows(p.doc, len(b), page_number=p.number, page=p.page.astype(np.int32), text=text, confidence=confidence, block_count=count, n_forms=n_forms, n_tables=n_tables)
+
+    kinds = () if legacy else ("KEY_VALUE_SET",)
+    out = B.per_document(blocks, _columns("confidence", "entity_types", kinds=kinds), made, "array<struct<page_number:bigint,page:int,text:string,"
+                         "confidence:double,block_count:bigint,n_forms:bigint,n_tables:bigint>>")
+    return _exploded(out, "document", "page_number", "page", "text", "confidence", "block_count", "n_forms", "n_tables")
 
 
 # ---------------------------------------------------------------------------
@@ -302,20 +212,8 @@ def assemble(blocks: DataFrame, files: DataFrame | None = None, profile: str = "
     The group per document is bounded: admitted files have at most the page
     limit of pages (TRI-4) and the size limit of bytes (TRI-1).
     """
-    # read with their place, which keeps the blocks' own exchange in use
-    every = (documents.select("doc_id").distinct() if documents is not None
-             else blocks.groupBy("doc_id").agg(F.max("block_ord").alias("last")).select("doc_id"))
-    if profile != "legacy":
-        from sheaf.operators.nested import nested
-        return _envelope(nested(blocks, every, profile), files, engine, run_ts, version, region)
-    # legacy computes page forms/tables but does not return them
-    none = every.select("doc_id", F.lit(None).cast("int").alias("page"), F.lit(True).alias("wanted"))
-    page = F.struct(F.col("page_number").alias("pageNumber"), "text", "confidence", F.col("block_count").alias("blockCount"))
-    doc = (page_groups(blocks, profile, none, F.max("wanted").alias("wanted"), whole=True).groupBy("doc_id")
-           .agg(F.array_sort(F.collect_list(F.when(F.col("page_number").isNotNull() & F.col("doc_id").isNotNull(), page))).alias("pages"), F.max("wanted").alias("wanted"))
-           .where("wanted").drop("wanted")
-           .withColumn("forms", F.lit(None)).withColumn("tables", F.lit(None)))
-    return _envelope(doc, files, engine, run_ts, version, region)
+    from sheaf.operators.nested import nested
+    return _envelope(nested(blocks, documents, profile), files, engine, run_ts, version, region)
 
 
 def _envelope(doc: DataFrame, files: DataFrame | None, engine: str, run_ts: str, version: str,

@@ -1,18 +1,12 @@
-"""Block-graph primitives: edges, id indexes and child text (JN-1..6).
+"""Scopes of block graphs (JN-1..6).
 
 A *scope* is the set of key columns inside which ids resolve: the document
 (``["doc_id"]``) or one page of it (``["doc_id", "page"]``).  Ids never
-resolve across scopes (JN-4).  A lookup groups the asking rows and the
-blocks by ``(scope..., id)``: a large document spreads over many tasks
-instead of landing on one, and blocks that are already dealt by ``doc_id``
-stay where they are.
+resolve across scopes (JN-4).  The lookups are in ``operators/batches.py``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
 DOC = ["doc_id"]
 PAGE = ["doc_id", "page"]
 
@@ -23,64 +17,3 @@ def scope_cols(scope: str) -> list[str]:
     if scope == "page":
         return PAGE
     raise ValueError(f"unknown scope {scope!r}")
-
-
-def in_scope(blocks: DataFrame, scope: str) -> DataFrame:
-    """Page scope keeps blocks that carry a page number (``Block.Page ===
-    n`` never holds for a missing page)."""
-    return blocks.filter(F.col("page").isNotNull()) if scope == "page" else blocks
-
-
-def referenced(asking: DataFrame, blocks: DataFrame, scope: str, *fields: str, first: bool = False, copies: bool = False) -> DataFrame:
-    """JN-1/JN-2/WIN-3: the rows of ``asking`` (scope columns, ``dst_id`` and
-    more) with ``found``: ``block_ord`` and ``fields`` of the last block in
-    scope with that id (a later block replaces an earlier one), or of the
-    ``first``; NULL where there is none.  ``copies``: also how often that block
-    was delivered (rows with its id and ``block_ord``)."""
-    key = [*scope_cols(scope), "dst_id"]
-    own = [c for c in asking.columns if c not in key]
-    target = (in_scope(blocks, scope).withColumnRenamed("id", "dst_id")
-              .select(*key, F.struct("block_ord", *fields).alias("target")))
-    rows = asking.select(*key, F.struct(*own).alias("own")).unionByName(target, allowMissingColumns=True)
-    w = Window.partitionBy(*key)
-    rows = rows.withColumn("found", (F.min if first else F.max)("target").over(w))
-    if copies:
-        rows = rows.withColumn("copies", F.count(F.when(F.col("target.block_ord") == F.col("found.block_ord"), 1)).over(w))
-    known = F.lit(True)
-    for c in key:  # as in a join: a null is equal to nothing
-        known = known & F.col(c).isNotNull()
-    return rows.where("own is not null").select(*key, "own.*", F.when(known, F.col("found")).alias("found"), *(["copies"] if copies else []))
-
-
-def first_rel_ids(kind: str) -> Column:
-    """Ids of the first relationship of a type (``Relationships.find``)."""
-    return F.get(F.filter("relationships", lambda r: r["type"] == kind), 0)["ids"]
-
-
-def child_slots(kind: str = "CHILD") -> Column:
-    """Ids of all relationships of a type: ``array<struct<rel_ord, id_ord, dst_id>>``."""
-    return F.flatten(F.transform(F.filter("relationships", lambda r: (r["type"] == kind) & r["ids"].isNotNull()), lambda r, i: F.transform(
-        r["ids"], lambda x, k: F.struct(i.alias("rel_ord"), k.alias("id_ord"), x.alias("dst_id")))))
-
-
-def slot_text(parts: Column, sep: str = " ") -> Column:
-    """Texts of ``struct<rel_ord, id_ord, t>`` in order, each slot once."""
-    return F.array_join(F.transform(F.array_sort(parts), lambda x: x["t"]), sep)
-
-
-def child_text(sources: DataFrame, blocks: DataFrame, scope: str, sep: str = " ", carry: tuple[str, ...] = ()) -> DataFrame:
-    """JN-3/JN-4: text of each source block made of the texts of its CHILD
-    blocks (all CHILD relationships, in order; a missing child is ``''``;
-    when an id occurs twice in scope the later block wins).
-
-    ``sources``: block rows that need text (``doc_id, block_ord, page,
-    relationships``).  Returns ``(scope columns, block_ord, carry,
-    child_text)``, a row per source; without children the text is ``''``.
-    """
-    cols = scope_cols(scope)
-    asking = (in_scope(sources, scope).select(*cols, "block_ord", *carry, F.explode_outer(child_slots()).alias("s"))
-              .select(*cols, "block_ord", *carry, "s.*"))
-    part = F.struct("rel_ord", "id_ord", F.coalesce("found.text", F.lit("")).alias("t"))
-    return (referenced(asking, blocks, scope, "text").groupBy(*cols, "block_ord", *carry)
-            .agg(F.collect_set(F.when(F.col("id_ord").isNotNull(), part)).alias("parts"))
-            .select(*cols, "block_ord", *carry, slot_text(F.col("parts"), sep).alias("child_text")))

@@ -1,165 +1,89 @@
-"""Nested documents in one resolution pass (AGG-8 for ``current`` and
-``sync``).
-
-Every relationship id is looked up once: edges and blocks meet in groups by
-``(doc_id, id)``.  The blocks carry their page, so the page-scope answer (the
-last target on the source's own page) and the document-scope answer (the last
-target anywhere) come from the same rows.  Forms and tables of both scopes are
-then put together from one row per source block.
-
-Exchanges: edges and blocks by (doc_id, id), sources and their targets by
-(doc_id, block), and doc_id for the lists; none at all for blocks that are
-dealt by doc_id.  A document's lists are bounded by the page limit of admitted
-files (TRI-4).
+"""Nested documents (AGG-8) for batches of documents.
+
+The blocks of a document are read once; forms and tables of both scopes, page
+lines and the page list come from the same Arrow columns and are put together
+as nested arrays by their offsets.  A document's lists are bounded by the page
+limit of admitted files (TRI-4).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.operators.assemble import page_groups
-
-SOURCES = ("KEY_VALUE_SET", "CELL", "TABLE")
-
-
-def _has(kind: str) -> Column:
-    return F.coalesce(F.array_contains("entity_types", kind), F.lit(False))
-
-
-def _edges(blocks: DataFrame) -> DataFrame:
-    """A row for each id that a source's text, value or cell list reads; a
-    source that reads none has one row without an id."""
-    kind = F.col("block_type")
-    first = lambda t: F.array_position(F.transform("relationships", lambda r: r["type"]), t).cast("int") - 1
-    src = blocks.filter(kind.isin(*SOURCES)).select(
-        "doc_id", F.col("block_ord").alias("src_ord"), F.col("page").alias("src_page"), kind.alias("src_type"), F.col("id").alias("src_id"),
-        ((kind == "KEY_VALUE_SET") & _has("KEY")).alias("is_key"),
-        F.filter(F.transform("relationships", lambda r, i: F.struct(
-            i.alias("rel_ord"),
-            F.when((r["type"] == "CHILD") & ((kind != "TABLE") | (i == first("CHILD"))), F.when(kind == "TABLE", "cell").otherwise("text"))
-            .when((r["type"] == "VALUE") & _has("KEY") & (i == first("VALUE")), "value").alias("use"),
-            F.when(r["type"] == "VALUE", F.slice(r["ids"], 1, 1)).otherwise(r["ids"]).alias("ids"))),
-            lambda r: r["use"].isNotNull()).alias("rels"))
-    return (src.select("*", F.explode_outer("rels").alias("r")).drop("rels")
-            .select("*", F.posexplode_outer("r.ids").alias("id_ord", "dst_id"))
-            .select("doc_id", "src_ord", "src_page", "src_type", "src_id", "is_key", F.col("r.use").alias("use"), F.col("r.rel_ord").alias("rel_ord"), "id_ord", "dst_id"))
-
-
-def resolve(blocks: DataFrame) -> DataFrame:
-    """One row per source block: ``text_doc`` and ``text_page`` (its children's
-    texts in each scope), ``slots`` of the values and cells it points to."""
-    value = (F.col("block_type") == "KEY_VALUE_SET") & ~_has("KEY") & _has("VALUE")
-    found = F.struct(F.col("block_ord").alias("dst_ord"), F.coalesce("text", F.lit("")).alias("t"), (F.col("block_type") == "CELL").alias("is_cell"), "row_index", "column_index")
-    targets = blocks.select("doc_id", F.col("id").alias("dst_id"), "page", F.struct(found.alias("found"), value.alias("is_value")).alias("target"))
-    edges = _edges(blocks)
-    own = ["src_page", "src_type", "src_id", "is_key"]
-    edge = F.struct("src_ord", "src_type", "src_id", "is_key", "use", "rel_ord", "id_ord")
-    rows = edges.select("doc_id", "dst_id", F.col("src_page").alias("page"), edge.alias("edge")).unionByName(targets, allowMissingColumns=True)
-    # a value must be a VALUE block; of the candidates the last one counts
-    hit = F.when(F.col("target.found.dst_ord").isNotNull(), F.col("target.found"))
-    val = F.when(F.col("target.is_value"), hit)
-    known = F.col("doc_id").isNotNull() & F.col("dst_id").isNotNull()
-    for scope, key, fits in (("page", ["doc_id", "dst_id", "page"], known & F.col("page").isNotNull()), ("doc", ["doc_id", "dst_id"], known)):
-        w = Window.partitionBy(*key)
-        rows = rows.withColumn(f"in_{scope}", F.when(fits, F.struct(F.max(hit).over(w).alias("any"), F.max(val).over(w).alias("value"))))
-    slots = (rows.where("edge is not null").select("doc_id", "dst_id", F.col("page").alias("src_page"), "edge.*", *[
-        F.when(F.col("edge.use") == "value", F.col(f"in_{scope}.value")).otherwise(F.col(f"in_{scope}.any")).alias(scope) for scope in ("doc", "page")]))
-    # a block that was delivered twice has each of its slots once
-    parts = (slots.groupBy("doc_id", "src_ord", *own)
-             .agg(F.sort_array(F.collect_set(F.when(F.col("dst_id").isNotNull(), F.struct("rel_ord", "id_ord", "use", "doc", "page")))).alias("p")))
-
-    def text(scope: str) -> Column:
-        return F.array_join(F.transform(F.filter("p", lambda x: x["use"] == "text"), lambda x: F.coalesce(x[scope]["t"], F.lit(""))), " ")
-
-    return parts.select("doc_id", "src_ord", *own, text("doc").alias("text_doc"), text("page").alias("text_page"),
-                        F.filter("p", lambda x: x["use"] != "text").alias("slots"))
-
-
-def _ordered(order: str, value: Column, where: Column = F.lit(True)) -> Column:
-    """The values of a group's rows that pass ``where``, in order."""
-    rows = F.sort_array(F.collect_list(F.when(where, F.struct(F.col(order).alias("o"), value.alias("v")))))
-    return F.transform(rows, lambda x: x["v"])
-
-
-def _keys_once(forms: Column) -> Column:
-    """Of KEY blocks with one id the last counts, at the place of the first."""
-    once = F.filter(forms, lambda x, i: ~F.exists(F.slice(forms, F.lit(1), i), lambda y: y["id"].eqNullSafe(x["id"])))
-    last = F.transform(once, lambda x: F.element_at(F.filter(forms, lambda y: y["id"].eqNullSafe(x["id"])), -1))
-    return F.when(F.size(F.array_distinct(F.transform(forms, lambda x: x["id"]))) == F.size(forms), forms).otherwise(last)
-
-
-def _grid(cells: Column) -> Column:
-    """AGG-7 on a list of cells in order: rows of texts, no rows when either
-    extent is 0."""
-    rows, cols = F.array_max(F.transform(cells, lambda c: c["rowIndex"])), F.array_max(F.transform(cells, lambda c: c["columnIndex"]))
-    row = lambda r: F.transform(F.array(F.filter(cells, lambda c: c["rowIndex"] == r)), lambda own: F.transform(
-        F.sequence(F.lit(1), cols), lambda k: F.coalesce(F.get(F.reverse(F.filter(own, lambda c: c["columnIndex"] == k)), 0)["text"], F.lit(""))))[0]
-    return F.when((rows > 0) & (cols > 0), F.transform(F.sequence(F.lit(1), rows), row)).otherwise(F.array().cast("array<array<string>>"))
-
-
-REF = "struct<scope:string,page:int,src_ord:bigint,src_id:string,is_key:boolean,key:string,pos:int,target:bigint,rowIndex:int,columnIndex:int>"
-REFS = f"array<{REF}>"
-
-
-def lists(blocks: DataFrame) -> DataFrame:
-    """Forms and tables: ``(doc_id, scope, page, forms, tables)``, a row per
-    document (``page`` NULL) and per page that has some."""
-    src = resolve(blocks)
-    owner, texts = F.col("is_key") | (F.col("src_type") == "TABLE"), F.struct("text_doc", "text_page")
-
-    def refs(scope: str) -> Column:
-        usable = lambda x: x[scope].isNotNull() & ((x["use"] == "value") | x[scope]["is_cell"])
-        ref = lambda x, i: F.struct(
-            F.lit(scope).alias("scope"), F.when(F.lit(scope == "page"), F.col("src_page")).alias("page"), "src_ord", "src_id", "is_key",
-            F.col(f"text_{scope}").alias("key"), i.alias("pos"), x[scope]["dst_ord"].alias("target"),
-            F.coalesce(x[scope]["row_index"], F.lit(0)).alias("rowIndex"), F.coalesce(x[scope]["column_index"], F.lit(0)).alias("columnIndex"))
-        picked = F.transform(F.filter("slots", usable), ref)
-        # an owner without any has one reference to nothing
-        none = F.array(F.struct(F.lit(scope).alias("scope"), F.when(F.lit(scope == "page"), F.col("src_page")).alias("page"), "src_ord", "src_id", "is_key",
-                                F.col(f"text_{scope}").alias("key"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("target"),
-                                F.lit(0).alias("rowIndex"), F.lit(0).alias("columnIndex")))
-        rows = F.when(F.size(picked) > 0, picked.cast(REFS)).otherwise(none.cast(REFS))
-        return F.when(owner if scope == "doc" else owner & F.col("src_page").isNotNull(), rows)
-
-    # a source stands for its text (``giver``) and, if it is a key or a table, for
-    # what it refers to; both meet in groups by (doc_id, place of the target)
-    asks = F.concat(*[F.coalesce(refs(s), F.array().cast(REFS)) for s in ("doc", "page")])
-    gives = F.when(F.col("src_type") != "TABLE", texts)
-    both = (src.select("doc_id", F.explode(F.concat(
-        F.array(F.struct(F.col("src_ord").alias("target"), gives.alias("giver"), F.lit(None).cast(REF).alias("x"))),
-        F.transform(asks, lambda x: F.struct(x["target"].alias("target"), F.lit(None).cast("struct<text_doc:string,text_page:string>").alias("giver"), x.alias("x"))))).alias("e"))
-        .select("doc_id", "e.*"))
-    text = F.max("giver").over(Window.partitionBy("doc_id", "target"))
-    got = (both.withColumn("t", F.when(F.col("target").isNotNull() & F.col("doc_id").isNotNull(), text)).where("x is not null")
-           .select("doc_id", "x.*", F.coalesce(F.when(F.col("x.scope") == "doc", F.col("t.text_doc")).otherwise(F.col("t.text_page")), F.lit("")).alias("text")))
-    cell = F.struct("text", "rowIndex", "columnIndex")
-    # a key has one value at most; a table its cells in order
-    owned = (got.groupBy("doc_id", "scope", "page", "src_ord", "src_id", "is_key", "key")
-             .agg(F.max("text").alias("value"), _ordered("pos", cell, F.col("pos").isNotNull()).alias("cells"))
-             .withColumn("rows", F.when(~F.col("is_key"), _grid(F.col("cells")))))
-    form, table = F.struct(F.col("src_id").alias("id"), "key", "value"), F.struct("cells", "rows")
-    both = owned.groupBy("doc_id", "scope", "page").agg(_ordered("src_ord", form, F.col("is_key")).alias("forms"), _ordered("src_ord", table, ~F.col("is_key")).alias("tables"))
-    kept = F.transform(F.filter(_keys_once(F.col("forms")), lambda f: f["key"] != ""), lambda f: F.struct(f["key"].alias("key"), f["value"].alias("value")))
-    return both.withColumn("forms", kept)
-
-
-def nested(blocks: DataFrame, every: DataFrame, profile: str) -> DataFrame:
-    """``(doc_id, pages, forms, tables)`` for each ``doc_id`` of ``every``."""
-    known = F.col("doc_id").isNotNull()
-    found = lists(blocks).select("doc_id", "page", F.struct("forms", "tables").alias("found"))
-    # the row without a page is the document's, which a page list never has
-    groups = page_groups(blocks, profile, found, F.max(F.when(known, F.col("found"))).alias("found"), whole=True)
-    page = F.struct(F.col("page_number").alias("pageNumber"), "text", "confidence", F.col("block_count").alias("blockCount"),
-                    # PRJ-4: empty lists are left out (NULL fields vanish in JSON)
-                    F.when(F.size("found.forms") > 0, F.col("found.forms")).alias("forms"), F.when(F.size("found.tables") > 0, F.col("found.tables")).alias("tables"))
-    rows = groups.unionByName(every.select("doc_id", F.lit(True).alias("wanted")), allowMissingColumns=True)
-    # every document gets a result, also one without PAGE blocks
-    doc = (rows.groupBy("doc_id").agg(_ordered("page_number", page, F.col("page_number").isNotNull() & known).alias("pages"),
-                                      F.max(F.when(F.col("page").isNull(), F.col("found"))).alias("found"), F.max("wanted").alias("wanted"))
-           .where("wanted"))
-    if profile == "sync":
-        # SET-1: document lists are the page lists in page order
-        both = lambda name: F.flatten(F.transform("pages", lambda p: F.coalesce(p[name], F.array())))
-        return doc.select("doc_id", "pages", both("forms").alias("forms"), both("tables").alias("tables"))
-    return doc.select("doc_id", "pages", F.coalesce("found.forms", F.array()).alias("forms"), F.coalesce("found.tables", F.array()).alias("tables"))
+from sheaf.operators import batches as B
+from sheaf.operators.assemble import _columns
+
+FORM = "struct<key:string,value:string>"
+TABLE = "struct<cells:array<struct<text:string,rowIndex:int,columnIndex:int>>,rows:array<array<string>>>"
+PAGE = "pageNumber:bigint,text:string,confidence:double,blockCount:bigint"
+
+
+def _struct(**columns) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+
+def _forms(s: B.Scope) -> tuple[np.ndarray, pa.Array]:
+    group, key, value = B.forms(s, placed=True)
+    return group, _struct(key=key, value=value)
+
+
+def _tables(s: B.Scope) -> tuple[np.ndarray, pa.Array]:
+    """Group and value of each table."""
+    c = B.Cells(s, placed=True)
+    n = len(c.group)
+    rows, cols, slots = c.grid()
+    lines = np.repeat(cols, rows)
+    row = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lines)]).astype(np.int32)), slots)
+    cells = B.lists(c.table, n, _struct(text=c.text, rowIndex=c.row, columnIndex=c.col))
+    return c.group, _struct(cells=cells, rows=B.lists(np.repeat(np.arange(n), rows), n, row))
+
+
+def _of_pages(found: tuple[np.ndarray, pa.Array], p: B.Pages) -> tuple[np.ndarray, pa.Array]:
+    """The values of each page of the list, one page after another."""
+    group, values = found
+    rows, of = B.gathered(values, group, p.s.n, p.group)
+    return of, values.take(pa.array(rows))
+
+
+def _nested(profile: str, b: pa.Array, known: pa.Array) -> pa.Array:
+    blocks = B.Blocks(b, known)
+    s, n = blocks.scope("page"), len(b)
+    p = B.Pages(s, profile)
+    keep = np.flatnonzero(blocks.known[p.doc]) if n else np.arange(0)
+    text, confidence, count = p.lines(profile)
+    page = {"pageNumber": p.number, "text": text, "confidence": confidence, "blockCount": count}
+    lists = {}
+    if profile != "legacy":
+        document = blocks.scope("document")
+        for name, made in (("forms", _forms), ("tables", _tables)):
+            of, values = _of_pages(made(s), p)
+            # PRJ-4: empty lists are left out (NULL fields vanish in JSON)
+            page[name] = B.lists(of, len(p.doc), values, np.bincount(of, minlength=len(p.doc)) == 0)
+            # SET-1: document lists of sync are the page lists in page order
+            lists[name] = B.lists(p.doc[of], n, values) if profile == "sync" else B.lists(*_ordered(made(document), n))
+    pages = _struct(**page).take(pa.array(keep))
+    return _struct(pages=B.lists(p.doc[keep], n, pages), **lists)
+
+
+def _ordered(found: tuple[np.ndarray, pa.Array], n: int) -> tuple[np.ndarray, int, pa.Array]:
+    return found[0], n, found[1]
+
+
+def nested(blocks: DataFrame, documents: DataFrame | None, profile: str) -> DataFrame:
+    """``(doc_id, pages, forms, tables)`` for each ``doc_id`` of ``documents``,
+    else of the blocks."""
+    lists = "" if profile == "legacy" else f"forms:array<{FORM}>,tables:array<{TABLE}>"
+    page = ",".join(filter(None, [PAGE, lists]))
+    returns = ",".join(filter(None, [f"pages:array<struct<{page}>>", lists]))
+
+    def made(b: pa.Array, known: pa.Array) -> pa.Array:
+        return _nested(profile, b, known)
+
+    columns = ["block_ord", "block_type", "text", "page", "confidence"] if profile == "legacy" else _columns(
+        "confidence", "row_index", "column_index", "entity_types", kinds=("KEY_VALUE_SET", "CELL", "TABLE"))
+    doc = B.per_document(blocks, columns, made, f"struct<{returns}>", documents).select("doc_id", "out.*")
+    # legacy computes page forms/tables but does not return them
+    return doc.withColumn("forms", F.lit(None)).withColumn("tables", F.lit(None)) if profile == "legacy" else doc

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.operators import batches as B
 from sheaf.functions.text import js_trim
 
 # FIXED VALUES: text of a page without OCR result, published price assumptions
@@ -115,22 +117,20 @@ def table_preview(grid: DataFrame, tables: int = 2, rows: int = 3, cells: DataFr
     """LIM-1: first ``tables`` tables per document, first ``rows`` rows each
     (cells joined by ' | '), with the count of rows not shown.  With ``cells``
     a table that has cells but no grid is one row 0 that tells their number."""
-    rows_in = grid.select("doc_id", "table_no", "row_no", "col_no", "text")
-    if cells is not None:
-        # a table's cells stand for its row 0: grid and cells meet in one grouping
-        rows_in = rows_in.unionByName(cells.select("doc_id", "table_no", F.lit(0).cast("long").alias("row_no")), allowMissingColumns=True)
-    per_row = (rows_in.filter(F.col("table_no") <= tables)
-               .groupBy("doc_id", "table_no", "row_no")
-               .agg(F.array_sort(F.collect_list(F.struct("col_no", "text"))).alias("cs"), F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("doc_id", "table_no")
-    bare = F.col("row_no") == 0
-    return (per_row
-            .withColumn("n_rows", F.count_if(~bare).over(w))
-            .filter(F.when(bare, F.col("n_rows") == 0).otherwise(F.col("row_no") <= rows))
-            .select("doc_id", "table_no", "row_no",
-                    F.when(bare, F.concat(F.col("n").cast("string"), F.lit(" cells (no rows structure)")))
-                    .otherwise(F.array_join(F.transform("cs", lambda x: x["text"]), " | ")).alias("row_text"),
-                    F.greatest(F.col("n_rows") - rows, F.lit(0)).cast("long").alias("more_rows")))
+    def made(slots: pa.Array, own: pa.Array) -> pa.Array:
+        found = B.preview(slots, own, tables, rows)
+        doc = found.pop("doc")
+        return B.lists(doc, len(slots), pa.StructArray.from_arrays([pa.array(c) for c in found.values()], list(found)))
+
+    whole = getattr(grid, "whole", None)
+    # a grid that was made of these cells has them in the same rows
+    if whole is None or cells is None or getattr(cells, "whole", None) is None or "cells" not in whole.columns or grid.made_of is not cells:
+        slots = grid.select("doc_id", F.struct("table_no", "row_no", "col_no", "text").alias("grid"))
+        own = (grid.limit(0) if cells is None else cells).select("doc_id", F.struct("table_no").alias("cells"))
+        whole = (slots.unionByName(own, allowMissingColumns=True).groupBy("doc_id")
+                 .agg(F.collect_list("grid").alias("grid"), F.collect_list("cells").alias("cells")))
+    out = B.listed(whole, made, "array<struct<table_no:bigint,row_no:bigint,row_text:string,more_rows:bigint>>", "grid", "cells")
+    return out.select("doc_id", F.explode("out").alias("r")).select("doc_id", "r.*")
 
 
 def first_table_page(pages: DataFrame) -> DataFrame:
